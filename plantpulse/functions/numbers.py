@@ -19,7 +19,7 @@ def safe_ratio(value: Column, level: Column) -> Column:
 
 
 def formatted(c: Column, digits: int = 4, missing: str = "s/d") -> Column:
-    return F.coalesce(F.format_string(f"%.{digits}f", c), F.lit(missing))
+    return F.when(c.isNotNull(), F.format_string(f"%.{digits}f", c)).otherwise(missing)
 
 
 def thousands(c: Column) -> Column:

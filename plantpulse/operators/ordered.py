@@ -93,6 +93,10 @@ def _as_number(df: DataFrame, name: str) -> Column:
     kind = df.schema[name].dataType
     if isinstance(kind, (T.TimestampType, T.TimestampNTZType, T.DateType)):
         return epoch_micros(F.col(name))
+    if isinstance(kind, T.StringType):
+        # The first seven bytes as a number keep the order of the text.
+        head = F.substring(F.hex(F.encode(F.col(name), "UTF-8")), 1, 14)
+        return F.conv(F.rpad(head, 14, "0"), 16, 10).cast("long")
     return F.col(name)
 
 
@@ -118,6 +122,9 @@ def _row_at(df: DataFrame, order: list[str], rank: int, total: int) -> dict:
         ).first()
         if not below <= rank < below + inside:
             raise RuntimeError("rank fell outside its bracket")
+        if low == high and isinstance(base.schema[keys[0]].dataType, T.StringType):
+            df, rank = df.filter(key == low), rank - below  # same text head: sort what is left
+            break
         if rank < below + at_low and (low == high or inside == total):
             df, keys, rank, total = df.filter(key == low), keys[1:], rank - below, at_low
         elif inside == total:
@@ -127,11 +134,16 @@ def _row_at(df: DataFrame, order: list[str], rank: int, total: int) -> dict:
     rank = rank if keys else 0  # every remaining row carries the same key tuple
     found = (
         df.orderBy(*order).offset(rank).limit(1)
-        .select(*[_as_number(base, k).alias(k) for k in order]).first()
+        .select(*[_portable(base, k).alias(k) for k in order]).first()
     )
     return {k: _literal(base.schema[k].dataType, found[k]) for k in order}
 
 
+def _portable(df: DataFrame, name: str) -> Column:
+    """Times travel to the driver as microseconds, free of any time zone."""
+    return F.col(name) if isinstance(df.schema[name].dataType, T.StringType) else _as_number(df, name)
+
+
 def _literal(kind: T.DataType, value) -> Column:
     if isinstance(kind, (T.TimestampType, T.TimestampNTZType, T.DateType)):
         return F.timestamp_micros(F.lit(value)).cast(kind)
@@ -192,20 +204,28 @@ def long_quantiles(
     )
     upto = Window.partitionBy(*key).orderBy("x", "gap").rowsBetween(Window.unboundedPreceding, 0)
     ranked = counted.withColumn("end", F.sum("c").over(upto))
+    start = F.col("end") - F.col("c")
+    spots = [(F.col("n") - 1) * F.lit(float(p)) for p in probs]
+    ranks = F.array_distinct(F.array(*[f(s) for s in spots for f in (F.floor, F.ceil)]))
+    hit = F.exists(ranks, lambda r: (r >= start) & (r < F.col("end")))
     exact = F.when(F.col("gap"), F.raise_error(F.lit("rank fell outside its bracket"))).otherwise(x)
-    picks, shares = [], []
-    for i, p in enumerate(probs):
-        spot = (F.col("n") - 1) * F.lit(float(p))
-        for side_name, at in (("lo", F.floor(spot)), ("hi", F.ceil(spot))):
-            hit = (at >= F.col("end") - F.col("c")) & (at < F.col("end"))
-            picks.append(F.max(F.when(hit, exact)).alias(f"{side_name}{i}"))
-        shares.append(spot - F.floor(spot))
-    picked = ranked.groupBy(*key).agg(F.first("n").alias("n"), *picks)
-    lerp = [
-        F.col(f"lo{i}") + (F.col(f"hi{i}") - F.col(f"lo{i}")) * share
-        for i, share in enumerate(shares)
-    ]
-    return picked.select(*key, "n", F.array(*lerp).alias("q"))
+    # At most two rows per probability are left to gather.
+    found = ranked.filter(hit).groupBy(*key).agg(
+        F.first("n").alias("n"),
+        F.collect_list(F.struct(start.alias("start"), "end", exact.alias("x"))).alias("hits"),
+    )
+
+    def at(rank: Column) -> Column:
+        return F.filter("hits", lambda h: (rank >= h["start"]) & (rank < h["end"]))[0]["x"]
+
+    def lerp(spot: Column) -> Column:
+        low, high = at(F.floor(spot)), at(F.ceil(spot))
+        return low + (high - low) * (spot - F.floor(spot))
+
+    wanted = F.array(*[F.lit(float(p)) for p in probs])
+    return found.select(
+        *key, "n", F.transform(wanted, lambda p: lerp((F.col("n") - 1) * p)).alias("q")
+    )
 
 
 def medians(

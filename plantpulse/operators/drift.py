@@ -2,11 +2,12 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, functions as F
+from pyspark.sql import Column, DataFrame, Window, functions as F
 
 from plantpulse.functions.numbers import psi_band
 from plantpulse.functions.tags import finite
 from plantpulse.operators.ordered import quantiles
+from plantpulse.session import frozen
 
 FLOOR = 1e-4
 
@@ -15,9 +16,10 @@ def reference_cuts(reference: DataFrame, features: list[str], bins: int = 10) ->
     """(variable, n_ref, cuts): distinct linear quantiles, one row per feature."""
     clean = reference.select([finite(F.col(f).cast("double")).alias(f) for f in features])
     probs = [i / bins for i in range(bins + 1)]
-    return quantiles(clean, features, probs).select(
+    cuts = quantiles(clean, features, probs).select(
         "variable", F.col("n").alias("n_ref"), F.array_sort(F.array_distinct("q")).alias("cuts")
     )
+    return frozen(cuts)
 
 
 def bin_index(x: Column, cuts: Column) -> Column:
@@ -49,48 +51,31 @@ def binned_counts(
 def psi_from_counts(
     counts: DataFrame, cuts: DataFrame, bins: int = 10, by: list[str] | None = None
 ) -> DataFrame:
-    """Stability index from binned counts; too few rows or cuts give NULL."""
+    """Stability index from binned counts; too few rows or cuts give NULL.
+
+    Shares are clipped below and renormalised, so an empty bin stays finite.  The
+    windows run over at most one row per bin.
+    """
     key = [*(by or []), "variable"]
-    groups = counts.groupBy(*key).agg(
-        F.sum("ref").alias("n_ref"),
-        F.sum("cur").alias("n_cur"),
-        F.map_from_entries(
-            F.collect_list(F.when(F.col("bin").isNotNull(), F.struct("bin", F.struct("ref", "cur"))))
-        ).alias("cells"),
-    )
-    # collect_list above holds at most one entry per bin.
-    shaped = groups.join(F.broadcast(cuts.select("variable", "cuts")), "variable").withColumn(
-        "bins", F.size("cuts") - 1
-    )
-    usable = (F.col("n_ref") >= bins) & (F.col("n_cur") >= bins) & (F.col("bins") >= 2)
-    cells = shaped.filter(usable).select(
-        *key, "cells", F.posexplode(F.sequence(F.lit(0), F.col("bins") - 1)).alias("_p", "bin")
-    ).select(
-        *key,
-        *[
-            F.coalesce(F.try_element_at("cells", F.col("bin"))[s], F.lit(0)).alias(s)
-            for s in ("ref", "cur")
-        ],
+    groups = (
+        counts.groupBy(*key)
+        .agg(F.sum("ref").alias("n_ref"), F.sum("cur").alias("n_cur"))
+        .join(F.broadcast(cuts.select("variable", (F.size("cuts") - 1).alias("bins"))), "variable")
     )
-    folded = cells.groupBy(*key).agg(F.collect_list(F.struct("ref", "cur")).alias("c"))
-
-    def share(side: str) -> Column:
-        total = F.aggregate("c", F.lit(0).cast("long"), lambda a, v: a + v[side])
-        total = F.greatest(total, F.lit(1))
-        clipped = F.transform("c", lambda v: F.greatest(v[side] / total, F.lit(FLOOR)))
-        return clipped
-
-    def normalised(name: str) -> Column:
-        total = F.aggregate(name, F.lit(0.0), lambda a, v: a + v)
-        return F.transform(name, lambda v: v / total)
-
-    terms = F.zip_with("cur", "ref", lambda c, r: (c - r) * F.log(c / r))
-    index = (
-        folded.select(*key, share("ref").alias("ref"), share("cur").alias("cur"))
-        .select(*key, normalised("ref").alias("ref"), normalised("cur").alias("cur"))
-        .select(*key, F.aggregate(terms, F.lit(0.0), lambda a, v: a + v).alias("psi"))
+    usable = F.least("n_ref", "n_cur") >= bins
+    frame = groups.filter(usable & (F.col("bins") >= 2)).select(
+        *key, F.explode(F.sequence(F.lit(0), F.col("bins") - 1)).alias("bin")
     )
-    return shaped.select(*key).join(index, key, "left").withColumn("banda", psi_band(F.col("psi")))
+    over = Window.partitionBy(*key)
+    cells = frame.join(counts, [*key, "bin"], "left").na.fill(0, ["ref", "cur"])
+    for side in ("ref", "cur"):
+        total = F.greatest(F.sum(side).over(over), F.lit(1))
+        cells = cells.withColumn(side, F.greatest(F.col(side) / total, F.lit(FLOOR)))
+    for side in ("ref", "cur"):
+        cells = cells.withColumn(side, F.col(side) / F.sum(side).over(over))
+    ref, cur = F.col("ref"), F.col("cur")
+    index = cells.groupBy(*key).agg(F.sum((cur - ref) * F.log(cur / ref)).alias("psi"))
+    return groups.select(*key).join(index, key, "left").withColumn("banda", psi_band(F.col("psi")))
 
 
 def population_stability(
@@ -101,5 +86,5 @@ def population_stability(
     both = reference.select(*features, F.lit(True).alias("_side")).unionByName(
         current.select(*features, F.lit(False).alias("_side"))
     )
-    counts = binned_counts(both, features, cuts, F.col("_side"))
+    counts = frozen(binned_counts(both, features, cuts, F.col("_side")))
     return psi_from_counts(counts, cuts, bins)

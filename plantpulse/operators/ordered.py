@@ -7,6 +7,7 @@ rank until few rows are left.
 
 from __future__ import annotations
 
+from functools import reduce
 from itertools import accumulate
 
 from pyspark.sql import Column, DataFrame, Window, functions as F, types as T
@@ -89,15 +90,19 @@ def prefix_sums(df: DataFrame, order: list[str], measures: list[str]) -> DataFra
     return joined.drop("_part", *[f"_start_{m}" for m in measures])
 
 
-def _as_number(df: DataFrame, name: str) -> Column:
+# Bytes of a text key turned into a number at a time: exact as a double.
+_HEAD = 6
+
+
+def _as_number(df: DataFrame, name: str, skip: int = 0) -> Column:
     kind = df.schema[name].dataType
     if isinstance(kind, (T.TimestampType, T.TimestampNTZType, T.DateType)):
         return epoch_micros(F.col(name))
     if isinstance(kind, T.StringType):
-        # The first seven bytes as a number keep the order of the text.
-        head = F.substring(F.hex(F.encode(F.col(name), "UTF-8")), 1, 14)
-        return F.conv(F.rpad(head, 14, "0"), 16, 10).cast("long")
-    return F.col(name)
+        # A few bytes from position ``skip`` on, as a number in the order of the text.
+        head = F.substring(F.hex(F.encode(F.col(name), "UTF-8")), 2 * skip + 1, 2 * _HEAD)
+        return F.conv(F.rpad(head, 2 * _HEAD, "0"), 16, 10).cast("double")
+    return F.col(name).cast("double")
 
 
 def rows_at(df: DataFrame, order: list[str], ranks: list[int], total: int) -> list[dict]:
@@ -105,15 +110,27 @@ def rows_at(df: DataFrame, order: list[str], ranks: list[int], total: int) -> li
 
     Only a few scalars per rank reach the driver.  Each round keeps the rows whose
     first key lies in a bracket around the rank; a single hot key value hands over to
-    the next key.
+    the next key.  The rows left for each rank are picked in one last job.
     """
-    return [_row_at(df.select(*order), order, rank, total) for rank in ranks]
-
-
-def _row_at(df: DataFrame, order: list[str], rank: int, total: int) -> dict:
-    base, keys = df, list(order)
+    base = df.select(*order)
+    left = [_narrowed(base, order, rank, total) for rank in ranks]
+    picks = [
+        rows.orderBy(*order).offset(rank).limit(1)
+        .select(F.lit(i).alias("_i"), *[_portable(base, k).alias(k) for k in order])
+        for i, (rows, rank) in enumerate(left)
+    ]
+    found = {r["_i"]: r for r in reduce(DataFrame.unionAll, picks).collect()}
+    return [
+        {k: _literal(base.schema[k].dataType, found[i][k]) for k in order} for i in range(len(ranks))
+    ]
+
+
+def _narrowed(df: DataFrame, order: list[str], rank: int, total: int) -> tuple[DataFrame, int]:
+    """(few rows, rank among them) holding the row at ``rank``."""
+    base, keys, skip = df, list(order), 0
     while total > SMALL and keys:
-        key = _as_number(base, keys[0])
+        name = keys[0]
+        key = _as_number(base, name, skip)
         share, margin = (rank + 0.5) / total, 2.0 / ACCURACY
         marks = [max(share - margin, 0.0), min(share + margin, 1.0)]
         low, high = df.agg(F.percentile_approx(key, marks, ACCURACY).alias("b")).first()["b"]
@@ -122,26 +139,25 @@ def _row_at(df: DataFrame, order: list[str], rank: int, total: int) -> dict:
         ).first()
         if not below <= rank < below + inside:
             raise RuntimeError("rank fell outside its bracket")
-        if low == high and isinstance(base.schema[keys[0]].dataType, T.StringType):
-            df, rank = df.filter(key == low), rank - below  # same text head: sort what is left
-            break
         if rank < below + at_low and (low == high or inside == total):
-            df, keys, rank, total = df.filter(key == low), keys[1:], rank - below, at_low
+            df, rank, total = df.filter(key == low), rank - below, at_low
+            if df.agg(F.min(name) == F.max(name)).first()[0]:
+                keys, skip = keys[1:], 0  # one value left: the next key decides
+            elif isinstance(base.schema[name].dataType, T.StringType):
+                skip += _HEAD
+            else:
+                break  # integers that share a double: few enough to sort
         elif inside == total:
             df, rank, total = df.filter(key > low), rank - at_low, total - at_low
         else:
             df, rank, total = df.filter(key.between(low, high)), rank - below, inside
-    rank = rank if keys else 0  # every remaining row carries the same key tuple
-    found = (
-        df.orderBy(*order).offset(rank).limit(1)
-        .select(*[_portable(base, k).alias(k) for k in order]).first()
-    )
-    return {k: _literal(base.schema[k].dataType, found[k]) for k in order}
+    return df, rank if keys else 0  # without keys left, every row carries the same tuple
 
 
 def _portable(df: DataFrame, name: str) -> Column:
     """Times travel to the driver as microseconds, free of any time zone."""
-    return F.col(name) if isinstance(df.schema[name].dataType, T.StringType) else _as_number(df, name)
+    timed = isinstance(df.schema[name].dataType, (T.TimestampType, T.TimestampNTZType, T.DateType))
+    return epoch_micros(F.col(name)) if timed else F.col(name)
 
 
 def _literal(kind: T.DataType, value) -> Column:

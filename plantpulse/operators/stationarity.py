@@ -8,7 +8,10 @@ import numpy as np
 import pandas as pd
 from pyspark.sql import DataFrame, functions as F
 
-from plantpulse.operators.halo import over_position_blocks
+from plantpulse.operators.ordered import positions
+
+# Rows per block of the series.
+BLOCK = 100_000
 
 # MacKinnon (1994) response surface, constant, one series.
 TAU_MIN, TAU_MAX, TAU_STAR = -18.83, 2.74, -1.61
@@ -31,20 +34,32 @@ def max_lag(n: int) -> int:
     return min(n // 2 - 2, math.ceil(12.0 * (n / 100.0) ** 0.25))
 
 
-def _gram(rows: DataFrame, width: int) -> tuple[int, np.ndarray]:
-    """Sum of z z' over rows of an array column: one small matrix per partition."""
+def _gram(ranked: DataFrame, lags: int, centre: float) -> tuple[int, np.ndarray]:
+    """Sum of z z', z = [1, level, lagged differences, difference], over the series.
 
-    def partial(batches):
+    Blocks hold BLOCK consecutive rows plus the rows before them that a lag can reach,
+    so a group never outgrows a task; each block yields one small matrix.
+    """
+    reach, width = lags + 1, lags + 3
+    first = F.floor(F.col("_pos") / BLOCK)
+    last = F.floor((F.col("_pos") + reach) / BLOCK)
+    spread = ranked.select("_pos", "x", F.explode(F.sequence(first, last)).alias("_block"))
+
+    def partial(block):
+        block = block.sort_values("_pos")
+        x = block["x"].to_numpy(dtype=float) - centre
         total = np.zeros((width, width))
-        for batch in batches:
-            z = np.array(batch["z"].tolist(), dtype=float).reshape(-1, width)
-            total += z.T @ z
+        if len(x) > reach:
+            runs = np.lib.stride_tricks.sliding_window_view(x, reach + 1)
+            steps = np.diff(runs, axis=1)[:, ::-1]  # newest difference first
+            z = np.column_stack([np.ones(len(runs)), runs[:, -2], steps[:, 1:], steps[:, :1]])
+            total = z.T @ z
         i, j = np.meshgrid(range(width), range(width), indexing="ij")
-        yield pd.DataFrame({"i": i.ravel(), "j": j.ravel(), "s": total.ravel()})
+        return pd.DataFrame({"i": i.ravel(), "j": j.ravel(), "s": total.ravel()})
 
-    cells = rows.mapInPandas(partial, "i int, j int, s double").groupBy("i", "j").agg(F.sum("s").alias("s"))
+    cells = spread.groupBy("_block").applyInPandas(partial, "i int, j int, s double")
     gram = np.zeros((width, width))
-    for r in cells.collect():  # width squared scalars
+    for r in cells.groupBy("i", "j").agg(F.sum("s").alias("s")).collect():  # width squared scalars
         gram[r["i"], r["j"]] = r["s"]
     return int(round(gram[0, 0])), gram
 
@@ -67,20 +82,10 @@ def adf(df: DataFrame, order: list[str], column: str, lags: int | None = None) -
     series = df.filter(F.col(column).isNotNull()).select(time, seq, F.col(column).cast("double").alias("x"))
     n = series.count()
     top = max_lag(n) if lags is None else lags
-    names = [f"x{k}" for k in range(1, top + 2)]
-    wanted = {f"x{k}": (lambda w, k=k: F.lag("x", k).over(w)) for k in range(1, top + 2)}
-    seen = over_position_blocks(series, time, seq, None, wanted, back=top + 1, ahead=0)
-    level = ["x", *names]
-    # Centre the level: a shift changes only the constant, and keeps the sums accurate.
+    ranked = positions(series, order, "_pos")
+    # A shift of the level changes only the constant, and keeps the sums accurate.
     centre = series.agg(F.avg("x")).first()[0] or 0.0
-
-    def design(p: int) -> DataFrame:
-        """[1, level, p lagged differences, difference] over rows with p + 1 predecessors."""
-        diffs = [F.col(level[k]) - F.col(level[k + 1]) for k in range(p + 1)]
-        z = [F.lit(1.0), F.col("x1") - F.lit(centre), *diffs[1:], diffs[0]]
-        return seen.filter(F.col(level[p + 1]).isNotNull()).select(F.array(*z).alias("z"))
-
-    rows, gram = _gram(design(top), top + 3)
+    rows, gram = _gram(ranked, top, centre)
     y = top + 2
 
     def aic(p: int) -> float:
@@ -88,7 +93,8 @@ def adf(df: DataFrame, order: list[str], column: str, lags: int | None = None) -
         return rows * (math.log(2 * math.pi) + math.log(ssr / rows) + 1) + 2 * (2 + p)
 
     chosen = min(range(top + 1), key=aic) if lags is None else lags
-    rows, gram = _gram(design(chosen), chosen + 3)
+    if chosen < top:  # refit on the longer sample that fewer lags leave
+        rows, gram = _gram(ranked, chosen, centre)
     use = list(range(2 + chosen))
     beta, ssr, inverse = _solve(gram, use, chosen + 2)
     statistic = float(beta[1] / math.sqrt(ssr / (rows - len(use)) * inverse[1, 1]))

@@ -16,6 +16,7 @@ from plantpulse.operators.leaderboard import winner
 from plantpulse.operators.metrics import (
     balanced_weights, class_counts, classification_scores, confusion_matrix,
 )
+from plantpulse.session import frozen
 
 
 def assign_degradation(
@@ -66,7 +67,7 @@ def run_classification(
         {f"c_{n}": label_name(F.col(f"p_{n}")) for n in fitted}
     ).withColumn(f"c_{DUMMY_MODEL}", F.lit(majority_class(train, "clase")))
     names = [DUMMY_MODEL, *fitted]
-    table = classification_scores(scored, "clase", {n: f"c_{n}" for n in names}, [SPLIT]).persist()
+    table = frozen(classification_scores(scored, "clase", {n: f"c_{n}" for n in names}, [SPLIT]))
     best = winner(table, "val", "f1_macro", lowest=False).first()[0]
     learned = winner(table, "val", "f1_macro", lowest=False, without=[DUMMY_MODEL]).first()[0]
     shown = learned if best == DUMMY_MODEL else best

@@ -14,6 +14,7 @@ from plantpulse.operators.metrics import regression_scores
 from plantpulse.operators.regime import last_rows
 from plantpulse.operators.splits import chronological_split
 from plantpulse.operators.stationarity import adf
+from plantpulse.session import frozen
 from plantpulse.operators.windows import (
     forecast_columns, forecast_features, future_column, lag_column, now_column, ready_rows,
 )
@@ -63,7 +64,7 @@ def run_forecast(operating: DataFrame, cfg: StudyConfig, parallelism: int = 4) -
     scored = with_predictions(held, fitted)
     columns = {**naive_predictions(ready, cfg), "ridge_lags": "p_ridge_lags"}
     columns.update({n: f"p_{n}" for n in fitted})
-    table = regression_scores(scored, target, columns, [SPLIT]).persist()
+    table = frozen(regression_scores(scored, target, columns, [SPLIT]))
     best = winner(table, "val", "mae").first()[0]
     test = scored.filter(F.col(SPLIT) == "test")
     preview = last_rows(

@@ -17,6 +17,7 @@ from plantpulse.operators.leaderboard import promotion_gate, winner
 from plantpulse.operators.metrics import regression_scores
 from plantpulse.operators.ordered import column_quantiles, positions
 from plantpulse.operators.splits import curve_sizes, fold_bounds
+from plantpulse.session import frozen
 
 GRID = {"maxDepth": [3, 6], "stepSize": [0.05, 0.1]}
 GRID_ROUNDS = 120
@@ -115,7 +116,7 @@ def run_regression(
     })
     scored = with_predictions(held, fitted)
     names = [MEDIAN_MODEL, cfg.baseline_name, "ridge", *fitted]
-    table = regression_scores(scored, target, {n: f"p_{n}" for n in names}, [SPLIT]).persist()
+    table = frozen(regression_scores(scored, target, {n: f"p_{n}" for n in names}, [SPLIT]))
     flexible = ["ridge", *fitted]
     gate = promotion_gate(table, flexible, cfg.baseline_name).first().asDict()
     chosen = gate["modelo_flexible"]

@@ -18,7 +18,7 @@ from plantpulse.operators.splits import chronological_split
 from plantpulse.plans.classification import assign_degradation, run_classification
 from plantpulse.plans.forecast import run_forecast
 from plantpulse.plans.regression import learning_curves, residual_limits, run_regression
-from plantpulse.session import written
+from plantpulse.session import frozen, written
 from plantpulse.sources.bundle import ScoringBundle, save_bundle
 from plantpulse.sources.sinks import write_csv, write_summary
 
@@ -174,7 +174,7 @@ def study_metrics(
     table = parts[0]
     for part in parts[1:]:
         table = table.unionByName(part)
-    return table
+    return frozen(table)
 
 
 RELATIVE = {"mae_linea_relativo": "mae_linea", "mae_persistencia_relativo": "mae_persistencia"}

@@ -11,6 +11,7 @@ from plantpulse.operators.ordered import column_quantiles
 from plantpulse.operators.regime import level_stats
 from plantpulse.operators.splits import chronological_split
 from plantpulse.plans.study import compare, study_metrics, with_relative
+from plantpulse.session import frozen
 from plantpulse.registry.views import (
     RD_SQL, TRAIN, VAL, ols_sql, readings, rounded, scores_sql, split_sql,
 )
@@ -25,9 +26,13 @@ def _unit_metrics(spark, sf, unit, to_mbar):
     median = column_quantiles(train, "value", [0.5])[0]
     line = fit_linear(train, "value", ["cold", "load"])
     held = split.filter("particion <> 'train'").withColumns({"pm": F.lit(median), "pl": line.predicted()})
-    table = regression_scores(held, "value", {MEDIAN_MODEL: "pm", _LINE: "pl"}).persist()
-    naive = regression_scores(held, "value", {"persistencia": "cold"})
-    return with_relative(study_metrics(level_stats(df, "value"), table, naive, _LINE, to_mbar))
+    # The driver stands in for the value now: both tables come from one pass.
+    scores = frozen(regression_scores(
+        held, "value", {MEDIAN_MODEL: "pm", _LINE: "pl", "persistencia": "cold"}
+    ))
+    table = scores.filter("modelo <> 'persistencia'")
+    levels = frozen(level_stats(df, "value"))
+    return with_relative(study_metrics(levels, table, scores, _LINE, to_mbar))
 
 
 def comparison(spark, sf):

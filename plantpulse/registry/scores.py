@@ -16,6 +16,7 @@ from plantpulse.operators.ordered import column_quantiles
 from plantpulse.operators.splits import chronological_split
 from plantpulse.plans.classification import assign_degradation, majority_class
 from plantpulse.plans.regression import residual_limits
+from plantpulse.session import frozen
 from plantpulse.registry.views import (
     LABELLED_SQL, PLANT, PLANT_SQL, RD_SQL, READINGS, TRAIN, VAL, labelled_readings, ols_sql, plant,
     readings, rounded, rounded_scores, scores_sql, split_readings, split_sql, table,
@@ -74,7 +75,7 @@ _PREDICTIONS = {MEDIAN_MODEL: "p_med", _BASE: "p_ols", "ridge": "p_ridge"}
 
 def _scores(spark, sf, names=None):
     chosen = {n: c for n, c in _PREDICTIONS.items() if names is None or n in names}
-    return regression_scores(_expected(spark, sf), "value", chosen)
+    return frozen(regression_scores(_expected(spark, sf), "value", chosen))
 
 
 def median_scores(spark, sf):

@@ -50,6 +50,17 @@ def written(df: DataFrame, label: str) -> DataFrame:
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
+def frozen(df: DataFrame, rows: int = 10_000) -> DataFrame:
+    """A result table of a few rows, computed once and kept as literal rows.
+
+    For tables with a row per model, variable or bin; a larger one is refused.
+    """
+    held = df.limit(rows + 1).collect()
+    if len(held) > rows:
+        raise ValueError(f"more than {rows} rows: not a small result table")
+    return df.sparkSession.createDataFrame(held, df.schema)
+
+
 def broadcast_if_small(df: DataFrame, rows: int = BROADCAST_ROWS) -> DataFrame:
     """Broadcast hint behind a row count; larger sides keep the shuffle join."""
     df = df.persist(StorageLevel.MEMORY_AND_DISK)

@@ -174,6 +174,14 @@ def not_before(order: list[str], key: dict) -> Column:
     return (F.col(order[0]) >= key[order[0]]) & result
 
 
+def before(order: list[str], key: dict) -> Column:
+    """Row key < ``key`` in lexicographic order, as comparisons a scan can use."""
+    result = F.lit(False)
+    for name in reversed(order):
+        result = (F.col(name) < key[name]) | ((F.col(name) == key[name]) & result)
+    return (F.col(order[0]) <= key[order[0]]) & result
+
+
 def quantiles(
     df: DataFrame, values: list[str], probs: list[float], by: list[str] | None = None,
     few_groups: bool = False,

@@ -2,20 +2,16 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, functions as F
+from pyspark.sql import Column, DataFrame, functions as F
 
 from plantpulse.config import SPLIT, SPLITS
-from plantpulse.operators.ordered import not_before, positions, rows_at
+from plantpulse.operators.ordered import before, not_before, positions, rows_at
 
 
-def chronological_split(
-    df: DataFrame, order: list[str], train: float, val: float, name: str = SPLIT
-) -> DataFrame:
-    """Label rows train / val / test by position in time.
-
-    The two cut keys are found first and become literals, so the table itself is
-    never sorted or shuffled and a filter on one part reaches the Parquet scan.
-    """
+def split_conditions(
+    df: DataFrame, order: list[str], train: float, val: float
+) -> dict[str, Column]:
+    """Condition of each part: comparisons with the two cut keys, which a scan can use."""
     if train <= 0 or val <= 0 or train + val >= 1:
         raise ValueError("train and val fractions must be positive and leave a test part")
     total = df.count()
@@ -23,11 +19,26 @@ def chronological_split(
     if min(first_val, first_test - first_val, total - first_test) <= 0:
         raise ValueError("a part of the split is empty")
     val_key, test_key = rows_at(df, order, [first_val, first_test], total)
+    conditions = (
+        before(order, val_key),
+        not_before(order, val_key) & before(order, test_key),
+        not_before(order, test_key),
+    )
+    return dict(zip(SPLITS, conditions))
+
+
+def chronological_split(
+    df: DataFrame, order: list[str], train: float, val: float, name: str = SPLIT
+) -> DataFrame:
+    """Label rows train / val / test by position in time.
+
+    The cut keys are found first and become literals, so the table itself is never
+    sorted or shuffled.
+    """
+    part = split_conditions(df, order, train, val)
     return df.withColumn(
         name,
-        F.when(not_before(order, test_key), SPLITS[2])
-        .when(not_before(order, val_key), SPLITS[1])
-        .otherwise(SPLITS[0]),
+        F.when(part[SPLITS[0]], SPLITS[0]).when(part[SPLITS[1]], SPLITS[1]).otherwise(SPLITS[2]),
     )
 
 
@@ -37,20 +48,23 @@ def fold_bounds(total: int, folds: int = 3) -> list[tuple[int, int]]:
     return [(total - (folds - f) * block, total - (folds - f - 1) * block) for f in range(folds)]
 
 
-def expanding_folds(df: DataFrame, order: list[str], folds: int = 3) -> list[tuple]:
-    """(train, test) pairs: each test block follows everything it is trained on.
+def row_prefixes(df: DataFrame, order: list[str], sizes: list[int], total: int) -> dict[int, Column]:
+    """Condition "among the first k rows" for each k, as comparisons with the k-th key.
 
-    Positions are computed once; each fold is a filter on them.
+    Only the keys at those positions are looked up; the table is not moved.
     """
-    ranked = positions(df, order, "_pos")
-    total = ranked.count()
-    return [
-        (
-            ranked.filter(F.col("_pos") < start).drop("_pos"),
-            ranked.filter((F.col("_pos") >= start) & (F.col("_pos") < end)).drop("_pos"),
-        )
-        for start, end in fold_bounds(total, folds)
-    ]
+    inner = sorted({k for k in sizes if 0 < k < total})
+    keys = rows_at(df, order, inner, total) if inner else []
+    ahead = {k: before(order, key) for k, key in zip(inner, keys)}
+    return {k: ahead.get(k, F.lit(k >= total)) for k in sizes}
+
+
+def expanding_folds(df: DataFrame, order: list[str], folds: int = 3) -> list[tuple]:
+    """(train, test) pairs: each test block follows everything it is trained on."""
+    total = df.count()
+    bounds = fold_bounds(total, folds)
+    first = row_prefixes(df, order, [b for pair in bounds for b in pair], total)
+    return [(df.filter(first[a]), df.filter(first[b] & ~first[a])) for a, b in bounds]
 
 
 def curve_sizes(total: int, folds: int = 3, steps: int = 5) -> list[int]:
@@ -61,14 +75,17 @@ def curve_sizes(total: int, folds: int = 3, steps: int = 5) -> list[int]:
 
 
 def systematic_sample(df: DataFrame, order: list[str], size: int = 6000) -> DataFrame:
-    """At most ``size`` rows evenly spaced by position, first and last included."""
-    ranked = positions(df, order, "_pos")
-    total = ranked.count()
-    size = min(size, total)
-    if size == total:
-        return ranked.drop("_pos")
+    """At most ``size`` rows evenly spaced by position, first and last included.
+
+    Only the order keys (a total order) are laid out; the few chosen keys then pick
+    the rows.
+    """
+    total = df.count()
+    if size >= total:
+        return df
     if size == 1:
-        return ranked.filter("_pos = 0").drop("_pos")
+        return df.orderBy(*order).limit(1)
+    ranked = positions(df.select(*order), order, "_pos")
     # Position p is chosen when some i has floor(i * (total-1) / (size-1)) = p.
     step = F.lit((total - 1) / (size - 1))
     nearest = F.ceil(F.col("_pos") / step)
@@ -79,4 +96,5 @@ def systematic_sample(df: DataFrame, order: list[str], size: int = 6000) -> Data
             (i >= 0) & (i < size) & (F.floor(i * step) == F.col("_pos"))
         )
     last = F.col("_pos") == total - 1
-    return ranked.filter(chosen | last).drop("_pos")
+    picked = ranked.filter(chosen | last).drop("_pos")  # ``size`` rows
+    return df.join(F.broadcast(picked), order, "left_semi")

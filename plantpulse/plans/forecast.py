@@ -32,12 +32,11 @@ class ForecastResult:
 
 def ready_table(operating: DataFrame, cfg: StudyConfig) -> DataFrame:
     lags = list(cfg.lags)
-    columns = [*cfg.keys, *([cfg.unit] if cfg.unit else []), cfg.target, *cfg.drivers]
+    keys = list(dict.fromkeys([*cfg.keys, *([cfg.unit] if cfg.unit else [])]))
     seen = forecast_columns(
-        operating.select(*columns), cfg.time, cfg.seq, cfg.target, lags, cfg.horizon,
+        operating.select(*keys, cfg.target, *cfg.drivers), cfg.time, cfg.seq, cfg.target, lags, cfg.horizon,
         cfg.step_minutes, cfg.unit,
     )
-    keys = [*cfg.keys, *([cfg.unit] if cfg.unit else [])]
     return ready_rows(seen, keys, cfg.target, lags, list(cfg.drivers), cfg.daily_lag)
 
 

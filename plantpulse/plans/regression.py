@@ -15,8 +15,8 @@ from plantpulse.models.catalog import (
 from plantpulse.models.linear import LinearFit, fit_linear
 from plantpulse.operators.leaderboard import promotion_gate, winner
 from plantpulse.operators.metrics import regression_scores
-from plantpulse.operators.ordered import column_quantiles, positions
-from plantpulse.operators.splits import curve_sizes, fold_bounds
+from plantpulse.operators.ordered import column_quantiles
+from plantpulse.operators.splits import curve_sizes, expanding_folds, fold_bounds, row_prefixes
 from plantpulse.session import frozen
 
 GRID = {"maxDepth": [3, 6], "stepSize": [0.05, 0.1]}
@@ -55,12 +55,7 @@ def grid_search(
 ) -> tuple[GBTRegressor, list[dict]]:
     """Mean fold MAE of every setting over expanding folds; every fit is independent."""
     target = cfg.target
-    ranked = positions(train, cfg.keys, "_pos").persist()
-    total = ranked.count()
-    blocks = [
-        (ranked.filter(F.col("_pos") < a), ranked.filter((F.col("_pos") >= a) & (F.col("_pos") < b)))
-        for a, b in fold_bounds(total, folds)
-    ]
+    blocks = expanding_folds(train.persist(), cfg.keys, folds)
     settings = [dict(zip(grid, values)) for values in product(*grid.values())]
 
     def estimator(setting):
@@ -84,7 +79,6 @@ def grid_search(
         {**s, "mae_cv": sum(errors[(i, f)] for f in range(folds)) / folds}
         for i, s in enumerate(settings)
     ]
-    ranked.unpersist()
     best = min(rows, key=lambda r: r["mae_cv"])
     return estimator({k: best[k] for k in grid}), rows
 
@@ -140,10 +134,11 @@ def learning_curves(train: DataFrame, cfg: StudyConfig, folds: int = 3, parallel
     """(modelo, muestras, mae_train, mae_val): mean over folds, prefixes of the first fold."""
     target, drivers = cfg.target, list(cfg.drivers)
     columns = [*cfg.keys, target, *drivers]
-    ranked = assemble(positions(train.select(*columns), cfg.keys, "_pos"), drivers).persist()
-    total = ranked.count()
+    rows = assemble(train.select(*columns), drivers).persist()
+    total = rows.count()
     bounds = fold_bounds(total, folds)
     sizes = curve_sizes(total, folds)
+    first = row_prefixes(rows, cfg.keys, [*sizes, *[b for pair in bounds for b in pair]], total)
     common = dict(featuresCol=FEATURES, labelCol=target, seed=cfg.seed, maxBins=BINS)
     trees = {
         "arbol_poco_profundo": DecisionTreeRegressor(maxDepth=3, **common),
@@ -157,14 +152,13 @@ def learning_curves(train: DataFrame, cfg: StudyConfig, folds: int = 3, parallel
         def fit(self, _):
             # All folds share the prefix, so each model is fitted once per size and
             # scored on the three test blocks together.
-            head = ranked.filter(F.col("_pos") < self.size)
+            head = rows.filter(first[self.size])
             ridge = fit_linear(head, target, drivers, alpha=1.0)
             models = {n: t.fit(head) for n, t in trees.items()}
-            scored = with_predictions(ranked.withColumn("p_ridge", ridge.predicted()), models)
-            pos = F.col("_pos")
-            block = F.when(pos < self.size, -1)
+            scored = with_predictions(rows.withColumn("p_ridge", ridge.predicted()), models)
+            block = F.when(first[self.size], -1)
             for f, (a, b) in enumerate(bounds):
-                block = block.when((pos >= a) & (pos < b), f)
+                block = block.when(first[b] & ~first[a], f)
             maes = (
                 scored.withColumn("b", block).filter(F.col("b").isNotNull()).groupBy("b")
                 .agg(*[F.avg(F.abs(F.col(target) - F.col(f"p_{n}"))).alias(n) for n in ["ridge", *trees]])
@@ -177,7 +171,7 @@ def learning_curves(train: DataFrame, cfg: StudyConfig, folds: int = 3, parallel
             ]
 
     results = fit_all({s: Cell(s) for s in sizes}, train, parallelism)
-    ranked.unpersist()
+    rows.unpersist()
     return train.sparkSession.createDataFrame(
         [r for s in sizes for r in results[s]],
         "modelo string, muestras long, mae_train double, mae_val double",

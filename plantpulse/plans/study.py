@@ -42,14 +42,14 @@ def run_study(
 ) -> dict:
     """Run every step on a cleaned table and return the summary document.
 
-    The regime-filtered, labelled table is written once; every later step reads it
-    with its own columns and filters.
+    The regime-filtered table is written once, partitioned by split; every later step
+    reads it with its own columns, and a filter on the split skips the other parts.
     """
     spark = frame.sparkSession
     target = cfg.target
     regime = operating_rows(frame, cfg)
     table = written(
-        chronological_split(regime, cfg.keys, cfg.train_fraction, cfg.val_fraction), "study"
+        chronological_split(regime, cfg.keys, cfg.train_fraction, cfg.val_fraction), "study", [SPLIT]
     )
     train = table.filter(F.col(SPLIT) == "train")
     test = table.filter(F.col(SPLIT) == "test")

@@ -8,7 +8,7 @@ from plantpulse.operators.metrics import regression_scores
 from plantpulse.operators.ordered import positions
 from plantpulse.operators.regime import last_rows, split_profile, step_minutes
 from plantpulse.operators.splits import (
-    chronological_split, curve_sizes, expanding_folds, fold_bounds, systematic_sample,
+    chronological_split, curve_sizes, expanding_folds, row_prefixes, systematic_sample,
 )
 from plantpulse.operators.windows import forecast_columns
 from plantpulse.plans.forecast import naive_predictions, ready_table
@@ -121,10 +121,11 @@ def folds(spark, sf):
 
 def prefix_sizes(spark, sf):
     orders = table(spark, sf, "orders").select(*_ORDER)
-    ranked = positions(orders, _ORDER)
-    sizes = curve_sizes(ranked.count())
-    tests = [F.count_if(F.col("pos") < s).alias(str(i)) for i, s in enumerate(sizes)]
-    return ranked.agg(*tests).unpivot([], [str(i) for i in range(len(sizes))], "paso", "muestras")
+    total = orders.count()
+    sizes = curve_sizes(total)
+    first = row_prefixes(orders, _ORDER, sizes, total)
+    tests = [F.count_if(first[s]).alias(str(i)) for i, s in enumerate(sizes)]
+    return orders.agg(*tests).unpivot([], [str(i) for i in range(len(sizes))], "paso", "muestras")
 
 
 def preview_tail(spark, sf):

@@ -2,6 +2,9 @@
 
 from __future__ import annotations
 
+import math
+
+from pyspark.ml.feature import Bucketizer
 from pyspark.sql import Column, DataFrame, Window, functions as F
 
 from plantpulse.functions.numbers import psi_band
@@ -12,9 +15,14 @@ from plantpulse.session import frozen
 FLOOR = 1e-4
 
 
+def _reading(name: str) -> Column:
+    """Finite double; adding zero turns -0.0 into 0.0, which the bin search tells apart."""
+    return (finite(F.col(name).cast("double")) + F.lit(0.0)).alias(name)
+
+
 def reference_cuts(reference: DataFrame, features: list[str], bins: int = 10) -> DataFrame:
     """(variable, n_ref, cuts): distinct linear quantiles, one row per feature."""
-    clean = reference.select([finite(F.col(f).cast("double")).alias(f) for f in features])
+    clean = reference.select([_reading(f) for f in features])
     probs = [i / bins for i in range(bins + 1)]
     cuts = quantiles(clean, features, probs).select(
         "variable", F.col("n").alias("n_ref"), F.array_sort(F.array_distinct("q")).alias("cuts")
@@ -22,29 +30,46 @@ def reference_cuts(reference: DataFrame, features: list[str], bins: int = 10) ->
     return frozen(cuts)
 
 
-def bin_index(x: Column, cuts: Column) -> Column:
-    """0-based bin, left closed, last one closed on both sides; outside is NULL."""
-    at_or_below = F.size(F.filter(cuts, lambda c: c <= x))
-    return F.when(
-        (x >= F.element_at(cuts, 1)) & (x <= F.element_at(cuts, -1)),
-        F.least(at_or_below, F.size(cuts) - 1) - 1,
-    )
+def with_bins(df: DataFrame, features: list[str], edges: dict[str, list[float]]) -> DataFrame:
+    """Replace each feature by its 0-based bin: left closed, last one closed on both sides.
+
+    Outside the cuts is -1 and a missing value stays NULL.  The bin is found by the
+    JVM's binary search over the literal cuts.
+    """
+    known = [f for f in features if len(edges.get(f, [])) >= 2]
+    if known:
+        df = Bucketizer(
+            inputCols=known,
+            outputCols=[f"_b_{f}" for f in known],
+            splitsArray=[[-math.inf, *[c + 0.0 for c in edges[f]], math.inf] for f in known],
+            handleInvalid="keep",
+        ).transform(df)
+    bins = {f: F.lit(-1) for f in features}
+    for f in known:
+        x, last = F.col(f), len(edges[f]) - 2
+        inside = x.between(F.lit(edges[f][0]), F.lit(edges[f][-1]))
+        bins[f] = F.when(inside, F.least(F.col(f"_b_{f}").cast("int") - 1, F.lit(last))).otherwise(-1)
+    others = [c for c in df.columns if c not in features and not c.startswith("_b_")]
+    return df.select(*others, *[F.when(F.col(f).isNotNull(), b).alias(f) for f, b in bins.items()])
 
 
 def binned_counts(
     df: DataFrame, features: list[str], cuts: DataFrame, side: Column, by: list[str] | None = None
 ) -> DataFrame:
-    """(by..., variable, bin, ref, cur): rows per bin; ``side`` is true for reference rows."""
+    """(by..., variable, bin, ref, cur): rows per bin; ``side`` is true for reference rows.
+
+    ``cuts`` has one short row per feature and becomes literals.
+    """
     by = list(by or [])
+    edges = {r["variable"]: list(r["cuts"]) for r in cuts.collect()}
     values = df.select(
-        *by, side.alias("_ref"), *[finite(F.col(f).cast("double")).alias(f) for f in features]
-    )
-    long = values.unpivot([*by, "_ref"], features, "variable", "x").filter(F.col("x").isNotNull())
-    placed = long.join(F.broadcast(cuts.select("variable", "cuts")), "variable").withColumn(
-        "bin", bin_index(F.col("x"), F.col("cuts"))
+        *by, side.alias("_ref"), *[_reading(f) for f in features]
     )
-    return placed.groupBy(*by, "variable", "bin").agg(
-        F.count_if(F.col("_ref")).alias("ref"), F.count_if(~F.col("_ref")).alias("cur")
+    long = with_bins(values, features, edges).unpivot([*by, "_ref"], features, "variable", "bin")
+    return (
+        long.filter(F.col("bin").isNotNull())
+        .groupBy(*by, "variable", F.when(F.col("bin") >= 0, F.col("bin")).alias("bin"))
+        .agg(F.count_if(F.col("_ref")).alias("ref"), F.count_if(~F.col("_ref")).alias("cur"))
     )
 
 

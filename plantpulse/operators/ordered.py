@@ -208,18 +208,20 @@ def long_quantiles(
     """
     long = long.filter(F.col("x").isNotNull())
     margin = 2.0 / ACCURACY
-    marks = [m for p in probs for m in (max(p - margin, 0.0), min(p + margin, 1.0))]
+    levels = sorted(set(probs))
+    marks = [m for p in levels for m in (max(p - margin, 0.0), min(p + margin, 1.0))]
     sketch = long.groupBy(*key).agg(
         F.count("*").alias("n"), F.percentile_approx("x", marks, ACCURACY).alias("b")
-    )
+    ).select(*key, "n", *[F.col("b")[i].alias(f"m{i}") for i in range(len(marks))])
     side = F.broadcast(sketch) if few_groups else broadcast_if_small(sketch)
     x = F.col("x")
-    edges = [(F.col("b")[2 * i], F.col("b")[2 * i + 1]) for i in range(len(probs))]
     # In short groups a bracket can be narrower than one row: count every value there.
     inside = F.col("n") <= 2 * ACCURACY
-    for low, high in edges:
-        inside = inside | x.between(low, high)
-    floor = F.greatest(*[F.when(high < x, high) for _, high in edges], F.lit(float("-inf")))
+    floor = F.when(F.lit(False), x)
+    for i in reversed(range(len(levels))):
+        inside = inside | x.between(F.col(f"m{2 * i}"), F.col(f"m{2 * i + 1}"))
+        floor = floor.when(F.col(f"m{2 * i + 1}") < x, F.col(f"m{2 * i + 1}"))
+    floor = floor.otherwise(F.lit(float("-inf")))
     counted = (
         long.join(side, key)
         .select(*key, "n", F.when(inside, x).otherwise(floor).alias("x"), (~inside).alias("gap"))

@@ -9,6 +9,7 @@ from plantpulse.functions.numbers import degradation_class, round4
 from plantpulse.functions.tags import finite, lenient_number
 from plantpulse.sources.bundle import ScoringBundle
 from plantpulse.sources.historian import read_csv, require_columns
+from plantpulse.sources.sinks import write_csv
 
 OBSERVED = OBSERVED_FIELD[0]
 
@@ -85,6 +86,13 @@ def read_batch(spark: SparkSession, path: str) -> DataFrame:
     )
 
 
+def score_file(spark: SparkSession, bundle: ScoringBundle, path: str, out: str) -> DataFrame:
+    """Score a CSV of records and write the scored rows as CSV."""
+    scored = score_records(read_batch(spark, path), bundle)
+    write_csv(scored, out)
+    return scored
+
+
 def service_counters(scored: DataFrame, by: list | None = None) -> DataFrame:
     """Predictions and anomalies; a record without a reading is not an anomaly."""
     return scored.groupBy(*(by or [])).agg(

@@ -3,30 +3,43 @@
 from __future__ import annotations
 
 import pandas as pd
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, functions as F
 from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
 
+from plantpulse.functions.tags import epoch_micros
 from plantpulse.operators.windows import TOLERANCE, lag_column
 
 
 def streaming_lags(
     stream: DataFrame, unit: str, time: str, seq: str, target: str, lags: list[int],
-    step_minutes: float,
+    step_minutes: float, delay: str = "1 day", bucket_s: int = 7 * 86_400,
 ) -> DataFrame:
     """(unit, time, seq, target, lag values): NULL where the clock check fails.
 
-    Rows of a unit are taken in time order within each micro-batch; state holds the
-    last max(lags) readings, so it does not grow with the stream.  A row older than
-    the newest kept reading has no valid neighbourhood and gets NULL lags.
+    Groups are (unit, time bucket) with the rows before a bucket copied into it, so a
+    busy unit spreads over tasks when history is replayed.  State holds the last
+    max(lags) readings and is dropped once the watermark has passed the bucket.  Rows
+    are taken in time order within a micro-batch; one older than the newest kept
+    reading has no valid neighbourhood and gets NULL lags.
     """
     depth = max(lags)
+    back_s = depth * step_minutes * 60 * (1 + TOLERANCE)
     names = [lag_column(target, k) for k in lags]
     columns = [unit, time, seq, target]
+    kinds = {f.name: f.dataType.simpleString() for f in stream.schema.fields}
+    second = epoch_micros(F.col(time)) / 1_000_000
+    first, last = F.floor(second / bucket_s), F.floor((second + back_s) / bucket_s)
+    spread = (
+        stream.withWatermark(time, delay)
+        .select(*columns, first.alias("_home"), F.explode(F.sequence(first, last)).alias("_bucket"))
+    )
 
     def advance(key, batches, state: GroupState):
+        if state.hasTimedOut:
+            state.remove()
+            return
         kept = list(state.get[0]) if state.exists else []
-        times = [int(v) for v in kept[:len(kept) // 2]]
-        values = kept[len(kept) // 2:]
+        times, values = kept[: len(kept) // 2], kept[len(kept) // 2:]
         rows = pd.concat(list(batches), ignore_index=True).sort_values([time, seq], kind="stable")
         stamps = rows[time].astype("datetime64[us]").astype("int64").tolist()
         found = {n: [None] * len(rows) for n in names}
@@ -39,15 +52,18 @@ def streaming_lags(
                     due = k * step_minutes
                     if due * (1 - TOLERANCE) <= minutes <= due * (1 + TOLERANCE):
                         found[n][i] = values[-k]
-            times, values = (times + [t])[-depth:], (values + [v])[-depth:]
-        state.update(([float(t) for t in times] + values,))
+            times, values = (times + [float(t)])[-depth:], (values + [v])[-depth:]
+        state.update((times + values,))
+        ends = int((key[1] + 1) * bucket_s * 1000)
+        state.setTimeoutTimestamp(max(ends, state.getCurrentWatermarkMs() + 1))
         out = rows[columns].reset_index(drop=True)
         for n in names:
             out[n] = pd.Series(found[n], dtype="float64")
-        yield out
+        out = out[(rows["_home"] == key[1]).to_numpy()]
+        if len(out):
+            yield out
 
-    kinds = {f.name: f.dataType.simpleString() for f in stream.schema.fields}
     schema = ", ".join([f"{c} {kinds[c]}" for c in columns] + [f"{n} double" for n in names])
-    return stream.select(*columns).groupBy(unit).applyInPandasWithState(
-        advance, schema, "kept array<double>", "append", GroupStateTimeout.NoTimeout
+    return spread.groupBy(unit, "_bucket").applyInPandasWithState(
+        advance, schema, "kept array<double>", "append", GroupStateTimeout.EventTimeTimeout
     )

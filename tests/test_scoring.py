@@ -8,10 +8,10 @@ from plantpulse.config import RECORD_FIELDS, SURFACE
 from plantpulse.models.catalog import FEATURES, assemble
 from plantpulse.models.linear import LinearFit
 from plantpulse.plans.scoring import (
-    OBSERVED, RECORD_SCHEMA, read_batch, score_records, service_counters, validate_records,
+    OBSERVED, RECORD_SCHEMA, read_batch, score_file, score_records, service_counters, validate_records,
 )
 from plantpulse.sources.bundle import ScoringBundle, load_bundle, save_bundle
-from plantpulse.sources.sinks import json_rows, plain, read_records, read_summary, write_csv, write_json, write_summary
+from plantpulse.sources.sinks import json_rows, plain, read_records, read_summary, write_json, write_summary
 
 RECORD = dict(temperatura_agua_mar=60.0, potencia_tv_mw=170.0, potencia_tg11_mw=160.0, potencia_tg12_mw=155.0,
               presion_eyectores=150.0, presion_vapor_lp=55.0, flujo_fw_lp=180.0, vacio_observado=1.35)
@@ -58,10 +58,9 @@ def test_batch_file(spark, tmp_path):
     path = tmp_path / "lote.csv"
     path.write_text("\n".join([",".join(names), ",".join(str(RECORD[n]) for n in names),
                                ",".join(str(RECORD[n]) for n in names[:-1]) + ","]) + "\n")
-    scored = score_records(read_batch(spark, str(path)), BUNDLE)
-    assert scored.filter("clase = 'alerta'").count() == 1 and scored.filter("clase is null").count() == 1
     out = str(tmp_path / "out")
-    write_csv(scored, out)
+    scored = score_file(spark, BUNDLE, str(path), out)
+    assert scored.filter("clase = 'alerta'").count() == 1 and scored.filter("clase is null").count() == 1
     assert spark.read.option("header", True).csv(out).count() == 2
     with pytest.raises(ValueError):
         read_batch(spark, str(tmp_path / "lote.txt"))

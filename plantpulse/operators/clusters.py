@@ -13,6 +13,7 @@ from pyspark.sql import DataFrame, functions as F
 from plantpulse.operators.collinearity import moments
 from plantpulse.operators.ordered import medians
 from plantpulse.operators.splits import systematic_sample
+from plantpulse.session import spread
 
 SAMPLE_ROWS = 6000
 CHUNK = 100
@@ -100,7 +101,7 @@ def operating_clusters(
     curve = [(k, scores[f"k{k}"]) for k in ks]
     chosen = max(curve, key=lambda item: item[1])[0]
     sample.unpersist()
-    rows = scaled.persist()
+    rows = spread(scaled)
     assigned = best_kmeans(rows, chosen, restarts, seed).transform(rows)
     sizes = assigned.groupBy(f"k{chosen}").count().collect()  # one row per cluster
     ranked = sorted(sizes, key=lambda r: (-r["count"], r[0]))

@@ -9,6 +9,7 @@ from pyspark.sql import DataFrame, functions as F
 
 from plantpulse.operators.collinearity import pearson_matrix
 from plantpulse.operators.ordered import long_quantiles, prefix_sums
+from plantpulse.session import frozen, written
 
 MIN_GROUP = 20
 
@@ -77,11 +78,21 @@ TEST_SCHEMA = (
 )
 
 
-def average_ranks(df: DataFrame, column: str) -> DataFrame:
-    """(value, rank) with tied values sharing their mean rank, one row per value."""
-    counts = df.filter(F.col(column).isNotNull()).groupBy(column).agg(F.count("*").alias("t"))
-    ranked = prefix_sums(counts, [column], ["t"])
-    return ranked.select(column, (F.col("before_t") + (F.col("t") + 1) / 2).alias(f"rank_{column}"))
+def average_ranks(df: DataFrame, columns: list[str]) -> DataFrame:
+    """(variable, x, rank): tied values share their mean rank, one row per distinct value.
+
+    All columns are ordered together, variable first, so one layout serves them all.
+    The result is written by variable and read back a column at a time.
+    """
+    long = df.select([F.col(c).cast("double").alias(c) for c in columns]).unpivot(
+        [], columns, "variable", "x"
+    )
+    counts = long.filter(F.col("x").isNotNull()).groupBy("variable", "x").agg(F.count("*").alias("t"))
+    ranked = prefix_sums(counts, ["variable", "x"], ["t"])
+    ahead = frozen(ranked.groupBy("variable").agg(F.min("before_t").alias("ahead")))
+    rank = F.col("before_t") - F.col("ahead") + (F.col("t") + 1) / 2
+    table = ranked.join(F.broadcast(ahead), "variable").select("variable", "x", rank.alias("rank"))
+    return written(table, "ranks", ["variable"])
 
 
 def spearman_matrix(df: DataFrame, columns: list[str]) -> DataFrame:
@@ -90,10 +101,14 @@ def spearman_matrix(df: DataFrame, columns: list[str]) -> DataFrame:
     The rank table holds one row per distinct value, so a hot value is one row on
     that side and adaptive execution splits the other.
     """
-    whole = df.select(*columns).dropna()
+    whole = df.select([F.col(c).cast("double").alias(c) for c in columns]).dropna()
+    ranks = average_ranks(whole, columns)
     ranked = whole
     for c in columns:
-        ranked = ranked.join(average_ranks(whole, c), c)
+        mine = ranks.filter(F.col("variable") == c).select(
+            F.col("x").alias(c), F.col("rank").alias(f"rank_{c}")
+        )
+        ranked = ranked.join(mine, c)
     rho = pearson_matrix(ranked, [f"rank_{c}" for c in columns])
     rows = [
         (a, b, None if np.isnan(rho[i, j]) else float(rho[i, j]))

@@ -16,7 +16,7 @@ from plantpulse.operators.leaderboard import winner
 from plantpulse.operators.metrics import (
     balanced_weights, class_counts, classification_scores, confusion_matrix,
 )
-from plantpulse.session import frozen
+from plantpulse.session import frozen, spread
 
 
 def assign_degradation(
@@ -44,6 +44,7 @@ class ClassificationResult:
     matrix: DataFrame
     train_counts: DataFrame
     scored: DataFrame
+    cached: DataFrame
 
 
 def run_classification(
@@ -51,9 +52,9 @@ def run_classification(
 ) -> ClassificationResult:
     """``labelled`` carries the split and ``clase`` columns."""
     drivers = list(cfg.drivers)
-    rows = assemble(
+    rows = spread(assemble(
         labelled.select(SPLIT, "clase", *drivers).withColumn(LABEL, label_index(F.col("clase"))), drivers
-    ).persist()
+    ))
     train = balanced_weights(rows.filter(F.col(SPLIT) == "train"), "clase", WEIGHT)
     estimators = classifiers(cfg.seed, cfg.trees)
 
@@ -72,4 +73,4 @@ def run_classification(
     learned = winner(table, "val", "f1_macro", lowest=False, without=[DUMMY_MODEL]).first()[0]
     shown = learned if best == DUMMY_MODEL else best
     matrix = confusion_matrix(scored.filter(F.col(SPLIT) == "test"), "clase", f"c_{shown}")
-    return ClassificationResult(table, best, shown, matrix, class_counts(train, "clase"), scored)
+    return ClassificationResult(table, best, shown, matrix, class_counts(train, "clase"), scored, rows)

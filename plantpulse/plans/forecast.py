@@ -14,10 +14,10 @@ from plantpulse.operators.metrics import regression_scores
 from plantpulse.operators.regime import last_rows
 from plantpulse.operators.splits import chronological_split
 from plantpulse.operators.stationarity import adf
-from plantpulse.session import frozen
 from plantpulse.operators.windows import (
     forecast_columns, forecast_features, future_column, lag_column, now_column, ready_rows,
 )
+from plantpulse.session import frozen, spread, written
 
 
 @dataclass
@@ -28,6 +28,7 @@ class ForecastResult:
     horizon_minutes: float
     adf: dict
     preview: DataFrame
+    cached: DataFrame
 
 
 def ready_table(operating: DataFrame, cfg: StudyConfig) -> DataFrame:
@@ -51,11 +52,11 @@ def naive_predictions(ready: DataFrame, cfg: StudyConfig) -> dict[str, str]:
 
 def run_forecast(operating: DataFrame, cfg: StudyConfig, parallelism: int = 4) -> ForecastResult:
     """Own chronological split on the ready rows; every model scored in one aggregate."""
-    ready = ready_table(operating, cfg).persist()
+    ready = written(ready_table(operating, cfg), "ready")
     split = chronological_split(ready, cfg.keys, cfg.train_fraction, cfg.val_fraction)
     features = forecast_features(cfg.target, list(cfg.lags), list(cfg.drivers))
     target = future_column(cfg.target)
-    rows = assemble(split, features).persist()
+    rows = spread(assemble(split, features))
     train = rows.filter(F.col(SPLIT) == "train")
     ridge = fit_linear(train, target, features, alpha=1.0)
     fitted = fit_all(forecasters(target, cfg.seed, cfg.trees), train, parallelism)
@@ -72,5 +73,5 @@ def run_forecast(operating: DataFrame, cfg: StudyConfig, parallelism: int = 4) -
     )
     unit_root = adf(train, cfg.keys, now_column(cfg.target)).first().asDict()
     return ForecastResult(
-        table, best, ready.count(), cfg.horizon * cfg.step_minutes, unit_root, preview
+        table, best, ready.count(), cfg.horizon * cfg.step_minutes, unit_root, preview, rows
     )

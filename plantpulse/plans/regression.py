@@ -17,7 +17,7 @@ from plantpulse.operators.leaderboard import promotion_gate, winner
 from plantpulse.operators.metrics import regression_scores
 from plantpulse.operators.ordered import column_quantiles
 from plantpulse.operators.splits import curve_sizes, expanding_folds, fold_bounds, row_prefixes
-from plantpulse.session import frozen
+from plantpulse.session import frozen, spread
 
 GRID = {"maxDepth": [3, 6], "stepSize": [0.05, 0.1]}
 GRID_ROUNDS = 120
@@ -36,6 +36,7 @@ class RegressionResult:
     median: float
     grid: dict | None
     scored: DataFrame
+    cached: DataFrame
 
 
 def _part(df: DataFrame, *names: str) -> DataFrame:
@@ -55,7 +56,7 @@ def grid_search(
 ) -> tuple[GBTRegressor, list[dict]]:
     """Mean fold MAE of every setting over expanding folds; every fit is independent."""
     target = cfg.target
-    blocks = expanding_folds(train.persist(), cfg.keys, folds)
+    blocks = expanding_folds(train, cfg.keys, folds)
     settings = [dict(zip(grid, values)) for values in product(*grid.values())]
 
     def estimator(setting):
@@ -88,9 +89,9 @@ def run_regression(
 ) -> RegressionResult:
     """Score every model on the labelled table in one aggregate, then refit the chosen one."""
     target, drivers = cfg.target, list(cfg.drivers)
-    rows = assemble(
+    rows = spread(assemble(
         df.select(*cfg.keys, SPLIT, target, *dict.fromkeys([*drivers, *cfg.baseline])), drivers
-    ).persist()
+    ))
     train = _part(rows, "train")
     median = column_quantiles(train, target, [0.5])[0]
     baseline = fit_linear(train, target, list(cfg.baseline))
@@ -126,7 +127,7 @@ def run_regression(
     models = {cfg.baseline_name: baseline, "ridge": ridge, **fitted}
     return RegressionResult(
         table, winner(table, "val", "mae").first()[0], gate, baseline, models, deployed, deployed_test,
-        importance(models[chosen], drivers), median, {"cells": grid} if grid else None, scored,
+        importance(models[chosen], drivers), median, {"cells": grid} if grid else None, scored, rows,
     )
 
 
@@ -134,7 +135,7 @@ def learning_curves(train: DataFrame, cfg: StudyConfig, folds: int = 3, parallel
     """(modelo, muestras, mae_train, mae_val): mean over folds, prefixes of the first fold."""
     target, drivers = cfg.target, list(cfg.drivers)
     columns = [*cfg.keys, target, *drivers]
-    rows = assemble(train.select(*columns), drivers).persist()
+    rows = spread(assemble(train.select(*columns), drivers))
     total = rows.count()
     bounds = fold_bounds(total, folds)
     sizes = curve_sizes(total, folds)

@@ -138,6 +138,8 @@ def run_study(
             ),
             f"{base}/bundle",
         )
+    for result in (regression, classes, forecast):
+        result.cached.unpersist()
     return summary
 
 

@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from plantpulse.models.catalog import assemble
+from plantpulse.models.catalog import assemble, importance, regressors
 from plantpulse.operators.clusters import operating_clusters
 from plantpulse.plans.classification import run_classification
 from plantpulse.plans.forecast import run_forecast
@@ -12,6 +12,7 @@ from plantpulse.plans.regression import grid_search, learning_curves, run_regres
 from plantpulse.registry.views import (
     HOURLY, READINGS, hourly, labelled_readings, rounded, split_readings,
 )
+from plantpulse.session import spread
 
 # Boosting settings of the registered runs: the rounds are fewer than the library's
 # defaults because every round is a chain of Spark jobs.
@@ -27,13 +28,16 @@ def regression_models(spark, sf):
 
 
 def variable_importance(spark, sf):
-    cfg = READINGS.with_(trees=_LIGHT)
-    result = run_regression(split_readings(spark, sf), cfg, with_grid=False)
-    return spark.createDataFrame(result.importance, "variable string, importancia double")
+    drivers = list(READINGS.drivers)
+    train = spread(assemble(split_readings(spark, sf).filter("particion = 'train'"), drivers))
+    forest = regressors("value", READINGS.seed, _LIGHT)["random_forest"].fit(train)
+    return spark.createDataFrame(importance(forest, drivers), "variable string, importancia double")
 
 
 def boosting_grid(spark, sf):
-    train = assemble(split_readings(spark, sf).filter("particion = 'train'"), list(READINGS.drivers))
+    train = spread(
+        assemble(split_readings(spark, sf).filter("particion = 'train'"), list(READINGS.drivers))
+    )
     _, cells = grid_search(train, READINGS, rounds=8)
     return spark.createDataFrame(
         [(c["maxDepth"], c["stepSize"], c["mae_cv"]) for c in cells],

@@ -61,6 +61,26 @@ def frozen(df: DataFrame, rows: int = 10_000) -> DataFrame:
     return df.sparkSession.createDataFrame(held, df.schema)
 
 
+# Rows that make a partition worth its task when a small table is spread for training.
+TRAIN_ROWS = 10_000
+
+
+def spread(df: DataFrame) -> DataFrame:
+    """Cached copy for iterative fits, over enough partitions to occupy the cores.
+
+    A large table already has more partitions than cores and is cached as it is.
+    """
+    held = df.persist(StorageLevel.MEMORY_AND_DISK)
+    rows = held.count()
+    wanted = min(df.sparkSession.sparkContext.defaultParallelism, -(-rows // TRAIN_ROWS))
+    if held.rdd.getNumPartitions() >= wanted:
+        return held
+    wide = held.repartition(wanted).persist(StorageLevel.MEMORY_AND_DISK)
+    wide.count()
+    held.unpersist()
+    return wide
+
+
 def broadcast_if_small(df: DataFrame, rows: int = BROADCAST_ROWS) -> DataFrame:
     """Broadcast hint behind a row count; larger sides keep the shuffle join."""
     df = df.persist(StorageLevel.MEMORY_AND_DISK)

@@ -16,7 +16,7 @@ from plantpulse.operators.ordered import column_quantiles
 from plantpulse.operators.splits import chronological_split
 from plantpulse.plans.classification import assign_degradation, majority_class
 from plantpulse.plans.regression import residual_limits
-from plantpulse.session import frozen
+from plantpulse.session import frozen, written
 from plantpulse.registry.views import (
     LABELLED_SQL, PLANT, PLANT_SQL, RD_SQL, READINGS, TRAIN, VAL, labelled_readings, ols_sql, plant,
     readings, rounded, rounded_scores, scores_sql, split_readings, split_sql, table,
@@ -27,7 +27,9 @@ _BASE = READINGS.baseline_name
 
 def baseline_alerts(spark, sf):
     """When is the plant worse than its physical reference? Rows per part and class."""
-    grid = chronological_split(plant(spark, sf), ["Time", "seq"], TRAIN, VAL)
+    # The hourly grid is far smaller than the events and is read several times.
+    hours = written(plant(spark, sf), "plant")
+    grid = chronological_split(hours, ["Time", "seq"], TRAIN, VAL)
     fit = fit_linear(grid.filter("particion = 'train'"), "y", ["cold", "load"])
     alert, critical = residual_limits(grid, PLANT, fit)
     graded = assign_degradation(grid, "y", fit.predicted(), alert, critical)

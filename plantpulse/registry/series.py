@@ -16,6 +16,7 @@ from plantpulse.registry.views import (
     HOURLY, HOURLY_SQL, PLANT, PLANT_SQL, RD_SQL, TRAIN, VAL, hourly, naive, plant, readings, rounded,
     rounded_scores, scores_sql, split_sql, table,
 )
+from plantpulse.session import written
 from plantpulse.streaming.jobs import resample
 
 _ORDER = ["o_orderdate", "o_orderkey"]
@@ -77,7 +78,7 @@ def forecast_ready(spark, sf):
 
 
 def _naive_scores(spark, sf, model):
-    ready = _ready(spark, sf).persist()
+    ready = written(_ready(spark, sf), "ready")
     split = chronological_split(ready, ["Time", "unit"], TRAIN, VAL).filter("particion <> 'train'")
     columns = naive_predictions(ready, HOURLY)
     return rounded(regression_scores(split, "y_futuro", {model: columns[model]}))

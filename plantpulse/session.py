@@ -82,6 +82,9 @@ def spread(df: DataFrame) -> DataFrame:
 
 
 def broadcast_if_small(df: DataFrame, rows: int = BROADCAST_ROWS) -> DataFrame:
-    """Broadcast hint behind a row count; larger sides keep the shuffle join."""
-    df = df.persist(StorageLevel.MEMORY_AND_DISK)
+    """Broadcast hint behind a row count; larger sides keep the shuffle join.
+
+    The side is written once, so counting it does not compute it twice.
+    """
+    df = written(df, "side")
     return F.broadcast(df) if df.limit(rows + 1).count() <= rows else df

@@ -3,8 +3,10 @@
 from __future__ import annotations
 
 import uuid
+from collections.abc import Iterator
 from string import ascii_lowercase, ascii_uppercase
 
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 
 from plantpulse.session import checkpoint_root
@@ -16,6 +18,10 @@ BLANKS = " \t\n\x0b\f\r"
 HOT_SHARE = 1000
 
 
+# Bytes of a record batch that Python code unpacks at once; one longer row is a batch alone.
+BATCH_BYTES = 4 << 20
+
+
 class Scratch:
     """Parquet tables of one run in the folder every executor can reach.
 
@@ -91,3 +97,11 @@ def free_name(df: DataFrame, name: str) -> str:
     while name.lower() in taken:
         name += "_"
     return name
+
+
+def small_batches(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """The same rows in batches of about BATCH_BYTES, so long texts do not add up."""
+    for batch in batches:
+        rows = max(1, int(batch.num_rows * min(1.0, BATCH_BYTES / max(1, batch.nbytes))))
+        for at in range(0, batch.num_rows, rows):
+            yield batch.slice(at, rows)

@@ -6,6 +6,7 @@ from pyspark.sql import DataFrame, SparkSession, functions as F
 
 from plantpulse.llm.exact import exact_dedup
 from plantpulse.llm.line_runs import line_dedup
+from plantpulse.llm.slack_packing import pack_documents
 
 
 def table(spark: SparkSession, sf: str, name: str) -> DataFrame:
@@ -23,11 +24,16 @@ def op4_exact_dedup(spark: SparkSession, sf: str) -> DataFrame:
     return exact_dedup(table(spark, sf, "documents"))
 
 
+def op8_best_fit_packing(spark: SparkSession, sf: str) -> DataFrame:
+    return pack_documents(table(spark, sf, "documents"))
+
+
 _LOWER = "translate({}, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz')"
 
 QUERIES = {
     "op3_line_dedup": op3_line_dedup,
     "op4_exact_dedup": op4_exact_dedup,
+    "op8_best_fit_packing": op8_best_fit_packing,
 }
 
 SQL = {

@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
+from plantpulse.llm.anchors import near_duplicates
 from plantpulse.llm.exact import exact_dedup
 from plantpulse.llm.line_runs import line_dedup
 from plantpulse.llm.slack_packing import pack_documents
@@ -28,12 +29,17 @@ def op8_best_fit_packing(spark: SparkSession, sf: str) -> DataFrame:
     return pack_documents(table(spark, sf, "documents"))
 
 
+def op10_simhash_near_dedup(spark: SparkSession, sf: str) -> DataFrame:
+    return near_duplicates(table(spark, sf, "documents"))
+
+
 _LOWER = "translate({}, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz')"
 
 QUERIES = {
     "op3_line_dedup": op3_line_dedup,
     "op4_exact_dedup": op4_exact_dedup,
     "op8_best_fit_packing": op8_best_fit_packing,
+    "op10_simhash_near_dedup": op10_simhash_near_dedup,
 }
 
 SQL = {

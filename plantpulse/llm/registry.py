@@ -8,12 +8,17 @@ from plantpulse.llm.anchors import near_duplicates
 from plantpulse.llm.exact import exact_dedup
 from plantpulse.llm.line_runs import line_dedup
 from plantpulse.llm.slack_packing import pack_documents
+from plantpulse.llm.spaced_seeds import overlaps
 
 
 def table(spark: SparkSession, sf: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf}/{name}.parquet")
 
 
+def op2_benchmark_decontamination(spark: SparkSession, sf: str) -> DataFrame:
+    return overlaps(table(spark, sf, "documents"), table(spark, sf, "benchmark"))
+
+
 def op3_line_dedup(spark: SparkSession, sf: str) -> DataFrame:
     docs = table(spark, sf, "documents").select("doc_id", "text")
     return line_dedup(docs).select(
@@ -36,6 +41,7 @@ def op10_simhash_near_dedup(spark: SparkSession, sf: str) -> DataFrame:
 _LOWER = "translate({}, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz')"
 
 QUERIES = {
+    "op2_benchmark_decontamination": op2_benchmark_decontamination,
     "op3_line_dedup": op3_line_dedup,
     "op4_exact_dedup": op4_exact_dedup,
     "op8_best_fit_packing": op8_best_fit_packing,

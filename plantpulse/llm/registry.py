@@ -9,6 +9,7 @@ from plantpulse.llm.exact import exact_dedup
 from plantpulse.llm.line_runs import line_dedup
 from plantpulse.llm.slack_packing import pack_documents
 from plantpulse.llm.spaced_seeds import overlaps
+from plantpulse.llm.toxicity import toxicity
 
 
 def table(spark: SparkSession, sf: str, name: str) -> DataFrame:
@@ -30,6 +31,10 @@ def op4_exact_dedup(spark: SparkSession, sf: str) -> DataFrame:
     return exact_dedup(table(spark, sf, "documents"))
 
 
+def op6_toxicity(spark: SparkSession, sf: str) -> DataFrame:
+    return toxicity(table(spark, sf, "documents"), table(spark, sf, "labels"))
+
+
 def op8_best_fit_packing(spark: SparkSession, sf: str) -> DataFrame:
     return pack_documents(table(spark, sf, "documents"))
 
@@ -44,6 +49,7 @@ QUERIES = {
     "op2_benchmark_decontamination": op2_benchmark_decontamination,
     "op3_line_dedup": op3_line_dedup,
     "op4_exact_dedup": op4_exact_dedup,
+    "op6_toxicity": op6_toxicity,
     "op8_best_fit_packing": op8_best_fit_packing,
     "op10_simhash_near_dedup": op10_simhash_near_dedup,
 }

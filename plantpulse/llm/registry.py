@@ -7,6 +7,7 @@ from pyspark.sql import DataFrame, SparkSession, functions as F
 from plantpulse.llm.anchors import near_duplicates
 from plantpulse.llm.exact import exact_dedup
 from plantpulse.llm.line_runs import line_dedup
+from plantpulse.llm.resampling import resample
 from plantpulse.llm.slack_packing import pack_documents
 from plantpulse.llm.spaced_seeds import overlaps
 from plantpulse.llm.toxicity import toxicity
@@ -39,6 +40,10 @@ def op8_best_fit_packing(spark: SparkSession, sf: str) -> DataFrame:
     return pack_documents(table(spark, sf, "documents"))
 
 
+def op9_importance_resampling(spark: SparkSession, sf: str) -> DataFrame:
+    return resample(table(spark, sf, "documents"), table(spark, sf, "labels"))
+
+
 def op10_simhash_near_dedup(spark: SparkSession, sf: str) -> DataFrame:
     return near_duplicates(table(spark, sf, "documents"))
 
@@ -51,6 +56,7 @@ QUERIES = {
     "op4_exact_dedup": op4_exact_dedup,
     "op6_toxicity": op6_toxicity,
     "op8_best_fit_packing": op8_best_fit_packing,
+    "op9_importance_resampling": op9_importance_resampling,
     "op10_simhash_near_dedup": op10_simhash_near_dedup,
 }
 

@@ -6,6 +6,7 @@ from pyspark.sql import DataFrame, SparkSession, functions as F
 
 from plantpulse.llm.anchors import near_duplicates
 from plantpulse.llm.exact import exact_dedup
+from plantpulse.llm.html_text import extract_text
 from plantpulse.llm.line_runs import line_dedup
 from plantpulse.llm.resampling import resample
 from plantpulse.llm.slack_packing import pack_documents
@@ -17,6 +18,10 @@ def table(spark: SparkSession, sf: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf}/{name}.parquet")
 
 
+def op1_html_extraction(spark: SparkSession, sf: str) -> DataFrame:
+    return extract_text(table(spark, sf, "pages")).withColumn("n_chars", F.char_length("text").cast("long"))
+
+
 def op2_benchmark_decontamination(spark: SparkSession, sf: str) -> DataFrame:
     return overlaps(table(spark, sf, "documents"), table(spark, sf, "benchmark"))
 
@@ -51,6 +56,7 @@ def op10_simhash_near_dedup(spark: SparkSession, sf: str) -> DataFrame:
 _LOWER = "translate({}, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz')"
 
 QUERIES = {
+    "op1_html_extraction": op1_html_extraction,
     "op2_benchmark_decontamination": op2_benchmark_decontamination,
     "op3_line_dedup": op3_line_dedup,
     "op4_exact_dedup": op4_exact_dedup,

@@ -8,6 +8,7 @@ from plantpulse.llm.anchors import near_duplicates
 from plantpulse.llm.exact import exact_dedup
 from plantpulse.llm.html_text import extract_text
 from plantpulse.llm.line_runs import line_dedup
+from plantpulse.llm.longest_factor import remove_repeats
 from plantpulse.llm.resampling import resample
 from plantpulse.llm.slack_packing import pack_documents
 from plantpulse.llm.spaced_seeds import overlaps
@@ -41,6 +42,13 @@ def op6_toxicity(spark: SparkSession, sf: str) -> DataFrame:
     return toxicity(table(spark, sf, "documents"), table(spark, sf, "labels"))
 
 
+def op7_suffix_array_dedup(spark: SparkSession, sf: str) -> DataFrame:
+    return remove_repeats(table(spark, sf, "documents")).select(
+        "doc_id", "repeats.n_bytes", "repeats.n_removed", "repeats.n_spans",
+        F.sha2("repeats.kept", 256).alias("kept_sha256"),
+    )
+
+
 def op8_best_fit_packing(spark: SparkSession, sf: str) -> DataFrame:
     return pack_documents(table(spark, sf, "documents"))
 
@@ -61,6 +69,7 @@ QUERIES = {
     "op3_line_dedup": op3_line_dedup,
     "op4_exact_dedup": op4_exact_dedup,
     "op6_toxicity": op6_toxicity,
+    "op7_suffix_array_dedup": op7_suffix_array_dedup,
     "op8_best_fit_packing": op8_best_fit_packing,
     "op9_importance_resampling": op9_importance_resampling,
     "op10_simhash_near_dedup": op10_simhash_near_dedup,

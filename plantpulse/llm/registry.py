@@ -13,6 +13,7 @@ from plantpulse.llm.resampling import resample
 from plantpulse.llm.slack_packing import pack_documents
 from plantpulse.llm.spaced_seeds import overlaps
 from plantpulse.llm.toxicity import toxicity
+from plantpulse.llm.warc import fixity_audit, record_leaves, record_text
 
 
 def table(spark: SparkSession, sf: str, name: str) -> DataFrame:
@@ -38,6 +39,23 @@ def op4_exact_dedup(spark: SparkSession, sf: str) -> DataFrame:
     return exact_dedup(table(spark, sf, "documents"))
 
 
+PAGES_PER_ARCHIVE = 250
+
+
+def op5_warc_fixity(spark: SparkSession, sf: str) -> DataFrame:
+    """The pages as archives, audited against a replica with rotten bytes and cut-off files."""
+    pages = table(spark, sf, "pages").select(
+        "page_id", "url", "html", F.floor(F.col("page_id") / PAGES_PER_ARCHIVE).cast("long").alias("file")
+    )
+    date = F.lit("2024-01-01T00:00:00Z")
+    whole = pages.withColumn("record", record_text(F.col("url"), F.col("html"), date))
+    rotten = F.overlay("record", F.lit("#"), F.char_length("record"))
+    damaged = whole.withColumn(
+        "record", F.when(F.col("page_id") % 97 == 5, rotten).otherwise(F.col("record"))
+    ).filter((F.col("file") % 13 != 4) | (F.col("page_id") % PAGES_PER_ARCHIVE != PAGES_PER_ARCHIVE - 1))
+    return fixity_audit(record_leaves(whole, "page_id"), record_leaves(damaged, "page_id"))
+
+
 def op6_toxicity(spark: SparkSession, sf: str) -> DataFrame:
     return toxicity(table(spark, sf, "documents"), table(spark, sf, "labels"))
 
@@ -68,6 +86,7 @@ QUERIES = {
     "op2_benchmark_decontamination": op2_benchmark_decontamination,
     "op3_line_dedup": op3_line_dedup,
     "op4_exact_dedup": op4_exact_dedup,
+    "op5_warc_fixity": op5_warc_fixity,
     "op6_toxicity": op6_toxicity,
     "op7_suffix_array_dedup": op7_suffix_array_dedup,
     "op8_best_fit_packing": op8_best_fit_packing,
@@ -75,7 +94,37 @@ QUERIES = {
     "op10_simhash_near_dedup": op10_simhash_near_dedup,
 }
 
+
+def _tree_sql(side: str) -> str:
+    """Leaves, three levels of ranges and the root of one side of the audit."""
+    levels, below = [], f"{side}0"
+    for level, step in ((1, 65536), (2, 16), (3, 16), (4, None)):
+        parent = f"node // {step}" if step else "0"
+        levels.append(f"""{side}{level} AS (SELECT file, CAST({parent} AS BIGINT) AS node,
+  sha256(string_agg(node || ':' || hash, chr(10) ORDER BY node)) AS hash FROM {below} GROUP BY 1, 2)""")
+        below = f"{side}{level}"
+    return f"""{side}0 AS (SELECT file, CAST(coalesce(sum(strlen(record) + 4) OVER (
+  PARTITION BY file ORDER BY page_id ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS BIGINT) AS node,
+  sha256(record) AS hash FROM {side}), """ + ", ".join(levels)
+
+
+_CRLF = "chr(13) || chr(10)"
+
 SQL = {
+    "op5_warc_fixity": f"""WITH a AS (SELECT page_id, page_id // 250 AS file,
+  'WARC/1.0' || {_CRLF} || 'WARC-Type: resource' || {_CRLF} || 'WARC-Record-ID: <urn:sha256:'
+  || sha256(concat_ws(chr(10), url, coalesce(html, ''))) || '>' || {_CRLF} || 'WARC-Target-URI: ' || coalesce(url, '')
+  || {_CRLF} || 'WARC-Date: 2024-01-01T00:00:00Z' || {_CRLF} || 'Content-Type: text/html' || {_CRLF}
+  || 'Content-Length: ' || strlen(coalesce(html, '')) || {_CRLF} || {_CRLF} || coalesce(html, '') AS record FROM pages),
+b AS (SELECT page_id, file, CASE WHEN page_id % 97 = 5 THEN record[:-2] || '#' ELSE record END AS record
+  FROM a WHERE file % 13 <> 4 OR page_id % 250 <> 249),
+{_tree_sql("a")}, {_tree_sql("b")}
+SELECT coalesce(a0.file, b0.file) AS file, coalesce(a0.node, b0.node) AS "offset",
+  CASE WHEN b0.hash IS NULL THEN 'missing' WHEN a0.hash IS NULL THEN 'extra' ELSE 'changed' END AS kind,
+  a0.hash AS expected_hash, b0.hash AS found_hash, a4.hash AS expected_root, b4.hash AS found_root
+FROM a0 FULL JOIN b0 ON a0.file = b0.file AND a0.node = b0.node
+LEFT JOIN a4 ON a4.file = coalesce(a0.file, b0.file) LEFT JOIN b4 ON b4.file = coalesce(a0.file, b0.file)
+WHERE a0.hash IS DISTINCT FROM b0.hash""",
     "op3_line_dedup": f"""WITH s AS (SELECT doc_id, string_split(coalesce(text, ''), chr(10)) AS lines FROM documents),
 l AS (SELECT doc_id, unnest(lines) AS line, generate_subscripts(lines, 1) AS pos FROM s),
 k AS (SELECT *, {_LOWER.format("trim(line, chr(32) || chr(9) || chr(10) || chr(11) || chr(12) || chr(13))")} AS key FROM l),

@@ -21,7 +21,7 @@ import pyarrow as pa
 import xxhash
 from pyspark.sql import DataFrame, functions as F
 
-from plantpulse.llm.common import HOT_SHARE, Scratch, attach_groups, small_batches
+from plantpulse.llm.common import HOT_SHARE, Scratch, attach_groups, free_name, small_batches
 from plantpulse.llm.components import connected_components
 
 SHINGLE = 4
@@ -60,15 +60,19 @@ def simhash(text: str | None, words: int = SHINGLE) -> bytes:
 
 
 def fingerprints(docs: DataFrame, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
-    """(doc_id, fp): the fingerprint as a signed long of the same bits."""
+    """(doc_id, text_key, fp): the fingerprint as a signed long of the same bits."""
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in small_batches(batches):
             raw = b"".join(map(simhash, batch.column("text").to_pylist()))
             fp = np.frombuffer(raw, dtype=">i8").astype(np.int64)
-            yield pa.RecordBatch.from_arrays([batch.column("doc_id"), pa.array(fp)], ["doc_id", "fp"])
+            yield pa.RecordBatch.from_arrays(
+                [batch.column("doc_id"), batch.column("text_key"), pa.array(fp)], ["doc_id", "text_key", "fp"]
+            )
 
-    source = docs.select(F.col(doc_id).alias("doc_id"), F.col(text).alias("text"))
-    return source.mapInArrow(run, f"doc_id {dict(source.dtypes)['doc_id']}, fp long")
+    source = docs.select(
+        F.col(doc_id).alias("doc_id"), F.xxhash64(text).alias("text_key"), F.col(text).alias("text")
+    )
+    return source.mapInArrow(run, f"doc_id {dict(source.dtypes)['doc_id']}, text_key long, fp long")
 
 
 class Block:
@@ -239,20 +243,10 @@ def fingerprint_links(
     return dealt.mapInArrow(_meetings(radius), "a long, b long")
 
 
-def near_duplicates(
-    docs: DataFrame, doc_id: str = "doc_id", text: str = "text", radius: int = RADIUS,
-    blocks: int | None = None,
-) -> DataFrame:
-    """One row per document: doc_id, fingerprint (16 hex digits), component_id.
-
-    Words are runs of anything but ASCII blanks, A-Z lower-cased; a text of fewer words than
-    a shingle is one shingle; null, empty and blank texts have fingerprint zero and are
-    linked like any other.  component_id is the smallest id reachable over links of at most
-    ``radius`` differing bits; a component whose ids are all null has a null one.  Rows
-    repeating an id are nodes of their own.  An empty table gives no rows; other columns are
-    not read.
-    """
-    scratch = Scratch(docs.sparkSession, "simhash")
+def _components(
+    docs: DataFrame, scratch: Scratch, doc_id: str, text: str, radius: int, blocks: int | None
+) -> tuple[DataFrame, DataFrame]:
+    """Rows (doc_id, text_key, fp, row), and (fp, n, root, size, component_id) per fingerprint."""
     rows = scratch.write(
         fingerprints(docs, doc_id, text).withColumn("row", F.monotonically_increasing_id()), "rows"
     )
@@ -260,9 +254,7 @@ def near_duplicates(
         rows.groupBy("fp").agg(F.count("*").alias("n"), F.min("doc_id").alias("low")), "distinct"
     )
     links = scratch.write(fingerprint_links(distinct, scratch, radius, blocks), "links")
-    scratch.drop("replicas")
     roots = scratch.write(connected_components(links, scratch), "roots")
-    scratch.drop("links")
     node = distinct.join(roots, F.col("fp") == F.col("node"), "left").withColumn(
         "root", F.coalesce("root", "fp")
     )
@@ -271,9 +263,48 @@ def near_duplicates(
     )
     groups = attach_groups(
         node.select("fp", "n", "root"), lowest, "root", "size", rows.count(), "fp"
-    ).select("fp", "n", "component_id")
+    ).select("fp", "n", "root", "component_id")
     groups = scratch.write(groups, "groups")
-    scratch.drop("roots", "lowest", "distinct")
+    scratch.drop("replicas", "links", "roots", "lowest", "distinct")
+    return rows, groups
+
+
+def near_duplicates(
+    docs: DataFrame, doc_id: str = "doc_id", text: str = "text", radius: int = RADIUS,
+    blocks: int | None = None,
+) -> DataFrame:
+    """One row per document: doc_id, fingerprint (16 hex digits), component_id.
+
+    Words are runs of anything but ASCII blanks, A-Z lower-cased; a text of fewer words than
+    a shingle is one shingle; null, empty and blank texts have fingerprint zero and are
+    linked like any other.  component_id is the smallest id reachable over links of at most
+    ``radius`` differing bits; a component whose ids are all null has a null one.  Rows
+    repeating an id are nodes of their own.  An empty table gives no rows; other columns are
+    not read.
+    """
+    rows, groups = _components(docs, Scratch(docs.sparkSession, "simhash"), doc_id, text, radius, blocks)
     return attach_groups(rows, groups, "fp", "n", rows.count(), "row").select(
         "doc_id", F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), "component_id"
     )
+
+
+def without_near_duplicates(
+    docs: DataFrame, doc_id: str = "doc_id", text: str = "text", radius: int = RADIUS,
+    blocks: int | None = None,
+) -> DataFrame:
+    """One row of ``docs`` per component, the one with the smallest id, all columns kept.
+
+    Null ids come after all others; of rows that share the smallest id the one with the
+    smaller text hash stays, and of rows that repeat both, one.
+    """
+    rows, groups = _components(docs, Scratch(docs.sparkSession, "simhash"), doc_id, text, radius, blocks)
+    placed = attach_groups(rows, groups, "fp", "n", rows.count(), "row")
+    order = F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", "text_key")
+    stays = placed.groupBy("root").agg(F.min(order).alias("best")).select(
+        F.struct(F.col("best.doc_id").alias("doc_id"), F.col("best.text_key").alias("text_key")).alias("_stays")
+    )
+    own = free_name(docs, "_own")
+    keyed = docs.withColumn(own, F.struct(
+        F.col(doc_id).alias("doc_id"), F.xxhash64(text).alias("text_key")
+    ))
+    return keyed.join(stays, F.col(own) == F.col("_stays"), "left_semi").dropDuplicates([own]).drop(own)

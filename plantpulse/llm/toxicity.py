@@ -39,6 +39,7 @@ LONG_WORD = 8
 COVER = 8
 MAX_ODDS = 6.0
 FOLDS, HELD_OUT = 5, 0
+THRESHOLD = 0.5
 
 _CAPITALS = bytes(range(0x41, 0x5B))
 _WORD = re.compile(r"[^\W\d_]+")
@@ -268,6 +269,14 @@ def training_sample(
     return texts, np.array(marked, dtype=np.int64)
 
 
+def _chances(model: ToxicityModel, lexicon: Lexicon, texts: list[str | None]) -> np.ndarray:
+    weights = model.weights.tolist()
+    sums = [
+        model.bias + sum(weights[i] * v for i, v in features(body or "", lexicon).items()) for body in texts
+    ]
+    return 1 / (1 + np.exp(-np.clip(np.array(sums, dtype=np.float64), -30, 30)))
+
+
 def score(
     docs: DataFrame, model: ToxicityModel, doc_id: str = "doc_id", text: str = "text", out: str = "score"
 ) -> DataFrame:
@@ -275,20 +284,31 @@ def score(
     shared = docs.sparkSession.sparkContext.broadcast(model)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        held = shared.value
-        lexicon, weights = Lexicon(held.lexicon), held.weights.tolist()
+        lexicon = Lexicon(shared.value.lexicon)
         for batch in small_batches(batches):
-            sums = [
-                held.bias + sum(weights[i] * v for i, v in features(body or "", lexicon).items())
-                for body in batch.column(1).to_pylist()
-            ]
-            chance = 1 / (1 + np.exp(-np.clip(np.array(sums), -30, 30)))
-            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(chance)], ["doc_id", out])
+            chance = _chances(shared.value, lexicon, batch.column("text").to_pylist())
+            yield pa.RecordBatch.from_arrays([batch.column("doc_id"), pa.array(chance)], ["doc_id", out])
 
     source = docs.select(F.col(doc_id).alias("doc_id"), F.col(text).alias("text"))
     return source.mapInArrow(run, f"doc_id {dict(source.dtypes)['doc_id']}, `{out}` double")
 
 
+def without_toxic(
+    docs: DataFrame, model: ToxicityModel, text: str = "text", threshold: float = THRESHOLD
+) -> DataFrame:
+    """The rows of ``docs`` that score below ``threshold``, all columns kept, nothing shuffled."""
+    shared = docs.sparkSession.sparkContext.broadcast(model)
+    place = docs.columns.index(text)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        lexicon = Lexicon(shared.value.lexicon)
+        for batch in small_batches(batches):
+            chance = _chances(shared.value, lexicon, batch.column(place).to_pylist())
+            yield batch.filter(pa.array(chance < threshold))
+
+    return docs.mapInArrow(run, docs.schema)
+
+
 def toxicity(
     docs: DataFrame, labels: DataFrame, doc_id: str = "doc_id", text: str = "text", label: str = "toxic",
 ) -> DataFrame:
@@ -303,5 +323,5 @@ def toxicity(
     model = fit(*training_sample(docs, labels, doc_id, text, label))
     return score(docs, model, doc_id, text).select(
         "doc_id", held_out(F.col("doc_id")).alias("held_out"), "score",
-        (F.col("score") >= 0.5).cast("int").alias("predicted"),
+        (F.col("score") >= THRESHOLD).cast("int").alias("predicted"),
     )

@@ -300,11 +300,11 @@ def without_near_duplicates(
     rows, groups = _components(docs, Scratch(docs.sparkSession, "simhash"), doc_id, text, radius, blocks)
     placed = attach_groups(rows, groups, "fp", "n", rows.count(), "row")
     order = F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", "text_key")
+    own, best = free_name(docs, "_own"), free_name(docs, "_best")
     stays = placed.groupBy("root").agg(F.min(order).alias("best")).select(
-        F.struct(F.col("best.doc_id").alias("doc_id"), F.col("best.text_key").alias("text_key")).alias("_stays")
+        F.struct(F.col("best.doc_id").alias("doc_id"), F.col("best.text_key").alias("text_key")).alias(best)
     )
-    own = free_name(docs, "_own")
     keyed = docs.withColumn(own, F.struct(
         F.col(doc_id).alias("doc_id"), F.xxhash64(text).alias("text_key")
     ))
-    return keyed.join(stays, F.col(own) == F.col("_stays"), "left_semi").dropDuplicates([own]).drop(own)
+    return keyed.join(stays, F.col(own) == F.col(best), "left_semi").dropDuplicates([own]).drop(own)

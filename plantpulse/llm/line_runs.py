@@ -85,13 +85,13 @@ def line_dedup(
     scratch = Scratch(spark, "line-dedup")
     drops = _drops(docs.select(F.col(doc_id).alias("doc_id"), F.col(text).alias("text")),
                    scratch, batches, fanout, min_key)
-    drops = drops.select(*[F.col(c).alias(f"_drop_{c}") for c in drops.columns])
-    lines = free_name(docs, "_lines")
-    keys = [F.col(doc_id) == F.col("_drop_doc_id"), F.xxhash64(text) == F.col("_drop_text_key")]
+    lines, drop = free_name(docs, "_lines"), free_name(docs, "_drop")
+    drops = drops.select(F.struct(*drops.columns).alias(drop))
+    keys = [F.col(doc_id) == F.col(f"{drop}.doc_id"), F.xxhash64(text) == F.col(f"{drop}.text_key")]
     joined = docs.join(drops, keys, "left").withColumn(
         lines, F.split(F.coalesce(F.col(text), F.lit("")), "\n", -1)
     )
-    dropped = F.coalesce(F.col("_drop_at"), F.array().cast("array<int>"))
+    dropped = F.coalesce(F.col(f"{drop}.at"), F.array().cast("array<int>"))
     stay = F.array_except(F.sequence(F.lit(0), F.size(lines) - 1), dropped)
     kept = F.array_join(F.transform(stay, lambda i: F.get(lines, i)), "\n")
     report = F.struct(

@@ -22,7 +22,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame, Window, functions as F
 
 from plantpulse.llm.common import Scratch, small_batches
-from plantpulse.llm.tokens import WordIds, word_bpe_path
+from plantpulse.llm.tokens import word_bpe_path, word_ids
 
 SEQUENCE = 4096
 END_ID = 1
@@ -122,7 +122,9 @@ def pack_documents(
     # At most ``capacity`` rows, whatever the corpus.
     histogram = {r["length"]: r["n"] for r in counts.groupBy("length").agg(F.sum("n").alias("n")).collect()}
     places = spark.sparkContext.broadcast(pickle.dumps(placements(minimum_bin_slack(histogram, capacity))))
-    ranked = pieces.join(counts.select("task", "length", "base"), ["task", "length"]).withColumn(
+    # A row a task and length: it grows with the table, so it is never broadcast.
+    bases = counts.select("task", "length", "base").hint("merge")
+    ranked = pieces.join(bases, ["task", "length"]).withColumn(
         "rank", F.col("base") + F.col("nth")
     )
     names = ["doc_id", "piece", "start", "length", "ids_crc32", *(["ids"] if keep_ids else [])]
@@ -133,7 +135,7 @@ def pack_documents(
 
 def _cutter(path: str, capacity: int, end_id: int, keep_ids: bool):
     def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        task, encoder, nth = TaskContext.get().partitionId(), WordIds(path), Counter()
+        task, encoder, nth = TaskContext.get().partitionId(), word_ids(path), Counter()
         end, step = int(end_id).to_bytes(4, "little"), 4 * capacity
         for batch in small_batches(batches):
             of, piece, start, length, crc, order, parts = ([] for _ in range(7))

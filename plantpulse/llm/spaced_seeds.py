@@ -18,7 +18,7 @@ from functools import reduce
 
 from pyspark.sql import Column, DataFrame, functions as F
 
-from plantpulse.llm.common import Scratch
+from plantpulse.llm.common import Scratch, free_name
 
 MASKS = ((0, 1, 2, 3, 4), (0, 1, 4, 5, 6))
 SIMILARITY = 0.8
@@ -114,5 +114,6 @@ def overlaps(
 
 def without_overlaps(docs: DataFrame, benchmark: DataFrame, doc_id: str = "doc_id", **options) -> DataFrame:
     """The rows of ``docs`` whose id has no overlap, all columns kept."""
-    leaks = overlaps(docs, benchmark, doc_id, **options).select(F.col("doc_id").alias("_leak")).distinct()
-    return docs.join(leaks, docs[doc_id].eqNullSafe(F.col("_leak")), "left_anti")
+    leak = free_name(docs, "_leak")
+    leaks = overlaps(docs, benchmark, doc_id, **options).select(F.col("doc_id").alias(leak)).distinct()
+    return docs.join(leaks, F.col(doc_id).eqNullSafe(F.col(leak)), "left_anti")

@@ -7,6 +7,8 @@ costs a fraction of tokenizing it again.
 
 from __future__ import annotations
 
+from functools import lru_cache
+
 import numpy as np
 
 # Words kept per Python worker: about 130 MB when full; the cache then starts anew.
@@ -79,3 +81,9 @@ class WordIds:
             if len(self.parts) <= self.limit and len(part) < 200:
                 self.parts[part] = ids
         return ids
+
+
+@lru_cache(maxsize=1)
+def word_ids(path: str) -> WordIds:
+    """The encoder of this Python worker: its cache serves all tasks the worker runs."""
+    return WordIds(path)

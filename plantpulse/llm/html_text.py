@@ -264,8 +264,15 @@ def _aligned(grid: list) -> list[str]:
     size = {c: 0 for c in used}
     for row in grid:
         for c, (lines, n) in row.items():
-            if n == 1 or c == used[-1]:
+            if n == 1:
                 size[c] = max(size[c], *map(width, lines))
+    # A cell over several columns that is wider than they are widens the last of them.
+    for row in grid:
+        for c, (lines, n) in row.items():
+            over = [u for u in used if c <= u < c + n]
+            lack = max(map(width, lines), default=0) - sum(size[u] + 2 for u in over) + 2
+            if lack > 0:
+                size[over[-1]] += lack
     start, at = {}, 0
     for c in used:
         start[c] = at

@@ -38,6 +38,8 @@ HEAD_ONLY = {"title", "meta", "link", "base", "style", "script", "noscript", "te
 # Deeper elements become children of the last one allowed, as in browsers; no text is lost.
 MAX_DEPTH = 120
 
+# A tag that the page's end cuts off shows nothing.
+_CUT_OFF = re.compile(r"</?[a-zA-Z]")
 _RULE = re.compile(r"([^{}]+)\{([^{}]*)\}")
 _SIMPLE = re.compile(r"^([\w-]+|\*)?((?:[.#][\w-]+)*)$")
 
@@ -136,6 +138,9 @@ class TreeBuilder(HTMLParser):
 def build_tree(html: str) -> tuple[Node, list]:
     """The root element and the style sheets' visibility rules."""
     builder = TreeBuilder()
+    last = html.rfind("<")
+    if last > html.rfind(">") and _CUT_OFF.match(html, last):
+        html = html[:last]
     builder.feed(html)
     builder.close()
     return builder.root, visibility_rules("\n".join(builder.sheets))

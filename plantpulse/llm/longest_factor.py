@@ -15,8 +15,10 @@ No machine can hold one suffix array of the corpus, so windows are first brought
    next smaller places in that order: a window has an earlier match exactly when its left
    neighbour agrees with it for ``length`` bytes, and a later one when its right does.
 
-An anchor with more than ``crowd`` different segments is not sorted in one task; its windows
-are hashed one by one and counted in an aggregation, which no key can overload.
+An anchor with more than ``crowd`` different segments is not sorted in one task.  Its
+segments are cut into chunks of windows that settle each other like segments, and where
+chunks agree in part their windows are hashed one by one and counted in an aggregation,
+which no key can overload.
 """
 
 from __future__ import annotations
@@ -80,10 +82,10 @@ def sliding_least(values: np.ndarray, width: int) -> np.ndarray:
 
 
 def segments(raw: np.ndarray, ends: np.ndarray, grams: Grams, length: int):
-    """(first window, last window, anchor hash) of the segments of texts laid end to end."""
+    """(first window, last window, anchor) and the anchor hash of the segments of texts laid end to end."""
     if len(raw) < length:
         none = np.zeros(0, dtype=np.int64)
-        return none, none, none.view(np.uint64)
+        return none, none, none, none.view(np.uint64)
     h = grams(raw)
     mark = np.uint64((1 << _PLACE_BITS) - 1)
     least = sliding_least((h & ~mark) | np.arange(len(h), dtype=np.uint64), length - grams.gram + 1)
@@ -97,11 +99,12 @@ def segments(raw: np.ndarray, ends: np.ndarray, grams: Grams, length: int):
     last = np.append(first[1:], len(anchor)) - 1
     real = whole[first]
     first, last = first[real], last[real]
-    return first, last, h[anchor[first]]
+    return first, last, anchor[first], h[anchor[first]]
 
 
 def _find_segments(length: int, gram: int):
-    """Rows of (h, digest, doc_id, text_key, start, more, n): ``more`` windows after the first.
+    """Rows of (h, digest, doc_id, text_key, start, more, lead, n): ``more`` windows after the
+    first, the anchor ``lead`` bytes after the start.
 
     Segments that a text repeats are one row with their count and first place; their other
     places follow as rows with digest null, which are known to be repeated.
@@ -110,14 +113,14 @@ def _find_segments(length: int, gram: int):
         grams = Grams(gram, PIECE + 2 * length)
         digest = xxhash.xxh3_64_intdigest
         for batch in small_batches(batches):
-            owner, start, more, hashes, digests, counts = [], [], [], [], [], []
+            owner, start, more, lead, hashes, digests, counts = ([] for _ in range(7))
             seen: dict[tuple[int, int, int], int] = {}
 
             def settle(raw: bytes, of: list[int], base: list[int], ends: list[int]) -> None:
-                first, last, h = segments(np.frombuffer(raw, np.uint8), np.array(ends), grams, length)
+                first, last, anchor, h = segments(np.frombuffer(raw, np.uint8), np.array(ends), grams, length)
                 text = np.searchsorted(np.array(ends), first, side="right").tolist()
                 begins = [0, *ends[:-1]]
-                for s, e, key, t in zip(first.tolist(), last.tolist(), h.tolist(), text):
+                for s, e, a, key, t in zip(first.tolist(), last.tolist(), anchor.tolist(), h.tolist(), text):
                     same = digest(raw[s:e + length])
                     at = s - begins[t] + base[t]
                     known = seen.setdefault((of[t], key, same), len(owner))
@@ -127,6 +130,7 @@ def _find_segments(length: int, gram: int):
                     owner.append(of[t])
                     start.append(at)
                     more.append(e - s)
+                    lead.append(a - s)
                     hashes.append(key)
                     digests.append(None if repeat else same)
                     counts.append(0 if repeat else 1)
@@ -157,7 +161,7 @@ def _find_segments(length: int, gram: int):
                 "doc_id": batch.column("doc_id").take(picked),
                 "text_key": batch.column("text_key").take(picked),
                 "start": pa.array(start, pa.int64()), "more": pa.array(more, pa.int32()),
-                "n": pa.array(counts, pa.int32()),
+                "lead": pa.array(lead, pa.int32()), "n": pa.array(counts, pa.int32()),
             })
 
     return run
@@ -251,24 +255,66 @@ def _sort_segments(length: int, later_too: bool):
     return run
 
 
+def _cut_chunks(length: int, step: int):
+    """Windows of a segment in chunks by their distance from the anchor.
+
+    ``core`` is the digest of the bytes that every window of a whole chunk has, so chunks
+    with equal windows have equal cores; ``same`` is the digest of the chunk's own bytes.
+    """
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        digest = xxhash.xxh3_64_intdigest
+        for batch in small_batches(batches):
+            row, core, same, start, more = [], [], [], [], []
+            columns = (batch.column(c).to_pylist() for c in ("bytes", "start", "lead"))
+            for i, (body, begin, lead) in enumerate(zip(*columns)):
+                last = len(body) - length
+                at = 0
+                while at <= last:
+                    chunk = (lead - at) // step
+                    to = min(last, lead - chunk * step)
+                    # The whole chunk's windows start from lead - step * (chunk + 1) + 1 on.
+                    low, high = lead - chunk * step, lead - step * (chunk + 1) + 1 + length
+                    row.append(i)
+                    core.append(digest(body[low:high], chunk))
+                    same.append(digest(body[at:to + length], chunk))
+                    start.append(begin + at)
+                    more.append(to - at)
+                    at = to + 1
+            picked = pa.array(row, pa.int32())
+            yield pa.RecordBatch.from_pydict({
+                "h": batch.column("h").take(picked), "core": _signed(core), "same": _signed(same),
+                "doc_id": batch.column("doc_id").take(picked), "text_key": batch.column("text_key").take(picked),
+                "start": pa.array(start, pa.int64()), "segment": batch.column("start").take(picked),
+                "more": pa.array(more, pa.int32()),
+            })
+
+    return run
+
+
+def _signed(hashes: list[int]) -> pa.Array:
+    return pa.array(np.array(hashes, dtype=np.uint64).view(np.int64))
+
+
 def _hash_windows(length: int):
-    """A row per window of a segment."""
+    """A row per window of the wanted chunks of a segment."""
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         digest = xxhash.xxh3_64_intdigest
         for batch in small_batches(batches):
             row, place, found = [], [], []
-            starts = batch.column("start").to_pylist()
-            for i, body in enumerate(batch.column("bytes").to_pylist()):
-                n = len(body) - length + 1
-                row += [i] * n
-                place += range(starts[i], starts[i] + n)
-                found += [digest(body[p:p + length]) for p in range(n)]
+            columns = (batch.column(c).to_pylist() for c in ("bytes", "start", "wanted"))
+            for i, (body, begin, wanted) in enumerate(zip(*columns)):
+                for one in wanted:
+                    first = one["start"]
+                    for p in range(first, first + one["more"] + 1):
+                        row.append(i)
+                        place.append(p)
+                        found.append(digest(body[p - begin:p - begin + length]))
             picked = pa.array(row, pa.int32())
-            yield pa.RecordBatch.from_arrays(
-                [batch.column("h").take(picked), pa.array(np.array(found, dtype=np.uint64).view(np.int64)),
-                 batch.column("doc_id").take(picked), batch.column("text_key").take(picked),
-                 pa.array(place, pa.int64())], ["h", "window", "doc_id", "text_key", "start"],
-            )
+            yield pa.RecordBatch.from_pydict({
+                "h": batch.column("h").take(picked), "window": _signed(found),
+                "doc_id": batch.column("doc_id").take(picked), "text_key": batch.column("text_key").take(picked),
+                "start": pa.array(place, pa.int64()), "segment": batch.column("start").take(picked),
+            })
 
     return run
 
@@ -277,25 +323,47 @@ def _fetch(length: int):
     """Bytes of the wanted segments of each text."""
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in small_batches(batches):
-            row, keys, crowds, starts, bodies = [], [], [], [], []
+            row, found, bodies = [], [], []
             for i, (body, wanted) in enumerate(zip(batch.column("text").to_pylist(), batch.column("wanted").to_pylist())):
                 data = (body or "").encode("utf-8", "surrogatepass")
                 for one in wanted:
                     row.append(i)
-                    keys.append(one["h"])
-                    crowds.append(one["crowded"])
-                    starts.append(one["start"])
+                    found.append(one)
                     bodies.append(data[one["start"]:one["start"] + one["more"] + length])
             picked = pa.array(row, pa.int32())
-            yield pa.RecordBatch.from_arrays(
-                [pa.array(keys, pa.int64()), pa.array(crowds, pa.bool_()), batch.column("doc_id").take(picked),
-                 batch.column("text_key").take(picked), pa.array(starts, pa.int64()), pa.array(bodies, pa.binary())],
-                ["h", "crowded", "doc_id", "text_key", "start", "bytes"],
-            )
+            column = lambda name, kind: pa.array([one[name] for one in found], kind)
+            yield pa.RecordBatch.from_pydict({
+                "h": column("h", pa.int64()), "crowded": column("crowded", pa.bool_()),
+                "lead": column("lead", pa.int32()), "doc_id": batch.column("doc_id").take(picked),
+                "text_key": batch.column("text_key").take(picked), "start": column("start", pa.int64()),
+                "bytes": pa.array(bodies, pa.binary()),
+            })
 
     return run
 
 
+_PLACE = ["doc_id", "text_key", "start"]
+
+
+def _settle(
+    rows: DataFrame, kinds: DataFrame, keys: list[str], keep_first: bool, total: int
+) -> DataFrame:
+    """The rows that a row with equal ``keys`` matches; with ``keep_first`` an earlier one.
+
+    ``kinds`` has the keys, ``size`` and ``first`` (the smallest place) of every group.
+    """
+    groups = kinds.filter("size > 1").select(F.struct(*keys).alias("_kind"), "size", F.col("first").alias("_first"))
+    marked = rows.withColumns({"_kind": F.struct(*keys), "_spread": F.xxhash64(*_PLACE)})
+    met = attach_groups(marked, groups, "_kind", "size", total, "_spread").filter("size is not null")
+    return met.filter(F.struct(*_PLACE) > F.col("_first")) if keep_first else met
+
+
+def _of_own(df: DataFrame, wanted: DataFrame, keys: list[str]) -> DataFrame:
+    """Join a list column ``wanted`` by keys that may be null."""
+    named = wanted.select(F.struct(*keys).alias("_own"), "wanted")
+    return df.withColumn("_mine", F.struct(*keys)).join(named, F.col("_mine") == F.col("_own")).drop("_mine", "_own")
+
+
 def repeated_stretches(
     docs: DataFrame, scratch: Scratch, length: int = LENGTH, gram: int = GRAM, keep_first: bool = False,
     crowd: int = CROWD,
@@ -305,70 +373,86 @@ def repeated_stretches(
     ``docs`` has doc_id, text_key and text.  The first of equal windows is the one with the
     smallest (doc_id, text_key, place).
     """
-    kind = dict(docs.dtypes)["doc_id"]
-    where = f"doc_id {kind}, text_key long, start long"
-    rows = docs.mapInArrow(
-        _find_segments(length, gram), f"h long, digest long, {where}, more int, n int"
-    )
-    rows = scratch.write(rows, "segments")
+    where = f"doc_id {dict(docs.dtypes)['doc_id']}, text_key long, start long"
+    rows = scratch.write(docs.mapInArrow(
+        _find_segments(length, gram), f"h long, digest long, {where}, more int, lead int, n int"
+    ), "segments")
+    # A segment's repeats inside its text are known to match; the first stands for them.
     once = rows.filter("digest is not null")
-    same = scratch.write(
+    kinds = scratch.write(
         once.groupBy("h", "digest").agg(
-            F.sum("n").alias("size"), F.min(F.struct("doc_id", "text_key", "start")).alias("first"),
-            F.first("more").alias("more"),
-        ), "same",
-    )
-    anchors = scratch.write(
-        same.groupBy("h").agg(F.count("*").alias("kinds")).filter("kinds > 1"), "anchors"
+            F.sum("n").alias("size"), F.min(F.struct(*_PLACE)).alias("first"),
+            F.max(F.struct("more", "lead")).alias("shape"),
+        ), "kinds",
     )
     stop = (F.col("start") + F.col("more") + length).alias("stop")
-    within = rows.filter("digest is null").select("doc_id", "text_key", "start", stop)
-    # Equal segments.  Repeats inside one text came as one row of count n.
-    counted = same.filter("size > 1").select(
-        F.struct("h", "digest").alias("segment"), "size", F.col("first").alias("first_place")
+    within = rows.filter("digest is null").select(*_PLACE, stop)
+    equal = _settle(once, kinds, ["h", "digest"], keep_first, rows.count()).select(*_PLACE, stop)
+    # Where an anchor has several kinds of segments, one of each kind is looked at.
+    anchors = scratch.write(
+        kinds.groupBy("h").agg(F.count("*").alias("size")).filter("size > 1"), "anchors"
     )
-    placed = attach_groups(
-        once.withColumns({"segment": F.struct("h", "digest"), "spread": F.xxhash64("doc_id", "text_key", "start")}),
-        counted, "segment", "size", rows.count(), "spread",
+    varied = attach_groups(
+        kinds.select("h", "digest", "first", "shape"), anchors, "h", "size", kinds.count(), "digest"
     ).filter("size is not null")
-    if keep_first:
-        placed = placed.filter(F.struct("doc_id", "text_key", "start") > F.col("first_place"))
-    equal = placed.select("doc_id", "text_key", "start", stop)
-    # One segment of each kind, where an anchor has several kinds.
-    varied = attach_groups(same, anchors, "h", "kinds", same.count(), "digest").filter("kinds is not null")
-    wanted = (
-        varied.select("first.*", "h", "more", (F.col("kinds") > crowd).alias("crowded"))
-        .groupBy("doc_id", "text_key").agg(F.collect_list(F.struct("h", "start", "more", "crowded")).alias("wanted"))
-    )
-    wanted = wanted.withColumnsRenamed({"doc_id": "own_id", "text_key": "own_key"})
-    match = F.col("doc_id").eqNullSafe(F.col("own_id")) & (F.col("text_key") == F.col("own_key"))
-    texts = docs.join(wanted, match).select("doc_id", "text_key", "text", "wanted")
-    fetched = scratch.write(
-        texts.mapInArrow(_fetch(length), f"h long, crowded boolean, {where}, bytes binary"), "fetched", "crowded",
-    )
+    wanted = varied.select("first.*", "shape.*", "h", (F.col("size") > crowd).alias("crowded")).groupBy(
+        "doc_id", "text_key"
+    ).agg(F.collect_list(F.struct("h", "start", "more", "lead", "crowded")).alias("wanted"))
+    fetched = scratch.write(_of_own(docs, wanted, ["doc_id", "text_key"]).mapInArrow(
+        _fetch(length), f"h long, crowded boolean, lead int, {where}, bytes binary"
+    ), "fetched", "crowded")
     parts = int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions"))
-    sorted_ = (
-        fetched.filter("not crowded").drop("crowded").repartition(parts, "h")
-        .sortWithinPartitions("h", "doc_id", "text_key", "start")
-        .mapInArrow(_sort_segments(length, not keep_first), f"{where}, stop long")
-    )
-    windows = scratch.write(
-        fetched.filter("crowded").drop("crowded").mapInArrow(
-            _hash_windows(length), f"h long, window long, {where}").distinct(), "windows",
-    )
-    many = scratch.write(
-        windows.groupBy("h", "window").agg(
-            F.count("*").alias("size"), F.min(F.struct("doc_id", "text_key", "start")).alias("first_place")
-        ).filter("size > 1").select(F.struct("h", "window").alias("both"), "size", "first_place"), "many",
+    few = fetched.filter("not crowded").drop("crowded")
+    many = fetched.filter("crowded").drop("crowded")
+    ordered = few.repartition(parts, "h").sortWithinPartitions("h", *_PLACE)
+    looked = ordered.mapInArrow(_sort_segments(length, not keep_first), f"{where}, stop long")
+    crowds = _crowded_stretches(many, scratch, where, length, keep_first)
+    return within.unionAll(equal).unionAll(looked).unionAll(crowds)
+
+
+def _crowded_stretches(
+    segments_: DataFrame, scratch: Scratch, where: str, length: int, keep_first: bool
+) -> DataFrame:
+    """Matched stretches among the segments of anchors that have too many to sort together.
+
+    Chunks of windows settle each other as whole segments do; only windows of chunks that
+    share a core with a different chunk are hashed one by one.
+    """
+    step = max(1, length // 8)
+    chunks = scratch.write(segments_.mapInArrow(
+        _cut_chunks(length, step), f"h long, core long, same long, {where}, segment long, more int"
+    ).distinct(), "chunks")
+    kinds = scratch.write(chunks.groupBy("h", "core", "same").agg(
+        F.count("*").alias("size"), F.min(F.struct(*_PLACE)).alias("first"),
+        F.min(F.struct(*_PLACE, "segment", "more")).alias("one"),
+    ), "chunk-kinds")
+    stop = (F.col("start") + F.col("more") + length).alias("stop")
+    equal = _settle(chunks, kinds, ["h", "core", "same"], keep_first, chunks.count()).select(*_PLACE, stop)
+    cores = scratch.write(
+        kinds.groupBy("h", "core").agg(F.count("*").alias("size")).filter("size > 1")
+        .select(F.struct("h", "core").alias("_core"), "size"), "cores",
     )
-    hashed = attach_groups(
-        windows.withColumns({"both": F.struct("h", "window"), "spread": F.xxhash64("doc_id", "text_key", "start")}),
-        many, "both", "size", windows.count(), "spread",
-    ).filter("size is not null")
-    if keep_first:
-        hashed = hashed.filter(F.struct("doc_id", "text_key", "start") > F.col("first_place"))
-    hashed = hashed.select("doc_id", "text_key", "start", (F.col("start") + length).alias("stop"))
-    return within.unionAll(equal).unionAll(sorted_).unionAll(hashed)
+    varied = attach_groups(
+        kinds.select(F.struct("h", "core").alias("_core"), "same", "one"), cores, "_core", "size",
+        kinds.count(), "same",
+    ).filter("size is not null").select("_core.h", "one.*")
+    wanted = varied.groupBy("h", "doc_id", "text_key", "segment").agg(
+        F.collect_list(F.struct("start", "more")).alias("wanted")
+    ).withColumnRenamed("segment", "start")
+    windows = scratch.write(_of_own(segments_, wanted, ["h", *_PLACE]).mapInArrow(
+        _hash_windows(length), f"h long, window long, {where}, segment long"
+    ).distinct(), "windows")
+    found = scratch.write(windows.groupBy("h", "window").agg(
+        F.count("*").alias("size"), F.min(F.struct(*_PLACE)).alias("first")
+    ), "window-kinds")
+    hit = _settle(windows, found, ["h", "window"], keep_first, windows.count())
+    # A segment has fewer windows than its anchor's gram leaves room for: short lists.
+    places = hit.groupBy("doc_id", "text_key", "segment").agg(F.sort_array(F.collect_list("start")).alias("p"))
+    first = F.expr("filter(p, (x, i) -> i = 0 or p[i - 1] < x - 1)")
+    last = F.expr("filter(p, (x, i) -> i = size(p) - 1 or p[i + 1] > x + 1)")
+    runs = places.select("doc_id", "text_key", F.explode(F.arrays_zip(first.alias("a"), last.alias("b"))).alias("r"))
+    single = runs.select("doc_id", "text_key", F.col("r.a").alias("start"), (F.col("r.b") + length).alias("stop"))
+    return equal.unionAll(single)
 
 
 def remove_repeats(
@@ -390,12 +474,14 @@ def remove_repeats(
         F.col(doc_id).alias("doc_id"), F.xxhash64(text).alias("text_key"), F.col(text).alias("text")
     )
     found = scratch.write(repeated_stretches(source, scratch, length, gram, keep_first, crowd), "stretches")
-    scratch.drop("segments", "same", "anchors", "fetched", "windows", "many")
+    scratch.drop("segments", "kinds", "anchors", "fetched")
+    scratch.drop("chunks", "chunk-kinds", "cores", "windows", "window-kinds")
     spans = found.groupBy("doc_id", "text_key").agg(
         F.collect_list("start").alias("starts"), F.collect_list("stop").alias("stops")
-    ).withColumnsRenamed({"doc_id": "own_id", "text_key": "own_key"})
-    match = F.col("doc_id").eqNullSafe(F.col("own_id")) & (F.col("text_key") == F.col("own_key"))
-    joined = source.join(spans, match, "left").select("doc_id", "text", "starts", "stops")
+    ).select(F.struct("doc_id", "text_key").alias("own"), "starts", "stops")
+    joined = source.join(spans, F.struct("doc_id", "text_key") == F.col("own"), "left").select(
+        "doc_id", "text", "starts", "stops"
+    )
     kind = dict(source.dtypes)["doc_id"]
     cut = joined.mapInArrow(
         _cut, f"doc_id {kind}, n_bytes long, n_removed long, n_spans long, kept binary"

@@ -73,7 +73,7 @@ def test_equal_windows_have_equal_anchors():
     rng = random.Random(13)
     raw = bytes(rng.choices(b"abc", k=4000))
     data = np.frombuffer(raw + raw[1000:1500] + raw, dtype=np.uint8)
-    first, last, h = segments(data, np.array([len(data)]), Grams(8, len(data)), 30)
+    first, last, anchor, h = segments(data, np.array([len(data)]), Grams(8, len(data)), 30)
     assert first[0] == 0 and last[-1] == len(data) - 30 and (first[1:] == last[:-1] + 1).all()
     owner = np.repeat(h, last - first + 1)
     by_window = {}

@@ -36,6 +36,7 @@ MIN_SUPPORT = 8
 MIN_PRECISION = 0.9
 MIN_CERTAINTY = 0.6
 LONG_WORD = 8
+MANY_WORDS = 12
 COVER = 8
 MAX_ODDS = 6.0
 FOLDS, HELD_OUT = 5, 0
@@ -108,11 +109,13 @@ def _entries(text: str) -> set[str]:
 
 def _once(texts: list[str]) -> list[int]:
     """Rows without copies and near copies: no row shares one of three minima of the hashes
-    of its long words with an earlier row."""
+    of its long words with an earlier row.  Texts of few long words are copies if equal."""
     seen: set[tuple[int, int]] = set()
     rows = []
     for n, text in enumerate(texts):
-        words = [w.encode() for w in _WORD.findall(text.lower()) if len(w) >= LONG_WORD] or [text.encode()]
+        words = {w.encode() for w in _WORD.findall(text.lower()) if len(w) >= LONG_WORD}
+        if len(words) < MANY_WORDS:
+            words = {text.encode("utf-8", "surrogatepass")}
         keys = [(k, min(zlib.crc32(w, k) for w in words)) for k in range(3)]
         if not any(key in seen for key in keys):
             rows.append(n)
@@ -228,13 +231,16 @@ def fit(texts: list[str], toxic: np.ndarray) -> ToxicityModel:
     The given labels are one more voter: its accuracy is estimated like the others', so a
     wrong label is outvoted by what the text says.
     """
+    if not len(texts) or not toxic.any():
+        # Nothing to learn from: no text is called toxic.
+        return ToxicityModel([], np.zeros(len(PATTERNS)), -4.0, np.zeros((0, 2)), np.zeros((0, 0)), 0.0)
     entries = mine_lexicon(texts, toxic)
     lexicon = Lexicon(entries)
     x = np.zeros((len(texts), len(entries) + len(PATTERNS)))
     for n, text in enumerate(texts):
         for i, value in features(text, lexicon).items():
             x[n, i] = value
-    prior = float(np.clip(toxic.mean(), 0.01, 0.99)) if len(toxic) else 0.1
+    prior = float(np.clip(toxic.mean(), 0.01, 0.99))
     votes = np.hstack([np.sign(x), np.where(toxic > 0, 1.0, -1.0)[:, None]])
     votes[:, len(entries) + PATTERNS.index("none")] *= -1
     posterior, odds, related = label_model(votes, np.where(toxic > 0, 0.8, 0.05), prior)

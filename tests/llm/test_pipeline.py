@@ -37,11 +37,18 @@ def test_stages_keep_the_columns(stages):
         assert df.dtypes == stages[0].dtypes
 
 
-def test_toxicity_keeps_clean_documents(spark, stages):
-    before, after = dict(pairs(stages[0])), dict(pairs(stages[1]))
-    assert after.items() <= before.items() and len(after) >= 0.85 * len(before)
-    insults = ("idiot", "moron", "scum", "pathetic")
-    assert not any(f" {w} " in t for t in after.values() for w in insults)
+def test_toxicity_takes_insults_and_keeps_clean_documents(spark):
+    sf = "/root/testdata/sf0.01"
+    docs = spark.read.parquet(f"{sf}/documents.parquet")
+    before, after = dict(pairs(docs)), dict(pairs(corpus_pipeline.toxicity(spark, docs, sf)))
+    assert after.items() <= before.items()
+    insults = {"idiot", "moron", "scum", "pathetic", "worthless", "clown", "stupid", "loser", "trash"}
+    rude = {i for i, t in before.items() if insults & set(t.lower().split())}
+    clean = {
+        r["doc_id"] for r in spark.read.parquet(f"{sf}/labels.parquet").filter("toxic = 0").collect()
+    }
+    assert len(rude & after.keys()) <= 0.1 * len(rude)
+    assert len(clean & after.keys()) >= 0.98 * len(clean)
 
 
 def test_lines(stages):

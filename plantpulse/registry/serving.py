@@ -7,11 +7,12 @@ from pyspark.sql import functions as F
 from plantpulse.models.linear import LinearFit
 from plantpulse.operators.drift import binned_counts, reference_cuts
 from plantpulse.plans.scoring import score_records, service_counters, validate_records
+from plantpulse.session import scratch_path
 from plantpulse.registry.views import naive, rounded, table
 from plantpulse.sources.bundle import ScoringBundle
 from plantpulse.sources.sinks import json_rows
 from plantpulse.streaming.jobs import (
-    drain_append, drain_complete, file_stream, first_per_key, resample, scored_stream, windowed_bins,
+    drain_append, file_stream, first_per_key, quarantined_stream, resample, scored_stream, windowed_bins,
     windowed_counters, windowed_drift,
 )
 from plantpulse.streaming.lags import streaming_lags
@@ -37,9 +38,23 @@ def _records(df):
     )
 
 
+# Parts of the event table that arrive one after the other, and files of each.
+_ARRIVALS, _FILES = 3, 4
+
+
 def _stream(spark, sf):
-    schema = table(spark, sf, "events").schema
-    return _records(file_stream(spark, sf, schema, "events.parquet"))
+    """The events in three arrivals in time order, a micro-batch each."""
+    events = table(spark, sf, "events")
+    path = scratch_path(spark, "arrivals")
+    cuts = events.select(F.percentile_approx(
+        F.unix_micros(F.col("ts").cast("timestamp")), [i / _ARRIVALS for i in range(1, _ARRIVALS)]
+    )).first()[0]
+    stamp = F.unix_micros(F.col("ts").cast("timestamp"))
+    for low, high in zip([None, *cuts], [*cuts, None]):
+        part = events if low is None else events.filter(stamp > low)
+        part = part if high is None else part.filter(stamp <= high)
+        part.repartition(_FILES).write.mode("append").parquet(path)
+    return _records(file_stream(spark, path, events.schema, "*.parquet", _FILES))
 
 
 def validated(spark, sf):
@@ -77,17 +92,22 @@ def stream_score(spark, sf):
     return drain_append(stream, "scored")
 
 
+def stream_quarantine(spark, sf):
+    rejected = quarantined_stream(_stream(spark, sf), FIELDS, OBSERVED)
+    return drain_append(rejected.select("event_id", F.array_join("reject_reason", ",").alias("motivo")), "rejected")
+
+
 def stream_counters(spark, sf):
     scored = scored_stream(_stream(spark, sf), BUNDLE, FIELDS, OBSERVED, ["Time"])
-    done = drain_complete(windowed_counters(scored, "Time"), "counters")
+    done = drain_append(windowed_counters(scored, "Time"), "counters")
     return done.select(naive("inicio").alias("inicio"), "predicciones", "anomalias")
 
 
 def stream_dedup(spark, sf):
-    minute = _stream(spark, sf).select(F.date_trunc("minute", "Time").alias("Time"), "event_type")
-    kept = first_per_key(minute, ["event_type", "Time"], "Time", "60 days")
+    minute = _stream(spark, sf).select(F.date_trunc("minute", "Time").alias("Time"), "event_type", "event_id", "k")
+    kept = first_per_key(minute, ["event_type", "Time"], "Time", "event_id", "2 hours")
     done = drain_append(kept, "dedup")
-    return done.select(naive("Time").alias("Time"), "event_type")
+    return done.select(naive("Time").alias("Time"), "event_type", "event_id", "k")
 
 
 def stream_resample(spark, sf):
@@ -95,17 +115,17 @@ def stream_resample(spark, sf):
     grid = resample(stream, "Time", "1 hour", ["event_type"], [
         F.count("*").alias("n"), F.max("k").alias("k_max"),
     ])
-    return drain_complete(grid, "grid").select(naive("Time").alias("Time"), "event_type", "n", "k_max")
+    return drain_append(grid, "grid").select(naive("Time").alias("Time"), "event_type", "n", "k_max")
 
 
 def stream_drift(spark, sf):
     end = F.lit(_REFERENCE_END).cast("timestamp")
     features = ["k", "user_id"]
     reference = _records(table(spark, sf, "events")).filter(F.col("Time") < end)
-    cuts = reference_cuts(reference, features).persist()
+    cuts = reference_cuts(reference, features)
     held = binned_counts(reference, features, cuts, F.lit(True))
     current = _stream(spark, sf).filter(F.col("Time") >= end)
-    bins = drain_complete(windowed_bins(current, "Time", features, cuts, "7 days"), "bins")
+    bins = drain_append(windowed_bins(current, "Time", features, cuts, "7 days"), "bins")
     drift = windowed_drift(bins, held, cuts)
     return rounded(drift.withColumn("inicio", naive("inicio")))
 
@@ -148,7 +168,8 @@ placed AS (
          CASE WHEN x >= c[1] AND x <= c[len(c)]
               THEN least(len(list_filter(c, lambda e: e <= x)), len(c) - 1) - 1 END AS b
   FROM long JOIN cuts ON long.v = cuts.v),
-wins AS (SELECT v, w, count(*) AS n FROM placed WHERE NOT ref GROUP BY 1, 2),
+wins AS (SELECT v, w, count(*) AS n FROM placed WHERE NOT ref GROUP BY 1, 2
+  HAVING w + INTERVAL 7 DAY <= (SELECT max("Time") FROM rec) - INTERVAL 1 DAY),
 frame AS (SELECT wins.v, w, n, unnest(range(len(c) - 1)) AS b FROM wins JOIN cuts ON wins.v = cuts.v),
 n AS (
   SELECT f.v, f.w, f.n, f.b, (SELECT count(*) FROM placed p WHERE p.ref AND p.v = f.v AND p.b = f.b) AS r,
@@ -170,6 +191,7 @@ QUERIES = {
     "scored_json": scored_json,
     "score_counters": score_counters,
     "stream_score": stream_score,
+    "stream_quarantine": stream_quarantine,
     "stream_counters": stream_counters,
     "stream_dedup": stream_dedup,
     "stream_resample": stream_resample,
@@ -191,10 +213,19 @@ SELECT count(*) AS predicciones, count(*) FILTER (coalesce(anomalia, false)) AS
     "stream_score": _SCORED_SQL,
     "stream_counters": f"""WITH {_REC_SQL}
 SELECT date_trunc('hour', "Time") AS inicio, count(*) AS predicciones,
-  count(*) FILTER (coalesce(value - b > 100, false)) AS anomalias FROM sc GROUP BY 1""",
-    "stream_dedup": """SELECT DISTINCT date_trunc('minute', ts) AS "Time", event_type FROM events""",
+  count(*) FILTER (coalesce(value - b > 100, false)) AS anomalias FROM sc GROUP BY 1
+HAVING date_trunc('hour', "Time") + INTERVAL 1 HOUR <= (SELECT max("Time") FROM sc) - INTERVAL 2 HOUR""",
+    "stream_quarantine": f"""WITH {_REC_SQL}, m AS (
+  SELECT event_id, concat_ws(',', CASE WHEN NOT k BETWEEN 0 AND 95 THEN 'k' END,
+    CASE WHEN NOT user_id BETWEEN 0 AND 1000000 THEN 'user_id' END,
+    CASE WHEN NOT value BETWEEN 0 AND 200 THEN 'value' END) AS motivo FROM rec)
+SELECT * FROM m WHERE motivo <> ''""",
+    "stream_dedup": f"""WITH {_REC_SQL}, m AS (SELECT date_trunc('minute', "Time") AS "Time", event_type, event_id, k FROM rec)
+SELECT "Time", event_type, min(event_id) AS event_id, arg_min(k, event_id) AS k FROM m GROUP BY 1, 2
+HAVING "Time" <= (SELECT max("Time") FROM m) - INTERVAL 2 HOUR""",
     "stream_resample": f"""WITH {_REC_SQL}
-SELECT date_trunc('hour', "Time") AS "Time", event_type, count(*) AS n, max(k) AS k_max FROM rec GROUP BY 1, 2""",
+SELECT date_trunc('hour', "Time") AS "Time", event_type, count(*) AS n, max(k) AS k_max FROM rec GROUP BY 1, 2
+HAVING date_trunc('hour', "Time") + INTERVAL 1 HOUR <= (SELECT max("Time") FROM rec) - INTERVAL 1 DAY""",
     "stream_drift": _drift_sql(),
     "stream_lags": f"""WITH {_REC_SQL}
 SELECT event_id, k,

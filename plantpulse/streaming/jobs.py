@@ -11,10 +11,14 @@ from plantpulse.session import scratch_path
 from plantpulse.sources.bundle import ScoringBundle
 
 
-def file_stream(spark: SparkSession, path: str, schema, pattern: str | None = None) -> DataFrame:
+def file_stream(
+    spark: SparkSession, path: str, schema, pattern: str | None = None, files_per_batch: int | None = None
+) -> DataFrame:
     reader = spark.readStream.schema(schema)
     if pattern:
         reader = reader.option("pathGlobFilter", pattern)
+    if files_per_batch:
+        reader = reader.option("maxFilesPerTrigger", files_per_batch)
     return reader.parquet(path)
 
 
@@ -33,6 +37,12 @@ def scored_stream(
     return score_records(accepted, bundle, fields, observed[0], keep)
 
 
+def quarantined_stream(records: DataFrame, fields: dict, observed: tuple) -> DataFrame:
+    """The records that ``scored_stream`` leaves out, with their ``reject_reason``."""
+    _, rejected = validate_records(records, fields, observed)
+    return rejected
+
+
 def windowed_counters(
     scored: DataFrame, time: str, width: str = "1 hour", delay: str = "2 hours"
 ) -> DataFrame:
@@ -43,9 +53,18 @@ def windowed_counters(
     return by_window.select(F.col("_w.start").alias("inicio"), "predicciones", "anomalias")
 
 
-def first_per_key(stream: DataFrame, keys: list[str], time: str, delay: str = "2 hours") -> DataFrame:
-    """Keep the first arrival per key; state is dropped once the watermark passes."""
-    return stream.withWatermark(time, delay).dropDuplicatesWithinWatermark(keys)
+def first_per_key(
+    stream: DataFrame, keys: list[str], time: str, order: str, delay: str = "2 hours"
+) -> DataFrame:
+    """The row with the smallest ``order`` per key; ``time`` is one of the keys.
+
+    A key is final, and its state dropped, once the watermark has passed its time.
+    """
+    rest = [c for c in stream.columns if c not in keys]
+    first = stream.withWatermark(time, delay).groupBy(*keys).agg(
+        F.min_by(F.struct(*rest), F.col(order)).alias("_row")
+    )
+    return first.select(*keys, *[F.col("_row")[c].alias(c) for c in rest])
 
 
 def windowed_bins(
@@ -77,7 +96,11 @@ def windowed_drift(
 
 
 def drain_append(stream: DataFrame, label: str) -> DataFrame:
-    """Run a stream over what is available, into Parquet files, and read them back."""
+    """Run a stream over what is available, into Parquet files, and read them back.
+
+    Aggregates come out when the watermark passes them; what it has not passed stays in the
+    state and is not in the result.
+    """
     spark = stream.sparkSession
     out = scratch_path(spark, label)
     query = start_append(stream, out, scratch_path(spark, f"{label}-state"), available_now=True)
@@ -90,22 +113,3 @@ def start_append(stream: DataFrame, out: str, state: str, available_now: bool =
     if available_now:
         writer = writer.trigger(availableNow=True)
     return writer.start(out)
-
-
-def drain_complete(stream: DataFrame, label: str) -> DataFrame:
-    """Run an aggregate over what is available; every batch replaces the result table."""
-    spark = stream.sparkSession
-    out = scratch_path(spark, label)
-
-    def replace(batch: DataFrame, _epoch: int) -> None:
-        batch.write.mode("overwrite").parquet(out)
-
-    query = (
-        stream.writeStream.outputMode("complete")
-        .option("checkpointLocation", scratch_path(spark, f"{label}-state"))
-        .trigger(availableNow=True)
-        .foreachBatch(replace)
-        .start()
-    )
-    query.awaitTermination()
-    return spark.read.schema(stream.schema).parquet(out)

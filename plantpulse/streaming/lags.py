@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import numpy as np
 import pandas as pd
 from pyspark.sql import DataFrame, functions as F
 from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
@@ -38,27 +39,26 @@ def streaming_lags(
         if state.hasTimedOut:
             state.remove()
             return
-        kept = list(state.get[0]) if state.exists else []
-        times, values = kept[: len(kept) // 2], kept[len(kept) // 2:]
+        kept = np.array(state.get[0] if state.exists else [], dtype=np.float64)
+        old_times, old_values = kept[: len(kept) // 2], kept[len(kept) // 2:]
         rows = pd.concat(list(batches), ignore_index=True).sort_values([time, seq], kind="stable")
-        stamps = rows[time].astype("datetime64[us]").astype("int64").tolist()
-        found = {n: [None] * len(rows) for n in names}
-        for i, (t, v) in enumerate(zip(stamps, rows[target].tolist())):
-            if times and t < times[-1]:
-                continue
-            for k, n in zip(lags, names):
-                if len(times) >= k:
-                    minutes = (t - times[-k]) / 60e6
-                    due = k * step_minutes
-                    if due * (1 - TOLERANCE) <= minutes <= due * (1 + TOLERANCE):
-                        found[n][i] = values[-k]
-            times, values = (times + [float(t)])[-depth:], (values + [v])[-depth:]
-        state.update((times + values,))
+        stamps = rows[time].astype("datetime64[us]").astype("int64").to_numpy(dtype=np.float64)
+        late = stamps < old_times[-1] if len(old_times) else np.zeros(len(rows), dtype=bool)
+        times = np.concatenate([old_times, stamps[~late]])
+        values = np.concatenate([old_values, rows[target].to_numpy(dtype=np.float64)[~late]])
+        out = rows[columns].reset_index(drop=True)
+        for k, n in zip(lags, names):
+            lagged = np.full(len(times), np.nan)
+            minutes = (times[k:] - times[:-k]) / 60e6
+            due = k * step_minutes
+            ok = (minutes >= due * (1 - TOLERANCE)) & (minutes <= due * (1 + TOLERANCE))
+            lagged[k:][ok] = values[:-k][ok]
+            found = np.full(len(rows), np.nan)
+            found[~late] = lagged[len(old_times):]
+            out[n] = found
+        state.update((times[-depth:].tolist() + values[-depth:].tolist(),))
         ends = int((key[1] + 1) * bucket_s * 1000)
         state.setTimeoutTimestamp(max(ends, state.getCurrentWatermarkMs() + 1))
-        out = rows[columns].reset_index(drop=True)
-        for n in names:
-            out[n] = pd.Series(found[n], dtype="float64")
         out = out[(rows["_home"] == key[1]).to_numpy()]
         if len(out):
             yield out

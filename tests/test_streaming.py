@@ -46,23 +46,50 @@ def test_stream_scores_equal_batch_scores(spark, landed):
 
 
 def test_window_counters(spark, landed):
+    """Windows that the final watermark has passed, and no others."""
     scored = jobs.scored_stream(stream_of(spark, landed), BUNDLE, FIELDS, OBS, ["Time"])
-    got = jobs.drain_complete(jobs.windowed_counters(scored, "Time", "1 day"), "t")
-    want = service_counters(
-        score_records(validate_records(landed[1], FIELDS, OBS)[0], BUNDLE, FIELDS, "value", ["Time"])
-    ).first()
-    assert tuple(got.agg(F.sum("predicciones"), F.sum("anomalias")).first()) == tuple(want)
+    got = jobs.drain_append(jobs.windowed_counters(scored, "Time", "1 day"), "t")
+    batch = score_records(validate_records(landed[1], FIELDS, OBS)[0], BUNDLE, FIELDS, "value", ["Time"])
+    last = batch.agg(F.max("Time")).first()[0] - dt.timedelta(hours=2)
+    window = F.window("Time", "1 day")
+    want = service_counters(batch, [window.alias("w")]).filter(F.col("w.end") <= F.lit(last)).select(
+        F.col("w.start").alias("inicio"), "predicciones", "anomalias"
+    )
+    assert got.count() == want.count() > 0 and got.exceptAll(want).count() == 0
 
 
-def test_late_rows_are_dropped(spark, tmp_path):
-    path = str(tmp_path / "late")
-    t = dt.datetime(2024, 1, 1)
-    batches = [[(t, 1)], [(t + dt.timedelta(days=2), 2)], [(t + dt.timedelta(days=2), 3), (t, 4)]]
+def arrivals(spark, path, batches, schema):
     for rows in batches:
-        spark.createDataFrame(rows, "Time timestamp, n int").coalesce(1).write.mode("append").parquet(path)
-    stream = spark.readStream.schema("Time timestamp, n int").option("maxFilesPerTrigger", 1).parquet(path)
-    kept = jobs.first_per_key(stream, ["Time"], "Time", "1 hour")
-    assert sorted(r["n"] for r in jobs.drain_append(kept, "t").collect()) == [1, 2]
+        spark.createDataFrame(rows, schema).coalesce(1).write.mode("append").parquet(path)
+    return spark.readStream.schema(schema).option("maxFilesPerTrigger", 1).parquet(path)
+
+
+def test_late_rows_are_not_counted(spark, tmp_path):
+    t, day = dt.datetime(2024, 1, 1, 12), dt.timedelta(days=1)
+    batches = [
+        [(t, 60.0, False), (t, 60.0, True)], [(t + 2 * day, 60.0, True)],
+        [(t + 4 * day, 60.0, False)], [(t, 60.0, True)], [(t + 2 * day, 60.0, True)],
+    ]
+    stream = arrivals(spark, str(tmp_path / "late"), batches, "Time timestamp, vacio_esperado double, anomalia boolean")
+    got = jobs.drain_append(jobs.windowed_counters(stream, "Time", "1 day"), "t").collect()
+    # The last two arrivals come behind the watermark.
+    assert {(r["inicio"].day, r["predicciones"], r["anomalias"]) for r in got} == {(1, 2, 1), (3, 1, 1)}
+
+
+def test_first_per_key_keeps_the_smallest_and_drops_late_rows(spark, tmp_path):
+    t, day = dt.datetime(2024, 1, 1), dt.timedelta(days=1)
+    batches = [[(t, 5, "a"), (t, 3, "b")], [(t, 4, "c"), (t + 2 * day, 9, "d")],
+               [(t + 3 * day, 8, "f")], [(t, 1, "late"), (t + 9 * day, 2, "e")]]
+    stream = arrivals(spark, str(tmp_path / "first"), batches, "Time timestamp, n int, v string")
+    kept = jobs.first_per_key(stream, ["Time"], "Time", "n", "1 hour")
+    assert {(r["n"], r["v"]) for r in jobs.drain_append(kept, "t").collect()} == {(3, "b"), (9, "d"), (8, "f")}
+
+
+def test_quarantine_and_scores_share_out_the_records(spark, landed):
+    kept = jobs.drain_append(jobs.scored_stream(stream_of(spark, landed), BUNDLE, FIELDS, OBS, ["event_id"]), "t")
+    gone = jobs.drain_append(jobs.quarantined_stream(stream_of(spark, landed), FIELDS, OBS).select("event_id"), "t")
+    assert kept.count() + gone.count() == landed[1].count()
+    assert kept.select("event_id").intersect(gone).count() == 0
 
 
 def test_windowed_drift_equals_batch_drift(spark, landed):
@@ -72,9 +99,15 @@ def test_windowed_drift_equals_batch_drift(spark, landed):
     cuts = reference_cuts(reference, ["k", "u"])
     held = binned_counts(reference, ["k", "u"], cuts, F.lit(True))
     current = stream_of(spark, landed).filter(F.col("Time") >= end)
-    bins = jobs.drain_complete(jobs.windowed_bins(current, "Time", ["k", "u"], cuts, "3650 days"), "t")
-    got = {r["variable"]: r for r in jobs.windowed_drift(bins, held, cuts).collect()}
-    for r in population_stability(reference, rest, ["k", "u"]).collect():
+    bins = jobs.drain_append(jobs.windowed_bins(current, "Time", ["k", "u"], cuts, "2 days"), "t")
+    drift = jobs.windowed_drift(bins, held, cuts).collect()
+    starts = {r["inicio"] for r in drift}
+    last = rest.agg(F.max("Time")).first()[0] - dt.timedelta(days=1)
+    assert starts and all(s + dt.timedelta(days=2) <= last for s in starts)
+    one = min(starts)
+    within = rest.filter((F.col("Time") >= F.lit(one)) & (F.col("Time") < F.lit(one + dt.timedelta(days=2))))
+    got = {r["variable"]: r for r in drift if r["inicio"] == one}
+    for r in population_stability(reference, within, ["k", "u"]).collect():
         assert abs(got[r["variable"]]["psi"] - r["psi"]) < 1e-12
         assert got[r["variable"]]["banda"] == r["banda"]
 
@@ -91,6 +124,8 @@ def test_streaming_lags_equal_batch_lags(spark, landed):
 
 def test_resample_is_the_same_for_table_and_stream(spark, landed):
     measures = lambda: [F.count("*").alias("n"), F.max("value").alias("m")]
-    got = jobs.drain_complete(jobs.resample(stream_of(spark, landed), "Time", "6 hours", ["event_type"], measures()), "t")
-    want = jobs.resample(landed[1], "Time", "6 hours", ["event_type"], measures())
-    assert got.exceptAll(want).count() == 0 and got.count() == want.count()
+    stream = stream_of(spark, landed).withWatermark("Time", "1 hour")
+    got = jobs.drain_append(jobs.resample(stream, "Time", "6 hours", ["event_type"], measures()), "t")
+    last = landed[1].agg(F.max("Time")).first()[0] - dt.timedelta(hours=7)
+    want = jobs.resample(landed[1], "Time", "6 hours", ["event_type"], measures()).filter(F.col("Time") <= F.lit(last))
+    assert got.exceptAll(want).count() == 0 and got.count() == want.count() > 0

@@ -7,6 +7,7 @@ from pyspark.sql import DataFrame, SparkSession
 from plantpulse.config import AIR_COOLED, SURFACE, StudyConfig
 from plantpulse.plans.scoring import score_file
 from plantpulse.plans.study import compare_summaries, run_study
+from plantpulse.session import scratch_scope
 from plantpulse.sources.air_cooled import load_air_cooled
 from plantpulse.sources.bundle import load_bundle
 from plantpulse.sources.historian import load_historian
@@ -26,8 +27,9 @@ def train_surface(
 def train_air_cooled(
     spark: SparkSession, extract: str, out: str, cfg: StudyConfig = AIR_COOLED, **options
 ) -> dict:
-    frame, facts = load_air_cooled(spark, extract, cfg.rated_mw)
-    return run_study(frame, cfg, out, facts, **options)
+    with scratch_scope(spark):
+        frame, facts = load_air_cooled(spark, extract, cfg.rated_mw)
+        return run_study(frame, cfg, out, facts, **options)
 
 
 def compare_studies(spark: SparkSession, surface_out: str, air_out: str, out: str) -> DataFrame:

@@ -127,24 +127,27 @@ def rows_at(df: DataFrame, order: list[str], ranks: list[int], total: int) -> li
 
 def _narrowed(df: DataFrame, order: list[str], rank: int, total: int) -> tuple[DataFrame, int]:
     """(few rows, rank among them) holding the row at ``rank``."""
-    base, keys, skip = df, list(order), 0
+    base, keys, skip, margin = df, list(order), 0, 2.0 / ACCURACY
     while total > SMALL and keys:
         name = keys[0]
         key = _as_number(base, name, skip)
-        share, margin = (rank + 0.5) / total, 2.0 / ACCURACY
+        share = (rank + 0.5) / total
         marks = [max(share - margin, 0.0), min(share + margin, 1.0)]
         low, high = df.agg(F.percentile_approx(key, marks, ACCURACY).alias("b")).first()["b"]
         below, inside, at_low = df.agg(
             F.count_if(key < low), F.count_if(key.between(low, high)), F.count_if(key == low)
         ).first()
         if not below <= rank < below + inside:
-            raise RuntimeError("rank fell outside its bracket")
+            margin *= 8  # a wider bracket; one over all ranks holds any rank
+            continue
+        margin = 2.0 / ACCURACY
         if rank < below + at_low and (low == high or inside == total):
             df, rank, total = df.filter(key == low), rank - below, at_low
-            if df.agg(F.min(name) == F.max(name)).first()[0]:
+            lowest, highest = df.agg(F.min(name), F.max(name)).first()
+            if lowest == highest:
                 keys, skip = keys[1:], 0  # one value left: the next key decides
             elif isinstance(base.schema[name].dataType, T.StringType):
-                skip += _HEAD
+                skip = _shared_bytes(lowest, highest)  # texts in between begin the same
             else:
                 break  # integers that share a double: few enough to sort
         elif inside == total:
@@ -154,6 +157,11 @@ def _narrowed(df: DataFrame, order: list[str], rank: int, total: int) -> tuple[D
     return df, rank if keys else 0  # without keys left, every row carries the same tuple
 
 
+def _shared_bytes(a: str, b: str) -> int:
+    x, y = a.encode(), b.encode()
+    return next((i for i, (p, q) in enumerate(zip(x, y)) if p != q), min(len(x), len(y)))
+
+
 def _portable(df: DataFrame, name: str) -> Column:
     """Times travel to the driver as microseconds, free of any time zone."""
     timed = isinstance(df.schema[name].dataType, (T.TimestampType, T.TimestampNTZType, T.DateType))

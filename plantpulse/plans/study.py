@@ -18,7 +18,7 @@ from plantpulse.operators.splits import chronological_split
 from plantpulse.plans.classification import assign_degradation, run_classification
 from plantpulse.plans.forecast import run_forecast
 from plantpulse.plans.regression import learning_curves, residual_limits, run_regression
-from plantpulse.session import frozen, written
+from plantpulse.session import frozen, scratch_scope, written
 from plantpulse.sources.bundle import ScoringBundle, save_bundle
 from plantpulse.sources.sinks import write_csv, write_summary
 
@@ -42,7 +42,17 @@ def run_study(
 ) -> dict:
     """Run every step on a cleaned table and return the summary document.
 
-    The regime-filtered table is written once, partitioned by split; every later step
+    Scratch tables are deleted and caches released before it returns.
+    """
+    with scratch_scope(frame.sparkSession):
+        return _run_study(frame, cfg, out, facts, with_grid, parallelism, restarts, samme_rounds)
+
+
+def _run_study(
+    frame: DataFrame, cfg: StudyConfig, out: str | None, facts: dict | None,
+    with_grid: bool, parallelism: int, restarts: int, samme_rounds: int,
+) -> dict:
+    """The regime-filtered table is written once, partitioned by split; every later step
     reads it with its own columns, and a filter on the split skips the other parts.
     """
     spark = frame.sparkSession

@@ -1,9 +1,10 @@
-"""Session helpers: reliable scratch space and size-checked broadcasts."""
+"""Session helpers: shared scratch space that is given back, and size-checked broadcasts."""
 
 from __future__ import annotations
 
-import tempfile
 import uuid
+from collections.abc import Iterator
+from contextlib import contextmanager
 
 from pyspark import StorageLevel
 from pyspark.sql import DataFrame, SparkSession, functions as F
@@ -12,35 +13,47 @@ from pyspark.sql import DataFrame, SparkSession, functions as F
 # row count is fixed by construction (one row per variable, split or class).
 BROADCAST_ROWS = 200_000
 
+# Paths handed out inside the open scopes, innermost last.
+_SCOPES: list[list[str]] = []
+
 
 def checkpoint_root(spark: SparkSession) -> str:
     """The shared folder named by ``spark.checkpoint.dir``.
 
-    It is chosen here only when the cluster names none and Spark runs in one local
-    process; on a cluster a machine-local folder would be lost with its machine.
+    Where none is named, a folder in the session's warehouse, which every executor reaches
+    as well; no machine's own temporary folder is ever used.
     """
     sc = spark.sparkContext
     named = spark.conf.get("spark.checkpoint.dir", None) or sc.getConf().get("spark.checkpoint.dir")
-    if named:
-        if sc.getCheckpointDir() is None:
-            sc.setCheckpointDir(named)
-        return named
+    root = named or f"{spark.conf.get('spark.sql.warehouse.dir').rstrip('/')}/_scratch"
     if sc.getCheckpointDir() is None:
-        if not sc.master.startswith("local"):
-            raise RuntimeError("set spark.checkpoint.dir to a folder every executor can reach")
-        sc.setCheckpointDir(tempfile.mkdtemp(prefix="run-checkpoint-"))
-    return sc.getCheckpointDir()
+        sc.setCheckpointDir(root)
+    return root
 
 
-def checkpointed(df: DataFrame) -> DataFrame:
-    """Reliable checkpoint: survives executor loss and fixes partition boundaries."""
-    checkpoint_root(df.sparkSession)
-    return df.checkpoint(eager=True)
+def scratch_path(spark: SparkSession, label: str) -> str:
+    """A fresh path below the shared folder; deleted when the scope it was made in ends."""
+    path = f"{checkpoint_root(spark).rstrip('/')}/{label}-{uuid.uuid4().hex}"
+    if _SCOPES:
+        _SCOPES[-1].append(path)
+    return path
 
 
-def scratch_path(spark: SparkSession, label: str) -> str:
-    """A fresh path below the shared checkpoint folder."""
-    return f"{checkpoint_root(spark).rstrip('/')}/{label}-{uuid.uuid4().hex}"
+@contextmanager
+def scratch_scope(spark: SparkSession) -> Iterator[None]:
+    """Delete the scratch tables made inside once nothing reads them any more.
+
+    For code that returns plain values: a table that is still to be read must not outlive
+    its scope.
+    """
+    _SCOPES.append([])
+    try:
+        yield
+    finally:
+        jvm, conf = spark._jvm, spark.sparkContext._jsc.hadoopConfiguration()
+        for path in _SCOPES.pop():
+            place = jvm.org.apache.hadoop.fs.Path(path)
+            place.getFileSystem(conf).delete(place, True)
 
 
 def written(df: DataFrame, label: str, partition_by: list[str] | None = None) -> DataFrame:
@@ -50,6 +63,11 @@ def written(df: DataFrame, label: str, partition_by: list[str] | None = None) ->
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
+def checkpointed(df: DataFrame) -> DataFrame:
+    """Cut the lineage: written once, it survives executor loss and can be deleted."""
+    return written(df, "step")
+
+
 def frozen(df: DataFrame, rows: int = 10_000) -> DataFrame:
     """A result table of a few rows, computed once and kept as literal rows.
 
@@ -61,24 +79,16 @@ def frozen(df: DataFrame, rows: int = 10_000) -> DataFrame:
     return df.sparkSession.createDataFrame(held, df.schema)
 
 
-# Rows that make a partition worth its task when a small table is spread for training.
-TRAIN_ROWS = 10_000
-
-
-def spread(df: DataFrame) -> DataFrame:
-    """Cached copy for iterative fits, over enough partitions to occupy the cores.
+def spread(df: DataFrame, partitions: int | None = None) -> DataFrame:
+    """Cached copy for iterative fits, over ``partitions`` partitions.
 
-    A large table already has more partitions than cores and is cached as it is.
+    The default is the cores of the session.  Row subsampling depends on the partitions, so
+    name their number where a fit must be the same on another cluster.
     """
-    held = df.persist(StorageLevel.MEMORY_AND_DISK)
-    rows = held.count()
-    wanted = min(df.sparkSession.sparkContext.defaultParallelism, -(-rows // TRAIN_ROWS))
-    if held.rdd.getNumPartitions() >= wanted:
-        return held
-    wide = held.repartition(wanted).persist(StorageLevel.MEMORY_AND_DISK)
-    wide.count()
-    held.unpersist()
-    return wide
+    wanted = partitions or df.sparkSession.sparkContext.defaultParallelism
+    held = df.repartition(wanted).persist(StorageLevel.MEMORY_AND_DISK)
+    held.count()
+    return held
 
 
 def broadcast_if_small(df: DataFrame, rows: int = BROADCAST_ROWS) -> DataFrame:

@@ -2,12 +2,13 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession, functions as F
+from pyspark.sql import DataFrame, Observation, SparkSession, functions as F
 
 from plantpulse.config import AIR_COOLED, RATED_MW
 from plantpulse.functions.tags import (
     compass_degrees, is_missing_direction, lenient_number, lenient_timestamp,
 )
+from plantpulse.session import written
 from plantpulse.sources.historian import INGEST, read_csv
 
 
@@ -40,11 +41,15 @@ def prepare_air_cooled(df: DataFrame, rated_mw: float = RATED_MW) -> DataFrame:
 def load_air_cooled(
     spark: SparkSession, path: str, rated_mw: float = RATED_MW
 ) -> tuple[DataFrame, dict]:
-    """Prepared table and its row counts."""
-    raw = read_csv(spark, path)
-    prepared = prepare_air_cooled(raw, rated_mw)
+    """Prepared table and its row counts, both from one scan of the extract.
+
+    The table is written, which fixes the reading order of rows with equal times.
+    """
+    seen = Observation()
+    raw = read_csv(spark, path).observe(seen, F.count("*").alias("n"))
+    prepared = written(prepare_air_cooled(raw, rated_mw), "air-cooled")
     facts = {
-        "filas_archivo": raw.count(),
+        "filas_archivo": seen.get["n"],
         "filas_validas": prepared.count(),
         "potencia_nominal_mw": float(rated_mw),
     }

@@ -33,7 +33,7 @@ def unique_names(header: list[str]) -> list[str]:
 def read_csv(spark: SparkSession, path: str, sep: str = ",", ingest_order: bool = True) -> DataFrame:
     """Every column as text: mixed tags would break inference.
 
-    ``seq`` keeps the reading order (file, split, row) for keep-first rules.
+    ``seq`` keeps the reading order for keep-first rules and ties in time.
     """
     line = spark.read.text(path).first()
     if line is None:
@@ -45,10 +45,13 @@ def read_csv(spark: SparkSession, path: str, sep: str = ",", ingest_order: bool
 
 
 def with_ingest_order(df: DataFrame, name: str = INGEST) -> DataFrame:
-    place = F.struct(
-        F.col("_metadata.file_path").alias("file"),
-        F.col("_metadata.file_block_start").alias("block"),
-        F.monotonically_increasing_id().alias("row"),
+    """Reading order as one sortable text: file, place of the block in it, row of the task.
+
+    Row numbers hold for one scan; write the table before it is read twice.
+    """
+    place = F.concat(
+        F.col("_metadata.file_path"),
+        F.format_string("#%015d#%019d", F.col("_metadata.file_block_start"), F.monotonically_increasing_id()),
     )
     return df.withColumn(name, place)
 

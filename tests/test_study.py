@@ -70,3 +70,63 @@ def test_two_studies_and_their_comparison(spark, tmp_path):
     line = [r for r in saved["regresion"] if r["modelo"] == "lineal_agua_y_carga" and r["particion"] == "test"][0]
     assert abs(table["mae_linea_relativo"]["superficie"] - line["mae"] / saved["vacio_operacion"]["mediana"]) < 1e-12
     assert {"ttd_normal", "psi_frio", "mae_persistencia_relativo", "mejor_mae"} <= set(table)
+
+
+def as_csv(df, path, header=None):
+    """Rows as CSV text in a few files; tags may hold dots and colons."""
+    pdf = df.toPandas()
+    if header:
+        pdf = pdf.rename(columns=header)
+    path.mkdir()
+    for i in range(0, len(pdf), 400):
+        pdf[i:i + 400].to_csv(path / f"part-{i:05d}.csv", index=False)
+    return str(path)
+
+
+def leftovers(spark, root):
+    fs_path = spark._jvm.org.apache.hadoop.fs.Path(root)
+    fs = fs_path.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration())
+    return {str(x.getPath()) for x in fs.listStatus(fs_path)} if fs.exists(fs_path) else set()
+
+
+def test_both_studies_run_from_csv(spark, tmp_path):
+    """Clean, split, fit, compare and score, with repeated and crowded times."""
+    from plantpulse.config import TAGS
+    from plantpulse.jobs import TARGET_TAG, compare_studies, predict, train_air_cooled, train_surface
+    from plantpulse.session import checkpoint_root
+
+    root = checkpoint_root(spark)
+    before = leftovers(spark, root)
+    frame = surface_frame(spark, 700).drop("seq", "temp_condensador", "temp_escape")
+    tags = {alias: tag for tag, _, alias, _ in TAGS if alias} | {"vacio": TARGET_TAG}
+    twice = frame.union(frame.limit(30)).orderBy("Time")
+    cfg = SURFACE.with_(lags=(1, 2, 4), daily_lag=4, trees=LIGHT, preview_rows=20)
+    surface = str(tmp_path / "surface")
+    s = train_surface(
+        spark, as_csv(twice, tmp_path / "s-csv", tags), str(tmp_path / "cache"), surface, cfg,
+        restarts=1, samme_rounds=2,
+    )
+    assert s["filas_limpias"] == 700 and s["train"] + s["val"] + s["test"] == s["filas_operacion"] == 700 - 14
+
+    pdf = air_frame(spark, 600).toPandas()
+    # A third of the rows share one time: only their reading order tells them apart.
+    pdf.loc[200:399, "Time"] = pdf.loc[200, "Time"]
+    raw = pd.DataFrame({
+        "Time": pdf.Time, "TV_BP_Pout": pdf.vacio, "CF": pdf.cf, "T_ambient": pdf.temp_ambiente,
+        "Wind_speed": pdf.viento, "Wind_dir": pdf.direccion, "BP_Flow": pdf.flujo_bp, "TV_BP_Tout": pdf.temp_salida_bp,
+    })
+    raw.loc[5, "Wind_dir"] = "---"
+    air = str(tmp_path / "air")
+    a = train_air_cooled(
+        spark, as_csv(spark.createDataFrame(raw), tmp_path / "a-csv"), air,
+        AIR_COOLED.with_(trees=LIGHT, lags=(5, 10), horizon=6), with_grid=False, restarts=1, samme_rounds=2,
+    )
+    assert a["filas_archivo"] == 600 and a["filas_validas"] == 599
+    assert [a[p] for p in ("train", "val", "test")] == [419, 90, 90]
+    table = compare_studies(spark, surface, air, str(tmp_path / "comparison"))
+    assert {"mae_persistencia", "psi_frio"} <= {r["metrica"] for r in table.collect()}
+    record = spark.createDataFrame([(60.0, 100.0, 100.0, 100.0, 100.0, 100.0, 100.0, 9.0)], RECORD_SCHEMA)
+    record.coalesce(1).write.option("header", True).csv(str(tmp_path / "records.csv"))
+    assert predict(spark, surface, str(tmp_path / "records.csv"), str(tmp_path / "scored")).first()["clase"] == "critico"
+    assert leftovers(spark, root) == before
+    assert spark._jsc.getPersistentRDDs().size() == 0 or not spark.sparkContext._jsc.sc().getRDDStorageInfo()

@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame, SparkSession
 
 from plantpulse.config import AIR_COOLED, SURFACE, StudyConfig
 from plantpulse.plans.scoring import score_file
-from plantpulse.plans.study import compare_summaries, run_study
+from plantpulse.plans.study import compare_labels, compare_summaries, run_study
 from plantpulse.session import scratch_scope
 from plantpulse.sources.air_cooled import load_air_cooled
 from plantpulse.sources.bundle import load_bundle
@@ -33,12 +33,15 @@ def train_air_cooled(
 
 
 def compare_studies(spark: SparkSession, surface_out: str, air_out: str, out: str) -> DataFrame:
-    """Comparison table from the two saved summaries, without retraining."""
-    table = compare_summaries(
-        spark, read_summary(spark, f"{surface_out}/summary.json"),
-        read_summary(spark, f"{air_out}/summary.json"), SURFACE.to_mbar, AIR_COOLED.to_mbar,
-    )
+    """Comparison tables from the two saved summaries, without retraining.
+
+    Figures are written to ``out`` and returned; winners and periods to ``out``_textos.
+    """
+    surface = read_summary(spark, f"{surface_out}/summary.json")
+    air_cooled = read_summary(spark, f"{air_out}/summary.json")
+    table = compare_summaries(spark, surface, air_cooled, SURFACE.to_mbar, AIR_COOLED.to_mbar)
     write_csv(table.coalesce(1), out)
+    write_csv(compare_labels(spark, surface, air_cooled).coalesce(1), f"{out.rstrip('/')}_textos")
     return table
 
 

@@ -227,6 +227,11 @@ def compare_summaries(
             ("ttd_critico", ttd.get("mediana_critico")),
             ("ttd_p_valor", ttd.get("p_valor")),
             ("psi_frio", (s["psi"].get(cold) or {}).get("psi")),
+            ("filas", float(s["filas_operacion"])),
+            ("pronostico_filas", float(s["pronostico_filas"])),
+            ("horizonte_min", float(s["horizonte_min"])),
+            ("mejor_mae_pronostico", _test_mae(s["pronostico"], s["ganador_pronostico"])),
+            ("cf_mediana", (s.get("cf") or {}).get("mediana")),
         ]
         return long.unionByName(spark.createDataFrame(more, "metrica string, valor double"))
 
@@ -235,3 +240,19 @@ def compare_summaries(
     return compare(
         rows(surface, surface_mbar, SURFACE.cold), rows(air_cooled, air_mbar, AIR_COOLED.cold)
     )
+
+
+def _test_mae(rows: list[dict], model: str) -> float | None:
+    return next((r["mae"] for r in rows if r["modelo"] == model and r[SPLIT] == "test"), None)
+
+
+# What the comparison says in words: winners, what is served, and the period.
+LABELS = (
+    "ganador_regresion", "modelo_servido", "ganador_clasificacion", "ganador_pronostico", "inicio", "fin",
+)
+
+
+def compare_labels(spark: SparkSession, surface: dict, air_cooled: dict) -> DataFrame:
+    """(dato, superficie, aerocondensador) of the two summaries, as text."""
+    rows = [(n, *(None if s.get(n) is None else str(s[n]) for s in (surface, air_cooled))) for n in LABELS]
+    return spark.createDataFrame(rows, "dato string, superficie string, aerocondensador string")

@@ -143,6 +143,7 @@ _LAG_SQL = HOURLY_SQL + ", w AS (SELECT *, " + ", ".join(
 _READY_SQL = _LAG_SQL + f""", ready AS (
   SELECT "Time", unit, y AS y_ahora, f AS y_futuro, {", ".join(f"l{k} AS y_lag_{k}" for k in _LAGS)}, cold, load
   FROM w WHERE {" AND ".join(f"ok{k}" for k in _LAGS)} AND okf AND f IS NOT NULL)"""
+NAIVE_READY_SQL = _READY_SQL
 _NAIVE_SQL = f"WITH {_READY_SQL}, {split_sql('ready', '\"Time\", unit')}\n"
 _SPLIT_ORDERS = f"WITH {split_sql('orders', 'o_orderdate, o_orderkey')}\n"
 _POS = "pos AS (SELECT *, row_number() OVER (ORDER BY o_orderdate, o_orderkey) - 1 AS pos, count(*) OVER () AS n FROM orders)"

@@ -36,7 +36,9 @@ PLANT = StudyConfig(
 
 
 def table(spark: SparkSession, sf: str, name: str) -> DataFrame:
-    spark.conf.set("spark.sql.session.timeZone", "UTC")
+    # Times are compared and truncated in UTC, whatever zone the caller's session has.
+    if spark.conf.get("spark.sql.session.timeZone") != "UTC":
+        spark.conf.set("spark.sql.session.timeZone", "UTC")
     return spark.read.parquet(f"{sf}/{name}.parquet")
 
 
@@ -72,7 +74,10 @@ def _grid() -> list:
 
 
 def hourly(spark: SparkSession, sf: str) -> DataFrame:
-    rd = readings(spark, sf)
+    return grid_of(readings(spark, sf))
+
+
+def grid_of(rd: DataFrame) -> DataFrame:
     return rd.groupBy("unit", F.date_trunc("hour", "Time").alias("Time")).agg(*_grid())
 
 

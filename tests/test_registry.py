@@ -10,7 +10,7 @@ SF = "/root/testdata/sf0.001"
 
 
 # Hours with every lag back to 24 are too few in the smallest tables.
-LARGER = {"persistence_scores", "daily_persistence_scores"}
+LARGER = {"persistence_scores", "daily_persistence_scores", "comparison"}
 
 
 def connect(sf):

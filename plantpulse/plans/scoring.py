@@ -71,24 +71,28 @@ def score_records(
     )
 
 
-def read_batch(spark: SparkSession, path: str) -> DataFrame:
+def read_batch(
+    spark: SparkSession, path: str, fields: dict = RECORD_FIELDS, observed: str = OBSERVED
+) -> DataFrame:
     """Records from CSV: file type, presence of rows and required columns are checked."""
     if not path.rstrip("/").lower().endswith(".csv"):
         raise ValueError("the batch must be a CSV file")
     df = read_csv(spark, path, ingest_order=False)
-    require_columns(df, list(RECORD_FIELDS))
+    require_columns(df, list(fields))
     if df.isEmpty():
         raise ValueError(f"{path} has no rows")
-    observed = F.col(OBSERVED) if OBSERVED in df.columns else F.lit(None).cast("string")
+    seen = F.col(observed) if observed in df.columns else F.lit(None).cast("string")
     return df.select(
-        *[lenient_number(F.col(f)).alias(f) for f in RECORD_FIELDS],
-        lenient_number(observed).alias(OBSERVED),
+        *[lenient_number(F.col(f)).alias(f) for f in fields], lenient_number(seen).alias(observed)
     )
 
 
-def score_file(spark: SparkSession, bundle: ScoringBundle, path: str, out: str) -> DataFrame:
+def score_file(
+    spark: SparkSession, bundle: ScoringBundle, path: str, out: str, fields: dict = RECORD_FIELDS,
+    observed: str = OBSERVED,
+) -> DataFrame:
     """Score a CSV of records and write the scored rows as CSV."""
-    scored = score_records(read_batch(spark, path), bundle)
+    scored = score_records(read_batch(spark, path, fields, observed), bundle, fields, observed)
     write_csv(scored, out)
     return scored
 

@@ -154,6 +154,9 @@ SELECT event_id, round_even(e, 4) AS vacio_esperado, round_even(b, 4) AS vacio_l
        ELSE 'critico' END AS clase,
   value - b > 100 AS anomalia, CASE WHEN value IS NOT NULL THEN 100.0::DOUBLE END AS umbral_anomalia FROM sc"""
 
+# Files of records are scored without the range checks of the service.
+SCORED_ALL_SQL = _SCORED_SQL.replace("FROM ok)", "FROM rec)").replace("SELECT event_id, round_even", "SELECT round_even")
+
 
 def _drift_sql() -> str:
     probs = "[" + ", ".join(f"CAST({i} AS DOUBLE) / 10" for i in range(11)) + "]"

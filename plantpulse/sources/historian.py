@@ -9,6 +9,7 @@ from pyspark.sql import DataFrame, SparkSession, functions as F, types as T
 
 from plantpulse.config import TAGS
 from plantpulse.functions.tags import lenient_timestamp, serial_day_to_timestamp, to_numeric_tag
+from plantpulse.session import written
 
 SERIAL_SHARE = 0.8
 INGEST = "seq"
@@ -30,20 +31,43 @@ def unique_names(header: list[str]) -> list[str]:
     return names
 
 
-def read_csv(spark: SparkSession, path: str, sep: str = ",", ingest_order: bool = True) -> DataFrame:
+def read_csv(
+    spark: SparkSession, path: str, sep: str = ",", ingest_order: bool = True,
+    names: list[str] | None = None, corrupt: str | None = None,
+) -> DataFrame:
     """Every column as text: mixed tags would break inference.
 
-    ``seq`` keeps the reading order for keep-first rules and ties in time.
+    ``names`` are the columns of files without a header line.  ``corrupt`` adds a column with
+    the whole line of rows that have more or fewer fields than the header, see
+    ``split_malformed``.  ``seq`` keeps the reading order for keep-first rules and ties in
+    time.
     """
-    line = spark.read.text(path).first()
-    if line is None:
-        raise ValueError(f"{path} is empty")
-    names = unique_names(next(csv.reader([line["value"]], delimiter=sep)))
-    schema = T.StructType([T.StructField(n, T.StringType()) for n in names])
-    df = spark.read.schema(schema).option("header", True).option("sep", sep).csv(path)
+    header = names is None
+    if header:
+        line = spark.read.text(path).first()
+        if line is None:
+            raise ValueError(f"{path} is empty")
+        names = unique_names(next(csv.reader([line["value"]], delimiter=sep)))
+    columns = [*names, *([corrupt] if corrupt else [])]
+    schema = T.StructType([T.StructField(n, T.StringType()) for n in columns])
+    reader = spark.read.schema(schema).option("header", header).option("sep", sep)
+    if corrupt:
+        # All fields are parsed, or a line is only as malformed as the columns asked for.
+        reader = reader.option("columnNameOfCorruptRecord", corrupt).option("columnPruning", False)
+    df = reader.csv(path)
     return with_ingest_order(df) if ingest_order else df
 
 
+def split_malformed(df: DataFrame, corrupt: str) -> tuple[DataFrame, DataFrame]:
+    """(well-formed rows, quarantine): the latter are the lines as they stand in the file.
+
+    The parsed rows are written, so that both sides come from one reading of the files.
+    """
+    df = written(df, "parsed")
+    bad = quoted(corrupt).isNotNull()
+    return df.filter(~bad).drop(corrupt), df.filter(bad).select(quoted(corrupt).alias("line"))
+
+
 def with_ingest_order(df: DataFrame, name: str = INGEST) -> DataFrame:
     """Reading order as one sortable text: file, place of the block in it, row of the task.
 

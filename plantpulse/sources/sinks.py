@@ -47,6 +47,6 @@ def read_summary(spark: SparkSession, path: str) -> dict:
     return json.loads(spark.read.text(path, wholetext=True).first()["value"])
 
 
-def read_records(spark: SparkSession, path: str, schema) -> DataFrame:
-    """Scoring snapshots, one JSON object (or array of objects) per file."""
-    return spark.read.schema(schema).option("multiLine", True).json(path)
+def read_records(spark: SparkSession, path: str, schema, multi_line: bool = True) -> DataFrame:
+    """Scoring snapshots: one JSON object (or array of objects) per file, or one per line."""
+    return spark.read.schema(schema).option("multiLine", multi_line).json(path)

@@ -13,7 +13,7 @@ from itertools import accumulate
 from pyspark.sql import Column, DataFrame, Window, functions as F, types as T
 
 from plantpulse.functions.tags import epoch_micros
-from plantpulse.session import broadcast_if_small, checkpointed
+from plantpulse.session import BROADCAST_ROWS, checkpointed, written
 
 # Relative rank error asked of the approximate sketches is 1 / ACCURACY; brackets are
 # twice that wide on both sides, so they always contain the exact value.
@@ -206,22 +206,25 @@ def quantiles(
 
 
 def long_quantiles(
-    long: DataFrame, key: list[str], probs: list[float], few_groups: bool = False
+    long: DataFrame, key: list[str], probs: list[float], few_groups: bool = False, small: int = SMALL
 ) -> DataFrame:
     """Quantiles of column ``x`` per key.
 
     An approximate sketch brackets every wanted rank; rows outside the brackets are
-    only counted, rows inside are counted per distinct value.  What is finally sorted
-    per group is a 4/ACCURACY share of its distinct values for each probability.
+    only counted, rows inside are counted per distinct value: a 4/ACCURACY share of a
+    group for each probability.  Where that share of the largest group is at most
+    ``small`` rows, a window per group ranks them; beyond, range partitions do, so that
+    no task gets a share of the table.
     """
     long = long.filter(F.col("x").isNotNull())
     margin = 2.0 / ACCURACY
     levels = sorted(set(probs))
     marks = [m for p in levels for m in (max(p - margin, 0.0), min(p + margin, 1.0))]
-    sketch = long.groupBy(*key).agg(
+    sketch = written(long.groupBy(*key).agg(
         F.count("*").alias("n"), F.percentile_approx("x", marks, ACCURACY).alias("b")
-    ).select(*key, "n", *[F.col("b")[i].alias(f"m{i}") for i in range(len(marks))])
-    side = F.broadcast(sketch) if few_groups else broadcast_if_small(sketch)
+    ).select(*key, "n", *[F.col("b")[i].alias(f"m{i}") for i in range(len(marks))]), "sketch")
+    groups, largest = sketch.agg(F.count("*"), F.coalesce(F.max("n"), F.lit(0))).first()
+    side = F.broadcast(sketch) if few_groups or groups <= BROADCAST_ROWS else sketch
     x = F.col("x")
     # In short groups a bracket can be narrower than one row: count every value there.
     inside = F.col("n") <= 2 * ACCURACY
@@ -236,8 +239,15 @@ def long_quantiles(
         .groupBy(*key, "x", "gap")
         .agg(F.first("n").alias("n"), F.count("*").alias("c"))
     )
-    upto = Window.partitionBy(*key).orderBy("x", "gap").rowsBetween(Window.unboundedPreceding, 0)
-    ranked = counted.withColumn("end", F.sum("c").over(upto))
+    bracketed = 4 * len(levels) * largest // ACCURACY + len(levels) + 1
+    if min(largest, max(2 * ACCURACY, bracketed)) <= small:
+        upto = Window.partitionBy(*key).orderBy("x", "gap").rowsBetween(Window.unboundedPreceding, 0)
+        ranked = counted.withColumn("end", F.sum("c").over(upto))
+    else:
+        run = prefix_sums(counted, [*key, "x", "gap"], ["c"])
+        base = run.groupBy(*key).agg(F.min("before_c").alias("base"))
+        first = F.broadcast(base) if few_groups or groups <= BROADCAST_ROWS else base
+        ranked = run.join(first, key).withColumn("end", F.col("before_c") - F.col("base") + F.col("c"))
     start = F.col("end") - F.col("c")
     spots = [(F.col("n") - 1) * F.lit(float(p)) for p in probs]
     ranks = F.array_distinct(F.array(*[f(s) for s in spots for f in (F.floor, F.ceil)]))

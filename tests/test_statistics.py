@@ -5,7 +5,7 @@ import pandas as pd
 import pytest
 from pyspark.sql import functions as F
 
-from plantpulse.operators import stationarity
+from plantpulse.operators import ordered, stationarity
 from plantpulse.operators.collinearity import variance_inflation
 from plantpulse.operators.drift import population_stability
 from plantpulse.operators.metrics import (
@@ -152,3 +152,18 @@ def test_adf_against_direct_regressions(spark, monkeypatch):
         r = adf(df, ORDER, "x").first()
         assert r["lags"] == lags and abs(r["adf_estadistico"] - want) < 1e-7
         assert r["n"] == 700 - lags - 1
+
+
+@pytest.mark.parametrize("small", [ordered.SMALL, 0])
+def test_quantiles_by_window_and_by_range_partitions(spark, monkeypatch, small):
+    """Both ways of ranking the bracketed values, with hot values and groups of all sizes."""
+    monkeypatch.setattr(ordered, "ACCURACY", 200)
+    rng = np.random.default_rng(17)
+    sizes = {"a": 4000, "b": 900, "c": 1, "d": 2}
+    pdf = pd.DataFrame([(g, v) for g, n in sizes.items() for v in np.round(rng.gamma(2, 3, n), 2)], columns=["g", "x"])
+    pdf.loc[pdf.index[:1500], "x"] = 4.0
+    probs = [0.0, 0.25, 0.5, 0.95, 1.0]
+    got = ordered.long_quantiles(spark.createDataFrame(pdf), ["g"], probs, True, small).collect()
+    assert {r["g"]: r["n"] for r in got} == sizes
+    for r in got:
+        assert np.allclose(r["q"], np.quantile(pdf[pdf.g == r["g"]].x, probs), atol=1e-12)

@@ -18,7 +18,7 @@ from plantpulse.config import CLASSES
 FEATURES = "features"
 LABEL = "label"
 WEIGHT = "weight"
-BINS = 128
+BINS = 256
 
 
 def assemble(df: DataFrame, drivers: list[str]) -> DataFrame:

@@ -10,10 +10,11 @@ from pyspark.ml.clustering import KMeans
 from pyspark.ml.functions import array_to_vector
 from pyspark.sql import DataFrame, functions as F
 
+from plantpulse.models.catalog import fit_all
 from plantpulse.operators.collinearity import moments
 from plantpulse.operators.ordered import medians
 from plantpulse.operators.splits import systematic_sample
-from plantpulse.session import spread
+from plantpulse.session import frozen, spread
 
 SAMPLE_ROWS = 6000
 CHUNK = 100
@@ -30,13 +31,16 @@ def standardised(df: DataFrame, drivers: list[str], name: str = "features") -> D
     return df.withColumn("_z", F.array(*scaled)).withColumn(name, array_to_vector("_z"))
 
 
-def best_kmeans(df: DataFrame, k: int, restarts: int, seed: int):
-    """Lowest within-cluster cost over several starts."""
-    fits = [
-        KMeans(k=k, seed=seed + r, featuresCol="features", predictionCol=f"k{k}").fit(df)
-        for r in range(restarts)
-    ]
-    return min(fits, key=lambda m: m.summary.trainingCost)
+def best_kmeans(df: DataFrame, ks: list[int], restarts: int, seed: int, parallelism: int = 4) -> dict:
+    """Per k the fit with the lowest within-cluster cost over several starts."""
+    starts = {
+        (k, r): KMeans(k=k, seed=seed + r, featuresCol="features", predictionCol=f"k{k}")
+        for k in ks for r in range(restarts)
+    }
+    fits = fit_all(starts, df, parallelism)
+    return {
+        k: min((fits[k, r] for r in range(restarts)), key=lambda m: m.summary.trainingCost) for k in ks
+    }
 
 
 def silhouettes(sample: DataFrame, labels: list[str]) -> dict[str, float]:
@@ -80,6 +84,7 @@ def silhouettes(sample: DataFrame, labels: list[str]) -> dict[str, float]:
     means = sample.select("_z", *labels).mapInPandas(per_row, schema).agg(
         *[F.avg(c).alias(c) for c in labels]
     ).first()
+    shared.destroy()
     return {c: float(means[c]) for c in labels}
 
 
@@ -95,14 +100,14 @@ def operating_clusters(
     scaled = standardised(df, drivers)
     sample = systematic_sample(scaled, order, SAMPLE_ROWS).persist()
     labelled = sample
-    for k in ks:
-        labelled = best_kmeans(sample, k, restarts, seed).transform(labelled)
+    for model in best_kmeans(sample, list(ks), restarts, seed).values():
+        labelled = model.transform(labelled)
     scores = silhouettes(labelled, [f"k{k}" for k in ks])
     curve = [(k, scores[f"k{k}"]) for k in ks]
     chosen = max(curve, key=lambda item: item[1])[0]
     sample.unpersist()
     rows = spread(scaled)
-    assigned = best_kmeans(rows, chosen, restarts, seed).transform(rows)
+    assigned = best_kmeans(rows, [chosen], restarts, seed)[chosen].transform(rows)
     sizes = assigned.groupBy(f"k{chosen}").count().collect()  # one row per cluster
     ranked = sorted(sizes, key=lambda r: (-r["count"], r[0]))
     number = reduce(
@@ -110,7 +115,8 @@ def operating_clusters(
         enumerate(ranked), F.lit(None),
     )
     labelled = assigned.withColumn("cluster", number.cast("int")).drop("_z", "features", f"k{chosen}")
-    profile = medians(labelled, [*drivers, target], ["cluster"], few_groups=True).join(
+    profile = frozen(medians(labelled, [*drivers, target], ["cluster"], few_groups=True).join(
         F.broadcast(labelled.groupBy("cluster").agg(F.count("*").alias("n"))), "cluster"
-    )
+    ))
+    rows.unpersist()
     return curve, chosen, labelled, profile

@@ -32,12 +32,20 @@ def pearson_matrix(df: DataFrame, columns: list[str]) -> np.ndarray:
         return cov / np.outer(sd, sd)
 
 
+# Share of a driver's variance that the others leave; below it the driver is redundant.
+LEAST_SHARE = 1e-10
+
+
 def variance_inflation(df: DataFrame, drivers: list[str]) -> DataFrame:
-    """(variable, vif): diagonal of the inverse correlation matrix of the drivers."""
+    """(variable, vif): diagonal of the inverse correlation matrix of the drivers.
+
+    A driver of which the others leave less than LEAST_SHARE has infinite inflation.
+    """
     corr = pearson_matrix(df, drivers)
     try:
         vif = np.diag(np.linalg.inv(corr))
     except np.linalg.LinAlgError:
         vif = np.full(len(drivers), np.inf)
+    vif = np.where((vif <= 0) | (vif > 1 / LEAST_SHARE), np.inf, vif)
     rows = [(c, float(v)) for c, v in zip(drivers, vif)]
     return df.sparkSession.createDataFrame(rows, "variable string, vif double")

@@ -2,8 +2,6 @@
 
 from __future__ import annotations
 
-from pyspark.sql import functions as F
-
 from plantpulse.models.catalog import assemble, importance, regressors
 from plantpulse.operators.clusters import operating_clusters
 from plantpulse.plans.classification import run_classification
@@ -14,23 +12,19 @@ from plantpulse.registry.views import (
 )
 from plantpulse.session import spread
 
-# Boosting settings of the registered runs: the rounds are fewer than the library's
-# defaults because every round is a chain of Spark jobs.
-_LIGHT = {
-    "gbm": {"maxIter": 20}, "gbt_hist": {"maxIter": 20}, "random_forest": {"numTrees": 40},
-    "random_forest_lags": {"numTrees": 40}, "gbt_ventanas": {"maxIter": 20},
-}
-
 
 def regression_models(spark, sf):
-    cfg = READINGS.with_(trees=_LIGHT)
-    return rounded(run_regression(split_readings(spark, sf), cfg, with_grid=False).table)
+    # The grid model has its own query, boosting_grid.
+    result = run_regression(split_readings(spark, sf), READINGS, with_grid=False)
+    result.cached.unpersist()
+    return rounded(result.table)
 
 
 def variable_importance(spark, sf):
     drivers = list(READINGS.drivers)
     train = spread(assemble(split_readings(spark, sf).filter("particion = 'train'"), drivers))
-    forest = regressors("value", READINGS.seed, _LIGHT)["random_forest"].fit(train)
+    forest = regressors("value", READINGS.seed)["random_forest"].fit(train)
+    train.unpersist()
     return spark.createDataFrame(importance(forest, drivers), "variable string, importancia double")
 
 
@@ -38,7 +32,8 @@ def boosting_grid(spark, sf):
     train = spread(
         assemble(split_readings(spark, sf).filter("particion = 'train'"), list(READINGS.drivers))
     )
-    _, cells = grid_search(train, READINGS, rounds=8)
+    _, cells = grid_search(train, READINGS)
+    train.unpersist()
     return spark.createDataFrame(
         [(c["maxDepth"], c["stepSize"], c["mae_cv"]) for c in cells],
         "maxDepth int, stepSize double, mae_cv double",
@@ -50,29 +45,28 @@ def curves(spark, sf):
 
 
 def degradation_models(spark, sf):
-    cfg = READINGS.with_(trees=_LIGHT)
-    return rounded(run_classification(labelled_readings(spark, sf), cfg, samme_rounds=10).table)
+    result = run_classification(labelled_readings(spark, sf), READINGS)
+    result.cached.unpersist()
+    return rounded(result.table)
 
 
 def forecast_models(spark, sf):
-    cfg = HOURLY.with_(trees=_LIGHT)
-    return rounded(run_forecast(hourly(spark, sf), cfg).table)
+    result = run_forecast(hourly(spark, sf), HOURLY)
+    result.cached.unpersist()
+    return rounded(result.table)
 
 
-def kmeans_profile(spark, sf):
+def _clusters(spark, sf):
     train = split_readings(spark, sf).filter("particion = 'train'")
-    _, _, _, profile = operating_clusters(
-        train, READINGS.keys, list(READINGS.drivers), "value", ks=range(2, 5), restarts=2
-    )
-    return rounded(profile)
+    return operating_clusters(train, READINGS.keys, list(READINGS.drivers), "value")
+
+
+def kmeans_profile(spark, sf):
+    return rounded(_clusters(spark, sf)[3])
 
 
 def silhouette_by_k(spark, sf):
-    train = split_readings(spark, sf).filter("particion = 'train'")
-    curve, _, _, _ = operating_clusters(
-        train, READINGS.keys, list(READINGS.drivers), "value", ks=range(2, 5), restarts=2
-    )
-    return spark.createDataFrame(curve, "k int, silhouette double")
+    return spark.createDataFrame(_clusters(spark, sf)[0], "k int, silhouette double")
 
 
 QUERIES = {

@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 from plantpulse.functions.numbers import significant
 from plantpulse.operators.collinearity import variance_inflation
 from plantpulse.operators.drift import population_stability
-from plantpulse.operators.ordered import column_quantiles, quantiles
+from plantpulse.operators.ordered import column_quantiles, prefix_sums, quantiles
 from plantpulse.operators.ranktest import mann_whitney, spearman_matrix
 from plantpulse.operators.regime import (
     histogram, level_stats, median_by_category, shared_limits,
@@ -68,7 +68,9 @@ def contrast_tests(spark, sf):
 def contrast_p_values(spark, sf):
     held = labelled_readings(spark, sf).filter("particion = 'test'")
     tests = mann_whitney(held, ["cold", "load", "hora"], "clase", "normal", "critico")
-    return tests.select("variable", "p_valor", significant(F.col("p_valor")).alias("significativo"))
+    return tests.select(
+        "variable", F.round("p_valor", 6).alias("p_valor"), significant(F.col("p_valor")).alias("significativo")
+    )
 
 
 def vif(spark, sf):
@@ -101,6 +103,21 @@ def unit_root_lag0(spark, sf):
     return rounded(adf(readings(spark, sf), ["Time", "seq"], "value", lags=0).drop("adf_p_valor"), 5)
 
 
+def unit_root_lag1(spark, sf):
+    """One lagged difference on the running sum of the centred readings, a near unit root."""
+    return rounded(adf(_wander(spark, sf), ["Time", "seq"], "x", lags=1), 5)
+
+
+def _wander(spark, sf):
+    """Daily running share of large readings: a short, slowly moving series."""
+    day = F.date_trunc("day", F.col("Time"))
+    days = readings(spark, sf).groupBy(day.alias("Time")).agg(
+        F.sum((F.col("value") > 40).cast("long")).alias("c"), F.count("*").alias("t"))
+    run = prefix_sums(days, ["Time"], ["c", "t"])
+    share = (F.col("before_c") + F.col("c")) / (F.col("before_t") + F.col("t"))
+    return run.select("Time", F.lit(0).alias("seq"), share.alias("x"))
+
+
 def _psi_sql() -> str:
     long = "\n  UNION ALL ".join(
         f"""SELECT '{f}' AS v, l_shipdate < TIMESTAMP '{_CUT}' AS ref,
@@ -143,6 +160,24 @@ SELECT s.variable, CAST(n1 AS BIGINT) AS n_normal, CAST(n - n1 AS BIGINT) AS n_c
 FROM s JOIN md ON md.variable = s.variable"""
 
 
+def _erfc_sql(x: str) -> str:
+    """Complementary error function of a column, by the series of positive terms of erf."""
+    series = f"""list_sum([exp(k * ln(4.0) + (2 * k + 1) * ln(abs({x})) + lgamma(k + 1.0) - lgamma(2.0 * k + 2))
+      for k in range(250)])"""
+    erf = f"(CASE WHEN {x} = 0 THEN 0 ELSE sign({x}) * 2 / sqrt(pi()) * exp(-{x} * {x}) * {series} END)"
+    return f"(CASE WHEN {x} > 6 THEN 0.0 WHEN {x} < -6 THEN 2.0 ELSE 1 - {erf} END)"
+
+
+def _p_values_sql(long: str) -> str:
+    head = _rank_sql(long)
+    return head[:head.rindex("SELECT s.variable")] + f""", z AS (
+  SELECT variable, n1, n - n1 AS n2, n, ties, r1 - n1 * (n1 + 1) / 2.0 AS u FROM s),
+x AS (SELECT variable, least(n1, n2) AS least_n,
+  (abs(u - n1 * n2 / 2.0) - 0.5) / sqrt(n1 * n2 / 12.0 * ((n + 1) - ties / (n * (n - 1.0)))) / sqrt(2.0) AS x FROM z),
+p AS (SELECT variable, CASE WHEN least_n >= 20 THEN least(1.0, {_erfc_sql("x")}) END AS p FROM x)
+SELECT variable, round(p, 6) AS p_valor, p < 0.05 AS significativo FROM p"""
+
+
 def _corr_pairs(columns: list[str], source: str) -> str:
     return "\nUNION ALL ".join(
         f"SELECT '{a}' AS variable_a, '{b}' AS variable_b, round(corr(r_{a}, r_{b}), 6) AS rho FROM {source}"
@@ -170,6 +205,7 @@ QUERIES = {
     "obs_pred_limits": limits,
     "median_by_direction": by_category,
     "adf": unit_root,
+    "adf_lag1": unit_root_lag1,
     "dickey_fuller_lag0": unit_root_lag0,
 }
 
@@ -200,6 +236,27 @@ UNION ALL SELECT unit, 'p95', p95 FROM l""",
             for c in ("value", "cold", "load", "hora")
         )
     ),
+    "hypothesis_p_values": f"{LABELLED_SQL}, " + _p_values_sql(
+        " UNION ALL ".join(
+            f"SELECT '{c}' AS variable, clase = 'normal' AS g1, {c} AS x FROM cl "
+            "WHERE particion = 'test' AND clase <> 'alerta'"
+            for c in ("cold", "load", "hora")
+        )
+    ),
+    "adf_lag1": f"""WITH {RD_SQL}, days AS (
+  SELECT date_trunc('day', "Time") AS d, count(*) FILTER (value > 40) AS c, count(*) AS t FROM rd GROUP BY 1),
+w AS (SELECT d, CAST(sum(c) OVER (ORDER BY d) AS DOUBLE) / CAST(sum(t) OVER (ORDER BY d) AS DOUBLE) AS x FROM days),
+l AS (SELECT x - lag(x) OVER o AS y, lag(x) OVER o AS a, lag(x) OVER o - lag(x, 2) OVER o AS b FROM w WINDOW o AS (ORDER BY d)),
+m AS (SELECT count(*) AS n, var_pop(a) * count(*) AS aa, var_pop(b) * count(*) AS bb, var_pop(y) * count(*) AS yy,
+  covar_pop(a, b) * count(*) AS ab, covar_pop(a, y) * count(*) AS ay, covar_pop(b, y) * count(*) AS bby
+  FROM l WHERE b IS NOT NULL),
+e AS (SELECT *, aa * bb - ab * ab AS det, (bb * ay - ab * bby) / (aa * bb - ab * ab) AS ka,
+  (aa * bby - ab * ay) / (aa * bb - ab * ab) AS kb FROM m),
+t AS (SELECT n, ka / sqrt((yy - ka * ay - kb * bby) / (n - 3) * bb / det) AS tau FROM e),
+z AS (SELECT n, tau, -(CASE WHEN tau <= -1.61 THEN 2.1659 + 1.4412 * tau + 0.038269 * tau * tau
+  ELSE 1.7339 + 0.93202 * tau - 0.12745 * tau * tau - 0.010368 * tau * tau * tau END) / sqrt(2.0) AS x FROM t)
+SELECT round(tau, 5) AS adf_estadistico, round(CASE WHEN tau > 2.74 THEN 1.0 WHEN tau < -18.83 THEN 0.0
+  ELSE 0.5 * {_erfc_sql("x")} END, 5) AS adf_p_valor, CAST(1 AS INT) AS lags, n FROM z""",
     "vif": f"""WITH c AS (SELECT corr({_A}, {_B}) AS ab, corr({_A}, {_C}) AS ac, corr({_B}, {_C}) AS bc FROM lineitem),
 d AS (SELECT *, 1 + 2 * ab * ac * bc - ab * ab - ac * ac - bc * bc AS det FROM c)
 SELECT '{_A}' AS variable, round((1 - bc * bc) / det, 6) AS vif FROM d

@@ -262,7 +262,8 @@ def training_sample(
     if n > SAMPLE_ROWS:
         share = int(2**32 * SAMPLE_ROWS / n)
         marks = marks.filter(F.crc32(F.concat(F.lit("draw-"), F.col("doc_id").cast("string")).cast("binary")) < share)
-    rows = docs.select(F.col(doc_id).alias("doc_id"), F.col(text).alias("_text")).join(marks, "doc_id")
+    # About SAMPLE_ROWS ids at most, whatever the number of labels: the texts stay where they are.
+    rows = docs.select(F.col(doc_id).alias("doc_id"), F.col(text).alias("_text")).join(F.broadcast(marks), "doc_id")
     rows = rows.select("doc_id", "_text", F.col("_label").cast("int").alias("_label"))
     texts, marked, size = [], [], 0
     for row in rows.orderBy(F.xxhash64("doc_id"), "doc_id", "_text").toLocalIterator():

@@ -19,6 +19,7 @@ from functools import reduce
 from pyspark.sql import Column, DataFrame, functions as F
 
 from plantpulse.llm.common import Scratch, free_name
+from plantpulse.session import broadcast_if_small
 
 MASKS = ((0, 1, 2, 3, 4), (0, 1, 4, 5, 6))
 SIMILARITY = 0.8
@@ -116,4 +117,6 @@ def without_overlaps(docs: DataFrame, benchmark: DataFrame, doc_id: str = "doc_i
     """The rows of ``docs`` whose id has no overlap, all columns kept."""
     leak = free_name(docs, "_leak")
     leaks = overlaps(docs, benchmark, doc_id, **options).select(F.col("doc_id").alias(leak)).distinct()
+    # Few leaks: the texts stay where they are.  More than the limit: a shuffle join.
+    leaks = broadcast_if_small(leaks)
     return docs.join(leaks, F.col(doc_id).eqNullSafe(F.col(leak)), "left_anti")

@@ -7,13 +7,11 @@ costs a fraction of tokenizing it again.
 
 from __future__ import annotations
 
+import struct
 from functools import lru_cache
 
-import numpy as np
-
-# Words kept per Python worker: about 130 MB when full; the cache then starts anew.
+# Words kept per Python worker in each of two generations: about 200 MB when both are full.
 CACHE_WORDS = 400_000
-BATCH_WORDS = 20_000
 
 
 def word_bpe_path() -> str:
@@ -41,47 +39,55 @@ class WordIds:
         self.model = self.tokenizer.model
         self.limit = cache_words
         self.words: dict[str, bytes] = {}
+        self.older: dict[str, bytes] = {}
         self.parts: dict[str, bytes] = {}
         self.letters = _byte_letters()
         self.split = regex.compile(r"'s|'t|'re|'ve|'m|'ll|'d|\p{L}+|\p{N}|[^\s\p{L}\p{N}]+").findall
 
     def encode(self, text: str) -> bytes:
         words = text.replace("\n", " ").split(" ")
-        try:
-            return b"".join(map(self.words.__getitem__, words))
-        except KeyError:
-            pass
         known = self.words
+        missing = set(words).difference(known)
+        if missing:
+            if len(known) + len(missing) > self.limit:
+                # The full generation answers until the next one is full as well.
+                self.older, known = known, {}
+                self.words, missing = known, set(words)
+            older = self.older
+            for word in missing:
+                ids = older.get(word)
+                known[word] = self._word(word) if ids is None else ids
+        ids = b"".join(map(known.__getitem__, words))
         if len(known) > self.limit:
-            known.clear()
-            self.parts.clear()
-        out = []
-        for word in words:
-            ids = known.get(word)
-            if ids is None:
-                ids = self._word(word)
-                if len(known) <= 2 * self.limit and len(word) < 200:
-                    known[word] = ids
-            out.append(ids)
-        return b"".join(out)
+            # One text alone overflows the cache: it leaves nothing there.
+            self.words, self.older = {}, {}
+        return ids
 
     def _word(self, word: str) -> bytes:
         # Below U+0300 every character is its own composed form and lower-cases alone, and
         # "<|" starts the only strings that are ids of their own.
-        if not word or (max(word) < "̀" and "<|" not in word and word.isprintable()):
-            return b"".join(map(self._part, self.split(word.lower())))
-        ids = self.tokenizer.encode(word, add_special_tokens=False).ids
-        return np.array(ids, dtype="<u4").tobytes()
+        if word and not (max(word) < "\u0300" and "<|" not in word and word.isprintable()):
+            return self._bytes(self.tokenizer.encode(word, add_special_tokens=False).ids)
+        low = word.lower()
+        if low.isalpha():
+            return self._part(low)
+        if low[-1:] in (".", ",") and low[:-1].isalpha():
+            return self._part(low[:-1]) + self._part(low[-1])
+        return b"".join(map(self._part, self.split(low)))
 
     def _part(self, part: str) -> bytes:
         ids = self.parts.get(part)
         if ids is None:
-            spelt = "".join(map(self.letters.__getitem__, part.encode()))
-            ids = np.array([t.id for t in self.model.tokenize(spelt)], dtype="<u4").tobytes()
-            if len(self.parts) <= self.limit and len(part) < 200:
-                self.parts[part] = ids
+            spelt = part if part.isascii() else "".join(map(self.letters.__getitem__, part.encode()))
+            ids = self._bytes([t.id for t in self.model.tokenize(spelt)])
+            if len(self.parts) >= self.limit:
+                self.parts.clear()
+            self.parts[part] = ids
         return ids
 
+    def _bytes(self, ids: list[int]) -> bytes:
+        return struct.pack(f"<{len(ids)}I", *ids)
+
 
 @lru_cache(maxsize=1)
 def word_ids(path: str) -> WordIds:

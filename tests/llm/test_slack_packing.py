@@ -36,7 +36,7 @@ def test_cache_is_bounded(tokenizer):
     for n in range(200):
         text = f"word{n} and {'ab' * (n % 7)}{n}"
         assert encoder.encode(text) == np.array(tokenizer.encode(text, add_special_tokens=False).ids, "<u4").tobytes()
-        assert len(encoder.words) <= 60
+        assert len(encoder.words) <= 20
 
 
 def test_fullest_equals_brute_force():

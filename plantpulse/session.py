@@ -80,13 +80,13 @@ def frozen(df: DataFrame, rows: int = 10_000) -> DataFrame:
 
 
 def spread(df: DataFrame, partitions: int | None = None) -> DataFrame:
-    """Cached copy for iterative fits, over ``partitions`` partitions.
+    """Cached copy for iterative fits.
 
-    The default is the cores of the session.  Row subsampling depends on the partitions, so
-    name their number where a fit must be the same on another cluster.
+    It keeps the partitions that the scan makes of the table's bytes: a small table is few
+    tasks a round, and independent fits share the cores.  Row subsampling depends on the
+    partitions, so name their number where a fit must be the same on another cluster.
     """
-    wanted = partitions or df.sparkSession.sparkContext.defaultParallelism
-    held = df.repartition(wanted).persist(StorageLevel.MEMORY_AND_DISK)
+    held = (df.repartition(partitions) if partitions else df).persist(StorageLevel.MEMORY_AND_DISK)
     held.count()
     return held
 

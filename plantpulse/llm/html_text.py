@@ -5,7 +5,8 @@ from __future__ import annotations
 import re
 import textwrap
 import unicodedata
-from collections.abc import Iterator
+from collections.abc import Generator, Iterator
+from typing import Any
 
 import pyarrow as pa
 from pyspark.sql import DataFrame, functions as F
@@ -78,22 +79,41 @@ class Page:
         return self.lines
 
 
+# A step yields the steps of an element inside and is sent their result.
+Steps = Generator["Steps", Any, Any]
+
+
+def run_steps(steps: Steps) -> Any:
+    """Result of nested steps on a stack of its own, so that no depth of nesting is too deep."""
+    stack, value = [steps], None
+    while stack:
+        try:
+            inner = stack[-1].send(value)
+        except StopIteration as end:
+            stack.pop()
+            value = end.value
+        else:
+            stack.append(inner)
+            value = None
+    return value
+
+
 class Renderer:
     def __init__(self, rules: list):
         self.rules = rules
 
-    def region(self, node: Node, shown: bool, pre: bool = False) -> list[str]:
+    def region(self, node: Node, shown: bool, pre: bool = False) -> Steps:
         page = Page()
-        self.children(node, page, shown, pre)
+        yield self.children(node, page, shown, pre)
         return page.done()
 
-    def children(self, node: Node, page: Page, shown: bool, pre: bool) -> None:
+    def children(self, node: Node, page: Page, shown: bool, pre: bool) -> Steps:
         closed = node.tag == "details" and "open" not in node.attrs
         for child in node.children:
             if closed and not (isinstance(child, Node) and child.tag == "summary"):
                 continue
             if isinstance(child, Node):
-                self.element(child, page, shown, pre)
+                yield self.element(child, page, shown, pre)
                 closed = closed and child.tag != "summary" or node.tag == "details" and "open" not in node.attrs
             elif shown:
                 self.data(child, page, pre)
@@ -108,7 +128,7 @@ class Renderer:
             page.flush(always=True)
             page.inline.append(line.expandtabs(8))
 
-    def element(self, node: Node, page: Page, inherited: bool, pre: bool) -> None:
+    def element(self, node: Node, page: Page, inherited: bool, pre: bool) -> Steps:
         tag = node.tag
         laid, shown = visibility(node, self.rules, inherited)
         if not laid:
@@ -119,31 +139,31 @@ class Renderer:
             if shown and node.attrs.get("type", "").lower() in ("submit", "button", "reset"):
                 page.text(node.attrs.get("value", ""))
         elif tag == "select":
-            self.select(node, page, shown)
+            yield self.select(node, page, shown)
         elif tag == "table":
-            self.indented(page, self.table(node, shown), "", "", 1)
+            self.indented(page, (yield self.table(node, shown)), "", "", 1)
         elif tag in ("ul", "ol", "menu"):
             # A list inside an item follows its text without a blank line.
-            self.indented(page, self.items(node, shown, pre), "", "", 1 if not page.inline or page.lines else 0)
+            self.indented(page, (yield self.items(node, shown, pre)), "", "", 1 if not page.inline or page.lines else 0)
         elif tag in ("dd", "blockquote"):
             pad = "    " if tag == "dd" else "  "
-            self.indented(page, self.region(node, shown, pre), pad, pad, int(tag == "blockquote"))
+            self.indented(page, (yield self.region(node, shown, pre)), pad, pad, int(tag == "blockquote"))
         elif tag == "pre":
-            lines = self.region(node, shown, True)
+            lines = yield self.region(node, shown, True)
             self.indented(page, lines[1:] if lines and not lines[0] else lines, "", "", 1)
         elif tag in MARGIN or tag in LINES:
             margin = int(tag in MARGIN)
             page.block(margin)
-            self.children(node, page, shown, pre)
+            yield self.children(node, page, shown, pre)
             page.block(margin)
         elif tag == "q":
             page.text('"' if shown else "")
             page.space = False
-            self.children(node, page, shown, pre)
+            yield self.children(node, page, shown, pre)
             page.space = False
             page.text('"' if shown else "")
         else:
-            self.children(node, page, shown, pre)
+            yield self.children(node, page, shown, pre)
 
     def indented(self, page: Page, lines: list[str], first: str, rest: str, margin: int) -> None:
         if not lines:
@@ -152,13 +172,13 @@ class Renderer:
         page.put([((first if i == 0 else rest) + line) if line or i == 0 else "" for i, line in enumerate(lines)])
         page.gap = margin
 
-    def items(self, node: Node, shown: bool, pre: bool) -> list[str]:
+    def items(self, node: Node, shown: bool, pre: bool) -> Steps:
         page, at = Page(), node.attrs.get("start", "")
         number = int(at) if re.fullmatch(r"-?\d{1,9}", at) else 1
         for child in node.children:
             if not isinstance(child, Node) or child.tag != "li":
                 if isinstance(child, Node):
-                    self.element(child, page, shown, pre)
+                    yield self.element(child, page, shown, pre)
                 elif shown:
                     page.text(child)
                 continue
@@ -169,10 +189,10 @@ class Renderer:
                 number = int(child.attrs["value"])
             mark = f"{number}. " if node.tag == "ol" else "- "
             number += 1
-            self.indented(page, self.region(child, visible, pre), mark, " " * len(mark), 0)
+            self.indented(page, (yield self.region(child, visible, pre)), mark, " " * len(mark), 0)
         return page.done()
 
-    def select(self, node: Node, page: Page, shown: bool) -> None:
+    def select(self, node: Node, page: Page, shown: bool) -> Steps:
         """The option a closed list shows: the selected one, or the first."""
         options, queue = [], [node]
         while queue:
@@ -181,17 +201,17 @@ class Renderer:
                     (options if child.tag == "option" else queue).append(child)
         chosen = [o for o in options if "selected" in o.attrs][-1:] or options[:1]
         for option in chosen:
-            self.children(option, page, shown, False)
+            yield self.children(option, page, shown, False)
 
-    def table(self, node: Node, shown: bool) -> list[str]:
+    def table(self, node: Node, shown: bool) -> Steps:
         page, groups, loose = Page(), {"thead": [], "tbody": [], "tfoot": []}, Page()
-        self.rows(node, shown, "tbody", groups, page, loose)
+        yield self.rows(node, shown, "tbody", groups, page, loose)
         grid = _grid([row for part in ("thead", "tbody", "tfoot") for row in groups[part]])
         self.indented(page, _aligned(grid), "", "", 0)
         # Text that is in a table but in no cell is shown before it.
         return [*loose.done(), *page.done()]
 
-    def rows(self, node: Node, shown: bool, part: str, groups: dict, page: Page, loose: Page) -> None:
+    def rows(self, node: Node, shown: bool, part: str, groups: dict, page: Page, loose: Page) -> Steps:
         for child in node.children:
             if not isinstance(child, Node):
                 if shown:
@@ -201,23 +221,23 @@ class Renderer:
             if not laid:
                 continue
             if child.tag in groups:
-                self.rows(child, visible, child.tag, groups, page, loose)
+                yield self.rows(child, visible, child.tag, groups, page, loose)
             elif child.tag == "tr":
                 row = []
                 for cell in child.children:
                     if isinstance(cell, Node) and cell.tag in ("td", "th"):
                         ok, seen = visibility(cell, self.rules, visible)
                         if ok:
-                            row.append((self.region(cell, seen), _span(cell, "colspan"), _span(cell, "rowspan")))
+                            row.append(((yield self.region(cell, seen)), _span(cell, "colspan"), _span(cell, "rowspan")))
                     elif isinstance(cell, Node):
-                        self.element(cell, loose, visible, False)
+                        yield self.element(cell, loose, visible, False)
                     elif visible:
                         loose.text(cell)
                 groups[part].append(row)
             elif child.tag == "caption":
-                self.indented(page, self.region(child, visible), "", "", 0)
+                self.indented(page, (yield self.region(child, visible)), "", "", 0)
             elif child.tag != "colgroup":
-                self.element(child, loose, visible, False)
+                yield self.element(child, loose, visible, False)
 
 
 def _span(cell: Node, name: str) -> int:
@@ -297,7 +317,7 @@ def page_text(html: str | None) -> str:
         return ""
     root, rules = build_tree(html)
     laid, shown = visibility(root, rules, True)
-    return "\n".join(Renderer(rules).region(root, shown)) if laid else ""
+    return "\n".join(run_steps(Renderer(rules).region(root, shown))) if laid else ""
 
 
 def extract_text(

@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import re
+from collections import Counter
 from html.parser import HTMLParser
 
 VOID = set("area base br col embed hr img input link meta param source track wbr".split())
@@ -35,8 +36,6 @@ UNSEEN = set(
     " area base link meta param source track noframes rp".split()
 )
 HEAD_ONLY = {"title", "meta", "link", "base", "style", "script", "noscript", "template"}
-# Deeper elements become children of the last one allowed, as in browsers; no text is lost.
-MAX_DEPTH = 120
 
 # A tag that the page's end cuts off shows nothing.
 _CUT_OFF = re.compile(r"</?[a-zA-Z]")
@@ -45,10 +44,10 @@ _SIMPLE = re.compile(r"^([\w-]+|\*)?((?:[.#][\w-]+)*)$")
 
 
 class Node:
-    __slots__ = ("tag", "attrs", "children", "depth")
+    __slots__ = ("tag", "attrs", "children")
 
-    def __init__(self, tag: str, attrs: dict[str, str], depth: int):
-        self.tag, self.attrs, self.depth = tag, attrs, depth
+    def __init__(self, tag: str, attrs: dict[str, str]):
+        self.tag, self.attrs = tag, attrs
         self.children: list[Node | str] = []
 
 
@@ -57,12 +56,20 @@ class TreeBuilder(HTMLParser):
 
     def __init__(self):
         super().__init__(convert_charrefs=True)
-        self.root = Node("html", {}, 0)
+        self.root = Node("html", {})
         self.open = [self.root]
+        # Open elements by tag, so that a deep stack is only searched for what it holds.
+        self.held: Counter[str] = Counter()
         self.sheets: list[str] = []
 
+    def _close(self, cut: int) -> None:
+        self.held.subtract(node.tag for node in self.open[cut:])
+        del self.open[cut:]
+
     def _pop_to(self, tags: set[str], stop: set[str]) -> None:
         """End the outermost open element of ``tags`` inside the nearest of ``stop``."""
+        if not any(self.held[tag] for tag in tags):
+            return
         cut = None
         for i in range(len(self.open) - 1, 0, -1):
             if self.open[i].tag in stop:
@@ -70,14 +77,15 @@ class TreeBuilder(HTMLParser):
             if self.open[i].tag in tags:
                 cut = i
         if cut is not None:
-            del self.open[cut:]
+            self._close(cut)
 
     def _push(self, tag: str, attrs: dict[str, str]) -> Node:
         parent = self.open[-1]
-        node = Node(tag, attrs, parent.depth + 1)
+        node = Node(tag, attrs)
         parent.children.append(node)
-        if tag not in VOID and node.depth < MAX_DEPTH:
+        if tag not in VOID:
             self.open.append(node)
+            self.held[tag] += 1
         return node
 
     def handle_starttag(self, tag, attrs):
@@ -92,7 +100,7 @@ class TreeBuilder(HTMLParser):
         if tag in BLOCKS:
             self._pop_to({"p"}, {"button", "td", "th", "caption", "table", "object"})
         if tag in HEADINGS and self.open[-1].tag in HEADINGS:
-            self.open.pop()
+            self._close(-1)
         if tag in ENDS:
             self._pop_to(*ENDS[tag])
         if tag in ("td", "th") and self.open[-1].tag in ("table", "thead", "tbody", "tfoot"):
@@ -108,20 +116,22 @@ class TreeBuilder(HTMLParser):
         elif tag not in ("html", "body"):
             # A cell's contents cannot end what is open outside it.
             stop = set() if tag in ("table", "tr", "td", "th", "thead", "tbody", "tfoot", "caption") else {"td", "th", "caption"}
-            for i in range(len(self.open) - 1, 0, -1):
+            same = HEADINGS if tag in HEADINGS else {tag}
+            depth = len(self.open) - 1 if any(self.held[t] for t in same) else 0
+            for i in range(depth, 0, -1):
                 if self.open[i].tag == tag or tag in HEADINGS and self.open[i].tag in HEADINGS:
-                    del self.open[i:]
+                    self._close(i)
                     return
                 if self.open[i].tag in stop:
                     break
             if tag == "p":
                 self._push("p", {})
-                self.open.pop()
+                self._close(-1)
 
     def handle_data(self, data):
         here = self.open[-1]
         if here.tag == "head" and data.strip():
-            self.open.pop()
+            self._close(-1)
             here = self.open[-1]
         if here.tag == "style":
             self.sheets.append(data)

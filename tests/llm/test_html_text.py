@@ -64,6 +64,17 @@ def test_deep_nesting_loses_nothing():
     assert page_text(tables) == "x"
 
 
+@pytest.mark.parametrize("depth", [200, 20_000])
+def test_rules_hold_at_any_depth(depth):
+    open_, close = "<font>" * depth, "</font>" * depth
+    assert page_text(f"{open_}a<script>var x</script><style>b{{}}</style><div hidden>c</div><template>d</template>e{close}") == "ae"
+    assert page_text(f"<div hidden>{open_}<div>a</div></font>b{close}</div>c") == "c"
+    assert page_text(f"{open_}<span hidden>a</b></i>b</span>c</p>d{close}e") == "c\n\nde"
+    assert page_text(f"{open_}<ul><li>a<li>b</ul><pre>c\n  d</pre><table><tr><td>x<td>y</table>") == (
+        "- a\n- b\n\nc\n  d\n\nx  y"
+    )
+
+
 def test_odd_rows(spark):
     rows = [(1, None), (2, ""), (3, "<p>a"), (3, "<p>a"), (None, "<p>b"), (4, "   "), (5, "<p>" + "w " * 200_000)]
     df = spark.createDataFrame(rows, "page_id long, html string").selectExpr("*", "1 AS text", "2 AS url")

@@ -1,6 +1,7 @@
 """Exact de-duplication in two passes over a Bloom filter; DataFrame functions only.
 
-Pass one sets two cells per text digest and keeps the cells that were set twice.  Pass two
+Pass one sets two cells per text digest, shuffles a count of each cell, for every row of the
+table, and keeps the cells that were set twice.  Pass two
 looks every digest up: a row whose two cells are not both set twice is alone and passes
 straight through; only the others are shuffled, as thin (row, id, digest) rows, and grouped
 by their full digest, so a false positive costs a shuffled row and never a wrong answer.

@@ -5,15 +5,18 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
 from plantpulse.llm.anchors import near_duplicates
+from plantpulse.llm.digest_array import RULES, judge_urls
 from plantpulse.llm.exact import exact_dedup
 from plantpulse.llm.html_text import extract_text
 from plantpulse.llm.line_runs import line_dedup
 from plantpulse.llm.longest_factor import remove_repeats
+from plantpulse.llm.pivot_codes import compress
 from plantpulse.llm.resampling import resample
 from plantpulse.llm.slack_packing import pack_documents
 from plantpulse.llm.spaced_seeds import overlaps
 from plantpulse.llm.toxicity import toxicity
 from plantpulse.llm.warc import fixity_audit, record_leaves, record_text
+from plantpulse.llm.whitening import whiten
 
 
 def table(spark: SparkSession, sf: str, name: str) -> DataFrame:
@@ -79,6 +82,32 @@ def op10_simhash_near_dedup(spark: SparkSession, sf: str) -> DataFrame:
     return near_duplicates(table(spark, sf, "documents"))
 
 
+URL_RULES = [
+    ("com", "/", "allow"), ("example.com", "/en/", "block"), ("www.example.com", "/en/", "allow"),
+    ("net", "/es/", "block"), ("net", "/fr/", "block"),
+]
+
+
+def op11_url_filters(spark: SparkSession, sf: str) -> DataFrame:
+    pages = table(spark, sf, "pages").select("page_id", "url")
+    return judge_urls(pages, spark.createDataFrame(URL_RULES, RULES)).select("page_id", "judged.*")
+
+
+def op12_vector_codes(spark: SparkSession, sf: str) -> DataFrame:
+    return compress(table(spark, sf, "embeddings")).select(
+        "vec_id", "coded.code", "coded.error", "coded.label_error",
+        F.sha2("coded.codebooks", 256).alias("codebooks_sha256"),
+    )
+
+
+def op13_embedding_whitening(spark: SparkSession, sf: str) -> DataFrame:
+    """Deviations beyond a long, which take some 10^8 rows of these vectors, are null here."""
+    return whiten(table(spark, sf, "embeddings").select("vec_id", "embedding")).select(
+        "vec_id", "white.component", "white.n", F.expr("try_cast(white.deviation AS bigint)").alias("deviation"),
+        "white.whitened", "white.explained", "white.identity_error",
+    )
+
+
 _LOWER = "translate({}, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz')"
 
 QUERIES = {
@@ -92,6 +121,9 @@ QUERIES = {
     "op8_best_fit_packing": op8_best_fit_packing,
     "op9_importance_resampling": op9_importance_resampling,
     "op10_simhash_near_dedup": op10_simhash_near_dedup,
+    "op11_url_filters": op11_url_filters,
+    "op12_vector_codes": op12_vector_codes,
+    "op13_embedding_whitening": op13_embedding_whitening,
 }
 
 
@@ -108,6 +140,30 @@ def _tree_sql(side: str) -> str:
   sha256(record) AS hash FROM {side}), """ + ", ".join(levels)
 
 
+def _codes_sql(parts: int, entries: int, width: int, rounds: int) -> str:
+    """K-means on whole-number parts with every distance computed, one CTE a round."""
+    gap = " + ".join(f"(p.x[{k}] - b.x[{k}]) * (p.x[{k}] - b.x[{k}])" for k in range(1, width + 1))
+    moved = ", ".join(f"CAST(floor(sum(p.x[{k}]) / count(*)) AS BIGINT)" for k in range(1, width + 1))
+    text = [f"""WITH v AS MATERIALIZED (SELECT vec_id, label, [CAST(floor(1024 * CAST(c AS DOUBLE)) AS BIGINT) FOR c IN embedding] AS x
+  FROM embeddings WHERE len([c FOR c IN embedding IF c IS NULL OR NOT isfinite(c)]) = 0),
+p AS MATERIALIZED (SELECT vec_id, part, x[part * {width} + 1:part * {width} + {width}] AS x FROM v, range({parts}) r(part)),
+f AS (SELECT vec_id, row_number() OVER (ORDER BY vec_id) - 1 AS entry FROM v ORDER BY vec_id LIMIT {entries}),
+b0 AS MATERIALIZED (SELECT part, entry, x FROM p JOIN f USING (vec_id))"""]
+    for n in range(rounds + 1):
+        text.append(f"""a{n} AS MATERIALIZED (SELECT vec_id, p.part, min(({gap}) * {entries} + entry) AS near
+  FROM p JOIN b{n} b ON b.part = p.part GROUP BY ALL)""")
+        if n < rounds:
+            text.append(f"""b{n + 1} AS MATERIALIZED (SELECT b.part, b.entry, coalesce(m.x, b.x) AS x FROM b{n} b LEFT JOIN (
+  SELECT p.part, near % {entries} AS entry, [{moved}] AS x FROM p JOIN a{n} a ON a.vec_id = p.vec_id AND a.part = p.part
+  GROUP BY ALL) m ON m.part = b.part AND m.entry = b.entry)""")
+    text.append(f"""e AS (SELECT vec_id, string_agg(format('{{:02x}}', near % {entries}), '' ORDER BY part) AS code,
+  CAST(sum(near // {entries}) AS BIGINT) AS error FROM a{rounds} GROUP BY vec_id)
+SELECT vec_id, code, error, CAST(sum(error) OVER (PARTITION BY label) AS BIGINT) AS label_error,
+  (SELECT sha256(string_agg(array_to_string(x, ','), ',' ORDER BY part, entry)) FROM b{rounds}) AS codebooks_sha256
+FROM e JOIN v USING (vec_id)""")
+    return ",\n".join(text[:-1]) + ",\n" + text[-1]
+
+
 _CRLF = "chr(13) || chr(10)"
 
 SQL = {
@@ -125,6 +181,16 @@ SELECT coalesce(a0.file, b0.file) AS file, coalesce(a0.node, b0.node) AS "offset
 FROM a0 FULL JOIN b0 ON a0.file = b0.file AND a0.node = b0.node
 LEFT JOIN a4 ON a4.file = coalesce(a0.file, b0.file) LEFT JOIN b4 ON b4.file = coalesce(a0.file, b0.file)
 WHERE a0.hash IS DISTINCT FROM b0.hash""",
+    "op11_url_filters": f"""WITH u AS (SELECT page_id, CASE WHEN contains(url, '://') THEN substr(url, position('://' IN url) + 3) ELSE '' END AS t
+  FROM pages), h AS (SELECT page_id, {_LOWER.format("regexp_extract(coalesce(t, ''), '^[^/?#]*')")} AS host,
+  regexp_extract(coalesce(t, ''), '^[^/?#]*([^?#]*)', 1) AS path FROM u),
+r(rule_host, rule_path, rule_verdict) AS (VALUES {", ".join(map(str, URL_RULES))})
+SELECT page_id, any_value(host) AS host, any_value(path) AS path,
+  arg_max(rule_host || rule_path, length(rule_host || rule_path)) AS rule,
+  coalesce(arg_max(rule_verdict, length(rule_host || rule_path)), 'allow') AS verdict
+FROM h LEFT JOIN r ON (host = rule_host OR ends_with(host, '.' || rule_host)) AND starts_with(path, rule_path)
+GROUP BY page_id""",
+    "op12_vector_codes": _codes_sql(4, 256, 16, 4),
     "op3_line_dedup": f"""WITH s AS (SELECT doc_id, string_split(coalesce(text, ''), chr(10)) AS lines FROM documents),
 l AS (SELECT doc_id, unnest(lines) AS line, generate_subscripts(lines, 1) AS pos FROM s),
 k AS (SELECT *, {_LOWER.format("trim(line, chr(32) || chr(9) || chr(10) || chr(11) || chr(12) || chr(13))")} AS key FROM l),

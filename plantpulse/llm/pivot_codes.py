@@ -27,11 +27,13 @@ from plantpulse.llm.vectors import LIMIT, listed, whole_matrix, whole_vectors
 PARTS = 4
 ENTRIES = 256
 ROUNDS = 4
-PIVOTS = 12
+PIVOTS = 8
 # Parts whose bounds are held at once, and candidates evaluated before the bound is read again.
-ROWS, STEP = 2048, 8
-# Float distances of parts within LIMIT are off by far less.
-SLACK = 1e-4
+ROWS, STEP = 512, 16
+# What a bound in float32 may be off: three roundings of the largest distance, and one of a root.
+SLACK, ROOT_SLACK = 4 * 2.0**-24, 1e-4
+# Sums of squares below this are exact in float64.
+EXACT = 1 << 53
 
 
 def compress(
@@ -125,27 +127,32 @@ def distances(a: np.ndarray, b: np.ndarray) -> np.ndarray:
 def nearest(parts: np.ndarray, to_pivots: np.ndarray, pivots: np.ndarray, entries: np.ndarray):
     """Index and squared distance of each part's nearest entry, and how many were evaluated."""
     from_pivots = distances(pivots, entries)
+    slack = ROOT_SLACK + SLACK * max(from_pivots.max(initial=0), to_pivots.max(initial=0))
+    from_pivots = from_pivots.astype(np.float32)
+    reach = int(np.abs(parts).max(initial=0)) + int(np.abs(entries).max(initial=0))
+    if reach**2 * parts.shape[1] < EXACT:
+        parts, entries = parts.astype(np.float64), entries.astype(np.float64)
     index = np.zeros(len(parts), np.int64)
     error = np.zeros(len(parts), np.int64)
     tried = 0
     for at in range(0, len(parts), ROWS):
-        rows, near = parts[at:at + ROWS], to_pivots[at:at + ROWS]
-        bound = np.zeros((len(rows), len(entries)))
+        rows, near = parts[at:at + ROWS], to_pivots[at:at + ROWS].astype(np.float32)
+        bound = np.zeros((len(rows), len(entries)), np.float32)
         for p in range(len(pivots)):
             np.maximum(bound, np.abs(near[:, p, None] - from_pivots[p]), out=bound)
-        order = np.argsort(bound, axis=1, kind="stable")
+        order = np.argsort(bound, axis=1)
         bound = np.take_along_axis(bound, order, axis=1)
         best = np.full(len(rows), np.iinfo(np.int64).max)
         found = np.full(len(rows), len(entries), np.int64)
         live = np.arange(len(rows))
         for first in range(0, len(entries), STEP):
             # An entry whose bound equals the best distance may tie with a lower index.
-            live = live[bound[live, first] <= np.sqrt(best[live].astype(np.float64)) + SLACK]
+            live = live[bound[live, first] <= np.sqrt(best[live]) + slack]
             if not len(live):
                 break
             picked = order[live, first:first + STEP]
             gap = rows[live, None, :] - entries[picked]
-            exact = np.einsum("ijk,ijk->ij", gap, gap)
+            exact = np.einsum("ijk,ijk->ij", gap, gap).astype(np.int64)
             tried += exact.size
             low = exact.min(axis=1)
             who = np.where(exact == low[:, None], picked, len(entries)).min(axis=1)

@@ -1,12 +1,14 @@
 """Token ids of texts, word by word with a bounded cache.
 
-The tokenizer drops white space and never joins across it, so the ids of a text are the
-ids of its space- and newline-separated pieces in order.  Words repeat, and looking one up
-costs a fraction of tokenizing it again.
+A tokenizer with the rules below drops white space and never joins across it, so the ids of
+a text are the ids of its space- and newline-separated pieces in order.  Words repeat, and
+looking one up costs a fraction of tokenizing it again.  A file with other rules is asked for
+every text as a whole.
 """
 
 from __future__ import annotations
 
+import json
 import struct
 from functools import lru_cache
 
@@ -14,6 +16,30 @@ from functools import lru_cache
 CACHE_WORDS = 400_000
 
 
+# The rules for which texts are cut into words here.
+SPLIT = r"'s|'t|'re|'ve|'m|'ll|'d|[\p{L}]+|[\p{N}]|[^\s\p{L}\p{N}]+"
+RULES = {
+    "normalizer": {"type": "Sequence", "normalizers": [
+        {"type": "NFC"}, {"type": "Replace", "pattern": {"Regex": r"\s+"}, "content": " "}, {"type": "Lowercase"},
+    ]},
+    "pre_tokenizer": {"type": "Sequence", "pretokenizers": [
+        {"type": "Split", "pattern": {"Regex": SPLIT}, "behavior": "Removed", "invert": True},
+        {"type": "ByteLevel", "add_prefix_space": False, "trim_offsets": True, "use_regex": False},
+    ]},
+    "post_processor": None, "truncation": None, "padding": None,
+}
+
+
+def cuts_words(rules: dict) -> bool:
+    """Whether a tokenizer file has the rules for which a text's ids are those of its words."""
+    marks = rules["added_tokens"]
+    plain = all(t["content"].startswith("<|") and not (t["lstrip"] or t["rstrip"] or t["single_word"]) for t in marks)
+    model = rules["model"]
+    return plain and model["type"] == "BPE" and not model["dropout"] and all(
+        rules[name] == rule for name, rule in RULES.items()
+    )
+
+
 def word_bpe_path() -> str:
     import public_tokenizers
 
@@ -37,14 +63,17 @@ class WordIds:
 
         self.tokenizer = Tokenizer.from_file(path)
         self.model = self.tokenizer.model
+        self.by_word = cuts_words(json.loads(self.tokenizer.to_str()))
         self.limit = cache_words
         self.words: dict[str, bytes] = {}
         self.older: dict[str, bytes] = {}
         self.parts: dict[str, bytes] = {}
         self.letters = _byte_letters()
-        self.split = regex.compile(r"'s|'t|'re|'ve|'m|'ll|'d|\p{L}+|\p{N}|[^\s\p{L}\p{N}]+").findall
+        self.split = regex.compile(SPLIT).findall
 
     def encode(self, text: str) -> bytes:
+        if not self.by_word:
+            return self._bytes(self.tokenizer.encode(text, add_special_tokens=False).ids)
         words = text.replace("\n", " ").split(" ")
         known = self.words
         missing = set(words).difference(known)

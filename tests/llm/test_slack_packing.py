@@ -96,3 +96,24 @@ def test_empty_and_clashing_columns(documents):
     assert pack_documents(documents([])).count() == 0
     df = documents([(1, "a b"), (2, None)]).selectExpr("*", "1 AS task", "2 AS length", "3 AS rank")
     assert {(r.doc_id, r.length) for r in pack_documents(df).collect()} == {(1, 3), (2, 1)}
+
+
+def test_a_tokenizer_of_other_rules_is_asked_for_whole_texts(tmp_path):
+    import json
+
+    from tokenizers import Tokenizer
+
+    from plantpulse.llm.tokens import WordIds, word_bpe_path
+
+    own = WordIds(word_bpe_path())
+    assert own.by_word
+    rules = json.loads(own.tokenizer.to_str())
+    rules["normalizer"]["normalizers"].pop()  # no lower-casing any more
+    path = tmp_path / "cased.json"
+    path.write_text(json.dumps(rules))
+    text = "Some TEXT, it's 42 Ünïcode\nlines  and <|endoftext|> marks"
+    cased = WordIds(str(path))
+    assert not cased.by_word and cased.encode(text) != own.encode(text)
+    for path, ids in ((word_bpe_path(), own), (str(path), cased)):
+        want = Tokenizer.from_file(path).encode(text, add_special_tokens=False).ids
+        assert ids.encode(text) == ids._bytes(want)

@@ -2,14 +2,13 @@
 
 from __future__ import annotations
 
-import uuid
 from collections.abc import Iterator
 from string import ascii_lowercase, ascii_uppercase
 
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 
-from plantpulse.session import checkpoint_root
+from plantpulse.session import scratch_path
 
 # White space of the line and word contracts: [\x20\x09-\x0D].
 BLANKS = " \t\n\x0b\f\r"
@@ -26,12 +25,13 @@ class Scratch:
     """Parquet tables of one run in the folder every executor can reach.
 
     A lost executor costs the tasks it was running: what is written here is read again
-    from the shared folder, not recomputed.
+    from the shared folder, not recomputed.  Inside a ``session.scratch_scope`` the folder
+    goes with the scope.
     """
 
     def __init__(self, spark: SparkSession, label: str):
         self.spark = spark
-        self.root = f"{checkpoint_root(spark).rstrip('/')}/{label}-{uuid.uuid4().hex}"
+        self.root = scratch_path(spark, label)
 
     def path(self, name: str) -> str:
         return f"{self.root}/{name}"

@@ -22,21 +22,28 @@ FANOUT = 2
 
 
 class LineRuns:
-    """Runs of 16-byte line keys, kept as bucketed tables in the session's warehouse."""
+    """Runs of 16-byte line keys: bucketed tables whose files lie in the shared scratch folder."""
 
     def __init__(self, spark: SparkSession, fanout: int = FANOUT):
         self.spark, self.fanout = spark, fanout
+        self.scratch = Scratch(spark, "line-runs")
+        self.made: set[str] = set()
         self.buckets = int(spark.conf.get("spark.sql.shuffle.partitions"))
         self.levels: list[list[str]] = []
 
     def table(self, df: DataFrame) -> str:
         name = f"line_run_{uuid.uuid4().hex}"
         spread = df.repartition(self.buckets, "key")
-        spread.write.bucketBy(self.buckets, "key").sortBy("key").saveAsTable(name)
+        self.made.add(name)
+        writer = spread.write.bucketBy(self.buckets, "key").sortBy("key")
+        writer.option("path", self.scratch.path(name)).saveAsTable(name)
         return name
 
     def drop(self, name: str) -> None:
+        """Forget the table and delete its files."""
         self.spark.sql(f"DROP TABLE IF EXISTS {name}")
+        self.scratch.drop(name)
+        self.made.discard(name)
 
     def unseen(self, keys: DataFrame) -> DataFrame:
         """Rows of ``keys`` whose key is in no run."""
@@ -63,8 +70,10 @@ class LineRuns:
             level += 1
 
     def clear(self) -> None:
-        for name in [name for level in self.levels for name in level]:
+        """Drop every table that was made, also after a failure."""
+        for name in list(self.made):
             self.drop(name)
+        self.scratch.drop("")
         self.levels = []
 
 
@@ -76,7 +85,7 @@ def line_dedup(
 
     A text is split at newlines; null and empty texts are one empty line.  A line's key is
     the line without blanks at its ends and with A-Z lower-cased.  Keys of at least
-    ``min_key`` code points held by two ids lose all lines except those of the smallest id.
+    ``min_key`` code points held by two ids (whole numbers) lose all lines except those of the smallest id.
     Rows sharing an id count as one holder, whether or not their texts differ.  Rows with a
     null id neither lose lines nor make others lose any.  All other columns are kept as they
     are; an empty table gives an empty one.
@@ -121,23 +130,25 @@ def _drops(docs: DataFrame, scratch: Scratch, batches: int, fanout: int, min_key
     lines = scratch.write(lines, "lines", "batch")
     runs = LineRuns(spark, fanout)
     marked = None
-    for b in range(batches):
-        part = lines.filter(F.col("batch") == b).drop("batch")
-        keys = runs.table(part.groupBy("key").agg(
-            F.count("*").alias("n"), F.min("doc_id").alias("first"), F.max("doc_id").alias("last")
-        ))
-        new = runs.table(runs.unseen(spark.table(keys)))
-        repeated = spark.table(new).filter("last > first").select("key", "n", "first")
-        seen = spark.table(keys).join(spark.table(new).select("key").hint("merge"), "key", "left_anti")
-        rules = scratch.write(
-            repeated.unionAll(seen.select("key", "n", F.lit(None).cast("long"))), f"rules-{b}"
-        )
-        ruled = attach_groups(part, rules, "key", "n", part.count(), "row")
-        gone = ruled.filter("n is not null and (first is null or doc_id > first)")
-        marked = scratch.write(gone.select("doc_id", "text_key", "at"), "gone", append=True)
-        runs.drop(keys)
-        runs.add(new)
-        scratch.drop(f"rules-{b}")
-    runs.clear()
+    try:
+        for b in range(batches):
+            part = lines.filter(F.col("batch") == b).drop("batch")
+            keys = runs.table(part.groupBy("key").agg(
+                F.count("*").alias("n"), F.min("doc_id").alias("first"), F.max("doc_id").alias("last")
+            ))
+            new = runs.table(runs.unseen(spark.table(keys)))
+            repeated = spark.table(new).filter("last > first").select("key", "n", "first")
+            seen = spark.table(keys).join(spark.table(new).select("key").hint("merge"), "key", "left_anti")
+            rules = scratch.write(
+                repeated.unionAll(seen.select("key", "n", F.lit(None).cast("long"))), f"rules-{b}"
+            )
+            ruled = attach_groups(part, rules, "key", "n", part.count(), "row")
+            gone = ruled.filter("n is not null and (first is null or doc_id > first)")
+            marked = scratch.write(gone.select("doc_id", "text_key", "at"), "gone", append=True)
+            runs.drop(keys)
+            runs.add(new)
+            scratch.drop(f"rules-{b}")
+    finally:
+        runs.clear()
     scratch.drop("lines")
     return marked.groupBy("doc_id", "text_key").agg(F.collect_set("at").alias("at"))

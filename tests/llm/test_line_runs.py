@@ -66,3 +66,19 @@ def test_empty_and_clashing_columns(documents):
     out = line_dedup(df, out="report")
     assert out.columns == [*df.columns, "report"]
     assert {(r["doc_id"], r["report"]["kept"]) for r in out.collect()} == {(1, rows[0][1]), (2, "own")}
+
+
+def test_runs_lie_in_the_scratch_folder_and_go_after_a_failure(spark, documents, monkeypatch):
+    from plantpulse.session import checkpoint_root
+
+    runs = LineRuns(spark)
+    name = runs.table(spark.createDataFrame([(b"x",)], "key binary"))
+    assert spark.table(name).inputFiles()[0].removeprefix("file:").lstrip("/").startswith(checkpoint_root(spark).lstrip("/"))
+    runs.clear()
+    before = {t.name for t in spark.catalog.listTables()}
+    monkeypatch.setattr(LineRuns, "add", lambda self, run: 1 / 0)
+    try:
+        line_dedup(documents([(1, "a line that is long enough"), (2, "a line that is long enough")]))
+    except ZeroDivisionError:
+        pass
+    assert {t.name for t in spark.catalog.listTables()} == before

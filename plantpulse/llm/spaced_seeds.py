@@ -1,10 +1,10 @@
 """Benchmark decontamination by spaced seeds; DataFrame functions only.
 
-A seed is the hash of five words of a window; a fixed mask says which ones, so the words at
-its other positions may differ.  With the two masks every passage of fifteen words keeps a
-seed under any three substitutions.  Seeds of the documents meet those of the benchmark in
-a join; around each meeting the two texts are laid over each other and all words that agree
-are counted.
+A seed is the hash of four words of a window; a fixed mask says which ones, so the words at
+its other positions may differ.  With the two masks every passage of six to thirty-four
+words keeps a seed when any fifth of its words is replaced (counted out), one of five words
+when it is whole.  Seeds of the documents meet those of the benchmark in a join; around each
+meeting the two texts are laid over each other and all words that agree are counted.
 
 The documents' side is one scan: words are hashed once per text, seeds are made inside
 generated code and probe the broadcast benchmark without being written anywhere.  A
@@ -21,7 +21,8 @@ from pyspark.sql import Column, DataFrame, functions as F
 from plantpulse.llm.common import Scratch, free_name
 from plantpulse.session import broadcast_if_small
 
-MASKS = ((0, 1, 2, 3, 4), (0, 1, 4, 5, 6))
+MASKS = ((0, 1, 2, 4), (0, 3, 4, 5))
+SHORTEST = min(mask[-1] for mask in MASKS) + 1
 SIMILARITY = 0.8
 SMALL = 200_000
 # Overlaps are summed over alignments that differ by at most this many inserted words.
@@ -65,10 +66,12 @@ def overlaps(
     other.  Empty tables give no rows; other columns are not read.
     """
     scratch = Scratch(docs.sparkSession, "seeds")
+    # Items without a seed match nothing; the others have at least as many seeds as there
+    # are items, and a seed for every word but four.
     items = scratch.write(benchmark.select(
         F.monotonically_increasing_id().alias("item"), F.col(item_id).alias("item_id"),
         words(F.col(item_text)).alias("item_words"),
-    ), "items")
+    ).filter(F.size("item_words") >= SHORTEST), "items")
     seeds = scratch.write(
         _seeds(items, "item_words").select("item", F.col("at").alias("item_at"), "seed"), "seeds"
     )
@@ -77,7 +80,7 @@ def overlaps(
     )
     at = (F.col("at") - F.col("item_at")).alias("shift")
     if seeds.limit(small + 1).count() <= small:
-        # No more item words than seeds: both sides are small.
+        # No more items than seeds, nor more words than seeds and four an item: both are small.
         found = _seeds(source, "doc_words").join(F.broadcast(seeds), "seed").select(
             "doc_id", "text_key", "item", at, "doc_words"
         ).join(F.broadcast(items), "item")

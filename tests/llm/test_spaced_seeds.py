@@ -56,12 +56,27 @@ def test_equals_the_plain_search(spark, documents, corpus, small):
     assert len(got) >= 27
 
 
-def test_masks_find_any_three_substitutions_in_fifteen_words():
+def test_masks_ignore_positions_and_find_any_fifth_of_substitutions():
     from itertools import combinations
-    for changed in combinations(range(15), 3):
-        assert any(
-            all(at + o not in changed for o in mask) for mask in MASKS for at in range(15 - mask[-1])
-        )
+    assert all(mask[-1] >= len(mask) for mask in MASKS)
+    for length in range(6, 25):
+        seeds = [sum(1 << (at + o) for o in mask) for mask in MASKS for at in range(length - mask[-1])]
+        for changed in combinations(range(length), length // 5):
+            bits = sum(1 << at for at in changed)
+            assert any(not seed & bits for seed in seeds)
+
+
+def test_many_short_items_are_not_broadcast(spark, documents, monkeypatch):
+    """Items without a seed are dropped before anything is counted or sent."""
+    from plantpulse.llm import spaced_seeds
+
+    sent = []
+    monkeypatch.setattr(spaced_seeds.F, "broadcast", lambda df: sent.append(df.count()) or df)
+    short = [(n, f"answer {n}") for n in range(500)] + [(900, "one two three four five")]
+    benchmark = spark.createDataFrame(short, "item_id long, text string")
+    got = overlaps(documents([(1, "zero one two three four five six"), (2, "answer 7")]), benchmark).collect()
+    assert [(r["doc_id"], r["item_id"]) for r in got] == [(1, 900)]
+    assert sent and max(sent) == 1
 
 
 def test_inserted_word_is_bridged(spark, documents):

@@ -30,6 +30,8 @@ from plantpulse.llm.common import small_batches
 # Bounds of the fitting sample and of the model.  They do not depend on the corpus.
 SAMPLE_ROWS = 12_000
 SAMPLE_BYTES = 48 << 20
+# A longer text is not learnt from (it is scored whole like any other).
+SAMPLE_TEXT = 1 << 20
 MAX_VOTERS = 150
 STEMS = (4, 5, 6)
 MIN_SUPPORT = 8
@@ -208,16 +210,19 @@ def _correlations(votes: np.ndarray, posterior: np.ndarray) -> np.ndarray:
     return np.where(total < 0.1, 0, total)
 
 
-def logistic(x: np.ndarray, y: np.ndarray, penalty: float = 0.1, rounds: int = 30):
-    """Weights and bias by Newton steps on soft labels."""
+def logistic(
+    x: np.ndarray, y: np.ndarray, penalty: float = 0.1, rounds: int = 30, mass: np.ndarray | None = None
+):
+    """Weights and bias by Newton steps on soft labels; ``mass`` is how much each row counts."""
+    mass = np.ones(len(x)) if mass is None else mass
     x = np.hstack([x, np.ones((len(x), 1))])
     ridge = np.full(x.shape[1], penalty)
     ridge[-1] = 1e-6
     w = np.zeros(x.shape[1])
     for _ in range(rounds):
         p = 1 / (1 + np.exp(-np.clip(x @ w, -30, 30)))
-        slope = x.T @ (y - p) - ridge * w
-        curve = (x * (p * (1 - p))[:, None]).T @ x + np.diag(ridge + 1e-9)
+        slope = x.T @ (mass * (y - p)) - ridge * w
+        curve = (x * (mass * p * (1 - p))[:, None]).T @ x + np.diag(ridge + 1e-9)
         step = np.linalg.solve(curve, slope)
         w += step
         if np.abs(step).max() < 1e-6:
@@ -225,11 +230,13 @@ def logistic(x: np.ndarray, y: np.ndarray, penalty: float = 0.1, rounds: int = 3
     return w[:-1], float(w[-1])
 
 
-def fit(texts: list[str], toxic: np.ndarray) -> ToxicityModel:
+def fit(texts: list[str], toxic: np.ndarray, share: float | None = None) -> ToxicityModel:
     """Voters from the labels; the classifier from the label model's posteriors.
 
     The given labels are one more voter: its accuracy is estimated like the others', so a
-    wrong label is outvoted by what the text says.
+    wrong label is outvoted by what the text says.  ``share`` is the part of all labelled
+    rows that is toxic, where the texts were not drawn in that proportion: the classifier
+    then weighs the two classes' texts so that they stand for all rows.
     """
     if not len(texts) or not toxic.any():
         # Nothing to learn from: no text is called toxic.
@@ -244,36 +251,51 @@ def fit(texts: list[str], toxic: np.ndarray) -> ToxicityModel:
     votes = np.hstack([np.sign(x), np.where(toxic > 0, 1.0, -1.0)[:, None]])
     votes[:, len(entries) + PATTERNS.index("none")] *= -1
     posterior, odds, related = label_model(votes, np.where(toxic > 0, 0.8, 0.05), prior)
-    weights, bias = logistic(x, posterior)
+    drawn = toxic.mean()
+    mass = None
+    if share is not None and 0 < drawn < 1 and 0 < share < 1:
+        mass = np.where(toxic > 0, share / drawn, (1 - share) / (1 - drawn))
+    weights, bias = logistic(x, posterior, mass=mass)
     return ToxicityModel(entries, weights, bias, odds, related, prior)
 
 
 def training_sample(
     docs: DataFrame, labels: DataFrame, doc_id: str = "doc_id", text: str = "text", label: str = "toxic",
-) -> tuple[list[str], np.ndarray]:
-    """At most SAMPLE_ROWS labelled texts of the training folds, fewer if they are long.
-
-    Rows are drawn by a hash of the id, so the draw does not depend on partitions.
+) -> tuple[list[str], np.ndarray, float | None]:
+    """At most about SAMPLE_ROWS labelled texts of the training folds, their labels, and, where
+    not all were taken, the toxic share of all such labels.
+
+    Beyond SAMPLE_ROWS labels, up to half of the draw is toxic: a class of few rows is taken
+    whole.  Rows are drawn by a hash of the id, so the draw does not depend on partitions.
+    Texts beyond SAMPLE_TEXT characters are left out before anything is fetched, and one that
+    no longer fits into SAMPLE_BYTES is passed over.
     """
     marks = labels.filter(F.col(label).isNotNull() & ~held_out(F.col("doc_id"))).groupBy("doc_id").agg(
-        F.max(label).alias("_label")
+        F.max(F.col(label).cast("int")).alias("_label")
     )
-    n = marks.count()
+    sizes = {r["toxic"]: r["n"] for r in marks.groupBy((F.col("_label") > 0).alias("toxic")).agg(
+        F.count("*").alias("n")).collect()}
+    n, few = sum(sizes.values()), sizes.get(True, 0)
     if n > SAMPLE_ROWS:
-        share = int(2**32 * SAMPLE_ROWS / n)
-        marks = marks.filter(F.crc32(F.concat(F.lit("draw-"), F.col("doc_id").cast("string")).cast("binary")) < share)
+        wanted = min(few, max(SAMPLE_ROWS // 2, SAMPLE_ROWS - (n - few)))
+        shares = {True: wanted / max(1, few), False: (SAMPLE_ROWS - wanted) / max(1, n - few)}
+        bound = F.when(F.col("_label") > 0, int(2**32 * shares[True])).otherwise(int(2**32 * shares[False]))
+        marks = marks.filter(
+            F.crc32(F.concat(F.lit("draw-"), F.col("doc_id").cast("string")).cast("binary")) < bound
+        )
     # About SAMPLE_ROWS ids at most, whatever the number of labels: the texts stay where they are.
     rows = docs.select(F.col(doc_id).alias("doc_id"), F.col(text).alias("_text")).join(F.broadcast(marks), "doc_id")
-    rows = rows.select("doc_id", "_text", F.col("_label").cast("int").alias("_label"))
+    rows = rows.filter(F.coalesce(F.char_length("_text"), F.lit(0)) <= min(SAMPLE_TEXT, SAMPLE_BYTES)).select(
+        "doc_id", "_text", "_label"
+    )
     texts, marked, size = [], [], 0
     for row in rows.orderBy(F.xxhash64("doc_id"), "doc_id", "_text").toLocalIterator():
         body = row["_text"] or ""
-        size += len(body)
-        if size > SAMPLE_BYTES:
-            break
-        texts.append(body)
-        marked.append(row["_label"])
-    return texts, np.array(marked, dtype=np.int64)
+        if size + len(body) <= SAMPLE_BYTES:
+            size += len(body)
+            texts.append(body)
+            marked.append(row["_label"])
+    return texts, np.array(marked, dtype=np.int64), few / n if n > SAMPLE_ROWS else None
 
 
 def _chances(model: ToxicityModel, lexicon: Lexicon, texts: list[str | None]) -> np.ndarray:

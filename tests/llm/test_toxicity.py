@@ -124,7 +124,38 @@ def test_sample_is_bounded(monkeypatch, tables):
 
     rows, docs, labels = tables
     monkeypatch.setattr(module, "SAMPLE_BYTES", 20_000)
-    texts, marks = training_sample(docs, labels)
+    texts, marks, _ = training_sample(docs, labels)
     assert len(texts) == len(marks) and 0 < sum(map(len, texts)) <= 20_000
     monkeypatch.setattr(module, "SAMPLE_ROWS", 50)
-    assert 10 < len(training_sample(docs, labels)[0]) < 100
+    texts, marks, share = training_sample(docs, labels)
+    assert 10 < len(texts) < 100
+    assert share < 0.5 and marks.sum() >= min(25, share * len(rows)) * 0.5
+
+
+def test_long_texts_do_not_end_the_sample(spark, documents, monkeypatch):
+    from plantpulse.llm import toxicity as module
+
+    monkeypatch.setattr(module, "SAMPLE_TEXT", 2000)
+    rows = [(n, "a long text " * 400 if n % 5 < 2 else f"you scum number {n}" if n % 10 == 3 else f"fine words {n}")
+            for n in range(400)]
+    labels = spark.createDataFrame([(n, 0, int("scum" in t)) for n, t in rows], "doc_id long, quality int, toxic int")
+    texts, marks, _ = training_sample(documents(rows), labels)
+    kept = [n for n, t in rows if len(t) <= 2000]
+    assert 0.7 * len(kept) < len(texts) <= len(kept) and marks.sum() > 20
+    monkeypatch.setattr(module, "SAMPLE_TEXT", 1 << 20)
+    monkeypatch.setattr(module, "SAMPLE_BYTES", 6000)
+    texts, _, _ = training_sample(documents(rows), labels)
+    assert sum(map(len, texts)) <= 6000 and len(texts) > 50
+
+
+def test_rare_toxic_rows_are_drawn_whole_and_weighed_back(monkeypatch, spark, documents):
+    from plantpulse.llm import toxicity as module
+
+    rng = random.Random(30)
+    rows = [(n, ("scum " if n % 50 == 0 else "") + " ".join(f"w{rng.randrange(300)}" for _ in range(30))) for n in range(4000)]
+    labels = spark.createDataFrame([(n, 0, int(n % 50 == 0)) for n, _ in rows], "doc_id long, quality int, toxic int")
+    monkeypatch.setattr(module, "SAMPLE_ROWS", 400)
+    texts, marks, share = training_sample(documents(rows), labels)
+    assert len(texts) < 500 and marks.sum() > 50 and abs(share - 0.02) < 0.005
+    plain, weighed = fit(texts, marks), fit(texts, marks, share)
+    assert weighed.bias < plain.bias

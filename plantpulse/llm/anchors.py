@@ -21,9 +21,9 @@ import pyarrow as pa
 import xxhash
 from pyspark.sql import DataFrame, functions as F
 
-from plantpulse.llm.common import HOT_SHARE, Scratch, attach_groups, free_name, small_batches
+from plantpulse.llm.common import Scratch, attach_groups, free_name, small_batches
 from plantpulse.llm.components import connected_components
-from plantpulse.session import broadcast_if_small
+from plantpulse.session import BROADCAST_ROWS
 
 SHINGLE = 4
 RADIUS = 4
@@ -31,13 +31,10 @@ SEED = 42
 # Three blocks give 17-bit anchors and about 43 replicas of a fingerprint, two blocks 27-bit
 # anchors and about 340: fewer meetings for more rows, which pays beyond this many.
 MANY = 2**30
-# Homes of an anchor beyond which they are dealt over several tasks.
+# Rows of an anchor beyond which it is dealt over several tasks.
 CROWD = 20_000
 # Cells of the comparison matrix made at once.
 CELLS = 1 << 21
-# Bits beyond the radius up to which pairs that meet are still handed to the confirmation.
-BEYOND = 2
-STAGE_BLOCKS = 4
 
 
 def _hashes(text: str | None, words: int) -> Iterator[np.ndarray]:
@@ -70,43 +67,27 @@ def _majority(hashes: Iterable[np.ndarray]) -> bytes:
     return np.packbits(2 * ones > n).tobytes()
 
 
-def _distinct(hashes: Iterable[np.ndarray]) -> np.ndarray:
-    return np.unique(np.concatenate([np.empty(0, np.int64), *(some.view(np.int64).ravel() for some in hashes)]))
-
-
 def simhash(text: str | None, words: int = SHINGLE) -> bytes:
     """Fingerprint, most significant byte first."""
     return _majority(_hashes(text, words))
 
 
 def fingerprints(
-    docs: DataFrame, doc_id: str = "doc_id", text: str = "text", words: int = SHINGLE, sizes: bool = False,
+    docs: DataFrame, doc_id: str = "doc_id", text: str = "text", words: int = SHINGLE
 ) -> DataFrame:
-    """(doc_id, text_key, fp[, m]): the fingerprint as a signed long of the same bits.
-
-    With ``sizes``, m is the number of different shingles.
-    """
-    names = ["doc_id", "text_key", "fp", *["m"] * sizes]
-
+    """(doc_id, text_key, fp): the fingerprint as a signed long of the same bits."""
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in small_batches(batches):
-            raw, m = [], []
-            for body in batch.column("text").to_pylist():
-                if sizes:
-                    hashes = list(_hashes(body, words))
-                    raw.append(_majority(hashes))
-                    m.append(len(_distinct(hashes)))
-                else:
-                    raw.append(simhash(body, words))
-            fp = np.frombuffer(b"".join(raw), dtype=">i8").astype(np.int64)
-            columns = [batch.column("doc_id"), batch.column("text_key"), pa.array(fp)]
-            yield pa.RecordBatch.from_arrays(columns + [pa.array(m, pa.int64())] * sizes, names)
+            raw = b"".join(simhash(body, words) for body in batch.column("text").to_pylist())
+            fp = np.frombuffer(raw, dtype=">i8").astype(np.int64)
+            yield pa.RecordBatch.from_arrays(
+                [batch.column("doc_id"), batch.column("text_key"), pa.array(fp)], ["doc_id", "text_key", "fp"]
+            )
 
     source = docs.select(
         F.col(doc_id).alias("doc_id"), F.xxhash64(text).alias("text_key"), F.col(text).alias("text")
     )
-    schema = f"doc_id {dict(source.dtypes)['doc_id']}, text_key long, fp long"
-    return source.mapInArrow(run, schema + ", m long" * sizes)
+    return source.mapInArrow(run, f"doc_id {dict(source.dtypes)['doc_id']}, text_key long, fp long")
 
 
 class Block:
@@ -247,23 +228,41 @@ def _links_batch(out: list) -> pa.RecordBatch:
     )
 
 
-def _dealt(rows: DataFrame, homes: DataFrame, n: int, crowd: int) -> DataFrame:
-    """Replicas by anchor and chunk, homes first."""
-    # Anchors with more than CROWD and 1/HOT_SHARE of a block's homes: fewer than
-    # blocks * HOT_SHARE.  Their homes are dealt over chunks and their guests go to each.
-    crowded = (
-        homes.groupBy("anchor").agg(F.count("*").alias("homes"))
-        .filter((F.col("homes") * HOT_SHARE > n) & (F.col("homes") > crowd))
-        .select(F.col("anchor").alias("at"), F.ceil(F.col("homes") / crowd).cast("int").alias("chunks"))
+def _dealt(rows: DataFrame, scratch: Scratch, crowd: int) -> DataFrame:
+    """Replicas by anchor and task, homes first; crowded anchors are dealt over a grid of tasks.
+
+    An anchor with more than ``crowd`` homes or guests has its homes cut into one set of
+    chunks and all its rows into another: every task compares one chunk of each, and every
+    home meets every row once.
+    """
+    sizes = rows.groupBy("anchor").agg(
+        F.count_if(~F.col("guest")).alias("homes"), F.count("*").alias("all")
+    ).filter((F.col("homes") > 0) & (F.col("all") > crowd))
+    crowds = scratch.write(sizes.select(
+        F.col("anchor").alias("at"), F.ceil(F.col("homes") / crowd).cast("int").alias("down"),
+        F.ceil(F.col("all") / crowd).cast("int").alias("across"),
+    ), "crowds")
+    # Fewer anchors than a crowd-th of the replicas: a list that grows, so it is counted.
+    side = F.broadcast(crowds) if crowds.limit(BROADCAST_ROWS + 1).count() <= BROADCAST_ROWS else crowds
+    met = rows.join(side, F.col("anchor") == F.col("at"), "left")
+    place = F.xxhash64("fp")
+    whole = met.filter("down IS NULL").select(
+        "anchor", F.lit(0).alias("chunk"), "fp", "guest"
     )
-    carried = [c for c in rows.columns if c not in ("anchor", "guest")]
-    chunks = F.coalesce("chunks", F.lit(1))
-    every = F.sequence(F.lit(0), chunks - 1)
-    # A home is also compared with the homes of other chunks, where it comes as a guest.
-    own = F.pmod(F.xxhash64("fp"), chunks).cast("int")
-    dealt = rows.join(F.broadcast(crowded), F.col("anchor") == F.col("at"), "left").select(
-        *rows.columns, own.alias("own"), F.explode(every).alias("chunk")
-    ).select("anchor", "chunk", *carried, (F.col("guest") | (F.col("own") != F.col("chunk"))).alias("guest"))
+    grid = met.filter("down IS NOT NULL").withColumns({
+        "row": F.pmod(place, F.col("down")).cast("int"),
+        "column": F.pmod(F.shiftright(place, 20), F.col("across")).cast("int"),
+    })
+    as_home = grid.filter("NOT guest").select(
+        "anchor", "row", "across", F.explode(F.sequence(F.lit(0), F.col("across") - 1)).alias("column"), "fp",
+        F.lit(False).alias("guest"),
+    )
+    as_guest = grid.select(
+        "anchor", F.explode(F.sequence(F.lit(0), F.col("down") - 1)).alias("row"), "across", "column", "fp",
+        F.lit(True).alias("guest"),
+    )
+    chunk = (F.col("row") * F.col("across") + F.col("column")).cast("int").alias("chunk")
+    dealt = whole.unionAll(as_home.unionAll(as_guest).select("anchor", chunk, "fp", "guest"))
     parts = int(rows.sparkSession.conf.get("spark.sql.shuffle.partitions"))
     return dealt.repartition(parts, "anchor", "chunk").sortWithinPartitions("anchor", "chunk", "guest")
 
@@ -273,171 +272,25 @@ def fingerprint_links(
     crowd: int = CROWD,
 ) -> DataFrame:
     """(a, b): links that join the same fingerprints as all pairs within ``radius`` do."""
-    n = distinct.count()
-    blocks = blocks or (3 if n <= MANY else 2)
+    blocks = blocks or (3 if distinct.count() <= MANY else 2)
     rows = distinct.select("fp").mapInArrow(
         _replicas(blocks, radius), "anchor long, fp long, guest boolean"
     )
     rows = scratch.write(rows, "replicas")
-    homes = rows.filter("not guest").select("anchor")
-    dealt = _dealt(rows, homes, n, crowd)
-    return dealt.mapInArrow(_meetings(radius), "a long, b long")
-
-
-def _sized_replicas(blocks: int, radius: int, homes_only: bool):
-    """Like _replicas, with the columns m and root of the fingerprint."""
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        codes = blocks_of(blocks, radius)
-        for batch in batches:
-            fp, m, root = (batch.column(c).to_numpy() for c in ("fp", "m", "root"))
-            order = np.argsort(fp.view(np.uint64))
-            fp, m, root = fp.view(np.uint64)[order], m[order], root[order]
-            for number, code in enumerate(codes):
-                found = [f for f in code.anchors(fp) if len(f[1]) and (f[2] or not homes_only)]
-                if not found:
-                    continue
-                key = (np.concatenate([a for a, _, _ in found]) << np.uint64(3)) | np.uint64(number)
-                own = np.concatenate([x for _, x, _ in found])
-                guest = np.concatenate([np.full(len(x), not home) for _, x, home in found])
-                at = np.searchsorted(fp, own)
-                yield pa.RecordBatch.from_arrays(
-                    [pa.array(c) for c in (key.view(np.int64), own.view(np.int64), m[at], root[at], guest)],
-                    ["anchor", "fp", "m", "root", "guest"],
-                )
-
-    return run
-
-
-def _candidates(reach: int, similarity: float, nearest: bool):
-    """Pairs of an anchor within ``reach`` bits whose sizes allow the similarity and whose roots
-    differ: of each row with its nearest home, or all of them."""
-    def links(fp: np.ndarray, m: np.ndarray, root: np.ndarray, homes: int) -> Iterator[pa.RecordBatch]:
-        step = max(1, CELLS // max(1, homes))
-        for at in range(0, len(fp) if homes else 0, step):
-            far = np.bitwise_count(fp[at:at + step, None] ^ fp[None, :homes])
-            i, j = np.nonzero(far <= reach)
-            bits, i = far[i, j], i + at
-            keep = root[i] != root[j]
-            keep &= np.minimum(m[i], m[j]) >= similarity * np.maximum(m[i], m[j])
-            if not nearest:
-                # Either end comes to the other's home: the smaller one's is enough.
-                keep &= fp[j] < fp[i]
-            i, j, bits = i[keep], j[keep], bits[keep]
-            if nearest and len(i):
-                order = np.lexsort((bits, i))
-                i, j = i[order], j[order]
-                first = np.append(True, np.diff(i) != 0)
-                i, j = i[first], j[first]
-            if len(i):
-                yield _links_batch(np.stack([fp[i], fp[j]], axis=1))
-
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        kept = None
-        for batch in batches:
-            now = [batch.column(c).to_numpy(zero_copy_only=False) for c in ("anchor", "chunk", "fp", "m", "root", "guest")]
-            if kept is not None:
-                now = [np.concatenate(both) for both in zip(kept, now)]
-            cuts = np.flatnonzero((np.diff(now[0]) != 0) | (np.diff(now[1]) != 0)) + 1
-            starts = np.append(0, cuts)
-            for s, e in zip(starts, cuts):
-                yield from links(now[2][s:e].copy().view(np.uint64), now[3][s:e], now[4][s:e], int((~now[5][s:e]).sum()))
-            kept = [column[starts[-1]:] for column in now]
-        if kept is not None and len(kept[0]):
-            yield from links(kept[2].copy().view(np.uint64), kept[3], kept[4], int((~kept[5]).sum()))
-
-    return run
-
-
-def _confirmed(
-    pairs: DataFrame, distinct: DataFrame, docs: DataFrame, scratch: Scratch, label: str,
-    doc_id: str, text: str, words: int, similarity: float,
-) -> DataFrame:
-    """The pairs whose sets of shingles have at least this Jaccard similarity."""
-    pairs = scratch.write(pairs, f"pairs-{label}")
-    ends = pairs.select(F.col("a").alias("fp")).unionAll(pairs.select("b")).distinct()
-    wanted = scratch.write(distinct.join(ends, "fp").select("fp", "one"), f"wanted-{label}")
-
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in small_batches(batches):
-            sets = [_distinct(_hashes(body, words)) for body in batch.column("text").to_pylist()]
-            yield pa.RecordBatch.from_arrays(
-                [batch.column("fp"), pa.array(sets, pa.list_(pa.int64()))], ["fp", "shingles"]
-            )
-
-    keyed = docs.select(
-        F.struct(F.col(doc_id).alias("doc_id"), F.xxhash64(text).alias("text_key")).alias("own"),
-        F.col(text).alias("text"),
-    )
-    sets = keyed.join(broadcast_if_small(wanted), F.col("own") == F.col("one")).select("fp", "text")
-    sets = scratch.write(
-        sets.mapInArrow(run, "fp long, shingles array<long>").dropDuplicates(["fp"]), f"sets-{label}"
-    )
-    total, met = pairs.count(), pairs
-    for end, other in (("a", "b"), ("b", "a")):
-        group = pairs.groupBy(F.col(end).alias("fp")).agg(F.count("*").alias("n")).join(sets, "fp").select(
-            F.col("fp").alias(end), "n", F.col("shingles").alias(f"set_{end}")
-        )
-        met = attach_groups(met, group, end, "n", total, other).drop("n")
-    both = F.size(F.array_intersect("set_a", "set_b"))
-    links = met.filter(both / (F.size("set_a") + F.size("set_b") - both) >= similarity).select("a", "b")
-    return scratch.write(links, f"confirmed-{label}")
-
-
-def confirmed_links(
-    distinct: DataFrame, docs: DataFrame, scratch: Scratch, doc_id: str, text: str, words: int,
-    radius: int, blocks: int, similarity: float, crowd: int = CROWD,
-) -> DataFrame:
-    """(a, b): links that join what all meeting pairs of the similarity join.
-
-    A forest of candidates would lose a true link where a false one had joined its ends, so
-    pairs are settled in two rounds: each row with its nearest homes under a code of a smaller
-    radius, which contracts groups of near copies, then all pairs between what is still apart.
-    """
-    n = distinct.count()
-    known = distinct.withColumn("root", F.col("fp"))
-    found = []
-    for label, own_radius in (("nearest", min(radius, 2 * blocks - 1)), ("all", radius)):
-        nearest = label == "nearest"
-        replicas, homes = (
-            known.select("fp", "m", "root").mapInArrow(
-                _sized_replicas(blocks, own_radius, only), "anchor long, fp long, m long, root long, guest boolean"
-            ) for only in (False, True)
-        )
-        met = _dealt(replicas, homes.select("anchor"), n, crowd).mapInArrow(
-            _candidates(radius + BEYOND, similarity, nearest), "a long, b long"
-        )
-        pairs = met.select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b")).distinct()
-        found.append(_confirmed(pairs, distinct, docs, scratch, label, doc_id, text, words, similarity))
-        if nearest:
-            inner = Scratch(scratch.spark, "contracted")
-            roots = scratch.write(connected_components(found[0], inner), "contracted")
-            known = distinct.join(roots, F.col("fp") == F.col("node"), "left").withColumn(
-                "root", F.coalesce("root", "fp")
-            ).drop("node")
-    return found[0].unionAll(found[1])
+    return _dealt(rows, scratch, crowd).mapInArrow(_meetings(radius), "a long, b long")
 
 
 def _components(
-    docs: DataFrame, scratch: Scratch, doc_id: str, text: str, radius: int, blocks: int | None,
-    words: int = SHINGLE, similarity: float | None = None,
+    docs: DataFrame, scratch: Scratch, doc_id: str, text: str, radius: int, blocks: int | None, words: int
 ) -> tuple[DataFrame, DataFrame]:
     """Rows (doc_id, text_key, fp, row), and (fp, n, root, size, component_id) per fingerprint."""
     rows = scratch.write(
-        fingerprints(docs, doc_id, text, words, similarity is not None)
-        .withColumn("row", F.monotonically_increasing_id()), "rows"
+        fingerprints(docs, doc_id, text, words).withColumn("row", F.monotonically_increasing_id()), "rows"
+    )
+    distinct = scratch.write(
+        rows.groupBy("fp").agg(F.count("*").alias("n"), F.min("doc_id").alias("low")), "distinct"
     )
-    counts = [F.count("*").alias("n"), F.min("doc_id").alias("low")]
-    if similarity is not None:
-        one = F.min(F.struct("doc_id", "text_key", "m"))
-        counts += [one["m"].alias("m"), F.struct(one["doc_id"].alias("doc_id"), one["text_key"].alias("text_key")).alias("one")]
-    distinct = scratch.write(rows.groupBy("fp").agg(*counts), "distinct")
-    if similarity is None:
-        links = fingerprint_links(distinct, scratch, radius, blocks)
-    else:
-        links = confirmed_links(
-            distinct, docs, scratch, doc_id, text, words, radius, blocks or STAGE_BLOCKS, similarity
-        )
-    links = scratch.write(links, "links")
+    links = scratch.write(fingerprint_links(distinct, scratch, radius, blocks), "links")
     roots = scratch.write(connected_components(links, scratch), "roots")
     node = distinct.join(roots, F.col("fp") == F.col("node"), "left").withColumn(
         "root", F.coalesce("root", "fp")
@@ -449,25 +302,25 @@ def _components(
         node.select("fp", "n", "root"), lowest, "root", "size", rows.count(), "fp"
     ).select("fp", "n", "root", "component_id")
     groups = scratch.write(groups, "groups")
-    scratch.drop("replicas", "links", "roots", "lowest", "distinct", "contracted")
-    scratch.drop(*[f"{name}-{at}" for name in ("pairs", "wanted", "sets", "confirmed") for at in ("nearest", "all")])
+    scratch.drop("replicas", "crowds", "links", "roots", "lowest", "distinct")
     return rows, groups
 
 
 def near_duplicates(
     docs: DataFrame, doc_id: str = "doc_id", text: str = "text", radius: int = RADIUS,
-    blocks: int | None = None,
+    blocks: int | None = None, words: int = SHINGLE,
 ) -> DataFrame:
     """One row per document: doc_id, fingerprint (16 hex digits), component_id.
 
     Words are runs of anything but ASCII blanks, A-Z lower-cased; a text of fewer words than
     a shingle is one shingle; null, empty and blank texts have fingerprint zero and are
-    linked like any other.  component_id is the smallest id reachable over links of at most
-    ``radius`` differing bits; a component whose ids are all null has a null one.  Rows
-    repeating an id are nodes of their own.  An empty table gives no rows; other columns are
-    not read.
+    linked like any other; very long texts are hashed whole.  component_id is the smallest id
+    reachable over links of at most ``radius`` differing bits; a component whose ids are all
+    null has a null one.  Rows repeating an id are nodes of their own.  An empty table gives
+    no rows; other columns are not read.
     """
-    rows, groups = _components(docs, Scratch(docs.sparkSession, "simhash"), doc_id, text, radius, blocks)
+    scratch = Scratch(docs.sparkSession, "simhash")
+    rows, groups = _components(docs, scratch, doc_id, text, radius, blocks, words)
     return attach_groups(rows, groups, "fp", "n", rows.count(), "row").select(
         "doc_id", F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), "component_id"
     )
@@ -475,16 +328,17 @@ def near_duplicates(
 
 def without_near_duplicates(
     docs: DataFrame, doc_id: str = "doc_id", text: str = "text", radius: int = RADIUS,
-    blocks: int | None = None, words: int = SHINGLE, similarity: float | None = None,
+    blocks: int | None = None, words: int = SHINGLE,
 ) -> DataFrame:
-    """One row of ``docs`` per component, the one with the smallest id, all columns kept.
+    """One row of ``docs`` per component of ``near_duplicates``, the one with the smallest id.
 
-    With ``similarity``, the radius only proposes links: distinct fingerprints are linked if
-    the Jaccard similarity of their texts' shingles of ``words`` words is at least that.
-    Null ids come after all others; of rows that share the smallest id the one with the
-    smaller text hash stays, and of rows that repeat both, one.
+    All columns are kept, whatever their names.  Null, empty and blank texts are one
+    component, of which one row stays.  Null ids come after all others; of rows that share
+    the smallest id the one with the smaller text hash stays, and of rows that repeat both,
+    one.  An empty table gives an empty one.
     """
-    rows, groups = _components(docs, Scratch(docs.sparkSession, "simhash"), doc_id, text, radius, blocks, words, similarity)
+    scratch = Scratch(docs.sparkSession, "simhash")
+    rows, groups = _components(docs, scratch, doc_id, text, radius, blocks, words)
     placed = attach_groups(rows, groups, "fp", "n", rows.count(), "row")
     order = F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", "text_key")
     own, best = free_name(docs, "_own"), free_name(docs, "_best")

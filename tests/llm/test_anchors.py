@@ -77,15 +77,13 @@ def test_linked_values_share_an_anchor(blocks):
         assert both[0][0] & both[1][1] and both[1][0] & both[0][1]
 
 
-@pytest.mark.parametrize("options", [{"blocks": 3}, {"blocks": 2}, {"blocks": 3, "crowd": 2}])
-def test_links_join_what_all_pairs_join(spark, monkeypatch, options):
+@pytest.mark.parametrize("options", [{"blocks": 3}, {"blocks": 2}, {"blocks": 3, "crowd": 2}, {"blocks": 2, "crowd": 7}])
+def test_links_join_what_all_pairs_join(spark, options):
     rng = random.Random(7)
     values = list(dict.fromkeys(near_values(rng, 150) + [0, 1, 3, 7, 15, 31, 63, 127, 255]))
     ball = rng.getrandbits(64)
     values += [v for v in {ball ^ (1 << rng.randrange(64)) ^ (1 << rng.randrange(64)) for _ in range(60)} if v not in values]
     signed = np.array(values, dtype=np.uint64).view(np.int64).tolist()
-    if "crowd" in options:
-        monkeypatch.setattr(anchors, "HOT_SHARE", 50)
     df = spark.createDataFrame([(v,) for v in signed], "fp long")
     scratch = Scratch(spark, "test")
     links = scratch.write(fingerprint_links(df, scratch, **options), "links")
@@ -148,60 +146,19 @@ def test_components_of_a_chain_and_a_hub(spark):
     assert got == {i: 0 for i in range(101)} | {1000 + i: 1000 for i in range(400)}
 
 
-def shingles(text, words=5):
-    found = re.findall(r"[^\x20\x09-\x0D]+", (text or "").lower())
-    return {tuple(found[i:i + words]) for i in range(max(1, len(found) - words + 1))}
-
-
-def test_confirmed_groups_of_five_word_shingles(documents):
-    """Pairs of similarity 0.8 and more go together whatever is near them, others stay."""
-    rng = random.Random(5)
-    rows, beyond, hashes = [], 0, {}
-    for _ in range(25):
-        base = [f"w{rng.randrange(5000)}" for _ in range(240)]
-        for edits in (0, 2, 4, 12, 14):
-            words = list(base)
-            for at in rng.sample(range(240), edits):
-                words[at] = f"v{rng.randrange(5000)}"
-            rows.append((len(rows), " ".join(words)))
-    sets = [shingles(t) for _, t in rows]
-    parent = list(range(len(rows)))
-
-    def find(x):
-        while parent[x] != x:
-            x = parent[x]
-        return x
-
-    values = [plain_hash(t) for _, t in rows]
-    for i in range(len(rows)):
-        for j in range(i):
-            if 5 * len(sets[i] & sets[j]) >= 4 * len(sets[i] | sets[j]):
-                beyond += (values[i] ^ values[j]).bit_count() > 4
-                a, b = find(i), find(j)
-                parent[max(a, b)] = min(a, b)
-    assert beyond
-    got = without_near_duplicates(documents(rows), radius=11, words=5, similarity=0.8).collect()
-    assert sorted(r["doc_id"] for r in got) == sorted({find(i) for i in range(len(rows))})
-
-
-def test_near_fingerprints_of_other_texts_stay(documents, odd_rows):
-    """Texts without a pair of 0.8 stay, blank ones and a copy of one shingle more go together."""
-    rows = [(100 + i, f"text {i} of its own " * 3) for i in range(20)] + list(odd_rows)
-    got = without_near_duplicates(documents(rows), radius=11, words=5, similarity=0.8)
-    ids = [r["doc_id"] for r in got.collect()]
-    assert {100 + i for i in range(20)} < set(ids) and 1 in ids and 2 not in ids and 7 not in ids
-
-
-def test_a_link_survives_a_false_one_between_its_ends(spark):
-    """a, b, c within reach of each other, only b and c alike: a forest over a loses them."""
-    a, b, c = 0b0111, 0b0110 << 8, 0b0110 << 8 | 1
-    run = anchors._candidates(13, 0.8, False)
-    import pyarrow as pa
-
-    fp = np.array([a, b, c], dtype=np.int64)
-    batch = pa.RecordBatch.from_arrays(
-        [pa.array(x) for x in (np.zeros(3, np.int64), np.zeros(3, np.int32), fp, np.full(3, 9), fp, np.zeros(3, bool))],
-        ["anchor", "chunk", "fp", "m", "root", "guest"],
-    )
-    got = {(r["a"], r["b"]) for out in run([batch]) for r in out.to_pylist()}
-    assert got == {(b, a), (c, a), (c, b)}
+def test_crowded_anchors_are_spread(spark):
+    """No task of a crowded anchor gets more rows than two chunks, and every home meets every row."""
+    rng = random.Random(4)
+    near = list({0xABC ^ (1 << rng.randrange(64)) ^ (1 << rng.randrange(64)) for _ in range(400)})
+    values = np.array(near, dtype=np.uint64).view(np.int64).tolist()
+    rows = spark.createDataFrame([(1, v, n % 3 == 0) for n, v in enumerate(values)] + [(2, 7, False)],
+                                 "anchor long, fp long, guest boolean")
+    dealt = anchors._dealt(rows, Scratch(spark, "test"), 50).collect()
+    tasks = {}
+    for r in dealt:
+        tasks.setdefault((r["anchor"], r["chunk"]), []).append(r)
+    assert tasks.pop((2, 0)) and len(tasks) == -(-sum(n % 3 != 0 for n in range(len(values))) // 50) * -(-len(values) // 50)
+    assert max(map(len, tasks.values())) < 200
+    met = {(h["fp"], x["fp"]) for task in tasks.values() for h in task if not h["guest"] for x in task if x["guest"]}
+    homes = [v for n, v in enumerate(values) if n % 3]
+    assert met == {(h, v) for h in homes for v in values}

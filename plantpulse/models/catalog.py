@@ -6,16 +6,16 @@ from multiprocessing.pool import ThreadPool
 
 from pyspark import inheritable_thread_target
 from pyspark.ml import Model
-from pyspark.ml.classification import (
-    DecisionTreeClassifier, GBTClassifier, OneVsRest, RandomForestClassifier,
-)
+from pyspark.ml.classification import DecisionTreeClassifier
 from pyspark.ml.feature import VectorAssembler
 from pyspark.ml.regression import DecisionTreeRegressor, GBTRegressor, RandomForestRegressor
 from pyspark.sql import Column, DataFrame, functions as F
 
 from plantpulse.config import CLASSES
+from plantpulse.models.boosting import HistogramRegressor, SoftmaxClassifier
+from plantpulse.models.forest import BalancedForest
+from plantpulse.models.histogram import FEATURES
 
-FEATURES = "features"
 LABEL = "label"
 WEIGHT = "weight"
 BINS = 256
@@ -35,8 +35,11 @@ def label_name(c: Column) -> Column:
     return F.element_at(F.array(*[F.lit(x) for x in CLASSES]), c.cast("int") + 1)
 
 
-def regressors(target: str, seed: int, overrides: dict | None = None) -> dict:
-    """Tree (depth 6), forest (120 x 12), boosting (120 x 3) and subsampled boosting (160 x 4)."""
+def regressors(target: str, seed: int, overrides: dict | None = None, key: list[str] | None = None) -> dict:
+    """Tree (depth 6), forest (120 x 12), boosting (120 x 3) and second-order boosting (160 x 4).
+
+    ``key`` names the columns that tell rows apart; draws of rows start from their hash.
+    """
     common = dict(featuresCol=FEATURES, labelCol=target, seed=seed, maxBins=BINS)
     built = {
         "arbol": DecisionTreeRegressor(maxDepth=6, minInstancesPerNode=20, **common),
@@ -44,10 +47,7 @@ def regressors(target: str, seed: int, overrides: dict | None = None) -> dict:
             numTrees=120, maxDepth=12, minInstancesPerNode=8, featureSubsetStrategy="all", **common
         ),
         "gbm": GBTRegressor(maxIter=120, maxDepth=3, stepSize=0.08, **common),
-        "gbt_hist": GBTRegressor(
-            maxIter=160, maxDepth=4, stepSize=0.08, subsamplingRate=0.85,
-            featureSubsetStrategy="0.85", **common,
-        ),
+        "gbt_hist": HistogramRegressor(target, list(key or []), maxIter=160, maxDepth=4, stepSize=0.08, seed=seed),
     }
     return _overridden(built, overrides)
 
@@ -63,24 +63,17 @@ def forecasters(target: str, seed: int, overrides: dict | None = None) -> dict:
     return _overridden(built, overrides)
 
 
-def classifiers(seed: int, overrides: dict | None = None) -> dict:
-    """Weighted tree and forest, and one-vs-rest boosting in two settings."""
+def classifiers(seed: int, overrides: dict | None = None, key: list[str] | None = None) -> dict:
+    """Weighted tree, forest balanced in every bootstrap, and softmax boosting in two settings."""
     common = dict(featuresCol=FEATURES, labelCol=LABEL, weightCol=WEIGHT, seed=seed, maxBins=BINS)
+    own = dict(classes=len(CLASSES), key=list(key or []), seed=seed)
     built = {
         "arbol": DecisionTreeClassifier(maxDepth=6, minInstancesPerNode=20, **common),
-        "random_forest": RandomForestClassifier(
-            numTrees=120, maxDepth=12, minInstancesPerNode=8, featureSubsetStrategy="sqrt", **common
-        ),
-        "gbm": GBTClassifier(maxIter=100, maxDepth=3, stepSize=0.08, **common),
-        "gbt_hist": GBTClassifier(maxIter=140, maxDepth=4, stepSize=0.08, **common),
-    }
-    built = _overridden(built, overrides)
-    return {
-        name: OneVsRest(classifier=e, featuresCol=FEATURES, labelCol=LABEL, weightCol=WEIGHT, parallelism=3)
-        if isinstance(e, GBTClassifier)
-        else e
-        for name, e in built.items()
+        "random_forest": BalancedForest(LABEL, numTrees=120, maxDepth=12, minInstancesPerNode=8, **own),
+        "gbm": SoftmaxClassifier(LABEL, WEIGHT, maxIter=100, maxDepth=3, stepSize=0.08, newton=False, **own),
+        "gbt_hist": SoftmaxClassifier(LABEL, WEIGHT, maxIter=140, maxDepth=4, stepSize=0.08, **own),
     }
+    return _overridden(built, overrides)
 
 
 def _overridden(built: dict, overrides: dict | None) -> dict:

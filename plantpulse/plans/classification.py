@@ -16,7 +16,7 @@ from plantpulse.operators.leaderboard import winner
 from plantpulse.operators.metrics import (
     balanced_weights, class_counts, classification_scores, confusion_matrix,
 )
-from plantpulse.session import frozen, spread
+from plantpulse.session import Cached, frozen, spread
 
 
 def assign_degradation(
@@ -37,7 +37,9 @@ def majority_class(df: DataFrame, label: str) -> str:
 
 
 @dataclass
-class ClassificationResult:
+class ClassificationResult(Cached):
+    """Scores and the matrix of the model shown; ``scored`` reads the cached rows."""
+
     table: DataFrame
     winner: str
     matrix_model: str
@@ -53,10 +55,10 @@ def run_classification(
     """``labelled`` carries the split and ``clase`` columns."""
     drivers = list(cfg.drivers)
     rows = spread(assemble(
-        labelled.select(SPLIT, "clase", *drivers).withColumn(LABEL, label_index(F.col("clase"))), drivers
+        labelled.select(*cfg.keys, SPLIT, "clase", *drivers).withColumn(LABEL, label_index(F.col("clase"))), drivers
     ))
     train = balanced_weights(rows.filter(F.col(SPLIT) == "train"), "clase", WEIGHT)
-    estimators = classifiers(cfg.seed, cfg.trees)
+    estimators = classifiers(cfg.seed, cfg.trees, cfg.keys)
 
     class Boosted:
         def fit(self, data):

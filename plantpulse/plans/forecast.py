@@ -17,11 +17,13 @@ from plantpulse.operators.stationarity import adf
 from plantpulse.operators.windows import (
     forecast_columns, forecast_features, future_column, lag_column, now_column, ready_rows,
 )
-from plantpulse.session import frozen, spread, written
+from plantpulse.session import Cached, frozen, spread, written
 
 
 @dataclass
-class ForecastResult:
+class ForecastResult(Cached):
+    """Scores, the best model's last predictions and the unit root; reads the cached rows."""
+
     table: DataFrame
     winner: str
     rows: int

@@ -5,10 +5,11 @@ from __future__ import annotations
 from dataclasses import dataclass
 from itertools import product
 
-from pyspark.ml.regression import DecisionTreeRegressor, GBTRegressor
+from pyspark.ml.regression import DecisionTreeRegressor
 from pyspark.sql import DataFrame, functions as F
 
 from plantpulse.config import MEDIAN_MODEL, SPLIT, StudyConfig
+from plantpulse.models.boosting import HistogramRegressor, grid_errors
 from plantpulse.models.catalog import (
     BINS, FEATURES, assemble, fit_all, importance, regressors, with_predictions,
 )
@@ -16,15 +17,17 @@ from plantpulse.models.linear import LinearFit, fit_linear
 from plantpulse.operators.leaderboard import promotion_gate, winner
 from plantpulse.operators.metrics import regression_scores
 from plantpulse.operators.ordered import column_quantiles
-from plantpulse.operators.splits import curve_sizes, expanding_folds, fold_bounds, row_prefixes
-from plantpulse.session import frozen, spread
+from plantpulse.operators.splits import curve_sizes, fold_bounds, row_prefixes
+from plantpulse.session import Cached, frozen, spread
 
 GRID = {"maxDepth": [3, 6], "stepSize": [0.05, 0.1]}
 GRID_ROUNDS = 120
 
 
 @dataclass
-class RegressionResult:
+class RegressionResult(Cached):
+    """Scores, models and the choice among them; ``scored`` reads the cached rows."""
+
     table: DataFrame
     winner: str
     gate: dict
@@ -51,37 +54,23 @@ def residual_limits(df: DataFrame, cfg: StudyConfig, baseline: LinearFit) -> tup
 
 
 def grid_search(
-    train: DataFrame, cfg: StudyConfig, folds: int = 3, rounds: int = GRID_ROUNDS, grid: dict = GRID,
-    parallelism: int = 4,
-) -> tuple[GBTRegressor, list[dict]]:
-    """Mean fold MAE of every setting over expanding folds; every fit is independent."""
-    target = cfg.target
-    blocks = expanding_folds(train, cfg.keys, folds)
+    train: DataFrame, cfg: StudyConfig, folds: int = 3, rounds: int = GRID_ROUNDS, grid: dict = GRID
+) -> tuple[HistogramRegressor, list[dict]]:
+    """Mean fold MAE of every setting over expanding folds, and the best setting's estimator.
+
+    Rows are numbered by the block of folds they are in, and all cells grow together.
+    """
+    total = train.count()
+    starts = [a for a, _ in fold_bounds(total, folds)]
+    first = row_prefixes(train, cfg.keys, starts, total)
+    block = F.lit(folds)
+    for f in reversed(range(folds)):
+        block = F.when(first[starts[f]], f).otherwise(block)
     settings = [dict(zip(grid, values)) for values in product(*grid.values())]
-
-    def estimator(setting):
-        return GBTRegressor(
-            featuresCol=FEATURES, labelCol=target, seed=cfg.seed, maxBins=BINS, maxIter=rounds,
-            subsamplingRate=0.85, featureSubsetStrategy="0.85", **setting,
-        )
-
-    class Cell:
-        def __init__(self, setting, fold):
-            self.setting, (self.rows, self.held) = setting, blocks[fold]
-
-        def fit(self, _):
-            model = estimator(self.setting).fit(self.rows)
-            error = F.abs(F.col(target) - F.col("prediction"))
-            return model.transform(self.held).agg(F.avg(error)).first()[0]
-
-    cells = {(i, f): Cell(s, f) for i, s in enumerate(settings) for f in range(folds)}
-    errors = fit_all(cells, train, parallelism)
-    rows = [
-        {**s, "mae_cv": sum(errors[(i, f)] for f in range(folds)) / folds}
-        for i, s in enumerate(settings)
-    ]
+    rows = grid_errors(train, cfg.target, cfg.keys, block, settings, folds, rounds, cfg.seed)
     best = min(rows, key=lambda r: r["mae_cv"])
-    return estimator({k: best[k] for k in grid}), rows
+    chosen = {k: best[k] for k in grid}
+    return HistogramRegressor(cfg.target, cfg.keys, maxIter=rounds, seed=cfg.seed, **chosen), rows
 
 
 def run_regression(
@@ -96,12 +85,11 @@ def run_regression(
     median = column_quantiles(train, target, [0.5])[0]
     baseline = fit_linear(train, target, list(cfg.baseline))
     ridge = fit_linear(train, target, drivers, alpha=1.0)
-    trees = regressors(target, cfg.seed, cfg.trees)
+    trees = regressors(target, cfg.seed, cfg.trees, cfg.keys)
     grid = None
     if with_grid:
         trees["gbt_grid"], grid = grid_search(
-            train, cfg, rounds=cfg.trees.get("gbt_grid", {}).get("maxIter", GRID_ROUNDS),
-            parallelism=parallelism,
+            train, cfg, rounds=cfg.trees.get("gbt_grid", {}).get("maxIter", GRID_ROUNDS)
         )
     fitted = fit_all(trees, train, parallelism)
     held = _part(rows, "val", "test").withColumns({

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from contextlib import ExitStack
+
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
 from plantpulse.config import CLASSES, MEDIAN_MODEL, PERSISTENCE, SPLIT, StudyConfig
@@ -44,13 +46,13 @@ def run_study(
 
     Scratch tables are deleted and caches released before it returns.
     """
-    with scratch_scope(frame.sparkSession):
-        return _run_study(frame, cfg, out, facts, with_grid, parallelism, restarts, samme_rounds)
+    with scratch_scope(frame.sparkSession), ExitStack() as caches:
+        return _run_study(frame, cfg, out, facts, with_grid, parallelism, restarts, samme_rounds, caches)
 
 
 def _run_study(
     frame: DataFrame, cfg: StudyConfig, out: str | None, facts: dict | None,
-    with_grid: bool, parallelism: int, restarts: int, samme_rounds: int,
+    with_grid: bool, parallelism: int, restarts: int, samme_rounds: int, caches: ExitStack,
 ) -> dict:
     """The regime-filtered table is written once, partitioned by split; every later step
     reads it with its own columns, and a filter on the split skips the other parts.
@@ -63,11 +65,11 @@ def _run_study(
     )
     train = table.filter(F.col(SPLIT) == "train")
     test = table.filter(F.col(SPLIT) == "test")
-    regression = run_regression(table, cfg, with_grid, parallelism)
+    regression = caches.enter_context(run_regression(table, cfg, with_grid, parallelism))
     alert, critical = residual_limits(table, cfg, regression.baseline)
     labelled = assign_degradation(table, target, regression.baseline.predicted(), alert, critical)
-    classes = run_classification(labelled, cfg, samme_rounds, parallelism)
-    forecast = run_forecast(table.drop(SPLIT), cfg, parallelism)
+    classes = caches.enter_context(run_classification(labelled, cfg, samme_rounds, parallelism))
+    forecast = caches.enter_context(run_forecast(table.drop(SPLIT), cfg, parallelism))
     curve, k, _, clusters = operating_clusters(
         train, cfg.keys, list(cfg.drivers), target, restarts=restarts, seed=cfg.seed
     )
@@ -134,6 +136,7 @@ def _run_study(
         write_csv(classes.table.coalesce(1), f"{base}/clasificacion.csv")
         write_csv(forecast.table.coalesce(1), f"{base}/pronostico.csv")
         write_csv(forecast.preview, f"{base}/pronostico_reciente.csv")
+        write_csv(observed_predicted(shown, cfg, f"p_{chosen}"), f"{base}/observado_predicho.csv")
         write_summary(spark, summary, f"{base}/summary.json")
         promoted = regression.gate["flexible_supera_mediana"]
         save_bundle(
@@ -148,11 +151,17 @@ def _run_study(
             ),
             f"{base}/bundle",
         )
-    for result in (regression, classes, forecast):
-        result.cached.unpersist()
     return summary
 
 
+def observed_predicted(scored: DataFrame, cfg: StudyConfig, predicted: str) -> DataFrame:
+    """Every scored row's time, observed and predicted value, and what is left of it."""
+    gap = F.col(cfg.target) - F.col(predicted)
+    return scored.select(
+        *cfg.keys, F.col(cfg.target).alias("observado"), F.col(predicted).alias("predicho"), gap.alias("residual")
+    )
+
+
 def study_metrics(
     levels: DataFrame, regression: DataFrame, forecast: DataFrame, baseline_name: str,
     to_mbar: float,

@@ -20,8 +20,9 @@ _SCOPES: list[list[str]] = []
 def checkpoint_root(spark: SparkSession) -> str:
     """The shared folder named by ``spark.checkpoint.dir``.
 
-    Where none is named, a folder in the session's warehouse, which every executor reaches
-    as well; no machine's own temporary folder is ever used.
+    Where none is named, a folder in the session's warehouse: on a cluster one of the two
+    must be on storage that every executor reaches.  No machine's own temporary folder is
+    ever used.
     """
     sc = spark.sparkContext
     named = spark.conf.get("spark.checkpoint.dir", None) or sc.getConf().get("spark.checkpoint.dir")
@@ -50,10 +51,30 @@ def scratch_scope(spark: SparkSession) -> Iterator[None]:
     try:
         yield
     finally:
-        jvm, conf = spark._jvm, spark.sparkContext._jsc.hadoopConfiguration()
-        for path in _SCOPES.pop():
-            place = jvm.org.apache.hadoop.fs.Path(path)
-            place.getFileSystem(conf).delete(place, True)
+        drop_paths(spark, _SCOPES.pop())
+
+
+def drop_paths(spark: SparkSession, paths: list[str]) -> None:
+    """Delete scratch tables that nothing reads any more."""
+    jvm, conf = spark._jvm, spark.sparkContext._jsc.hadoopConfiguration()
+    for path in paths:
+        place = jvm.org.apache.hadoop.fs.Path(path)
+        place.getFileSystem(conf).delete(place, True)
+
+
+class Cached:
+    """A result that keeps a cached table: given back by ``release`` or at the end of a ``with``."""
+
+    cached: DataFrame
+
+    def release(self) -> None:
+        self.cached.unpersist()
+
+    def __enter__(self):
+        return self
+
+    def __exit__(self, *failure) -> None:
+        self.release()
 
 
 def written(df: DataFrame, label: str, partition_by: list[str] | None = None) -> DataFrame:

@@ -12,6 +12,7 @@ from pyspark.ml.regression import (
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
 from plantpulse.models.catalog import assemble
+from plantpulse.models.histogram import TreeModel
 from plantpulse.models.linear import LinearFit
 from plantpulse.sources.historian import last_modified
 
@@ -49,12 +50,12 @@ def _linear_from(text: str) -> LinearFit:
 
 
 def save_bundle(spark: SparkSession, bundle: ScoringBundle, path: str) -> None:
-    """Thresholds and linear fits as one Parquet row, a tree model in MLlib's format."""
-    linear = isinstance(bundle.served, LinearFit)
+    """Thresholds, linear fits and binned trees as one Parquet row, other trees in MLlib's format."""
+    text = {LinearFit: _linear_json, TreeModel: TreeModel.to_json}.get(type(bundle.served))
     row = (
         bundle.model_name,
-        "LinearFit" if linear else type(bundle.served).__name__,
-        _linear_json(bundle.served) if linear else None,
+        type(bundle.served).__name__,
+        text(bundle.served) if text else None,
         _linear_json(bundle.baseline),
         list(bundle.drivers),
         float(bundle.alert),
@@ -65,7 +66,7 @@ def save_bundle(spark: SparkSession, bundle: ScoringBundle, path: str) -> None:
         "alert double, critical double"
     )
     spark.createDataFrame([row], schema).coalesce(1).write.mode("overwrite").parquet(f"{path}/meta")
-    if not linear:
+    if not text:
         bundle.served.write().overwrite().save(f"{path}/model")
 
 
@@ -73,9 +74,11 @@ def load_bundle(spark: SparkSession, path: str) -> ScoringBundle:
     if last_modified(spark, f"{path}/meta") is None:
         raise FileNotFoundError(f"no scoring bundle at {path}; run a study first")
     row = spark.read.parquet(f"{path}/meta").first()
-    served: LinearFit | Model
+    served: LinearFit | TreeModel | Model
     if row["kind"] == "LinearFit":
         served = _linear_from(row["served"])
+    elif row["kind"] == "TreeModel":
+        served = TreeModel.from_json(row["served"])
     else:
         served = _KINDS[row["kind"]].load(f"{path}/model")
     return ScoringBundle(

@@ -27,6 +27,10 @@ def data(spark, n=600, noise=0.1):
     return pdf, spark.createDataFrame(pdf)
 
 
+def cached(spark):
+    return {int(n) for n in spark.sparkContext._jsc.getPersistentRDDs().keySet()}
+
+
 def test_least_squares_recovers_noise_free_slopes(spark):
     _, df = data(spark, 40, 0.0)
     fit = fit_linear(df, "y", ["a", "b"])
@@ -52,7 +56,14 @@ def test_ridge_equals_closed_form(spark):
 def test_regression_run_gate_and_refit(spark):
     _, df = data(spark)
     split = chronological_split(df, CFG.keys, 0.7, 0.15)
-    result = run_regression(split, CFG)
+    before = cached(spark)
+    with run_regression(split, CFG) as result:
+        check_regression(result)
+        assert cached(spark) > before
+    assert cached(spark) == before
+
+
+def check_regression(result):
     rows = {(r["modelo"], r["particion"]): r for r in result.table.collect()}
     assert len(rows) == 2 * 8
     assert rows[("ridge", "test")]["mae"] < rows[("mediana_entrenamiento", "test")]["mae"] * 1.05

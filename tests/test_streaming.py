@@ -29,7 +29,8 @@ def landed(spark, tmp_path_factory):
     for low, high in ((0, 400), (400, 700), (700, 2000)):
         part = events.filter((F.col("event_id") >= low) & (F.col("event_id") < high))
         part.coalesce(1).write.mode("append").parquet(path)
-    return path, events
+    yield path, events
+    events.unpersist()
 
 
 def stream_of(spark, landed):

@@ -52,6 +52,7 @@ def test_two_studies_and_their_comparison(spark, tmp_path):
     assert 2 <= s["clusters"]["k"] <= 6 and len(s["clusters"]["perfil"]) == s["clusters"]["k"]
     assert spark.read.option("header", True).csv(f"{out}/regresion.csv").count() == len(s["regresion"])
     assert spark.read.option("header", True).csv(f"{out}/pronostico_reciente.csv").count() == 20
+    assert spark.read.option("header", True).csv(f"{out}/observado_predicho.csv").count() == s["test"]
     saved = read_summary(spark, f"{out}/summary.json")
     assert saved["modelo_servido"] == s["modelo_servido"] and len(saved["regresion"]) == len(s["regresion"])
     bundle = load_bundle(spark, f"{out}/bundle")
@@ -83,6 +84,10 @@ def as_csv(df, path, header=None):
     return str(path)
 
 
+def cached(spark):
+    return {int(n) for n in spark.sparkContext._jsc.getPersistentRDDs().keySet()}
+
+
 def leftovers(spark, root):
     fs_path = spark._jvm.org.apache.hadoop.fs.Path(root)
     fs = fs_path.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration())
@@ -96,7 +101,7 @@ def test_both_studies_run_from_csv(spark, tmp_path):
     from plantpulse.session import checkpoint_root
 
     root = checkpoint_root(spark)
-    before = leftovers(spark, root)
+    before, held = leftovers(spark, root), cached(spark)
     frame = surface_frame(spark, 700).drop("seq", "temp_condensador", "temp_escape")
     tags = {alias: tag for tag, _, alias, _ in TAGS if alias} | {"vacio": TARGET_TAG}
     twice = frame.union(frame.limit(30)).orderBy("Time")
@@ -129,4 +134,4 @@ def test_both_studies_run_from_csv(spark, tmp_path):
     record.coalesce(1).write.option("header", True).csv(str(tmp_path / "records.csv"))
     assert predict(spark, surface, str(tmp_path / "records.csv"), str(tmp_path / "scored")).first()["clase"] == "critico"
     assert leftovers(spark, root) == before
-    assert spark._jsc.getPersistentRDDs().size() == 0 or not spark.sparkContext._jsc.sc().getRDDStorageInfo()
+    assert cached(spark) <= held

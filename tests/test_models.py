@@ -7,7 +7,7 @@ from plantpulse.config import CLASSES, StudyConfig
 from plantpulse.models.catalog import assemble, label_index, label_name
 from plantpulse.models.linear import fit_linear, fit_two_driver_by
 from plantpulse.models.samme import fit_samme
-from plantpulse.operators.clusters import operating_clusters, silhouettes, standardised
+from plantpulse.operators.clusters import best_of, cluster_sums, lloyd, operating_clusters, silhouettes, spread_starts, standardised
 from plantpulse.operators.leaderboard import metric_pivot, promotion_gate, winner
 from plantpulse.operators.splits import chronological_split
 from plantpulse.plans.regression import grid_search, learning_curves, run_regression
@@ -137,3 +137,26 @@ def test_clusters_and_silhouette(spark):
     want = brute_silhouette(((x - x.mean()) / x.std(ddof=0)).to_numpy(), labels.cluster.to_numpy())
     assert abs(silhouettes(z, ["cluster"])["cluster"] - want) < 1e-9
     assert abs(dict(curve)[3] - want) < 1e-9
+
+
+def test_all_starts_move_together_and_costs_are_those_of_the_centres(spark):
+    rng = np.random.default_rng(7)
+    x = np.concatenate([rng.normal(m, 1, size=(80, 2)) for m in ([0, 0], [6, 0], [0, 7])])
+    df = standardised(spark.createDataFrame(pd.DataFrame(x, columns=list("ab"))), ["a", "b"])
+    z = np.array([r["_z"] for r in df.select("_z").collect()])
+    starts = spread_starts(z, [2, 3], 4, 1)
+    assert len(starts) == 8 and all(len(np.unique(c.points, axis=0)) == c.k for c in starts)
+    alone = lloyd(df, [type(c)(c.k, c.start, c.points.copy()) for c in starts[5:6]])[0]
+    fits = lloyd(df, starts)
+    assert np.allclose(alone.points, fits[5].points) and all(c.settled for c in fits)
+    for c in fits:
+        gap = ((z[:, None] - c.points[None]) ** 2).sum(-1)
+        assert abs(c.cost - gap.min(axis=1).sum()) < 1e-8
+        own = gap.argmin(axis=1)
+        assert all(np.allclose(z[own == k].mean(axis=0), c.points[k], atol=1e-3) for k in range(c.k))
+    best = best_of(fits)
+    assert best[3].cost < best[2].cost and best[3].cost == min(c.cost for c in fits if c.k == 3)
+    far = [type(starts[0])(2, 0, np.array([z[0], [99.0, 99.0]]))]
+    assert lloyd(df, far, rounds=3)[0].points[1].tolist() == [99.0, 99.0]
+    text = cluster_sums(df, fits)._jdf.queryExecution().executedPlan().toString()
+    assert text.count("Exchange") == 1

@@ -7,15 +7,16 @@ from pyspark.sql import functions as F
 from plantpulse.models.linear import LinearFit
 from plantpulse.operators.drift import binned_counts, reference_cuts
 from plantpulse.plans.scoring import score_records, service_counters, validate_records
-from plantpulse.session import scratch_path
+from plantpulse.session import frozen, scratch_path
 from plantpulse.registry.views import naive, rounded, table
 from plantpulse.sources.bundle import ScoringBundle
 from plantpulse.sources.sinks import json_rows
 from plantpulse.streaming.jobs import (
-    drain_append, file_stream, first_per_key, quarantined_stream, resample, scored_stream, windowed_bins,
-    windowed_counters, windowed_drift,
+    drain_append, file_stream, first_arrivals, first_per_key, quarantined_stream, resample, scored_stream, start_append,
+    windowed_bins, windowed_counters, windowed_drift,
 )
 from plantpulse.streaming.lags import streaming_lags
+from plantpulse.streaming.live import BatchCounters, DriftSink, counted
 
 # Scoring contract of the event stream: field -> (model column, lowest, highest).
 FIELDS = {"k": ("cold", 0.0, 95.0), "user_id": ("load", 0.0, 1_000_000.0)}
@@ -110,6 +111,39 @@ def stream_dedup(spark, sf):
     return done.select(naive("Time").alias("Time"), "event_type", "event_id", "k")
 
 
+def stream_first_arrivals(spark, sf):
+    """The keys that are passed on; which of a key's rows comes first depends on the arrival."""
+    minute = _stream(spark, sf).select(F.date_trunc("minute", "Time").alias("Time"), "event_type", "event_id")
+    done = drain_append(first_arrivals(minute, ["event_type", "Time"], "Time"), "arrived")
+    return done.select(naive("Time").alias("Time"), "event_type")
+
+
+def stream_live_counters(spark, sf):
+    """Sums of the counters that the batches of the scoring stream reported."""
+    scored = counted(scored_stream(_stream(spark, sf), BUNDLE, FIELDS, OBSERVED, ["event_id"]))
+    listener = BatchCounters()
+    spark.streams.addListener(listener)
+    try:
+        listener.wait(start_append(scored, scratch_path(spark, "scored"), scratch_path(spark, "scored-state"), True))
+    finally:
+        spark.streams.removeListener(listener)
+    total = listener.totals()
+    return spark.createDataFrame([(total["predicciones"], total["anomalias"])], "predicciones long, anomalias long")
+
+
+def stream_live_drift(spark, sf):
+    """Stability of every window after the last batch, also of windows still open."""
+    end = F.lit(_REFERENCE_END).cast("timestamp")
+    features = ["k", "user_id"]
+    reference = _records(table(spark, sf, "events")).filter(F.col("Time") < end)
+    cuts = reference_cuts(reference, features)
+    held = frozen(binned_counts(reference, features, cuts, F.lit(True)))
+    sink = DriftSink(scratch_path(spark, "live-drift"), "Time", features, cuts, held, "7 days")
+    current = _stream(spark, sf).filter(F.col("Time") >= end)
+    sink.start(current, scratch_path(spark, "live-drift-state"), available_now=True).awaitTermination()
+    return rounded(sink.latest(spark).withColumn("inicio", naive("inicio")))
+
+
 def stream_resample(spark, sf):
     stream = _stream(spark, sf).withWatermark("Time", "1 day")
     grid = resample(stream, "Time", "1 hour", ["event_type"], [
@@ -158,7 +192,9 @@ SELECT event_id, round_even(e, 4) AS vacio_esperado, round_even(b, 4) AS vacio_l
 SCORED_ALL_SQL = _SCORED_SQL.replace("FROM ok)", "FROM rec)").replace("SELECT event_id, round_even", "SELECT round_even")
 
 
-def _drift_sql() -> str:
+def _drift_sql(closed: bool = True) -> str:
+    passed = """
+  HAVING w + INTERVAL 7 DAY <= (SELECT max("Time") FROM rec) - INTERVAL 1 DAY""" if closed else ""
     probs = "[" + ", ".join(f"CAST({i} AS DOUBLE) / 10" for i in range(11)) + "]"
     return f"""WITH {_REC_SQL}, long AS (
   SELECT "Time", 'k' AS v, k AS x FROM rec UNION ALL SELECT "Time", 'user_id', user_id FROM rec),
@@ -171,8 +207,7 @@ placed AS (
          CASE WHEN x >= c[1] AND x <= c[len(c)]
               THEN least(len(list_filter(c, lambda e: e <= x)), len(c) - 1) - 1 END AS b
   FROM long JOIN cuts ON long.v = cuts.v),
-wins AS (SELECT v, w, count(*) AS n FROM placed WHERE NOT ref GROUP BY 1, 2
-  HAVING w + INTERVAL 7 DAY <= (SELECT max("Time") FROM rec) - INTERVAL 1 DAY),
+wins AS (SELECT v, w, count(*) AS n FROM placed WHERE NOT ref GROUP BY 1, 2{passed}),
 frame AS (SELECT wins.v, w, n, unnest(range(len(c) - 1)) AS b FROM wins JOIN cuts ON wins.v = cuts.v),
 n AS (
   SELECT f.v, f.w, f.n, f.b, (SELECT count(*) FROM placed p WHERE p.ref AND p.v = f.v AND p.b = f.b) AS r,
@@ -200,6 +235,9 @@ QUERIES = {
     "stream_resample": stream_resample,
     "stream_drift": stream_drift,
     "stream_lags": stream_lags,
+    "stream_first_arrivals": stream_first_arrivals,
+    "stream_live_counters": stream_live_counters,
+    "stream_live_drift": stream_live_drift,
 }
 
 SQL = {
@@ -230,6 +268,10 @@ HAVING "Time" <= (SELECT max("Time") FROM m) - INTERVAL 2 HOUR""",
 SELECT date_trunc('hour', "Time") AS "Time", event_type, count(*) AS n, max(k) AS k_max FROM rec GROUP BY 1, 2
 HAVING date_trunc('hour', "Time") + INTERVAL 1 HOUR <= (SELECT max("Time") FROM rec) - INTERVAL 1 DAY""",
     "stream_drift": _drift_sql(),
+    "stream_live_drift": _drift_sql(closed=False),
+    "stream_live_counters": f"""WITH s AS ({_SCORED_SQL})
+SELECT count(*) AS predicciones, count(*) FILTER (coalesce(anomalia, false)) AS anomalias FROM s""",
+    "stream_first_arrivals": f"""WITH {_REC_SQL} SELECT DISTINCT date_trunc('minute', "Time") AS "Time", event_type FROM rec""",
     "stream_lags": f"""WITH {_REC_SQL}
 SELECT event_id, k,
   CASE WHEN (epoch_us("Time") - epoch_us(lag("Time", 1) OVER p)) / 60000000.0 BETWEEN 15 AND 25

@@ -67,6 +67,15 @@ def first_per_key(
     return first.select(*keys, *[F.col("_row")[c].alias(c) for c in rest])
 
 
+def first_arrivals(stream: DataFrame, keys: list[str], time: str, delay: str = "2 hours") -> DataFrame:
+    """The first row of each key to arrive, passed on at once.
+
+    A key is forgotten when the watermark is ``delay`` past its time; of rows that arrive in
+    one batch any may be the first.  ``first_per_key`` waits and picks by an order instead.
+    """
+    return stream.withWatermark(time, delay).dropDuplicatesWithinWatermark(keys)
+
+
 def windowed_bins(
     stream: DataFrame, time: str, features: list[str], cuts: DataFrame, width: str = "1 day",
     delay: str = "1 day",

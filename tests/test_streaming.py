@@ -11,6 +11,7 @@ from plantpulse.plans.scoring import score_records, service_counters, validate_r
 from plantpulse.sources.bundle import ScoringBundle
 from plantpulse.streaming import jobs
 from plantpulse.streaming.lags import streaming_lags
+from plantpulse.streaming.live import BatchCounters, DriftSink, counted
 
 FIELDS = {"k": ("cold", 0.0, 90.0), "u": ("load", 0.0, 500.0)}
 OBS = ("value", 0.0, 500.0)
@@ -130,3 +131,46 @@ def test_resample_is_the_same_for_table_and_stream(spark, landed):
     last = landed[1].agg(F.max("Time")).first()[0] - dt.timedelta(hours=7)
     want = jobs.resample(landed[1], "Time", "6 hours", ["event_type"], measures()).filter(F.col("Time") <= F.lit(last))
     assert got.exceptAll(want).count() == 0 and got.count() == want.count() > 0
+
+
+def test_first_arrivals_come_out_at_once(spark, tmp_path):
+    """No key waits for the watermark, and a key comes once however often it arrives."""
+    t, day = dt.datetime(2024, 1, 1), dt.timedelta(days=1)
+    batches = [[(t, 5, "a")], [(t, 4, "b"), (t + day, 9, "c")], [(t + day, 8, "d")]]
+    stream = arrivals(spark, str(tmp_path / "arrivals"), batches, "Time timestamp, n int, v string")
+    got = jobs.drain_append(jobs.first_arrivals(stream, ["Time"], "Time", "2 days"), "t").collect()
+    assert {(r["Time"], r["v"]) for r in got} == {(t, "a"), (t + day, "c")}
+
+
+def test_batches_report_their_counters(spark, landed, tmp_path):
+    scored = jobs.scored_stream(stream_of(spark, landed), BUNDLE, FIELDS, OBS, ["event_id"])
+    listener = BatchCounters()
+    spark.streams.addListener(listener)
+    try:
+        query = jobs.start_append(counted(scored), str(tmp_path / "out"), str(tmp_path / "state"), available_now=True)
+        listener.wait(query)
+    finally:
+        spark.streams.removeListener(listener)
+    want = service_counters(spark.read.parquet(str(tmp_path / "out"))).first().asDict()
+    assert listener.totals() == want and want["anomalias"] > 0
+    assert len(listener.batches) == 3
+
+
+def test_a_replayed_batch_changes_no_drift(spark, landed, tmp_path):
+    events = landed[1]
+    end = F.lit("2024-01-20").cast("timestamp")
+    reference, rest = events.filter(F.col("Time") < end), events.filter(F.col("Time") >= end)
+    cuts = reference_cuts(reference, ["k", "u"])
+    held = binned_counts(reference, ["k", "u"], cuts, F.lit(True))
+    sink = DriftSink(str(tmp_path / "drift"), "Time", ["k", "u"], cuts, held, "4000 days")
+    first, second = rest.filter("event_id % 2 = 0"), rest.filter("event_id % 2 = 1")
+    sink(first, 0)
+    early = {r["variable"]: r["psi"] for r in sink.latest(spark).collect()}
+    sink(second, 1)
+    found = sorted(map(tuple, sink.latest(spark).collect()))
+    sink(second, 1)
+    assert sorted(map(tuple, sink.latest(spark).collect())) == found
+    whole = {r["variable"]: r["psi"] for r in population_stability(reference, rest, ["k", "u"]).collect()}
+    half = {r["variable"]: r["psi"] for r in population_stability(reference, first, ["k", "u"]).collect()}
+    assert {v: round(p, 12) for _, v, p, _ in found} == {v: round(p, 12) for v, p in whole.items()}
+    assert {v: round(p, 12) for v, p in early.items()} == {v: round(p, 12) for v, p in half.items()} != whole

@@ -73,11 +73,10 @@ def run_forecast(operating: DataFrame, cfg: StudyConfig, parallelism: int = 4) -
         test.select(*cfg.keys, target, F.col(columns[best]).alias("prediccion")),
         cfg.keys, cfg.preview_rows,
     )
-    # Neighbours in time of different machines are no series: one unit, or no statistic.
-    several = cfg.unit and train.select(cfg.unit).distinct().limit(2).count() > 1
-    unit_root = dict.fromkeys(("adf_estadistico", "adf_p_valor")) if several else adf(
-        train, cfg.keys, now_column(cfg.target)
-    ).first().asDict()
+    # Neighbours in time of different machines are no series: every unit has its own.
+    tested = [r.asDict() for r in adf(train, cfg.keys, now_column(cfg.target), by=[cfg.unit] if cfg.unit else []).collect()]
+    unit_root = tested[0] if len(tested) == 1 else {"adf_estadistico": None, "adf_p_valor": None}
+    unit_root["por_unidad"] = tested if cfg.unit else []
     return ForecastResult(
         table, best, ready.count(), cfg.horizon * cfg.step_minutes, unit_root, preview, rows
     )

@@ -110,6 +110,7 @@ def _run_study(
         "pronostico_filas": forecast.rows,
         "horizonte_min": forecast.horizon_minutes,
         **{k_: forecast.adf[k_] for k_ in ("adf_estadistico", "adf_p_valor")},
+        **({"adf_por_unidad": forecast.adf["por_unidad"]} if forecast.adf["por_unidad"] else {}),
         "clusters": {
             "silhouette": [{"k": a, "silhouette": s} for a, s in curve],
             "k": k,

@@ -108,6 +108,11 @@ def unit_root_lag1(spark, sf):
     return rounded(adf(_wander(spark, sf), ["Time", "seq"], "x", lags=1), 5)
 
 
+def unit_root_by_unit(spark, sf):
+    """Every unit's readings as a series of its own, at most one lagged difference by AIC."""
+    return rounded(adf(readings(spark, sf), ["Time", "seq"], "value", by=["unit"], top=1).drop("adf_p_valor"), 5)
+
+
 def _wander(spark, sf):
     """Daily running share of large readings: a short, slowly moving series."""
     day = F.date_trunc("day", F.col("Time"))
@@ -206,6 +211,7 @@ QUERIES = {
     "median_by_direction": by_category,
     "adf": unit_root,
     "adf_lag1": unit_root_lag1,
+    "adf_by_unit": unit_root_by_unit,
     "dickey_fuller_lag0": unit_root_lag0,
 }
 
@@ -257,6 +263,21 @@ z AS (SELECT n, tau, -(CASE WHEN tau <= -1.61 THEN 2.1659 + 1.4412 * tau + 0.038
   ELSE 1.7339 + 0.93202 * tau - 0.12745 * tau * tau - 0.010368 * tau * tau * tau END) / sqrt(2.0) AS x FROM t)
 SELECT round(tau, 5) AS adf_estadistico, round(CASE WHEN tau > 2.74 THEN 1.0 WHEN tau < -18.83 THEN 0.0
   ELSE 0.5 * {_erfc_sql("x")} END, 5) AS adf_p_valor, CAST(1 AS INT) AS lags, n FROM z""",
+    "adf_by_unit": f"""WITH {RD_SQL},
+l AS (SELECT unit, value - lag(value) OVER o AS y, lag(value) OVER o AS a, lag(value) OVER o - lag(value, 2) OVER o AS b
+  FROM rd WINDOW o AS (PARTITION BY unit ORDER BY "Time", seq)),
+m0 AS (SELECT unit, count(*) AS n, var_pop(a) * count(*) AS aa, var_pop(y) * count(*) AS yy, covar_pop(a, y) * count(*) AS ay
+  FROM l WHERE a IS NOT NULL GROUP BY unit),
+m AS (SELECT unit, count(*) AS n, var_pop(a) * count(*) AS aa, var_pop(b) * count(*) AS bb, var_pop(y) * count(*) AS yy,
+  covar_pop(a, b) * count(*) AS ab, covar_pop(a, y) * count(*) AS ay, covar_pop(b, y) * count(*) AS bby
+  FROM l WHERE b IS NOT NULL GROUP BY unit),
+e AS (SELECT *, aa * bb - ab * ab AS det, (bb * ay - ab * bby) / (aa * bb - ab * ab) AS ka,
+  (aa * bby - ab * ay) / (aa * bb - ab * ab) AS kb FROM m),
+c AS (SELECT *, yy - ka * ay - kb * bby AS ssr1, yy - ay * ay / aa AS ssr0 FROM e),
+p AS (SELECT *, n * ln(ssr1 / n) + 6 < n * ln(ssr0 / n) + 4 AS one FROM c)
+SELECT p.unit, round(CASE WHEN one THEN ka / sqrt(ssr1 / (p.n - 3) * bb / det)
+    ELSE m0.ay / m0.aa / sqrt((m0.yy - m0.ay * m0.ay / m0.aa) / (m0.n - 2) / m0.aa) END, 5) AS adf_estadistico,
+  CAST(one AS INTEGER) AS lags, CASE WHEN one THEN p.n ELSE m0.n END AS n FROM p JOIN m0 ON m0.unit = p.unit""",
     "vif": f"""WITH c AS (SELECT corr({_A}, {_B}) AS ab, corr({_A}, {_C}) AS ac, corr({_B}, {_C}) AS bc FROM lineitem),
 d AS (SELECT *, 1 + 2 * ab * ac * bc - ab * ab - ac * ac - bc * bc AS det FROM c)
 SELECT '{_A}' AS variable, round((1 - bc * bc) / det, 6) AS vif FROM d

@@ -139,19 +139,45 @@ def brute_adf(x, lags=None):
     return fit(best, best)[0], best
 
 
+def wandering(n, seed, share=0.5):
+    rng = np.random.default_rng(seed)
+    x = np.zeros(n)
+    for t in range(2, n):
+        x[t] = share * x[t - 1] + 0.3 * x[t - 2] + rng.normal()
+    return x + 20.0
+
+
 def test_adf_against_direct_regressions(spark, monkeypatch):
-    rng = np.random.default_rng(11)
-    x = np.zeros(700)
-    for t in range(2, 700):
-        x[t] = 0.5 * x[t - 1] + 0.3 * x[t - 2] + rng.normal()
-    df = spark.createDataFrame(pd.DataFrame({"Time": pd.date_range("2024-01-01", periods=700, freq="h"),
-                                             "seq": range(700), "x": x + 20.0}))
-    want, lags = brute_adf(x + 20.0)
-    for block in (100_000, 90):
-        monkeypatch.setattr(stationarity, "BLOCK", block)
-        r = adf(df, ORDER, "x").first()
-        assert r["lags"] == lags and abs(r["adf_estadistico"] - want) < 1e-7
-        assert r["n"] == 700 - lags - 1
+    """One series, and several at once: each has its own longest lag and choice."""
+    sizes = {"a": 700, "b": 150, "c": 60, "d": 3, None: 90}
+    series = {u: wandering(n, 11 + n, 0.5 if n > 100 else 0.1) for u, n in sizes.items()}
+    rows = [(u, t, float(v)) for u, x in series.items() for t, v in enumerate(x)] + [("a", 10_000, None)]
+    df = spark.createDataFrame(rows, "u string, seq long, x double").withColumn(
+        "Time", F.timestamp_seconds(F.lit(1_700_000_000) + F.col("seq") * 3600))
+    for cells, least in ((stationarity.CELLS, 1000), (1, 90)):
+        monkeypatch.setattr(stationarity, "CELLS", cells)
+        monkeypatch.setattr(stationarity, "LEAST_BLOCK", least)
+        found = {r["u"]: r for r in adf(df, ORDER, "x", by=["u"]).collect()}
+        assert set(found) == {"a", "b", "c", None}
+        for unit, r in found.items():
+            want, lags = brute_adf(series[unit])
+            assert r["lags"] == lags and abs(r["adf_estadistico"] - want) < 1e-7, unit
+            assert r["n"] == sizes[unit] - lags - 1 and abs(r["adf_p_valor"] - mackinnon_p(want)) < 1e-7
+    one = adf(df.filter("u = 'a'"), ORDER, "x").first()
+    assert abs(one["adf_estadistico"] - found["a"]["adf_estadistico"]) < 1e-9 and one["n"] == found["a"]["n"]
+    assert adf(df.filter("u = 'd'"), ORDER, "x").count() == 0
+
+
+def test_nested_residuals_come_from_one_factor():
+    rng = np.random.default_rng(3)
+    x = rng.normal(size=(200, 5))
+    x[:, 3] = 2 * x[:, 1] - x[:, 2]  # explained by those before it
+    y = x @ [1.0, -1.0, 0.5, 0.0, 2.0] + rng.normal(size=200)
+    z = np.column_stack([x, y])
+    got = stationarity.nested_residuals(z.T @ z)
+    for k in range(6):
+        left = y - x[:, :k] @ np.linalg.lstsq(x[:, :k], y, rcond=None)[0] if k else y
+        assert abs(got[k] - (left**2).sum()) < 1e-8
 
 
 @pytest.mark.parametrize("small", [ordered.SMALL, 0])

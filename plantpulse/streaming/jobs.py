@@ -117,7 +117,18 @@ def drain_append(stream: DataFrame, label: str) -> DataFrame:
     return spark.read.schema(stream.schema).parquet(out)
 
 
+STORE = "spark.sql.streaming.stateStore.providerClass"
+ROCKS = "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider"
+
+
 def start_append(stream: DataFrame, out: str, state: str, available_now: bool = False) -> StreamingQuery:
+    """Start a stream into Parquet files; its state is kept outside the heap, in RocksDB.
+
+    A store that the session names itself is left as it is.
+    """
+    conf = stream.sparkSession.conf
+    if "RocksDB" not in (conf.get(STORE, None) or ""):
+        conf.set(STORE, ROCKS)
     writer = stream.writeStream.format("parquet").outputMode("append").option("checkpointLocation", state)
     if available_now:
         writer = writer.trigger(availableNow=True)

@@ -124,6 +124,44 @@ def test_streaming_lags_equal_batch_lags(spark, landed):
     assert got.exceptAll(want).count() == 0 and want.filter("k_lag_2 is not null").count() > 0
 
 
+def test_lags_carry_on_over_pieces_and_hot_units(monkeypatch):
+    """One unit with all rows, handed over in small pieces out of order: same lags, bounded output."""
+    import numpy as np
+    import pandas as pd
+
+    from plantpulse.streaming import lags as module
+
+    class State:
+        rows = []
+
+        def exists(self):
+            return bool(self.rows)
+
+        def get(self):
+            return iter(self.rows)
+
+        def put(self, rows):
+            self.rows = rows
+
+    monkeypatch.setattr(module, "CHUNK", 100)
+    processor = module.LagProcessor(["u", "t", "n", "x"], [1, 3], 1.0, 10**9)  # bucket 1 is the year 2024
+    processor.kept, asked = State(), []
+    processor.handle = type("Handle", (), {"registerTimer": lambda self, at: asked.append(at)})()
+    clock = type("Clock", (), {"getCurrentWatermarkInMs": lambda self: 0})()
+    n = 5000
+    rows = pd.DataFrame({"t": pd.date_range("2024-01-01", periods=n, freq="min"), "n": range(n), "x": np.arange(n) * 1.0})
+    rows["epoch_us"] = rows["t"].astype("datetime64[us]").astype("int64")
+    found = []
+    for part in (rows[:3000], rows[3000:]):
+        mixed = part.sample(frac=1, random_state=1)
+        out = list(processor.handleInputRows(("a", 1), (mixed[i:i + 70] for i in range(0, len(mixed), 70)), clock))
+        assert max(map(len, out)) <= 100 and len(processor.kept.rows) == 3
+        found += out
+    got = pd.concat(found).sort_values("n")
+    assert len(asked) == 1 and len(got) == n
+    assert (got["x_lag_1"].to_numpy()[1:] == np.arange(n - 1)).all() and (got["x_lag_3"].to_numpy()[3:] == np.arange(n - 3)).all()
+
+
 def test_resample_is_the_same_for_table_and_stream(spark, landed):
     measures = lambda: [F.count("*").alias("n"), F.max("value").alias("m")]
     stream = stream_of(spark, landed).withWatermark("Time", "1 hour")

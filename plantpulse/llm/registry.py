@@ -101,7 +101,7 @@ def op12_vector_codes(spark: SparkSession, sf: str) -> DataFrame:
 
 
 def op13_embedding_whitening(spark: SparkSession, sf: str) -> DataFrame:
-    """Deviations beyond a long, which take some 10^8 rows of these vectors, are null here."""
+    """Deviations beyond a long, which take some three million rows of these vectors, are null here."""
     return whiten(table(spark, sf, "embeddings").select("vec_id", "embedding")).select(
         "vec_id", "white.component", "white.n", F.expr("try_cast(white.deviation AS bigint)").alias("deviation"),
         "white.whitened", "white.explained", "white.identity_error",

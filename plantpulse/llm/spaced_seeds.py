@@ -1,7 +1,7 @@
 """Benchmark decontamination by spaced seeds; DataFrame functions only.
 
 A seed is the hash of four words of a window; a fixed mask says which ones, so the words at
-its other positions may differ.  With the two masks every passage of six to thirty-four
+its other positions may differ.  With the two masks every passage of six to twenty-four
 words keeps a seed when any fifth of its words is replaced (counted out), one of five words
 when it is whole.  Seeds of the documents meet those of the benchmark in a join; around each
 meeting the two texts are laid over each other and all words that agree are counted.

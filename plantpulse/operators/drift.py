@@ -27,7 +27,7 @@ def reference_cuts(reference: DataFrame, features: list[str], bins: int = 10) ->
     cuts = quantiles(clean, features, probs).select(
         "variable", F.col("n").alias("n_ref"), F.array_sort(F.array_distinct("q")).alias("cuts")
     )
-    return frozen(cuts)
+    return frozen(cuts, max(len(features), 1))
 
 
 def with_bins(df: DataFrame, features: list[str], edges: dict[str, list[float]]) -> DataFrame:
@@ -111,5 +111,6 @@ def population_stability(
     both = reference.select(*features, F.lit(True).alias("_side")).unionByName(
         current.select(*features, F.lit(False).alias("_side"))
     )
-    counts = frozen(binned_counts(both, features, cuts, F.col("_side")))
+    # At most the bins and the two places outside them, a variable.
+    counts = frozen(binned_counts(both, features, cuts, F.col("_side")), len(features) * (bins + 2) + 1)
     return psi_from_counts(counts, cuts, bins)

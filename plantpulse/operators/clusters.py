@@ -18,8 +18,8 @@ from plantpulse.session import frozen, spread
 
 SAMPLE_ROWS = 6000
 CHUNK = 100
-# Rounds at most, and the distance below which a centre counts as settled.
-ROUNDS, TOLERANCE = 100, 1e-4
+# Rounds at most, and the distance that all centres of a start together still move when settled.
+ROUNDS, TOLERANCE = 300, 1e-2
 
 
 def standardised(df: DataFrame, drivers: list[str]) -> DataFrame:
@@ -113,7 +113,7 @@ def lloyd(df: DataFrame, starts: list[Centres], rounds: int = ROUNDS, tolerance:
                 [r[f"s{j}"] / r["n"] for j in range(c.points.shape[1])] if r and r["n"] else c.points[n]
                 for n, r in enumerate(rows)
             ])
-            c.settled = step == rounds or ((moved - c.points) ** 2).sum(axis=1).max() <= tolerance**2
+            c.settled = step == rounds or ((moved - c.points) ** 2).sum() <= tolerance**2
             if not c.settled:
                 c.points = moved
     return starts

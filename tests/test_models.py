@@ -153,7 +153,7 @@ def test_all_starts_move_together_and_costs_are_those_of_the_centres(spark):
         gap = ((z[:, None] - c.points[None]) ** 2).sum(-1)
         assert abs(c.cost - gap.min(axis=1).sum()) < 1e-8
         own = gap.argmin(axis=1)
-        assert all(np.allclose(z[own == k].mean(axis=0), c.points[k], atol=1e-3) for k in range(c.k))
+        assert all(np.allclose(z[own == k].mean(axis=0), c.points[k], atol=1e-2) for k in range(c.k))
     best = best_of(fits)
     assert best[3].cost < best[2].cost and best[3].cost == min(c.cost for c in fits if c.k == 3)
     far = [type(starts[0])(2, 0, np.array([z[0], [99.0, 99.0]]))]

@@ -181,7 +181,7 @@ def boost(
         features = _drawn_features(len(edges), rules, at)
         for level in range(most):
             add_up = _level(heads, rules, pending, growing, level, at, features, scale, span)
-            found = best_splits(partial_cells(held.rows, add_up, SUMS), SUMS, newton_gain(rules, scale), "n", 1)
+            found = best_splits(partial_cells(held, add_up, SUMS), SUMS, newton_gain(rules, scale), "n", 1)
             split = [_grow(growing[r["tree"]], heads[r["tree"]], r, rules, scale, gains) for r in found]
             if not any(split):
                 break
@@ -233,10 +233,10 @@ def root_cells(df: DataFrame, target: str, key: list[str], rules: Rules) -> Data
     )
     n, mean, low, high = held.rows.agg(F.count("*"), F.avg("y"), F.min("y"), F.max("y")).first()
     scale = 2.0 ** (fixed_point_bits(n) - math.ceil(math.log2(4 * max(high - low, 1.0))))
-    rows = held.rows.withColumn("margins", F.array(F.lit(mean)))
+    held = held.replaced(held.rows.withColumn("margins", F.array(F.lit(mean))), "cells")
     head = [Head(1, 1.0)]
     add_up = _level(head, rules, [], [Tree.empty(1)], 0, 0, list(range(len(edges))), scale, max(map(len, edges)) + 1)
-    sums = partial_cells(rows, add_up, SUMS).groupBy("feature", "bin").agg(*[F.sum(s).alias(s) for s in SUMS])
+    sums = partial_cells(held, add_up, SUMS).groupBy("feature", "bin").agg(*[F.sum(s).alias(s) for s in SUMS])
     found = sums.select(
         "feature", "bin", (F.col("g") / F.lit(scale)).alias("g"), (F.col("h") / F.lit(scale)).alias("h"), "n"
     ).collect()  # variables times bins

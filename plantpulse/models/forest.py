@@ -14,7 +14,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, functions as F
 
 from plantpulse.models.histogram import (
-    FEATURES, Settable, Tree, TreeModel, best_splits, bin_edges, matrix, partial_cells, training_rows,
+    FEATURES, Held, Settable, Tree, TreeModel, best_splits, bin_edges, matrix, partial_cells, training_rows,
     uniform,
 )
 
@@ -59,7 +59,7 @@ class BalancedForest(Settable):
         gains = np.zeros(len(edges))
         trees: list[Tree] = []
         for first in range(0, self.numTrees, GROUP):
-            trees += self._group(held.rows, list(range(first, min(first + GROUP, self.numTrees))), edges, gains)
+            trees += self._group(held, list(range(first, min(first + GROUP, self.numTrees))), edges, gains)
         held.drop()
         for tree in trees:
             tree.value /= self.numTrees
@@ -89,9 +89,9 @@ class BalancedForest(Settable):
             t: np.where(n > 0, n.sum() / (np.count_nonzero(n) * np.maximum(n, 1)), 0.0) for t, n in counts.items()
         }
 
-    def _group(self, rows: DataFrame, numbers: list[int], edges: list[np.ndarray], gains: np.ndarray) -> list[Tree]:
+    def _group(self, held: Held, numbers: list[int], edges: list[np.ndarray], gains: np.ndarray) -> list[Tree]:
         width, take = len(edges), max(1, int(len(edges) ** 0.5))
-        weights = self._weights(rows, numbers)
+        weights = self._weights(held.rows, numbers)
         grown = {t: Tree.empty(self.maxDepth, self.classes) for t in numbers}
         open_nodes = {t: np.array([1]) for t in numbers}
         names = [f"c{k}" for k in range(self.classes)]
@@ -104,7 +104,7 @@ class BalancedForest(Settable):
                 break
             add_up = _level({t: grown[t] for t in asked}, asked, weights, level, self.classes, BINS)
             found = best_splits(
-                partial_cells(rows, add_up, sums, constants), sums, _gini(names, constants), "n",
+                partial_cells(held, add_up, sums, constants), sums, _gini(names, constants), "n",
                 self.minInstancesPerNode, constants,
             )
             open_nodes = {t: [] for t in numbers}

@@ -31,6 +31,8 @@ FEATURES = "features"
 ACCURACY = 10_000
 # Smallest gain for which a node is split.
 LEAST_GAIN = 1e-9
+# Up to so many training rows are one partition: a level is then one task and no shuffle.
+FEW_ROWS = 100_000
 
 
 @dataclass
@@ -138,7 +140,9 @@ class Held:
     def __init__(self, df: DataFrame, label: str):
         self.spark, self.path = df.sparkSession, scratch_path(df.sparkSession, label)
         df.write.parquet(self.path)
-        self.rows = self.spark.read.schema(df.schema).parquet(self.path).persist(StorageLevel.MEMORY_AND_DISK)
+        rows = self.spark.read.schema(df.schema).parquet(self.path)
+        self.few = rows.limit(FEW_ROWS + 1).count() <= FEW_ROWS
+        self.rows = (rows.coalesce(1) if self.few else rows).persist(StorageLevel.MEMORY_AND_DISK)
 
     def drop(self) -> None:
         self.rows.unpersist()
@@ -171,15 +175,16 @@ def training_rows(
     return Held(source.mapInArrow(run, f"bins array<smallint>, {rest}"), label)
 
 
-def partial_cells(rows: DataFrame, add_up: Callable, sums: list[str], constants: list[str] = ()) -> DataFrame:
-    """(tree, node, feature, bin, sums..., constants...) as the tasks add them up.
+def partial_cells(held: Held, add_up: Callable, sums: list[str], constants: list[str] = ()) -> DataFrame:
+    """(tree, node, feature, bin, sums..., constants...) as the tasks add them up, a node's together.
 
     ``add_up`` turns record batches into such rows, several of which may be of one cell.
     """
     schema = "tree int, node int, feature int, bin int, " + ", ".join(
         [f"{s} long" for s in sums] + [f"{c} double" for c in constants]
     )
-    return rows.mapInArrow(add_up, schema)
+    partial = held.rows.mapInArrow(add_up, schema)
+    return partial.coalesce(1) if held.few else partial.repartition("tree", "node")
 
 
 def best_splits(
@@ -189,8 +194,8 @@ def best_splits(
 
     ``gain(left, right, total)`` gets, for each side, a function from a sum's name to SQL, and
     gives SQL.  Of equal gains the lowest variable and bin win; without a split, best is null.
-    The one shuffle is by (tree, node): neither the sums nor the runs along a node's bins need
-    another.  The statement is the same for every level, so its code is generated once.
+    The rows are partitioned by (tree, node) already: neither the sums nor the runs along a
+    node's bins shuffle them again.  The statement is the same for every level, so its code is generated once.
     """
     value = gain(lambda s: f"l_{s}", lambda s: f"(t_{s} - l_{s})", lambda s: f"t_{s}")
     allowed = f"l_{count} >= {least_rows} AND t_{count} - l_{count} >= {least_rows}"
@@ -205,7 +210,7 @@ SELECT tree, node, {_each("max(t_{0}) AS {0}", sums)},
   max_by(struct(feature, bin, gain, {_each("l_{0}", sums)}),
     CASE WHEN gain > {LEAST_GAIN!r}D THEN struct(gain, -feature, -bin) END) AS best
 FROM v GROUP BY tree, node"""
-    return partial.sparkSession.sql(text, partial=partial.repartition("tree", "node")).collect()
+    return partial.sparkSession.sql(text, partial=partial).collect()
 
 
 def _each(pattern: str, names: list[str], between: str = ", ") -> str:

@@ -3,6 +3,7 @@ import pandas as pd
 import pytest
 from pyspark.sql import functions as F
 
+from plantpulse.models import histogram
 from plantpulse.models.boosting import (
     Head, HistogramRegressor, Rules, SoftmaxClassifier, boost, gradients, grid_errors, root_cells,
 )
@@ -110,13 +111,32 @@ def test_softmax_trees_share_one_scale_and_the_loss_falls(rows):
     assert np.allclose(g, [[2 / 3, -4 / 3, 2 / 3]]) and np.allclose(h, 2 * 2 * 2 / 9)
 
 
-def test_fits_do_not_depend_on_partitions(rows):
+def test_fits_do_not_depend_on_partitions(rows, monkeypatch):
+    """Two and sixteen partitions with a shuffle a level, and few rows in one without any."""
     _, df = rows
     for make in (
         lambda: BalancedForest("label", 3, ["seq"], numTrees=6, maxDepth=4),
         lambda: HistogramRegressor("y", ["seq"], maxIter=3, maxDepth=3),
     ):
-        assert make().fit(df.repartition(2)).to_json() == make().fit(df.repartition(16)).to_json()
+        few = make().fit(df).to_json()
+        with monkeypatch.context() as m:
+            m.setattr(histogram, "FEW_ROWS", 0)
+            assert few == make().fit(df.repartition(2)).to_json() == make().fit(df.repartition(16)).to_json()
+
+
+def test_a_level_shuffles_once_at_most(rows, monkeypatch):
+    _, df = rows
+    for few, shuffles in ((histogram.FEW_ROWS, 0), (0, 1)):
+        monkeypatch.setattr(histogram, "FEW_ROWS", few)
+        held = histogram.training_rows(df, bin_edges(df, 8), {"y": F.col("y")}, ["seq"], 1, "t")
+        asked = []
+        monkeypatch.setattr(type(df), "collect", lambda self: asked.append(self) or [])
+        histogram.best_splits(
+            histogram.partial_cells(held, lambda b: iter(()), ["n"]), ["n"], lambda left, right, total: left("n"), "n", 1
+        )
+        monkeypatch.undo()
+        assert asked[0]._jdf.queryExecution().executedPlan().toString().count("Exchange") == shuffles
+        held.drop()
 
 
 def test_forest_root_equals_plain_gini_on_its_bootstrap(rows):

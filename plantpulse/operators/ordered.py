@@ -39,7 +39,7 @@ def positions(df: DataFrame, order: list[str], name: str = "pos") -> DataFrame:
     part = F.shiftright(slot, _OFFSET_BITS)
     within = F.col(slot).bitwiseAND((1 << _OFFSET_BITS) - 1)
     counts = laid_out.groupBy(part.alias("_part")).count().collect()  # one row per partition
-    starts = _starts({r["_part"]: r["count"] for r in counts})
+    starts = part_starts({r["_part"]: r["count"] for r in counts})
     offsets = df.sparkSession.createDataFrame(starts, "_part long, _start long")
     return (
         laid_out.withColumn("_part", part)
@@ -49,7 +49,8 @@ def positions(df: DataFrame, order: list[str], name: str = "pos") -> DataFrame:
     )
 
 
-def _starts(size_by_part: dict) -> list[tuple]:
+def part_starts(size_by_part: dict) -> list[tuple]:
+    """(part, rows in the parts before it) from the rows of each part."""
     parts = sorted(size_by_part)
     ends = list(accumulate(size_by_part[p] for p in parts))
     return [(p, e - size_by_part[p]) for p, e in zip(parts, ends)]
@@ -116,12 +117,12 @@ def rows_at(df: DataFrame, order: list[str], ranks: list[int], total: int) -> li
     left = [_narrowed(base, order, rank, total) for rank in ranks]
     picks = [
         rows.orderBy(*order).offset(rank).limit(1)
-        .select(F.lit(i).alias("_i"), *[_portable(base, k).alias(k) for k in order])
+        .select(F.lit(i).alias("_i"), *[portable(base, k).alias(k) for k in order])
         for i, (rows, rank) in enumerate(left)
     ]
     found = {r["_i"]: r for r in reduce(DataFrame.unionAll, picks).collect()}
     return [
-        {k: _literal(base.schema[k].dataType, found[i][k]) for k in order} for i in range(len(ranks))
+        {k: literal(base.schema[k].dataType, found[i][k]) for k in order} for i in range(len(ranks))
     ]
 
 
@@ -162,13 +163,13 @@ def _shared_bytes(a: str, b: str) -> int:
     return next((i for i, (p, q) in enumerate(zip(x, y)) if p != q), min(len(x), len(y)))
 
 
-def _portable(df: DataFrame, name: str) -> Column:
+def portable(df: DataFrame, name: str) -> Column:
     """Times travel to the driver as microseconds, free of any time zone."""
     timed = isinstance(df.schema[name].dataType, (T.TimestampType, T.TimestampNTZType, T.DateType))
     return epoch_micros(F.col(name)) if timed else F.col(name)
 
 
-def _literal(kind: T.DataType, value) -> Column:
+def literal(kind: T.DataType, value) -> Column:
     if isinstance(kind, (T.TimestampType, T.TimestampNTZType, T.DateType)):
         return F.timestamp_micros(F.lit(value)).cast(kind)
     return F.lit(value).cast(kind)

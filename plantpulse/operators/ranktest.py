@@ -5,11 +5,11 @@ from __future__ import annotations
 import math
 
 import numpy as np
-from pyspark.sql import DataFrame, functions as F
+from pyspark.ml.feature import Bucketizer
+from pyspark.sql import DataFrame, Window, functions as F
 
 from plantpulse.operators.collinearity import pearson_matrix
 from plantpulse.operators.ordered import long_quantiles, prefix_sums
-from plantpulse.session import frozen, written
 
 MIN_GROUP = 20
 
@@ -78,37 +78,81 @@ TEST_SCHEMA = (
 )
 
 
-def average_ranks(df: DataFrame, columns: list[str]) -> DataFrame:
-    """(variable, x, rank): tied values share their mean rank, one row per distinct value.
+# Rows a cell of the value range should hold, and how many cells a column has at most.
+CELL_ROWS, MAX_CELLS = 100_000, 8192
+# Rows of one value need no order, so they spread over this many places of a shuffle.
+SPREAD = 1024
 
-    All columns are ordered together, variable first, so one layout serves them all.
-    The result is written by variable and read back a column at a time.
+
+def _cell_edges(df: DataFrame, columns: list[str], total: int) -> dict[str, list[float]]:
+    """Edges of value cells per column: about equal shares, a frequent value in one of its own.
+
+    A quantile and the next double after it are both edges, so the cell between them holds
+    that single value.  How well the sketch cuts decides the balance only, not the ranks.
     """
-    long = df.select([F.col(c).cast("double").alias(c) for c in columns]).unpivot(
-        [], columns, "variable", "x"
-    )
-    counts = long.filter(F.col("x").isNotNull()).groupBy("variable", "x").agg(F.count("*").alias("t"))
-    ranked = prefix_sums(counts, ["variable", "x"], ["t"])
-    ahead = frozen(ranked.groupBy("variable").agg(F.min("before_t").alias("ahead")))
-    rank = F.col("before_t") - F.col("ahead") + (F.col("t") + 1) / 2
-    table = ranked.join(F.broadcast(ahead), "variable").select("variable", "x", rank.alias("rank"))
-    return written(table, "ranks", ["variable"])
+    cells = min(MAX_CELLS, max(256, total // CELL_ROWS))
+    marks = [i / cells for i in range(cells + 1)]
+    found = df.agg(*[F.percentile_approx(c, marks, 4 * cells).alias(c) for c in columns]).first()
+    edges = {}
+    for c in columns:
+        cuts = {x for x in found[c] if math.isfinite(x)}
+        inner = cuts | {math.nextafter(x, math.inf) for x in cuts}
+        edges[c] = [-math.inf, *sorted(x for x in inner if math.isfinite(x)), math.inf]
+    return edges
 
 
-def spearman_matrix(df: DataFrame, columns: list[str]) -> DataFrame:
-    """(variable_a, variable_b, rho): Pearson correlation of average ranks.
+def with_average_ranks(df: DataFrame, columns: list[str]) -> DataFrame:
+    """Add ``rank_<c>`` of every column: its 1-based rank, tied values sharing their mean.
 
-    The rank table holds one row per distinct value, so a hot value is one row on
-    that side and adaptive execution splits the other.
+    Columns are doubles without missing values.  Cells of each column are found by binary
+    search over literal edges and counted in one pass.  In a cell of one value the counts are
+    the rank, so a value held by a third of the rows is not ordered at all; the other cells
+    are ranked in partitions of their own, from the rows of the cells below them.  A column
+    of few distinct values is never shuffled, and rows are never joined with a rank a value.
     """
+    spark, total = df.sparkSession, df.count()
+    if not total:
+        return df.select("*", *[F.lit(None).cast("double").alias(f"rank_{c}") for c in columns])
+    # Adding zero makes one value of the two zeros.
+    clean = df.withColumns({c: F.col(c) + F.lit(0.0) for c in columns})
+    edges = _cell_edges(clean, columns, total)
+    celled = Bucketizer(
+        inputCols=columns, outputCols=[f"_cell_{c}" for c in columns], splitsArray=[edges[c] for c in columns]
+    ).transform(clean)
+    entries = F.array(*[
+        F.struct(F.lit(i).alias("v"), F.col(f"_cell_{c}").alias("cell"), F.col(c).alias("x"))
+        for i, c in enumerate(columns)
+    ])
+    # At most two cells an edge of each column.
+    counted = (
+        celled.select(F.inline(entries)).groupBy("v", "cell")
+        .agg(F.count("*").alias("n"), (F.min("x") == F.max("x")).alias("single")).collect()
+    )
+    ranked = celled.withColumn("_salt", F.monotonically_increasing_id() % SPREAD)
+    for i, c in enumerate(columns):
+        rows, ahead = [], 0
+        for r in sorted((r for r in counted if r["v"] == i), key=lambda r: r["cell"]):
+            rows.append((r["cell"], float(ahead), float(r["n"]), r["single"]))
+            ahead += r["n"]
+        cell = f"_cell_{c}"
+        places = spark.createDataFrame(rows, f"{cell} double, _ahead double, _n double, _single boolean")
+        ranked = ranked.join(F.broadcast(places), cell)
+        rank = F.col("_ahead") + (F.col("_n") + 1) / 2
+        if not all(single for *_, single in rows):
+            apart = F.when(F.col("_single"), F.col("_salt")).otherwise(-1)
+            within = Window.partitionBy(cell, apart).orderBy(c)
+            tied = F.count("*").over(within.rangeBetween(Window.currentRow, Window.currentRow))
+            rank = F.when(F.col("_single"), rank).otherwise(
+                F.col("_ahead") + F.rank().over(within) + (tied - 1) / 2
+            )
+        ranked = ranked.withColumn(f"rank_{c}", rank).drop("_ahead", "_n", "_single", cell)
+    return ranked.drop("_salt")
+
+
+def spearman_matrix(df: DataFrame, columns: list[str]) -> DataFrame:
+    """(variable_a, variable_b, rho): Pearson correlation of average ranks."""
     whole = df.select([F.col(c).cast("double").alias(c) for c in columns]).dropna()
-    ranks = average_ranks(whole, columns)
-    ranked = whole
-    for c in columns:
-        mine = ranks.filter(F.col("variable") == c).select(
-            F.col("x").alias(c), F.col("rank").alias(f"rank_{c}")
-        )
-        ranked = ranked.join(mine, c)
+    ranked = with_average_ranks(whole, columns)
     rho = pearson_matrix(ranked, [f"rank_{c}" for c in columns])
     rows = [
         (a, b, None if np.isnan(rho[i, j]) else float(rho[i, j]))

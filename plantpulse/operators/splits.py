@@ -2,10 +2,10 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, functions as F
+from pyspark.sql import Column, DataFrame, Window, functions as F
 
 from plantpulse.config import SPLIT, SPLITS
-from plantpulse.operators.ordered import before, not_before, positions, rows_at
+from plantpulse.operators.ordered import before, literal, not_before, part_starts, portable, rows_at
 
 
 def split_conditions(
@@ -74,27 +74,66 @@ def curve_sizes(total: int, folds: int = 3, steps: int = 5) -> list[int]:
     return [int(first * s) for s in shares]
 
 
+# Rows of the key order that one task ranks, and how many such ranges there are at most.
+RANGE_ROWS, MAX_RANGES = 50_000, 1024
+# Sampled keys a range, from which its ends are taken.
+_DRAWS, _DIE = 64, 1 << 30
+
+
+def _range_number(keys: DataFrame, order: list[str], total: int) -> Column:
+    """Number of the key range a row is in, as a binary tree of comparisons with literal keys.
+
+    The ends are evenly spaced rows of a drawn sample of keys, at most _DRAWS x MAX_RANGES or
+    so; a poor draw makes uneven ranges, never a wrong order.  Keys are whole tuples, so rows
+    that share a first key still part.
+    """
+    ranges = min(MAX_RANGES, -(-total // RANGE_ROWS))
+    chance = min(1.0, _DRAWS * ranges / total)
+    drawn = keys.filter(F.pmod(F.xxhash64(*order), F.lit(_DIE)) < int(chance * _DIE))
+    rows = drawn.orderBy(*order).select(*[portable(keys, k).alias(k) for k in order]).collect()
+    step = max(1, len(rows) // ranges)
+    ends = [{k: literal(keys.schema[k].dataType, r[k]) for k in order} for r in rows[step::step]]
+
+    def tree(low: int, high: int) -> Column:
+        if low == high:
+            return F.lit(low)
+        middle = (low + high) // 2
+        return F.when(before(order, ends[middle]), tree(low, middle)).otherwise(tree(middle + 1, high))
+
+    return tree(0, len(ends))
+
+
 def systematic_sample(df: DataFrame, order: list[str], size: int = 6000) -> DataFrame:
     """At most ``size`` rows evenly spaced by position, first and last included.
 
-    Only the order keys (a total order) are laid out; the few chosen keys then pick
-    the rows.
+    ``order`` is a total order without nulls.  Key ranges are counted first; each row's
+    position is then its place in its range plus the rows of the ranges before, and the
+    wanted ones are picked in the same pass.  Only keys are shuffled, once, and nothing is
+    written; further columns are fetched by the few chosen keys.
     """
     total = df.count()
     if size >= total:
         return df
     if size == 1:
         return df.orderBy(*order).limit(1)
-    ranked = positions(df.select(*order), order, "_pos")
-    # Position p is chosen when some i has floor(i * (total-1) / (size-1)) = p.
+    keys = df.select(*order)
+    placed = keys.withColumn("_range", _range_number(keys, order, total))
+    counts = {r["_range"]: r["count"] for r in placed.groupBy("_range").count().collect()}  # a row a range
+    starts = df.sparkSession.createDataFrame(part_starts(counts), "_range int, _start long")
+    within = F.row_number().over(Window.partitionBy("_range").orderBy(*order))
+    ranked = placed.join(F.broadcast(starts), "_range").withColumn("_pos", F.col("_start") + within - 1)
+    # Position p is chosen when some i has floor(i * (total-1) / (size-1)) = p; the last i is
+    # the last row, whatever the product rounds to.
     step = F.lit((total - 1) / (size - 1))
     nearest = F.ceil(F.col("_pos") / step)
     candidates = [nearest - 1, nearest, nearest + 1]
     chosen = F.lit(False)
     for i in candidates:
         chosen = chosen | (
-            (i >= 0) & (i < size) & (F.floor(i * step) == F.col("_pos"))
+            (i >= 0) & (i < size - 1) & (F.floor(i * step) == F.col("_pos"))
         )
     last = F.col("_pos") == total - 1
-    picked = ranked.filter(chosen | last).drop("_pos")  # ``size`` rows
+    picked = ranked.filter(chosen | last).select(*order)  # ``size`` rows
+    if set(df.columns) == set(order):
+        return picked.select(*df.columns)
     return df.join(F.broadcast(picked), order, "left_semi")

@@ -5,7 +5,7 @@ import pandas as pd
 import pytest
 from pyspark.sql import Window, functions as F
 
-from plantpulse.operators import halo, ordered
+from plantpulse.operators import halo, ordered, splits
 from plantpulse.operators.ordered import positions, prefix_sums, quantiles, rows_at
 from plantpulse.operators.regime import histogram, last_rows, quality_report, step_minutes
 from plantpulse.operators.splits import (
@@ -100,6 +100,20 @@ def test_systematic_sample_matches_even_spacing(spark):
     assert systematic_sample(df, ["Time", "seq"], 5000).count() == 997
 
 
+def test_systematic_sample_parts_rows_of_one_time(spark, monkeypatch):
+    """Many ranges, a time held by half of the rows, text keys, further columns kept."""
+    monkeypatch.setattr(splits, "RANGE_ROWS", 40)
+    rows = [(0 if i % 2 else i, f"ké{i:05d}", i) for i in range(2003)]
+    df = spark.createDataFrame(rows, "t long, name string, extra int").withColumn("t", F.timestamp_seconds("t"))
+    want = sorted(((r[0], r[1]) for r in rows))
+    spots = sorted(set(np.linspace(0, 2002, 50, dtype=int).tolist()))
+    got = systematic_sample(df, ["t", "name"], 50)
+    assert got.columns == ["t", "name", "extra"]
+    assert sorted(r["name"] for r in got.collect()) == sorted(want[p][1] for p in spots)
+    numbers = splits._range_number(df.select("t", "name"), ["t", "name"], 2003)
+    assert df.groupBy(numbers).count().agg(F.max("count")).first()[0] < 400
+
+
 def test_folds_and_curve_sizes(spark):
     assert fold_bounds(103, 3) == [(28, 53), (53, 78), (78, 103)]
     for (train, test), (start, end) in zip(expanding_folds(series(spark, 103), ["Time", "seq"]), fold_bounds(103)):

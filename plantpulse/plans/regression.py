@@ -17,6 +17,7 @@ from plantpulse.models.linear import LinearFit, fit_linear
 from plantpulse.operators.leaderboard import promotion_gate, winner
 from plantpulse.operators.metrics import regression_scores
 from plantpulse.operators.ordered import column_quantiles
+from plantpulse.operators.sketches import daily_sketches, merged_quantiles
 from plantpulse.operators.splits import curve_sizes, fold_bounds, row_prefixes
 from plantpulse.session import Cached, frozen, spread
 
@@ -53,6 +54,20 @@ def residual_limits(df: DataFrame, cfg: StudyConfig, baseline: LinearFit) -> tup
     return alert, critical
 
 
+def residual_sketches(df: DataFrame, cfg: StudyConfig, baseline: LinearFit, by: list[str] | None = None) -> DataFrame:
+    """A day's residuals as one sketch a group, to be stored as the days arrive."""
+    return daily_sketches(df, F.col(cfg.target) - baseline.predicted(), cfg.time, by)
+
+
+def sketched_limits(sketches: DataFrame, cfg: StudyConfig) -> tuple[float, float]:
+    """Alert and critical limits from stored sketches, each within ``rank_bound`` of its rank.
+
+    The opt-in to ``residual_limits`` for limits that follow a growing table: the rows are
+    not read again.
+    """
+    return tuple(merged_quantiles(sketches, [cfg.alert_quantile, cfg.critical_quantile]).first()["q"])
+
+
 def grid_search(
     train: DataFrame, cfg: StudyConfig, folds: int = 3, rounds: int = GRID_ROUNDS, grid: dict = GRID
 ) -> tuple[HistogramRegressor, list[dict]]:

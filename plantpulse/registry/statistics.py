@@ -12,10 +12,14 @@ from plantpulse.operators.ranktest import mann_whitney, spearman_matrix
 from plantpulse.operators.regime import (
     histogram, level_stats, median_by_category, shared_limits,
 )
+from plantpulse.operators.sketches import (
+    daily_sketches, merged_quantiles, rank_bound, rank_errors, store_sketches, stored_sketches,
+)
 from plantpulse.operators.stationarity import adf
 from plantpulse.registry.views import (
-    LABELLED_SQL, RD_SQL, labelled_readings, readings, rounded, table,
+    LABELLED_SQL, RD_SQL, READINGS, labelled_readings, readings, rounded, table,
 )
+from plantpulse.session import scratch_path
 
 _CUT = "1998-01-01"
 _PSI = ["l_quantity", "l_extendedprice", "l_discount", "l_tax"]
@@ -95,6 +99,29 @@ def by_category(spark, sf):
     return rounded(median_by_category(readings(spark, sf), "unit", "value"))
 
 
+_MARKS = [READINGS.alert_quantile, READINGS.critical_quantile]
+
+
+def threshold_sketches(spark, sf):
+    """Residual limits of every unit from daily sketches that arrive in two parts.
+
+    The day between the parts arrives twice.  ``dentro`` says whether the true rank of the
+    merged limit, counted over all rows, is within the bound that the sketch states.
+    """
+    rows = labelled_readings(spark, sf).filter("particion = 'train'").select("unit", "Time", "residual_base")
+    sketches = daily_sketches(rows, "residual_base", "Time", ["unit"])
+    first, last = rows.agg(F.min(F.to_date("Time")), F.max(F.to_date("Time"))).first()
+    middle = F.lit(first + (last - first) / 2)
+    place = scratch_path(spark, "sketches")
+    store_sketches(sketches.filter(F.col("day") <= middle), place)
+    store_sketches(sketches.filter(F.col("day") >= middle), place)
+    limits = merged_quantiles(stored_sketches(spark, place), _MARKS, ["unit"])
+    errors = rank_errors(rows, "residual_base", limits, _MARKS, ["unit"])
+    return errors.join(limits, "unit").select(
+        "unit", F.col("days").alias("dias"), "n", "prob", (F.col("error") <= rank_bound()).alias("dentro")
+    )
+
+
 def unit_root(spark, sf):
     return adf(readings(spark, sf), ["Time", "seq"], "value")
 
@@ -209,6 +236,7 @@ QUERIES = {
     "residual_histogram": residual_histogram,
     "obs_pred_limits": limits,
     "median_by_direction": by_category,
+    "threshold_sketches": threshold_sketches,
     "adf": unit_root,
     "adf_lag1": unit_root_lag1,
     "adf_by_unit": unit_root_by_unit,
@@ -249,6 +277,9 @@ UNION ALL SELECT unit, 'p95', p95 FROM l""",
             for c in ("cold", "load", "hora")
         )
     ),
+    "threshold_sketches": f"""{LABELLED_SQL}, t AS (
+  SELECT unit, count(DISTINCT CAST("Time" AS DATE)) AS dias, count(*) AS n FROM cl WHERE particion = 'train' GROUP BY 1)
+SELECT unit, dias, n, unnest([CAST({_MARKS[0]} AS DOUBLE), CAST({_MARKS[1]} AS DOUBLE)]) AS prob, true AS dentro FROM t""",
     "adf_lag1": f"""WITH {RD_SQL}, days AS (
   SELECT date_trunc('day', "Time") AS d, count(*) FILTER (value > 40) AS c, count(*) AS t FROM rd GROUP BY 1),
 w AS (SELECT d, CAST(sum(c) OVER (ORDER BY d) AS DOUBLE) / CAST(sum(t) OVER (ORDER BY d) AS DOUBLE) AS x FROM days),

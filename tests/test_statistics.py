@@ -5,13 +5,16 @@ import pandas as pd
 import pytest
 from pyspark.sql import functions as F
 
-from plantpulse.operators import ordered, stationarity
+from plantpulse.operators import ordered, ranktest, stationarity
 from plantpulse.operators.collinearity import variance_inflation
 from plantpulse.operators.drift import population_stability
 from plantpulse.operators.metrics import (
     balanced_weights, classification_scores, confusion_matrix, regression_scores,
 )
 from plantpulse.operators.ranktest import mann_whitney, spearman_matrix, two_sided_p
+from plantpulse.operators.sketches import (
+    daily_sketches, merged_quantiles, rank_bound, rank_errors, store_sketches, stored_sketches,
+)
 from plantpulse.operators.stationarity import adf, mackinnon_p, max_lag
 
 ORDER = ["Time", "seq"]
@@ -193,3 +196,63 @@ def test_quantiles_by_window_and_by_range_partitions(spark, monkeypatch, small):
     assert {r["g"]: r["n"] for r in got} == sizes
     for r in got:
         assert np.allclose(r["q"], np.quantile(pdf[pdf.g == r["g"]].x, probs), atol=1e-12)
+
+
+def test_average_ranks_with_hot_values_and_open_cells(spark, monkeypatch):
+    """A value of a third of the rows, repeated rows, both zeros, infinities; few cells and many."""
+    rng = np.random.default_rng(23)
+    pdf = pd.DataFrame({"a": np.round(rng.gamma(2, 3, 3000), 2), "b": rng.integers(0, 5, 3000).astype(float),
+                        "c": rng.normal(size=3000)})
+    pdf.loc[:999, ["a", "b", "c"]] = [4.0, 2.0, 0.0]
+    pdf.loc[1000:1100, "c"] = -0.0
+    pdf.loc[2990:, "c"] = [np.inf, -np.inf] * 5
+    pdf["id"] = np.arange(3000)
+    want = pdf[["a", "b", "c"]].rank()
+    df = spark.createDataFrame(pdf).repartition(5)
+    for most in (8192, 7):
+        monkeypatch.setattr(ranktest, "MAX_CELLS", most)
+        got = ranktest.with_average_ranks(df, ["a", "b", "c"]).orderBy("id").toPandas()
+        assert len(got) == 3000
+        for c in "abc":
+            assert np.array_equal(got[f"rank_{c}"], want[c]), (most, c)
+    assert ranktest.with_average_ranks(df.limit(0), ["a", "b", "c"]).count() == 0
+
+
+def test_columns_of_few_values_are_ranked_without_a_shuffle(spark):
+    df = spark.range(5000).select((F.col("id") % 7).cast("double").alias("a"), (F.col("id") % 3).cast("double").alias("b"))
+    plan = ranktest.with_average_ranks(df, ["a", "b"])._jdf.queryExecution().executedPlan().toString()
+    assert "hashpartitioning" not in plan and "Window" not in plan
+
+
+def test_sketches_by_day_merge_within_their_bound(spark, tmp_path):
+    rng = np.random.default_rng(29)
+    size = 64
+    pdf = pd.DataFrame({"u": rng.choice(["a", "b", "c"], 30_000, p=[0.7, 0.29, 0.01]), "x": np.round(rng.gamma(2, 3, 30_000), 1)})
+    pdf["Time"] = pd.Timestamp("2024-01-01") + pd.to_timedelta(rng.integers(0, 20 * 24, len(pdf)), unit="h")
+    pdf.loc[:9999, "x"] = 4.0
+    df = spark.createDataFrame(pdf)
+    odd = spark.createDataFrame([("a", None), ("a", math.nan), ("b", math.inf), ("d", None)], "u string, x double")
+    df = df.unionByName(odd.withColumn("Time", F.lit(pd.Timestamp("2024-02-01"))))
+    probs, place = [0.0, 0.5, 0.95, 1.0], str(tmp_path / "store")
+    sketches = daily_sketches(df, "x", "Time", ["u"], size)
+    store_sketches(sketches.filter("day < '2024-01-12'"), place)
+    for _ in range(2):  # the second arrival comes twice and overlaps the first
+        store_sketches(sketches.filter("day >= '2024-01-11'"), place)
+    found = merged_quantiles(stored_sketches(spark, place), probs, ["u"], size)
+    rows = {r["u"]: r for r in found.collect()}
+    assert {u: r["n"] for u, r in rows.items()} == pdf.u.value_counts().to_dict()
+    assert rows["a"]["days"] == 20
+    for u, g in pdf.groupby("u"):
+        for p, q in zip(probs, rows[u]["q"]):
+            error = max(0.0, p - (g.x <= q).mean(), (g.x < q).mean() - p)
+            assert error <= rank_bound(size), (u, p)
+    worst = rank_errors(df, "x", found, probs, ["u"]).agg(F.max("error"), F.count("*")).first()
+    assert worst[0] <= rank_bound(size) and worst[1] == 12
+    nothing = merged_quantiles(stored_sketches(spark, place).limit(0), [0.5]).first()
+    assert (nothing["n"], nothing["q"]) == (0, None)
+
+
+def test_small_sketches_are_exact(spark):
+    df = spark.range(1000).select((F.col("id") * 7 % 1000).cast("double").alias("x"), F.lit(pd.Timestamp("2024-01-01")).alias("Time"))
+    q = merged_quantiles(daily_sketches(df, "x", "Time"), [0.25, 0.75]).first()["q"]
+    assert q == [249.0, 749.0]

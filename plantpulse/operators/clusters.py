@@ -132,6 +132,12 @@ def nearest_centre(points: np.ndarray) -> Column:
     return (F.array_position(gaps, F.array_min(gaps)) - 1).cast("int")
 
 
+def cluster_profile(labelled: DataFrame, columns: list[str]) -> DataFrame:
+    """(cluster, exact median of every column, n): a row a cluster."""
+    sizes = labelled.groupBy("cluster").agg(F.count("*").alias("n"))
+    return medians(labelled, columns, ["cluster"], few_groups=True).join(F.broadcast(sizes), "cluster")
+
+
 def silhouettes(sample: DataFrame, labels: list[str]) -> dict[str, float]:
     """Mean Euclidean silhouette of each labelling of a sample of bounded size.
 
@@ -206,8 +212,6 @@ def operating_clusters(
         enumerate(ranked), F.lit(None),
     )
     labelled = assigned.withColumn("cluster", number.cast("int")).drop("_z", f"k{chosen}")
-    profile = frozen(medians(labelled, [*drivers, target], ["cluster"], few_groups=True).join(
-        F.broadcast(labelled.groupBy("cluster").agg(F.count("*").alias("n"))), "cluster"
-    ))
+    profile = frozen(cluster_profile(labelled, [*drivers, target]))
     rows.unpersist()
     return curve, chosen, labelled, profile

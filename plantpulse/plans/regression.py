@@ -118,15 +118,8 @@ def run_regression(
     flexible = ["ridge", *fitted]
     gate = promotion_gate(table, flexible, cfg.baseline_name).first().asDict()
     chosen = gate["modelo_flexible"]
-    both = _part(rows, "train", "val")
-    test = _part(rows, "test")
-    if chosen == "ridge":
-        deployed = fit_linear(both, target, drivers, alpha=1.0)
-        final = test.withColumn("p", deployed.predicted())
-    else:
-        deployed = trees[chosen].fit(both)
-        final = with_predictions(test, {"p": deployed}, "")
-    deployed_test = regression_scores(final, target, {chosen: "p"}, [SPLIT]).first().asDict()
+    deployed, final = refitted(rows, cfg, chosen, trees)
+    deployed_test = final.first().asDict()
     models = {cfg.baseline_name: baseline, "ridge": ridge, **fitted}
     return RegressionResult(
         table, winner(table, "val", "mae").first()[0], gate, baseline, models, deployed, deployed_test,
@@ -134,7 +127,21 @@ def run_regression(
     )
 
 
-def learning_curves(train: DataFrame, cfg: StudyConfig, folds: int = 3, parallelism: int = 4) -> DataFrame:
+def refitted(rows: DataFrame, cfg: StudyConfig, chosen: str, trees: dict) -> tuple[object, DataFrame]:
+    """The chosen model fitted on train and validation together, and its scores on test."""
+    both, test = _part(rows, "train", "val"), _part(rows, "test")
+    if chosen == "ridge":
+        model = fit_linear(both, cfg.target, list(cfg.drivers), alpha=1.0)
+        final = test.withColumn("p", model.predicted())
+    else:
+        model = trees[chosen].fit(both)
+        final = with_predictions(test, {"p": model}, "")
+    return model, regression_scores(final, cfg.target, {chosen: "p"}, [SPLIT])
+
+
+def learning_curves(
+    train: DataFrame, cfg: StudyConfig, folds: int = 3, parallelism: int = 4, with_trees: bool = True
+) -> DataFrame:
     """(modelo, muestras, mae_train, mae_val): mean over folds, prefixes of the first fold."""
     target, drivers = cfg.target, list(cfg.drivers)
     columns = [*cfg.keys, target, *drivers]
@@ -147,7 +154,7 @@ def learning_curves(train: DataFrame, cfg: StudyConfig, folds: int = 3, parallel
     trees = {
         "arbol_poco_profundo": DecisionTreeRegressor(maxDepth=3, **common),
         "arbol_profundo": DecisionTreeRegressor(maxDepth=12, **common),
-    }
+    } if with_trees else {}
 
     class Cell:
         def __init__(self, size):

@@ -1,8 +1,8 @@
 """Queries on the supplied tables, each with the SQL that states the same answer."""
 
-from plantpulse.registry import cleaning, landing, models, reports, scores, series, serving, statistics
+from plantpulse.registry import cleaning, landing, models, refits, reports, scores, series, serving, statistics
 
-_PARTS = (cleaning, series, scores, statistics, models, serving, landing, reports)
+_PARTS = (cleaning, series, scores, statistics, models, refits, serving, landing, reports)
 
 
 def queries() -> dict:

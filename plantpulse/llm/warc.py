@@ -12,6 +12,8 @@ costs its path from the root.
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 from pyspark.sql import Column, DataFrame, SparkSession, Window, functions as F
 
 from plantpulse.llm.common import Scratch
@@ -39,15 +41,42 @@ def record_text(url: Column, payload: Column, date: Column, kind: str = "resourc
 def record_leaves(records: DataFrame, order: str) -> DataFrame:
     """(file, offset, hash) of (file, ``order``, record) rows: archives in the making.
 
-    Records are hashed where they are; only hashes and lengths are brought together by file,
-    in one window over an archive's records.
+    Records are hashed where they are; only hashes and lengths move, into ranges of records
+    that one task can place, however many an archive has.  Records of one archive are in the
+    order of ``order``; ties share an archive in an order that is fixed once.  A null file
+    name is an archive of its own, a null record an empty one; no rows give no rows.
     """
-    before = Window.partitionBy("file").orderBy(order).rowsBetween(Window.unboundedPreceding, -1)
     thin = records.select(
-        "file", order, F.octet_length("record").cast("long").alias("_length"), leaf_hash("record").alias("hash")
+        "file", F.col(order).alias("at"), (F.octet_length(F.coalesce("record", F.lit(""))) + len(END)).cast("long").alias("size"),
+        leaf_hash("record").alias("hash"),
     )
-    place = F.coalesce(F.sum(F.col("_length") + len(END)).over(before), F.lit(0).cast("long"))
-    return thin.select("file", place.alias("offset"), "hash")
+    placed = _running(_ranges(thin, Scratch(records.sparkSession, "leaves"), ["file", "at", "hash"]), F.sum, "size", "offset")
+    return placed.select("file", F.coalesce("offset", F.lit(0).cast("long")).alias("offset"), "hash")
+
+
+def _ranges(rows: DataFrame, scratch: Scratch, order: list[str]) -> DataFrame:
+    """The rows in ranges of ``order``, written once: ``part`` numbers them, ``nth`` the rows in order."""
+    laid_out = rows.repartitionByRange(*order).sortWithinPartitions(*order)
+    return scratch.write(laid_out.withColumns({
+        "part": F.spark_partition_id(), "nth": F.monotonically_increasing_id()}), "ranges")
+
+
+def _running(rows: DataFrame, total: Callable, value: str, name: str, itself: bool = False) -> DataFrame:
+    """Add ``name``: sum or maximum of ``value`` over the rows of a file before this one.
+
+    Every range runs on its own; what lies in the ranges before comes from a row a range and
+    file.  With ``itself`` the row counts too; where nothing counts the result is null.
+    """
+    within = Window.partitionBy("part", "file").orderBy("nth").rowsBetween(
+        Window.unboundedPreceding, 0 if itself else -1)
+    before = Window.partitionBy("file").orderBy("part").rowsBetween(Window.unboundedPreceding, -1)
+    carried = rows.groupBy("part", "file").agg(total(value).alias("_all")).select(
+        F.col("part").alias("_part"), F.col("file").alias("_file"), total("_all").over(before).alias("_carried"))
+    joined = rows.withColumn("_here", total(value).over(within)).join(
+        carried, (F.col("part") == F.col("_part")) & F.col("file").eqNullSafe(F.col("_file")), "left")
+    here, ahead = F.col("_here"), F.col("_carried")
+    both = F.coalesce(here + ahead, here, ahead) if total is F.sum else F.greatest(here, ahead)
+    return joined.withColumn(name, both).drop("_here", "_part", "_file", "_carried")
 
 
 def leaf_hash(record: str) -> Column:
@@ -56,9 +85,12 @@ def leaf_hash(record: str) -> Column:
 
 
 def write_archive(records: DataFrame, path: str) -> None:
-    """Write (file, offset, record) as archives, one folder a file, records in order."""
+    """Write (file, offset, record) as archives, one folder a file, records in order.
+
+    A null record is written as an empty one; no rows write an empty folder.
+    """
     parts = int(records.sparkSession.conf.get("spark.sql.shuffle.partitions"))
-    rows = records.select("file", "offset", F.col("record").alias("value")).repartition(parts, "file")
+    rows = records.select("file", "offset", F.coalesce("record", F.lit("")).alias("value")).repartition(parts, "file")
     (rows.sortWithinPartitions("file", "offset").select("file", "value")
      .write.partitionBy("file").option("lineSep", END).text(path))
 
@@ -68,42 +100,45 @@ def read_archive(spark: SparkSession, path: str) -> DataFrame:
 
     Files are split at the version line, so a large archive is read by many tasks.  A piece
     that is shorter than its Content-Length (the payload holds a version line itself) takes
-    the following pieces in until it is whole.
+    the following pieces in until it is whole.  Places are found on thin rows, without
+    payloads and in ranges, so no task gets a whole archive; payloads are joined back by
+    piece, and meet each other only where a record has several.  Empty files give no rows.
     """
+    scratch = Scratch(spark, "archive")
     text = spark.read.option("lineSep", f"{VERSION}\r\n").text(path)
-    pieces = text.select(
-        F.col("_metadata.file_path").alias("file"), F.col("_metadata.file_block_start").alias("block"),
-        F.monotonically_increasing_id().alias("nth"), F.col("value").cast("binary").alias("value"),
-    ).filter(F.octet_length("value") > 0)
-    at = Window.partitionBy("file").orderBy("block", "nth")
-    mark = len(VERSION) + 2
-    size = F.octet_length("value") + mark
-    placed = pieces.withColumn(
-        "place", F.sum(size).over(at.rowsBetween(Window.unboundedPreceding, 0)) - size
-    )
-    head = F.substring_index(F.decode("value", "ISO-8859-1"), END, 1)
+    body = F.col("value").cast("binary")
+    head = F.substring_index(F.decode(body, "ISO-8859-1"), END, 1)
     said = F.regexp_extract(head, r"(?i)(?:^|\r\n)Content-Length:[ \t]*(\d+)", 1)
+    mark = len(VERSION) + 2
     claimed = F.when(said != "", F.octet_length(F.encode(head, "ISO-8859-1")) + 4 + said.cast("long") + mark)
+    pieces = scratch.write(text.select(
+        F.col("_metadata.file_path").alias("file"), F.col("_metadata.file_block_start").alias("block"),
+        F.monotonically_increasing_id().alias("piece"), (F.octet_length(body) + mark).cast("long").alias("size"),
+        claimed.alias("claimed"), body.alias("value"),
+    ).filter(F.octet_length("value") > 0), "pieces")
+    thin = _ranges(pieces.drop("value"), scratch, ["file", "block", "piece"])
+    placed = _running(thin, F.sum, "size", "at").withColumn("at", F.coalesce("at", F.lit(0).cast("long")))
     # Places are compared on the payloads' own claims: a piece inside an earlier record's
     # reach belongs to it.
-    reach = F.max(F.col("place") + F.col("claimed")).over(at.rowsBetween(Window.unboundedPreceding, -1))
-    starts = placed.withColumn("claimed", claimed).withColumn(
-        "inside", F.coalesce(F.col("place") < reach, F.lit(False))
-    ).withColumn("first", F.max(F.when(~F.col("inside"), F.col("place"))).over(
-        at.rowsBetween(Window.unboundedPreceding, 0)))
-    whole = starts.groupBy("file", "first").agg(
-        F.max("claimed").alias("claimed"),
-        F.array_sort(F.collect_list(F.struct("place", "value"))).alias("pieces"),
-    )
+    reached = _running(placed.withColumn("end", F.col("at") + F.col("claimed")), F.max, "end", "reach")
+    inside = F.coalesce(F.col("at") < F.col("reach"), F.lit(False))
+    begun = _running(reached.withColumn("start", F.when(~inside, F.col("at"))), F.max, "start", "first", itself=True)
+    pieces_of = F.count("*").over(Window.partitionBy("file", "first"))
+    known = begun.select(F.col("piece").alias("_piece"), "at", "first", pieces_of.alias("together"))
+    met = pieces.join(known, F.col("piece") == F.col("_piece"))
     version = F.encode(F.lit(f"{VERSION}\r\n"), "ISO-8859-1")
-    joined = F.aggregate(
+    single = met.filter("together = 1").select("file", "first", "claimed", F.concat(version, "value").alias("whole"))
+    several = met.filter("together > 1").groupBy("file", "first").agg(
+        F.max("claimed").alias("claimed"),
+        F.array_sort(F.collect_list(F.struct("at", "value"))).alias("pieces"),
+    ).select("file", "first", "claimed", F.aggregate(
         "pieces", F.lit("").cast("binary"), lambda so_far, p: F.concat(so_far, version, p["value"])
+    ).alias("whole"))
+    kept = F.least(F.octet_length("whole"), F.coalesce(F.col("claimed"), F.octet_length("whole")))
+    record = F.substring("whole", F.lit(1), kept.cast("int"))
+    return single.unionAll(several).select(
+        "file", F.col("first").alias("offset"), F.octet_length(record).cast("long").alias("length"), record.alias("record")
     )
-    kept = F.least(F.octet_length(joined), F.coalesce(F.col("claimed"), F.octet_length(joined)))
-    record = F.substring(joined, F.lit(1), kept.cast("int"))
-    return whole.select("file", F.col("first").alias("offset"), record.alias("record")).withColumn(
-        "length", F.octet_length("record").cast("long")
-    ).select("file", "offset", "length", "record")
 
 
 def merkle_tree(leaves: DataFrame, scratch: Scratch, name: str, leaf_range: int, fanout: int, levels: int) -> list:

@@ -48,6 +48,41 @@ def test_archives_are_read_back(spark, records):
     assert all(r["length"] == len(r["record"]) for r in back)
 
 
+def test_archives_in_many_splits(spark, records):
+    """One archive holds almost all records and is read in many splits; the places are the same."""
+    scratch = Scratch(spark, "warc")
+    rows = records.orderBy("page_id").collect()
+    one = records.withColumn("file", F.lit(7).cast("long"))
+    place, at = {}, 0
+    for r in rows:
+        place[r["page_id"]], at = at, at + len(r["record"].encode()) + len(END)
+    leaves = record_leaves(one, "page_id")
+    want = {(7, place[r["page_id"]], hashlib.sha256(r["record"].encode()).hexdigest()) for r in rows}
+    assert {tuple(r) for r in leaves.collect()} == want
+    write_archive(spark.createDataFrame(
+        [(7, place[r["page_id"]], r["record"]) for r in rows], "file long, offset long, record string"
+    ), scratch.path("one"))
+    keys = ("spark.sql.files.maxPartitionBytes", "spark.sql.files.openCostInBytes")
+    try:
+        for key in keys:
+            spark.conf.set(key, "4k")
+        back = read_archive(spark, scratch.path("one"))
+        got = back.collect()
+    finally:
+        for key in keys:
+            spark.conf.unset(key)
+    assert {(r["offset"], bytes(r["record"])) for r in got} == {(place[r["page_id"]], r["record"].encode()) for r in rows}
+    assert len(got) == len(rows)
+
+
+def test_unnamed_archives_and_no_records(spark):
+    rows = spark.createDataFrame(
+        [(None, 1, "a", 0), (None, 2, None, 0), ("f", 1, "b", 0)], "file string, n int, record string, offset int")
+    got = sorted((r["file"] or "", r["offset"]) for r in record_leaves(rows, "n").collect())
+    assert got == [("", 0), ("", 5), ("f", 0)]
+    assert record_leaves(rows.limit(0), "n").count() == 0
+
+
 def plain(expected, found):
     a = {(r["file"], r["offset"]): r["hash"] for r in expected.collect()}
     b = {(r["file"], r["offset"]): r["hash"] for r in found.collect()}

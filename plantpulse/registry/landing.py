@@ -11,7 +11,7 @@ from plantpulse.config import TAGS
 from plantpulse.models.catalog import FEATURES, assemble
 from plantpulse.operators.regime import level_stats
 from plantpulse.operators.splits import chronological_split
-from plantpulse.plans.scoring import score_file, score_records, validate_records
+from plantpulse.plans.scoring import read_batch, score_file, score_records, validate_records
 from plantpulse.registry import scores
 from plantpulse.registry.serving import BUNDLE, FIELDS, OBSERVED, SCORED_ALL_SQL, _REC_SQL, _records
 from plantpulse.registry.views import RD_SQL, TRAIN, VAL, readings, rounded, split_readings, split_sql, table
@@ -107,6 +107,35 @@ def batch_csv_scores(spark, sf):
     return spark.read.schema(scored.schema).option("header", True).csv(out)
 
 
+# What happens to the file of each event type: what it lacks, and the ending of its name.
+_FILE_FAULTS = {
+    "view": (None, ".csv"), "signup": ("value", ".csv"), "click": ("k", ".csv"), "error": ("rows", ".csv"),
+    "purchase": (None, ".txt"),
+}
+_REFUSED = {"click": "columna", "error": "vacio", "purchase": "tipo"}
+
+
+def file_checks(spark, sf):
+    """One batch file per event type: taken with its rows, or refused for what it lacks.
+
+    Observed values are optional; required columns, rows and the file type are not.
+    """
+    records = _records(table(spark, sf, "events"))
+    rows = []
+    for kind, (lacks, ending) in _FILE_FAULTS.items():
+        path = f"{scratch_path(spark, kind)}{ending}"
+        mine = records.filter(F.col("event_type") == kind).select("user_id", "k", "value")
+        write_csv(mine.limit(0) if lacks == "rows" else mine.drop(lacks or ""), path)
+        try:
+            batch = read_batch(spark, path, FIELDS, OBSERVED[0])
+            rows.append((kind, True, None, *batch.agg(F.count("*"), F.count(OBSERVED[0])).first()))
+        except KeyError:
+            rows.append((kind, False, "columna", None, None))
+        except ValueError:
+            rows.append((kind, False, "vacio" if ending == ".csv" else "tipo", None, None))
+    return spark.createDataFrame(rows, "archivo string, aceptado boolean, motivo string, filas long, observados long")
+
+
 def bundle_scores(spark, sf):
     """A tree bundle saved and loaded scores every valid record as it did in memory."""
     train = assemble(split_readings(spark, sf).filter("particion = 'train'"), ["cold", "load"])
@@ -134,10 +163,17 @@ QUERIES = {
     "summary_document": summary_document,
     "metric_table_csv": metric_table_csv,
     "batch_csv_scores": batch_csv_scores,
+    "file_checks": file_checks,
     "bundle_scores": bundle_scores,
 }
 
 SQL = {
+    "file_checks": f"""WITH {_REC_SQL},
+f(archivo, motivo) AS (VALUES {", ".join(f"('{k}', " + (f"'{_REFUSED[k]}'" if k in _REFUSED else "NULL") + ")" for k in _FILE_FAULTS)})
+SELECT archivo, motivo IS NULL AS aceptado, motivo,
+  CASE WHEN motivo IS NULL THEN (SELECT count(*) FROM rec WHERE event_type = archivo) END AS filas,
+  CASE WHEN motivo IS NULL THEN (SELECT count(value) FROM rec WHERE event_type = archivo AND archivo <> 'signup') END AS observados
+FROM f""",
     "csv_study_split": f"""WITH d AS (SELECT DISTINCT ts AS "Time" FROM events), {split_sql('d', '"Time"')}
 SELECT particion, count(*) AS n, min("Time") AS inicio, max("Time") AS fin, count(*) AS valores FROM sp GROUP BY 1""",
     "csv_quarantine": """SELECT CASE event_id % 50 WHEN 7 THEN event_id || ',' || user_id || ',' || event_type || ',extra'

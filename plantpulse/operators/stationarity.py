@@ -146,6 +146,8 @@ def adf(
     out before anything else, and without ``by`` the whole table is one series.
     """
     by = list(by or [])
+    # A unit may also be part of the order: within the unit it tells no rows apart.
+    order = [c for c in order if c not in by]
     series = df.filter(F.col(column).isNotNull()).select(*by, *order, F.col(column).cast("double").alias("x"))
     ranked = positions(series, [*by, *order], "_at")
     n = F.count("*")

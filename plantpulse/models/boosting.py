@@ -15,8 +15,8 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, functions as F
 
 from plantpulse.models.histogram import (
-    FEATURES, Held, Settable, Tree, TreeModel, best_splits, bin_edges, fixed_point_bits, listed, matrix, partial_cells,
-    rows_of_cells, training_rows, uniform,
+    CODES, FEATURES, Held, Settable, Tree, TreeModel, best_splits, bin_edges, cell_rows, fixed_point_bits, listed, matrix,
+    node_rows, partial_cells, training_rows, uniform,
 )
 
 # Rounds whose trees are added to the written margins at once.
@@ -101,11 +101,10 @@ def _level(
                     for s, w in enumerate((gi, hi, None)):
                         sums[s, :, j] += np.bincount(place, w, size).astype(np.int64).reshape(nodes, width)
         for k, sums in total.items():
-            columns = rows_of_cells(sums, k, first, features)
-            if columns:
-                yield pa.RecordBatch.from_arrays(
-                    [pa.array(c) for c in columns], names=["tree", "node", "feature", "bin", *SUMS]
-                )
+            node, j, b = np.nonzero(sums[-1])
+            if len(node):
+                code = np.array(features)[j] * CODES + b
+                yield node_rows(k, node + first, code, dict(zip(SUMS, sums[:, node, j, b])))
 
     return run
 
@@ -115,14 +114,14 @@ def _active(heads: list[Head], level: int) -> list[int]:
 
 
 def newton_gain(rules: Rules, scale: float):
-    """Gain of a split in the loss's own unit, as SQL; sides below the least weight have none."""
-    def score(g: str, h: str) -> str:
-        return f"pow({g} / {scale!r}D, 2) / ({h} / {scale!r}D + {rules.penalty + 1e-12!r}D)"
+    """Gain of a split in the loss's own unit; sides below the least weight have none."""
+    def score(side):
+        return (side("g") / scale) ** 2 / (side("h") / scale + (rules.penalty + 1e-12))
 
     def gain(left, right, total):
-        least = f"{rules.least_weight * scale!r}D"
-        value = f"{score(left('g'), left('h'))} + {score(right('g'), right('h'))} - {score(total('g'), total('h'))}"
-        return f"CASE WHEN {left('h')} >= {least} AND {right('h')} >= {least} THEN {value} END"
+        least = rules.least_weight * scale
+        value = score(left) + score(right) - score(total)
+        return np.where((left("h") >= least) & (right("h") >= least), value, -np.inf)
 
     return gain
 
@@ -236,7 +235,7 @@ def root_cells(df: DataFrame, target: str, key: list[str], rules: Rules) -> Data
     held = held.replaced(held.rows.withColumn("margins", F.array(F.lit(mean))), "cells")
     head = [Head(1, 1.0)]
     add_up = _level(head, rules, [], [Tree.empty(1)], 0, 0, list(range(len(edges))), scale, max(map(len, edges)) + 1)
-    sums = partial_cells(held, add_up, SUMS).groupBy("feature", "bin").agg(*[F.sum(s).alias(s) for s in SUMS])
+    sums = cell_rows(partial_cells(held, add_up, SUMS), SUMS).groupBy("feature", "bin").agg(*[F.sum(s).alias(s) for s in SUMS])
     found = sums.select(
         "feature", "bin", (F.col("g") / F.lit(scale)).alias("g"), (F.col("h") / F.lit(scale)).alias("h"), "n"
     ).collect()  # variables times bins

@@ -14,8 +14,8 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, functions as F
 
 from plantpulse.models.histogram import (
-    FEATURES, Held, Settable, Tree, TreeModel, best_splits, bin_edges, matrix, partial_cells, training_rows,
-    uniform,
+    CODES, FEATURES, Held, Settable, Tree, TreeModel, best_splits, bin_edges, matrix, node_rows, partial_cells,
+    training_rows, uniform,
 )
 
 BINS = 128
@@ -95,17 +95,18 @@ class BalancedForest(Settable):
         grown = {t: Tree.empty(self.maxDepth, self.classes) for t in numbers}
         open_nodes = {t: np.array([1]) for t in numbers}
         names = [f"c{k}" for k in range(self.classes)]
-        sums, constants = [*names, "n"], [f"w{k}" for k in range(self.classes)]
+        sums = [*names, "n"]
+        constants = {f"w{k}": {t: weights[t][k] for t in numbers} for k in range(self.classes)}
         for level in range(self.maxDepth):
             asked = {
                 t: (nodes, node_features(self.seed, t, nodes, width, take)) for t, nodes in open_nodes.items() if len(nodes)
             }
             if not asked:
                 break
-            add_up = _level({t: grown[t] for t in asked}, asked, weights, level, self.classes, BINS)
+            add_up = _level({t: grown[t] for t in asked}, asked, level, self.classes, BINS)
             found = best_splits(
-                partial_cells(held, add_up, sums, constants), sums, _gini(names, constants), "n",
-                self.minInstancesPerNode, constants,
+                partial_cells(held, add_up, sums), sums, _gini(names, list(constants)), "n", self.minInstancesPerNode,
+                constants,
             )
             open_nodes = {t: [] for t in numbers}
             for r in found:
@@ -138,15 +139,15 @@ def _shares(counts: np.ndarray, weight: np.ndarray) -> np.ndarray:
 
 
 def _gini(names: list[str], constants: list[str]):
-    """Fall of the Gini impurity times the node's weight, as SQL."""
+    """Fall of the Gini impurity times the node's weight."""
     def purity(side):
-        mass = [f"{side(c)} * {w}" for c, w in zip(names, constants)]
-        return f"({' + '.join(f'pow({m}, 2)' for m in mass)}) / greatest({' + '.join(mass)}, 1e-300D)"
+        mass = [side(c) * side(w) for c, w in zip(names, constants)]
+        return sum(m**2 for m in mass) / np.maximum(sum(mass), 1e-300)
 
-    return lambda left, right, total: f"{purity(left)} + {purity(right)} - {purity(total)}"
+    return lambda left, right, total: purity(left) + purity(right) - purity(total)
 
 
-def _level(trees: dict[int, Tree], asked: dict, weights: dict, level: int, classes: int, bins: int):
+def _level(trees: dict[int, Tree], asked: dict, level: int, classes: int, bins: int):
     """Bootstrap counts per class, and rows, of every cell of the open nodes of a level."""
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -161,19 +162,16 @@ def _level(trees: dict[int, Tree], asked: dict, weights: dict, level: int, class
                 use = np.flatnonzero((count > 0) & (nodes[slot] == at))
                 if not len(use):
                     continue
-                for j in range(features.shape[1]):
-                    f = features[slot[use], j]
-                    place, inverse = np.unique(slot[use] * bins + bin_of[use, f], return_inverse=True)
-                    of_class = [
-                        np.bincount(inverse, count[use] * (y[use] == k), len(place)).astype(np.int64) for k in range(classes)
-                    ]
-                    head = [np.full(len(place), number), nodes[place // bins], features[place // bins, j], place % bins]
-                    columns = [pa.array(c.astype(np.int32)) for c in head]
-                    columns += [pa.array(c) for c in [*of_class, np.bincount(inverse, minlength=len(place))]]
-                    columns += [pa.array(np.full(len(place), w)) for w in weights[number]]
-                    yield pa.RecordBatch.from_arrays(columns, names=[
-                        "tree", "node", "feature", "bin", *[f"c{k}" for k in range(classes)], "n",
-                        *[f"w{k}" for k in range(classes)],
-                    ])
+                chosen, width = features[slot[use]], bin_of.shape[1]
+                place = (slot[use, None] * width + chosen) * bins + bin_of[use[:, None], chosen]
+                place, inverse = np.unique(place, return_inverse=True)
+                inverse, each = inverse.reshape(-1), chosen.shape[1]
+                found = {
+                    f"c{k}": np.bincount(inverse, np.repeat(count[use] * (y[use] == k), each), len(place)).astype(np.int64)
+                    for k in range(classes)
+                }
+                found["n"] = np.bincount(inverse, minlength=len(place))
+                code = place // bins % width * CODES + place % bins
+                yield node_rows(number, nodes[place // (bins * width)], code, found)
 
     return run

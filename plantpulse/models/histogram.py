@@ -1,9 +1,10 @@
 """Trees grown on binned rows, many at a time: the engine of boosting and of the balanced forest.
 
-Rows are binned once.  For every level of all trees that grow together, tasks add up their
-own rows per (tree, node, variable, bin); Spark brings the sums of a node together in one
-shuffle, runs along the bins and picks the node's best split.  The driver only gets one row
-a node, so what it holds is as large as the model.
+Rows are binned once and dealt out to the cores.  For every level of all trees that grow
+together, tasks add up their own rows per (tree, node, variable, bin); Spark brings the sums
+of a node together in one shuffle, and a task runs along the bins of its nodes and picks
+each one's best split.  The driver only gets one row a node, so what it holds is as large as
+the model.
 
 Sums are whole numbers (gradients in fixed point, bootstrap counts), and random draws are
 made from a hash of the row's key.  So a fit does not depend on how rows are partitioned.
@@ -32,7 +33,14 @@ ACCURACY = 10_000
 # Smallest gain for which a node is split.
 LEAST_GAIN = 1e-9
 # Up to so many training rows are one partition: a level is then one task and no shuffle.
-FEW_ROWS = 100_000
+# More are dealt out in parts of at least so many, as long as there are cores for them.
+FEW_ROWS = 8_192
+# Rows of a part at most, or so.
+MOST_ROWS = 1_000_000
+# Rows that a task adds up at once, and nodes whose bins it runs along at once.
+ADDED_ROWS, NODES_AT_ONCE = 200_000, 256
+# Cells are numbered variable * CODES + bin.
+CODES = 1 << 15
 
 
 @dataclass
@@ -50,12 +58,14 @@ class Tree:
 
     def nodes(self, bins: np.ndarray, depth: int) -> np.ndarray:
         """Where each row stands after at most ``depth`` steps."""
-        at, rows = np.ones(len(bins), np.int64), np.arange(len(bins))
+        at, place = np.ones(len(bins), np.int64), np.arange(len(bins)) * bins.shape[1]
+        flat, inner, own = np.ascontiguousarray(bins).ravel(), self.feature >= 0, np.arange(len(self.feature))
+        # A leaf is its own left side, and no bin is above its cut.
+        feature, left = np.where(inner, self.feature, 0).astype(np.int64), np.where(inner, 2 * own, own)
+        cut = np.where(inner, self.cut, np.iinfo(np.int16).max).astype(np.int16)
         for _ in range(depth):
-            feature = self.feature[at]
-            inner = feature >= 0
-            right = bins[rows, np.where(inner, feature, 0)] > self.cut[at]
-            at = np.where(inner, 2 * at + right, at)
+            value = flat.take(place + feature.take(at))
+            at = left.take(at) + (value > cut.take(at))
         return at
 
     @property
@@ -158,11 +168,18 @@ class Held:
 def training_rows(
     df: DataFrame, edges: list[np.ndarray], columns: dict[str, Column], key: list[str], seed: int, label: str
 ) -> Held:
-    """Binned rows with the given columns and their draw, written once."""
+    """Binned rows with the given columns and their draw, written once.
+
+    They are dealt out evenly: a small file is one partition of the scan, and would keep all
+    levels on one core.
+    """
     source = df.select(
         feature_array().alias("x"), row_draw(key, seed).alias("draw"),
         *[c.alias(n) for n, c in columns.items()],
     )
+    cores = df.sparkSession.sparkContext.defaultParallelism
+    rows = df.count()
+    source = source.repartition(max(1, min(cores, -(-rows // max(1, FEW_ROWS))), rows // MOST_ROWS))
     rest = ", ".join(f"{n} {kind}" for n, kind in source.dtypes[1:])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -175,55 +192,130 @@ def training_rows(
     return Held(source.mapInArrow(run, f"bins array<smallint>, {rest}"), label)
 
 
-def partial_cells(held: Held, add_up: Callable, sums: list[str], constants: list[str] = ()) -> DataFrame:
-    """(tree, node, feature, bin, sums..., constants...) as the tasks add them up, a node's together.
+def partial_cells(held: Held, add_up: Callable, sums: list[str]) -> DataFrame:
+    """(tree, node, cells, sums...) as the tasks add them up, a node's rows together.
 
-    ``add_up`` turns record batches into such rows, several of which may be of one cell.
+    ``add_up`` turns record batches into the batches of ``node_rows``; a row has a node's
+    non-empty cells, and several may be of one node.
     """
-    schema = "tree int, node int, feature int, bin int, " + ", ".join(
-        [f"{s} long" for s in sums] + [f"{c} double" for c in constants]
-    )
-    partial = held.rows.mapInArrow(add_up, schema)
-    return partial.coalesce(1) if held.few else partial.repartition("tree", "node")
+    schema = "tree int, node int, cells binary, " + ", ".join(f"{s} binary" for s in sums)
+    partial = held.rows.mapInArrow(lambda batches: add_up(_joined(batches)), schema)
+    partial = partial.coalesce(1) if held.few else partial.repartition("tree", "node")
+    return partial.sortWithinPartitions("tree", "node")
+
+
+def _joined(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """The same rows in fewer batches, so that fewer partial sums leave a task."""
+    held, rows = [], 0
+    for batch in batches:
+        held.append(batch)
+        rows += len(batch)
+        if rows >= ADDED_ROWS:
+            yield pa.Table.from_batches(held).combine_chunks().to_batches()[0]
+            held, rows = [], 0
+    if rows:
+        yield pa.Table.from_batches(held).combine_chunks().to_batches()[0]
+
+
+def node_rows(tree: int, node: np.ndarray, code: np.ndarray, sums: dict[str, np.ndarray]) -> pa.RecordBatch:
+    """A batch with one row a node, from one tree's cells in the order of their nodes."""
+    first = np.flatnonzero(np.append(True, node[1:] != node[:-1]))
+    ends = np.append(first, len(node))
+
+    def packed(values: np.ndarray) -> pa.Array:
+        offsets = (ends * values.itemsize).astype(np.int32)
+        return pa.Array.from_buffers(pa.binary(), len(first), [None, pa.py_buffer(offsets), pa.py_buffer(values)])
+
+    columns = [pa.array(np.full(len(first), tree, np.int32)), pa.array(node[first].astype(np.int32))]
+    columns += [packed(np.ascontiguousarray(code, np.int32))]
+    columns += [packed(np.ascontiguousarray(s, np.int64)) for s in sums.values()]
+    return pa.RecordBatch.from_arrays(columns, names=["tree", "node", "cells", *sums])
+
+
+def cell_rows(partial: DataFrame, sums: list[str]) -> DataFrame:
+    """(feature, bin, sums...) of all rows of ``partial_cells``, a row a cell."""
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            code = np.frombuffer(b"".join(batch.column("cells").to_pylist()), np.int32)
+            values = [np.frombuffer(b"".join(batch.column(s).to_pylist()), np.int64) for s in sums]
+            columns = [pa.array(code // CODES), pa.array(code % CODES), *map(pa.array, values)]
+            yield pa.RecordBatch.from_arrays(columns, names=["feature", "bin", *sums])
+
+    return partial.mapInArrow(run, "feature int, bin int, " + ", ".join(f"{s} long" for s in sums))
 
 
 def best_splits(
-    partial: DataFrame, sums: list[str], gain: Callable, count: str, least_rows: int, constants: list[str] = ()
+    partial: DataFrame, sums: list[str], gain: Callable, count: str, least_rows: int,
+    constants: dict[str, dict[int, float]] | None = None,
 ) -> list:
     """One row a node: totals of the sums, and the split of largest gain with its left sums.
 
-    ``gain(left, right, total)`` gets, for each side, a function from a sum's name to SQL, and
-    gives SQL.  Of equal gains the lowest variable and bin win; without a split, best is null.
-    The rows are partitioned by (tree, node) already: neither the sums nor the runs along a
-    node's bins shuffle them again.  The statement is the same for every level, so its code is generated once.
+    ``gain(left, right, total)`` gets, for each side, a function from a sum's name, or that of
+    a tree's constant, to its values.  Of equal gains the lowest variable and bin win; without
+    a split, best is null.  The rows are partitioned by (tree, node) already, so a task adds up
+    whole nodes, some at a time, and runs along their bins.
     """
-    value = gain(lambda s: f"l_{s}", lambda s: f"(t_{s} - l_{s})", lambda s: f"t_{s}")
-    allowed = f"l_{count} >= {least_rows} AND t_{count} - l_{count} >= {least_rows}"
-    text = f"""
-WITH c AS (SELECT tree, node, feature, bin, {_each("sum({0}) AS {0}", sums)}{_each(", max({0}) AS {0}", constants, "")}
-  FROM {{partial}} GROUP BY tree, node, feature, bin),
-s AS (SELECT *, {_each("sum({0}) OVER along AS l_{0}", sums)}, {_each("sum({0}) OVER whole AS t_{0}", sums)} FROM c
-  WINDOW whole AS (PARTITION BY tree, node, feature),
-    along AS (PARTITION BY tree, node, feature ORDER BY bin ROWS BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW)),
-v AS (SELECT *, CASE WHEN {allowed} THEN {value} END AS gain FROM s)
-SELECT tree, node, {_each("max(t_{0}) AS {0}", sums)},
-  max_by(struct(feature, bin, gain, {_each("l_{0}", sums)}),
-    CASE WHEN gain > {LEAST_GAIN!r}D THEN struct(gain, -feature, -bin) END) AS best
-FROM v GROUP BY tree, node"""
-    return partial.sparkSession.sql(text, partial=partial).collect()
-
-
-def _each(pattern: str, names: list[str], between: str = ", ") -> str:
-    return between.join(pattern.format(name) for name in names)
-
-
-def rows_of_cells(dense: np.ndarray, tree: int, first: int, features: list[int]) -> list[np.ndarray] | None:
-    """Columns of the non-empty cells of sums shaped (sum, node, variable, bin); the last sum counts."""
-    node, at, b = np.nonzero(dense[-1])
-    if not len(node):
-        return None
-    head = [np.full(len(node), tree), node + first, np.array(features)[at], b]
-    return [c.astype(np.int32) for c in head] + [s[node, at, b].astype(np.int64) for s in dense]
+    constants = constants or {}
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        # Rows come in the order of their nodes.
+        waiting: dict[tuple[int, int], list] = {}
+        for batch in batches:
+            tree, node = (batch.column(c).to_pylist() for c in ("tree", "node"))
+            columns = [batch.column(c).to_pylist() for c in ("cells", *sums)]
+            for key, *cells in zip(zip(tree, node), *columns):
+                if key not in waiting and len(waiting) >= NODES_AT_ONCE:
+                    yield _best(waiting, sums, gain, count, least_rows, constants)
+                    waiting = {}
+                waiting.setdefault(key, []).append(cells)
+        if waiting:
+            yield _best(waiting, sums, gain, count, least_rows, constants)
+
+    schema = "tree int, node int, " + ", ".join(f"{s} long" for s in sums) + ", best struct<feature int, bin int, gain double, "
+    schema += ", ".join(f"l_{s}: long" for s in sums) + ">"
+    return partial.mapInArrow(run, schema).collect()
+
+
+def _best(
+    nodes: dict[tuple[int, int], list], sums: list[str], gain: Callable, count: str, least_rows: int,
+    constants: dict[str, dict[int, float]],
+) -> pa.RecordBatch:
+    """The rows of ``best_splits`` for some nodes, from the packed cells of each."""
+    codes = [[np.frombuffer(part[0], np.int32) for part in parts] for parts in nodes.values()]
+    used = np.unique(np.concatenate([c for parts in codes for c in parts]))
+    total = np.zeros((len(sums), len(nodes), len(used)), np.int64)
+    for i, (parts, of_part) in enumerate(zip(nodes.values(), codes)):
+        for part, code in zip(parts, of_part):
+            place = np.searchsorted(used, code)
+            for s in range(len(sums)):
+                total[s, i, place] += np.frombuffer(part[s + 1], np.int64)
+    variable = used // CODES
+    start = np.flatnonzero(np.append(True, variable[1:] != variable[:-1]))
+    which = np.searchsorted(start, np.arange(len(used)), side="right") - 1
+    along = np.cumsum(total, axis=2)
+    before = along[:, :, start] - total[:, :, start]
+    left = along - before[:, :, which]
+    whole = np.add.reduceat(total, start, axis=2)[:, :, which]
+    at = sums.index(count)
+    trees = [tree for tree, _ in nodes]
+    fixed = {name: np.array([values[t] for t in trees])[:, None] for name, values in constants.items()}
+
+    def side(values: np.ndarray) -> Callable:
+        return lambda name: fixed[name] if name in fixed else values[sums.index(name)]
+
+    # An empty cell is no cut of its own: the one before it leaves the same sides.
+    allowed = (total[at] > 0) & (left[at] >= least_rows) & (whole[at] - left[at] >= least_rows)
+    value = np.where(allowed, gain(side(left), side(whole - left), side(whole)), -np.inf)
+    value = np.where(value > LEAST_GAIN, value, -np.inf)
+    best, row = value.argmax(axis=1), np.arange(len(nodes))  # the first of equal gains
+    none = np.isneginf(value[row, best])
+    fields = [pa.array((used[best] // CODES).astype(np.int32)), pa.array((used[best] % CODES).astype(np.int32)), pa.array(value[row, best])]
+    fields += [pa.array(left[s, row, best]) for s in range(len(sums))]
+    names = ["feature", "bin", "gain", *[f"l_{s}" for s in sums]]
+    chosen = pa.StructArray.from_arrays(fields, names=names, mask=pa.array(none))
+    columns = [pa.array(np.array(trees, np.int32)), pa.array(np.array([n for _, n in nodes], np.int32))]
+    columns += [pa.array(whole[s].max(axis=1)) for s in range(len(sums))]
+    return pa.RecordBatch.from_arrays([*columns, chosen], names=["tree", "node", *sums, "best"])
 
 
 @dataclass

@@ -207,3 +207,32 @@ def test_constant_target_and_missing_values(spark):
         HistogramRegressor("y", ["seq"]).fit(flat.limit(0))
     with pytest.raises(ValueError):
         HistogramRegressor("y").setParams(depth=3)
+
+
+def test_rows_of_one_partition_are_dealt_out(rows, monkeypatch):
+    """A small file is one partition of the scan; its rows use the cores, and a node's sums are one row a task."""
+    _, df = rows
+    monkeypatch.setattr(histogram, "FEW_ROWS", 100)
+    held = histogram.training_rows(df.coalesce(1), bin_edges(df, 8), {"y": F.col("y")}, ["seq"], 1, "t")
+    assert held.rows.rdd.getNumPartitions() == 4 and held.rows.count() == df.count()
+    held.drop()
+
+
+def test_best_splits_add_up_whole_nodes(rows):
+    """Cells of one node from several tasks, of equal gains the lowest variable and bin, and a node without a split."""
+    _, df = rows
+    held = histogram.training_rows(df, bin_edges(df, 8), {"y": F.col("y")}, ["seq"], 1, "t")
+
+    def add_up(batches):
+        for _ in batches:
+            for _ in range(2):
+                code = np.array([0, 2, histogram.CODES, histogram.CODES + 5, 3])
+                n = np.array([3, 1, 3, 1, 4])
+                yield histogram.node_rows(0, np.array([2, 2, 2, 2, 3]), code, {"n": n})
+
+    found = histogram.best_splits(
+        histogram.partial_cells(held, add_up, ["n"]), ["n"], lambda left, right, total: 1.0 * left("n"), "n", 2
+    )
+    held.drop()
+    assert [(r["tree"], r["node"], r["n"]) for r in sorted(found)] == [(0, 2, 8), (0, 3, 8)]
+    assert sorted(found)[0]["best"].asDict() == {"feature": 0, "bin": 0, "gain": 6.0, "l_n": 6} and sorted(found)[1]["best"] is None

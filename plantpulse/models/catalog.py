@@ -13,7 +13,7 @@ from pyspark.sql import Column, DataFrame, functions as F
 
 from plantpulse.config import CLASSES
 from plantpulse.models.boosting import HistogramRegressor, SoftmaxClassifier
-from plantpulse.models.forest import BalancedForest
+from plantpulse.models.forest import BalancedForest, MeanForest
 from plantpulse.models.histogram import FEATURES
 
 LABEL = "label"
@@ -43,8 +43,8 @@ def regressors(target: str, seed: int, overrides: dict | None = None, key: list[
     common = dict(featuresCol=FEATURES, labelCol=target, seed=seed, maxBins=BINS)
     built = {
         "arbol": DecisionTreeRegressor(maxDepth=6, minInstancesPerNode=20, **common),
-        "random_forest": RandomForestRegressor(
-            numTrees=120, maxDepth=12, minInstancesPerNode=8, featureSubsetStrategy="all", **common
+        "random_forest": MeanForest(
+            target, list(key or []), numTrees=120, maxDepth=12, minInstancesPerNode=8, seed=seed, bins=BINS
         ),
         "gbm": GBTRegressor(maxIter=120, maxDepth=3, stepSize=0.08, **common),
         "gbt_hist": HistogramRegressor(target, list(key or []), maxIter=160, maxDepth=4, stepSize=0.08, seed=seed),

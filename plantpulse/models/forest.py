@@ -1,4 +1,4 @@
-"""Random forest whose class weights come from each tree's own bootstrap.
+"""Random forests on binned rows: of classes, weighted in each tree's own bootstrap, and of a value.
 
 A row's count in a tree is a Poisson draw from the hash of its key, so the bootstrap is the
 same wherever the row lies.  All trees of a group grow one level at a time in one pass.
@@ -6,6 +6,7 @@ same wherever the row lies.  All trees of a group grow one level at a time in on
 
 from __future__ import annotations
 
+import math
 from collections.abc import Iterator
 from dataclasses import dataclass, field
 
@@ -14,8 +15,8 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, functions as F
 
 from plantpulse.models.histogram import (
-    CODES, FEATURES, Held, Settable, Tree, TreeModel, best_splits, bin_edges, matrix, node_rows, partial_cells,
-    training_rows, uniform,
+    CODES, FEATURES, Held, Settable, Tree, TreeModel, best_splits, bin_edges, joined, listed, matrix, node_rows,
+    partial_cells, training_rows, uniform,
 )
 
 BINS = 128
@@ -175,3 +176,161 @@ def _level(trees: dict[int, Tree], asked: dict, level: int, classes: int, bins:
                 yield node_rows(number, nodes[place // (bins * width)], code, found)
 
     return run
+
+
+@dataclass
+class MeanForest(Settable):
+    """Variance trees on Poisson bootstraps, every variable allowed at every node.
+
+    A tree sees of a row only its bins.  So rows of the same bins are counted out once for all
+    trees of a group (draws and their summed target, per tree), and levels run over these
+    cells: with few variables they are bounded by the bins, whatever the number of rows.
+    """
+
+    target: str
+    key: list[str] = field(default_factory=list)
+    numTrees: int = 120
+    maxDepth: int = 12
+    minInstancesPerNode: int = 8
+    seed: int = 42
+    bins: int = 256
+
+    def fit(self, df: DataFrame) -> TreeModel:
+        edges = bin_edges(df, self.bins)
+        held = training_rows(
+            df, edges, {"y": F.col(self.target).cast("double")}, self.key or [FEATURES, self.target], self.seed, "forest"
+        )
+        # Decimal sums are the same in any order.
+        exact = F.sum(F.col("y").cast("decimal(38,12)")).cast("double") / F.count("*")
+        n, base, low, high = held.rows.agg(F.count("*"), exact, F.min("y"), F.max("y")).first()
+        # Whole numbers of a power of two, of which all draws add up to less than 2^52.
+        bits = max(1, min(30, 50 - math.ceil(math.log2(max(2, n)))))
+        scale = 2.0 ** (bits - math.ceil(math.log2(max(high - low, 1e-300))))
+        if not held.few:  # rows of the same bins together, a crowded cell over several ranges
+            parts = held.rows.rdd.getNumPartitions()
+            held = held.replaced(held.rows.repartitionByRange(parts, "bins", "draw"), "forest")
+        gains, trees = np.zeros(len(edges)), []
+        for first in range(0, self.numTrees, GROUP):
+            numbers = list(range(first, min(first + GROUP, self.numTrees)))
+            cells = Held(counted_out(held.rows, numbers, base, scale, [len(e) + 1 for e in edges]), "cells")
+            trees += self._group(cells, numbers, gains, base, scale)
+            cells.drop()
+        held.drop()
+        for tree in trees:
+            tree.value /= self.numTrees
+        return TreeModel(edges, np.zeros(1), [[t] for t in trees], gains)
+
+    def _group(self, cells: Held, numbers: list[int], gains: np.ndarray, base: float, scale: float) -> list[Tree]:
+        grown = {t: Tree.empty(self.maxDepth) for t in numbers}
+        own = {t: np.zeros(len(gains)) for t in numbers}
+        open_nodes = {t: np.array([1]) for t in numbers}
+        for level in range(self.maxDepth):
+            asked = {t: nodes for t, nodes in open_nodes.items() if len(nodes)}
+            if not asked:
+                break
+            add_up = _value_level({t: grown[t] for t in asked}, asked, numbers, level, self.bins)
+            found = best_splits(
+                partial_cells(cells, add_up, ["s", "n"]), ["s", "n"], _variance(scale), "n", self.minInstancesPerNode
+            )
+            further: dict[int, list[int]] = {t: [] for t in numbers}
+            for r in found:
+                further[r["tree"]] += self._settle(grown[r["tree"]], r, own[r["tree"]], base, scale)
+            open_nodes = {t: np.array(sorted(nodes)) for t, nodes in further.items()}
+        for of_tree in own.values():  # every tree has the same say in the importances
+            if of_tree.sum() > 0:
+                gains += of_tree / of_tree.sum()
+        return [grown[t] for t in numbers]
+
+    def _settle(self, tree: Tree, row, gains: np.ndarray, base: float, scale: float) -> list[int]:
+        node, best = row["node"], row["best"]
+        tree.value[node] = base + row["s"] / scale / row["n"]
+        if best is None:
+            return []
+        tree.feature[node], tree.cut[node] = best["feature"], best["bin"]
+        gains[best["feature"]] += best["gain"]
+        sides = (2 * node, best["l_s"], best["l_n"]), (2 * node + 1, row["s"] - best["l_s"], row["n"] - best["l_n"])
+        for child, s, n in sides:
+            tree.value[child] = base + s / scale / n
+        return [child for child, _, n in sides if n >= 2 * self.minInstancesPerNode]
+
+
+def _variance(scale: float):
+    """Fall of the variance times the node's rows."""
+    def score(side):
+        return (side("s") / scale) ** 2 / np.maximum(side("n"), 1)
+
+    return lambda left, right, total: score(left) + score(right) - score(total)
+
+
+def counted_out(rows: DataFrame, numbers: list[int], base: float, scale: float, sizes: list[int]) -> DataFrame:
+    """(bins, n, s): per tree, how often a bootstrap draws rows of these bins, and their targets' sum.
+
+    A task adds up its own rows; cells that several tasks hold need not be brought together.
+    """
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held = None
+        for batch in joined(batches):
+            bins = matrix(batch.column("bins"), np.int16)
+            y, draw = (batch.column(c).to_numpy(zero_copy_only=False) for c in ("y", "draw"))
+            # Draws are made a tree at a time, and added up per cell at once.
+            cell, first = _same_bins(bins, sizes)
+            whole = np.rint((y - base) * scale)
+            n, s = (np.zeros((len(first), len(numbers)), np.int64) for _ in range(2))
+            for i, number in enumerate(numbers):
+                count = bootstrap(draw, number)
+                n[:, i] = np.bincount(cell, count, len(first))
+                s[:, i] = np.bincount(cell, count * whole, len(first))
+            found = [bins[first], n, s]
+            held = found if held is None else _merged(held, found, sizes)
+        if held is not None:
+            bins, n, s = held
+            for at in range(0, len(bins), 10_000):
+                part = slice(at, at + 10_000)
+                yield pa.RecordBatch.from_arrays(
+                    [listed(bins[part], pa.int16()), listed(n[part], pa.int64()), listed(s[part], pa.int64())],
+                    names=["bins", "n", "s"],
+                )
+
+    return rows.mapInArrow(run, "bins array<smallint>, n array<long>, s array<long>")
+
+
+def _same_bins(bins: np.ndarray, sizes: list[int]) -> tuple[np.ndarray, np.ndarray]:
+    """The number of each row's cell, and a row of every cell."""
+    cell, first = np.zeros(len(bins), np.int64), np.zeros(1, np.int64)
+    for j, size in enumerate(sizes):
+        _, first, cell = np.unique(cell * size + bins[:, j], return_index=True, return_inverse=True)
+    return cell, first
+
+
+def _merged(one: list[np.ndarray], other: list[np.ndarray], sizes: list[int]) -> list[np.ndarray]:
+    bins, n, s = (np.concatenate(pair) for pair in zip(one, other))
+    cell, first = _same_bins(bins, sizes)
+    order = np.argsort(cell, kind="stable")
+    start = np.searchsorted(cell[order], np.arange(len(first)))
+    return [bins[first], np.add.reduceat(n[order], start), np.add.reduceat(s[order], start)]
+
+
+def _value_level(trees: dict[int, Tree], asked: dict[int, np.ndarray], numbers: list[int], level: int, bins: int):
+    """Draws and summed targets of every cell of the open nodes of a level."""
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            bin_of = matrix(batch.column("bins"), np.int16)
+            count, total = (matrix(batch.column(c), np.int64) for c in ("n", "s"))
+            width = bin_of.shape[1]
+            for number, tree in trees.items():
+                i, nodes = numbers.index(number), asked[number]
+                at = tree.nodes(bin_of, level)
+                slot = np.searchsorted(nodes, at)
+                slot[slot == len(nodes)] = 0
+                use = np.flatnonzero((count[:, i] > 0) & (nodes[slot] == at))
+                if not len(use):
+                    continue
+                place = ((slot[use, None] * width + np.arange(width)) * bins + bin_of[use]).ravel()
+                place, inverse = np.unique(place, return_inverse=True)
+                found = {
+                    name: np.bincount(inverse, np.repeat(of[use, i], width), len(place)).astype(np.int64)
+                    for name, of in (("s", total), ("n", count))
+                }
+                yield node_rows(number, nodes[place // (bins * width)], place // bins % width * CODES + place % bins, found)
+
+    return run

@@ -199,12 +199,12 @@ def partial_cells(held: Held, add_up: Callable, sums: list[str]) -> DataFrame:
     non-empty cells, and several may be of one node.
     """
     schema = "tree int, node int, cells binary, " + ", ".join(f"{s} binary" for s in sums)
-    partial = held.rows.mapInArrow(lambda batches: add_up(_joined(batches)), schema)
+    partial = held.rows.mapInArrow(lambda batches: add_up(joined(batches)), schema)
     partial = partial.coalesce(1) if held.few else partial.repartition("tree", "node")
     return partial.sortWithinPartitions("tree", "node")
 
 
-def _joined(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+def joined(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     """The same rows in fewer batches, so that fewer partial sums leave a task."""
     held, rows = [], 0
     for batch in batches:

@@ -24,7 +24,7 @@ def regression_models(spark, sf):
 def variable_importance(spark, sf):
     drivers = list(READINGS.drivers)
     train = spread(assemble(split_readings(spark, sf).filter("particion = 'train'"), drivers))
-    forest = regressors("value", READINGS.seed)["random_forest"].fit(train)
+    forest = regressors("value", READINGS.seed, key=READINGS.keys)["random_forest"].fit(train)
     train.unpersist()
     return spark.createDataFrame(importance(forest, drivers), "variable string, importancia double")
 

@@ -8,7 +8,7 @@ from plantpulse.models.boosting import (
     Head, HistogramRegressor, Rules, SoftmaxClassifier, boost, gradients, grid_errors, root_cells,
 )
 from plantpulse.models.catalog import assemble
-from plantpulse.models.forest import BINS, BalancedForest, bootstrap
+from plantpulse.models.forest import BINS, BalancedForest, MeanForest, bootstrap, counted_out
 from plantpulse.models.histogram import TreeModel, bin_edges, binned, fixed_point_bits, row_draw, uniform
 
 DRIVERS = ["a", "b", "c"]
@@ -236,3 +236,46 @@ def test_best_splits_add_up_whole_nodes(rows):
     held.drop()
     assert [(r["tree"], r["node"], r["n"]) for r in sorted(found)] == [(0, 2, 8), (0, 3, 8)]
     assert sorted(found)[0]["best"].asDict() == {"feature": 0, "bin": 0, "gain": 6.0, "l_n": 6} and sorted(found)[1]["best"] is None
+
+
+def test_value_forest_equals_plain_variance_on_its_bootstraps(rows, monkeypatch):
+    """Roots against loops over all cuts; the same trees from counted cells of any partitions."""
+    pdf, df = rows
+    make = lambda depth: MeanForest("y", ["seq"], numTrees=4, maxDepth=depth, minInstancesPerNode=5)
+    model = make(1).fit(df)
+    bins, draw, y = binned(pdf[DRIVERS].to_numpy(), bin_edges(df, 256)), draws_of(df, 42), pdf.y.to_numpy()
+    for number, (tree,) in enumerate(model.rounds):
+        count = bootstrap(draw, number)
+        gains = {}
+        for f in range(3):
+            for cut in range(256):
+                left = bins[:, f] <= cut
+                if min(count[left].sum(), count[~left].sum()) >= 5:
+                    shifted = y - (count * y).sum() / count.sum()
+                    gains[f, cut] = sum((count[u] * shifted[u]).sum() ** 2 / count[u].sum() for u in (left, ~left))
+        f, cut = int(tree.feature[1]), int(tree.cut[1])
+        assert gains[f, cut] == pytest.approx(max(gains.values()))
+        left = bins[:, f] <= cut
+        assert tree.value[2, 0] * 4 == pytest.approx((count[left] * y[left]).sum() / count[left].sum(), abs=1e-6)
+    deep = make(6).fit(df)
+    assert deep.transform(df).agg(F.avg(F.pow(F.col("prediction") - F.col("y"), 2))).first()[0] < 0.3 * pdf.y.var()
+    assert deep.featureImportances.toArray().argmax() == 0 and deep.featureImportances.toArray().sum() == pytest.approx(1)
+    twice = df.withColumn("seq", F.col("seq") + 500).union(df)
+    with monkeypatch.context() as m:
+        m.setattr(histogram, "FEW_ROWS", 0)
+        assert deep.to_json() == make(6).fit(df.repartition(3)).to_json()
+        many = make(6).fit(twice).to_json()
+    assert many == make(6).fit(twice).to_json() != deep.to_json()
+
+
+def test_rows_of_the_same_bins_become_one_cell(rows):
+    """Levels of the value forest run over cells, whose number does not grow with the rows."""
+    _, df = rows
+    few = assemble(df.select("seq", "y", F.col("b")), ["b"])
+    edges = bin_edges(few, 256)
+    held = histogram.training_rows(few, edges, {"y": F.col("y")}, ["seq"], 1, "t")
+    cells = counted_out(held.rows, [0, 1], 0.0, 2.0**20, [len(e) + 1 for e in edges]).collect()
+    draws = np.array([r["draw"] for r in held.rows.select("draw").collect()])
+    held.drop()
+    assert len(cells) == 9
+    assert [sum(r["n"][i] for r in cells) for i in (0, 1)] == [bootstrap(draws, i).sum() for i in (0, 1)]

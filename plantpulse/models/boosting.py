@@ -1,4 +1,4 @@
-"""Second-order boosting on binned rows (Chen and Guestrin 2016), one aggregate a level.
+"""Second-order boosting on binned rows (Chen and Guestrin 2016), one short job a level.
 
 A round adds a tree for every head: one for a value, one a class on a shared softmax, or one
 for each cell of a grid search, whose cells all grow in the same passes over the rows.
@@ -12,15 +12,16 @@ from dataclasses import dataclass, field
 
 import numpy as np
 import pyarrow as pa
+from pyspark import StorageLevel
 from pyspark.sql import Column, DataFrame, functions as F
 
 from plantpulse.models.histogram import (
-    CODES, FEATURES, Held, Settable, Tree, TreeModel, best_splits, bin_edges, cell_rows, fixed_point_bits, listed, matrix,
-    node_rows, partial_cells, training_rows, uniform,
+    FEATURES, Held, Settable, Tree, TreeModel, best_cut, bin_edges, counted, fixed_point_bits, listed, matrix, node_sums,
+    packed, settled, training_rows, uniform,
 )
 
-# Rounds whose trees are added to the written margins at once.
-WRITE_EVERY = 12
+# Rounds whose trees are added to the kept margins at once.
+KEEP_EVERY = 12
 SUMS = ["g", "h", "n"]
 
 
@@ -63,48 +64,49 @@ def gradients(margins: np.ndarray, y: np.ndarray, weight: np.ndarray, rules: Rul
     return (p - truth) * weight[:, None], np.maximum(rules.curvature * p * (1 - p), 1e-16) * weight[:, None]
 
 
-def _margins(batch: pa.RecordBatch, pending: list[list[Tree]]) -> tuple[np.ndarray, np.ndarray]:
-    bins = matrix(batch.column("bins"), np.int16)
-    margins = matrix(batch.column("margins"), np.float64).copy()
-    for trees in pending:
+def _add_trees(bins: np.ndarray, margins: np.ndarray, rounds: list[list[Tree]]) -> np.ndarray:
+    margins = margins.copy()
+    for trees in rounds:
         for k, tree in enumerate(trees):
             margins[:, k] += tree.values(bins)[:, 0]
-    return bins, margins
+    return margins
 
 
-def _level(
-    heads: list[Head], rules: Rules, pending: list[list[Tree]], growing: list[Tree], level: int, at: int,
-    features: list[int], scale: float, width: int,
-):
-    """Partial sums of one level: gradients, curvatures (fixed point) and rows of every cell."""
-    first, nodes = 1 << level, 1 << level
+def _round(rules: Rules, scale: float, base: np.ndarray, pending: list[list[Tree]]):
+    """A block with its margins after the pending trees, and their derivatives in fixed point."""
+    def run(block: dict) -> dict:
+        margins = block.get("margins")
+        margins = np.tile(base, (len(block["y"]), 1)) if margins is None else margins
+        margins = _add_trees(block["bins"], margins, pending)
+        g, h = gradients(margins, block["y"], block["weight"], rules)
+        h = h if rules.softmax else h[:, :1]  # the same for all heads
+        g, h = (np.rint(of * scale).astype(np.int32) for of in (g, h))
+        return block | {"margins": margins, "g": g, "h": h}
 
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        total = {k: np.zeros((3, nodes, len(features), width), np.int64) for k in _active(heads, level)}
-        for batch in batches:
-            bins, margins = _margins(batch, pending)
-            y, weight, block, draw = (
-                batch.column(c).to_numpy(zero_copy_only=False) for c in ("y", "weight", "block", "draw")
-            )
-            g, h = gradients(margins, y, weight, rules)
-            drawn = uniform(draw, at) < rules.row_share if rules.row_share < 1 else np.ones(len(y), bool)
-            for k, sums in total.items():
-                tree = growing[k]
-                node = tree.nodes(bins, level)
-                use = drawn & (block <= heads[k].last_block) & (node >= first)
+    return run
+
+
+def _level(heads: list[Head], rules: Rules, growing: list[Tree], level: int, at: int, features: list[int], width: int):
+    """Partial sums of one level: gradients, curvatures (fixed point) and rows of every cell."""
+    first = nodes = 1 << level
+
+    def run(blocks: Iterator[dict]) -> Iterator[tuple]:
+        total: dict[int, np.ndarray] = {}
+        for block in blocks:
+            bins, n = block["bins"], block["n"]
+            drawn = uniform(block["draw"], at) < rules.row_share if rules.row_share < 1 else None
+            for k in _active(heads, level):
+                node = growing[k].nodes(bins, level)
                 # Nodes that stayed leaves on the way down are above this level.
-                where = node[use] - first
-                gi, hi = np.rint(g[use, k] * scale), np.rint(h[use, k] * scale)
-                for j, f in enumerate(features):
-                    place = where * width + bins[use, f]
-                    size = nodes * width
-                    for s, w in enumerate((gi, hi, None)):
-                        sums[s, :, j] += np.bincount(place, w, size).astype(np.int64).reshape(nodes, width)
+                use = (block["block"] <= heads[k].last_block) & (node >= first)
+                use = use if drawn is None else use & drawn
+                counts = n[use].astype(np.float64)
+                values = [block["g"][use, k] * counts, block["h"][use, min(k, block["h"].shape[1] - 1)] * counts, counts]
+                found = node_sums(bins[use], node[use], first, nodes, features, width, values)
+                total[k] = total[k] + found if k in total else found
         for k, sums in total.items():
-            node, j, b = np.nonzero(sums[-1])
-            if len(node):
-                code = np.array(features)[j] * CODES + b
-                yield node_rows(k, node + first, code, dict(zip(SUMS, sums[:, node, j, b])))
+            for i in np.flatnonzero(sums[-1, :, 0].any(axis=1)):
+                yield (k, int(i) + first), sums[:, i]
 
     return run
 
@@ -141,6 +143,11 @@ class Boosted:
     rows: Held
 
 
+def _exact_bits(rows: int) -> int:
+    """Bits of the fixed point: sums of all rows are also exact as doubles."""
+    return max(1, min(fixed_point_bits(rows), 54 - math.ceil(math.log2(max(2, rows)))))
+
+
 def boost(
     df: DataFrame, y: Column, heads: list[Head], rules: Rules, key: list[str], weight: Column | None = None,
     block: Column | None = None,
@@ -148,7 +155,8 @@ def boost(
     """Grow ``rules.rounds`` trees a head on the rows of ``df`` (features, target, key).
 
     The caller gives ``rows`` back.  A round of depth d is d short jobs, whatever the number
-    of heads.
+    of heads.  Without draws, rows of the same bins, target and weight have the same
+    derivatives in all rounds: they are counted out once.
     """
     edges = bin_edges(df, rules.bins)
     weight, block = F.lit(1.0) if weight is None else weight, F.lit(0) if block is None else block
@@ -169,29 +177,58 @@ def boost(
     else:
         base = np.array([facts[f"b{head.last_block}"] for head in heads], dtype=float)
         reach = 4 * max(facts["high"] - facts["low"], 1.0) * facts["w"]
-    # A power of two, so scaling loses nothing; sums of all rows stay within 64 bits.
-    scale = 2.0 ** (fixed_point_bits(facts["n"]) - math.ceil(math.log2(reach)))
-    held = held.replaced(held.rows.withColumn("margins", F.array(*[F.lit(float(b)) for b in base])), "margins")
+    # A power of two, so scaling loses nothing.
+    scale = 2.0 ** (_exact_bits(facts["n"]) - math.ceil(math.log2(reach)))
+    rows = held.rows.withColumn("n", F.lit(1)) if rules.row_share < 1 else counted(held.rows.drop("draw"))
+    kept = packed(rows, facts["n"])
     most = max(head.depth for head in heads)
     span = max((len(e) for e in edges), default=0) + 1
     done, pending, gains = [], [], np.zeros(len(edges))
     for at in range(rules.rounds):
         growing = [Tree.empty(head.depth) for head in heads]
         features = _drawn_features(len(edges), rules, at)
+        choose = _choice(features, rules, scale)
+        now = kept.map(_round(rules, scale, base, pending)).persist(StorageLevel.MEMORY_AND_DISK)
         for level in range(most):
-            add_up = _level(heads, rules, pending, growing, level, at, features, scale, span)
-            found = best_splits(partial_cells(held, add_up, SUMS), SUMS, newton_gain(rules, scale), "n", 1)
-            split = [_grow(growing[r["tree"]], heads[r["tree"]], r, rules, scale, gains) for r in found]
+            add_up = _level(heads, rules, growing, level, at, features, span)
+            found = settled(now, add_up, choose, len(SUMS) * len(features) * span, len(_active(heads, level)) << level)
+            split = [
+                _grow(growing[k], heads[k], node, *chosen, rules, scale, gains)
+                for (k, node), chosen in sorted(found, key=lambda f: f[0])
+            ]
             if not any(split):
                 break
         done.append(growing)
         pending.append(growing)
-        if len(pending) == WRITE_EVERY or at == rules.rounds - 1:
-            held = held.replaced(_advanced(held.rows, pending), "margins")
-            pending = []
+        if len(pending) > KEEP_EVERY:  # this round's blocks have the trees of all before it
+            kept.unpersist()
+            kept, pending = now, [growing]
+        else:
+            now.unpersist()
+    kept.unpersist()
+    held.rows.unpersist()
+    held.rows = _scored(held.rows, base, done)  # computed only where it is read
     return Boosted(edges, base, done, gains, held)
 
 
+def _scored(rows: DataFrame, base: np.ndarray, rounds: list[list[Tree]]) -> DataFrame:
+    """The rows with the margins of all trees, one a head."""
+    names, kinds = rows.columns, ", ".join(f"{n} {kind}" for n, kind in rows.dtypes)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            bins = matrix(batch.column("bins"), np.int16)
+            margins = _add_trees(bins, np.tile(base, (len(bins), 1)), rounds)
+            yield pa.RecordBatch.from_arrays([*batch.columns, listed(margins, pa.float64())], names=[*names, "margins"])
+
+    return rows.mapInArrow(run, f"{kinds}, margins array<double>")
+
+
+def _choice(features: list[int], rules: Rules, scale: float):
+    gain = newton_gain(rules, scale)
+    return lambda sums: best_cut(sums, features, gain, SUMS, "n")
+
+
 def _drawn_features(n: int, rules: Rules, at: int) -> list[int]:
     take = max(1, int(n * rules.column_share))
     if take == n:
@@ -199,31 +236,21 @@ def _drawn_features(n: int, rules: Rules, at: int) -> list[int]:
     return sorted(np.random.default_rng([rules.seed, at]).choice(n, take, replace=False).tolist())
 
 
-def _grow(tree: Tree, head: Head, row, rules: Rules, scale: float, gains: np.ndarray) -> bool:
+def _grow(tree: Tree, head: Head, node: int, sums, best, rules: Rules, scale: float, gains: np.ndarray) -> bool:
     """Settle a node: its value, and its split with the values of both sides."""
-    node, best = row["node"], row["best"]
-    tree.value[node] = _leaf(row["g"], row["h"], head.rate, rules, scale)
+    g, h, _ = sums.tolist()
+    tree.value[node] = _leaf(g, h, head.rate, rules, scale)
     if best is None:
         return False
-    tree.feature[node], tree.cut[node] = best["feature"], best["bin"]
-    gains[best["feature"]] += best["gain"]
-    tree.value[2 * node] = _leaf(best["l_g"], best["l_h"], head.rate, rules, scale)
-    tree.value[2 * node + 1] = _leaf(row["g"] - best["l_g"], row["h"] - best["l_h"], head.rate, rules, scale)
+    feature, cut, gain, left = best
+    left_g, left_h, _ = left.tolist()
+    tree.feature[node], tree.cut[node] = feature, cut
+    gains[feature] += gain
+    tree.value[2 * node] = _leaf(left_g, left_h, head.rate, rules, scale)
+    tree.value[2 * node + 1] = _leaf(g - left_g, h - left_h, head.rate, rules, scale)
     return True
 
 
-def _advanced(rows: DataFrame, pending: list[list[Tree]]) -> DataFrame:
-    """The rows with the pending trees added to their margins."""
-    place = rows.columns.index("margins")
-
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            _, margins = _margins(batch, pending)
-            yield batch.set_column(place, "margins", listed(margins, pa.float64()))
-
-    return rows.mapInArrow(run, rows.schema)
-
-
 def root_cells(df: DataFrame, target: str, key: list[str], rules: Rules) -> DataFrame:
     """(feature, bin, g, h, n): what the first split of a boosted value is chosen from."""
     edges = bin_edges(df, rules.bins)
@@ -231,15 +258,18 @@ def root_cells(df: DataFrame, target: str, key: list[str], rules: Rules) -> Data
         df, edges, {"y": F.col(target).cast("double"), "weight": F.lit(1.0), "block": F.lit(0)}, key, rules.seed, "cells"
     )
     n, mean, low, high = held.rows.agg(F.count("*"), F.avg("y"), F.min("y"), F.max("y")).first()
-    scale = 2.0 ** (fixed_point_bits(n) - math.ceil(math.log2(4 * max(high - low, 1.0))))
-    held = held.replaced(held.rows.withColumn("margins", F.array(F.lit(mean))), "cells")
-    head = [Head(1, 1.0)]
-    add_up = _level(head, rules, [], [Tree.empty(1)], 0, 0, list(range(len(edges))), scale, max(map(len, edges)) + 1)
-    sums = cell_rows(partial_cells(held, add_up, SUMS), SUMS).groupBy("feature", "bin").agg(*[F.sum(s).alias(s) for s in SUMS])
-    found = sums.select(
-        "feature", "bin", (F.col("g") / F.lit(scale)).alias("g"), (F.col("h") / F.lit(scale)).alias("h"), "n"
-    ).collect()  # variables times bins
+    scale = 2.0 ** (_exact_bits(n) - math.ceil(math.log2(4 * max(high - low, 1.0))))
+    kept = packed(counted(held.rows.drop("draw")), n)
+    span = max(map(len, edges)) + 1
+    add_up = _level([Head(1, 1.0)], rules, [Tree.empty(1)], 0, 0, list(range(len(edges))), span)
+    now = kept.map(_round(rules, scale, np.array([mean]), []))
+    ((_, sums),) = settled(now, add_up, lambda s: s, len(SUMS) * len(edges) * span, 1)
+    kept.unpersist()
     held.drop()
+    found = [
+        (int(f), int(b), float(sums[0, f, b]) / scale, float(sums[1, f, b]) / scale, int(sums[2, f, b]))
+        for f, b in np.argwhere(sums[-1])  # variables times bins
+    ]
     return df.sparkSession.createDataFrame(found, "feature int, bin int, g double, h double, n long")
 
 

@@ -14,13 +14,15 @@ from __future__ import annotations
 
 import json
 import math
+import operator
+import pickle
 from collections.abc import Callable, Iterator
 from dataclasses import dataclass
 
 import numpy as np
 import pandas as pd
 import pyarrow as pa
-from pyspark import StorageLevel
+from pyspark import RDD, StorageLevel
 from pyspark.ml.functions import vector_to_array
 from pyspark.ml.linalg import DenseVector, Vectors
 from pyspark.sql import Column, DataFrame, functions as F
@@ -39,6 +41,10 @@ FEW_ROWS = 8_192
 MOST_ROWS = 1_000_000
 # Rows that a task adds up at once, and nodes whose bins it runs along at once.
 ADDED_ROWS, NODES_AT_ONCE = 200_000, 256
+# Rows that a part of packed rows has at least, as long as there are cores for more parts.
+PACKED_ROWS = 32_768
+# Sums of a level that the driver adds up itself; more are added up by node in a shuffle.
+DIRECT_BYTES = 32 << 20
 # Cells are numbered variable * CODES + bin.
 CODES = 1 << 15
 
@@ -232,18 +238,6 @@ def node_rows(tree: int, node: np.ndarray, code: np.ndarray, sums: dict[str, np.
     return pa.RecordBatch.from_arrays(columns, names=["tree", "node", "cells", *sums])
 
 
-def cell_rows(partial: DataFrame, sums: list[str]) -> DataFrame:
-    """(feature, bin, sums...) of all rows of ``partial_cells``, a row a cell."""
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            code = np.frombuffer(b"".join(batch.column("cells").to_pylist()), np.int32)
-            values = [np.frombuffer(b"".join(batch.column(s).to_pylist()), np.int64) for s in sums]
-            columns = [pa.array(code // CODES), pa.array(code % CODES), *map(pa.array, values)]
-            yield pa.RecordBatch.from_arrays(columns, names=["feature", "bin", *sums])
-
-    return partial.mapInArrow(run, "feature int, bin int, " + ", ".join(f"{s} long" for s in sums))
-
-
 def best_splits(
     partial: DataFrame, sums: list[str], gain: Callable, count: str, least_rows: int,
     constants: dict[str, dict[int, float]] | None = None,
@@ -318,6 +312,82 @@ def _best(
     return pa.RecordBatch.from_arrays([*columns, chosen], names=["tree", "node", *sums, "best"])
 
 
+def counted(rows: DataFrame) -> DataFrame:
+    """One row for all that are equal, and their number ``n``: what no draw tells apart learns the same."""
+    return rows.groupBy(*rows.columns).agg(F.count("*").alias("n"))
+
+
+def packed(rows: DataFrame, count: int) -> RDD:
+    """Rows as arrays by column, kept in memory: a pass over them is one short job of few objects.
+
+    ``count`` is how many rows there are, or more.
+    """
+    cores = rows.sparkSession.sparkContext.defaultParallelism
+    parts = max(1, min(cores, -(-count // PACKED_ROWS)), count // MOST_ROWS)
+    names = rows.columns
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in joined(batches):
+            block = {c: batch.column(c).to_numpy(zero_copy_only=False) for c in names if c != "bins"}
+            block["bins"] = matrix(batch.column("bins"), np.int16)
+            yield pa.RecordBatch.from_arrays([pa.array([pickle.dumps(block)], pa.binary())], names=["block"])
+
+    blocks = rows.repartition(parts).mapInArrow(run, "block binary").rdd.map(lambda r: pickle.loads(r[0]))
+    return blocks.persist(StorageLevel.MEMORY_AND_DISK)
+
+
+def settled(blocks: RDD, add_up: Callable, choose: Callable, sums: int, nodes: int) -> list[tuple]:
+    """((tree, node), choice) of every node that has rows, from one pass.
+
+    ``add_up`` turns a part's blocks into pairs of (tree, node) and an array of ``sums`` whole
+    numbers; ``choose`` gets a node's array.  The driver adds up the parts of at most
+    ``DIRECT_BYTES``; where they may be more, a shuffle brings a node's arrays together.
+    """
+    parts = blocks.getNumPartitions()
+    partial = blocks.mapPartitions(add_up)
+    if parts * nodes * sums * 8 > DIRECT_BYTES:
+        return partial.reduceByKey(operator.add, parts).mapValues(choose).collect()
+    total: dict[tuple[int, int], np.ndarray] = {}
+    for key, part in partial.collect():
+        total[key] = total[key] + part if key in total else part
+    return [(key, choose(part)) for key, part in total.items()]
+
+
+def node_sums(
+    bins: np.ndarray, node: np.ndarray, first: int, nodes: int, features: list[int], width: int, values: list[np.ndarray]
+) -> np.ndarray:
+    """Whole numbers added up by (value, node, variable, bin); nodes count from ``first``."""
+    total = np.zeros((len(values), nodes, len(features), width), np.int64)
+    where = (node - first) * width
+    for j, f in enumerate(features):
+        place = where + bins[:, f]
+        for s, w in enumerate(values):
+            total[s, :, j] = np.bincount(place, w, nodes * width).astype(np.int64).reshape(nodes, width)
+    return total
+
+
+def best_cut(total: np.ndarray, features: list[int], gain: Callable, names: list[str], count: str):
+    """A node's sums, and (variable, bin, gain, left sums) of its best split, or None.
+
+    ``total`` is (sum, variable, bin).  Of equal gains the lowest variable and bin win.
+    """
+    at, left = names.index(count), np.cumsum(total, axis=2)
+    whole = left[:, :, -1:]
+
+    def side(values: np.ndarray) -> Callable:
+        return lambda name: values[names.index(name)]
+
+    # An empty cell is no cut of its own: the one before it leaves the same sides.
+    allowed = (total[at] > 0) & (left[at] >= 1) & (whole[at] - left[at] >= 1)
+    with np.errstate(divide="ignore", invalid="ignore"):
+        value = np.where(allowed, gain(side(left), side(whole - left), side(whole)), -np.inf)
+    value = np.where(value > LEAST_GAIN, value, -np.inf)
+    j, b = divmod(int(value.argmax()), value.shape[1])  # the first of equal gains
+    if np.isneginf(value[j, b]):
+        return whole[:, 0, 0], None
+    return whole[:, 0, 0], (features[j], b, float(value[j, b]), left[:, j, b])
+
+
 @dataclass
 class TreeModel:
     """Sums of trees per output over raw variables; one output predicts, several are classes.

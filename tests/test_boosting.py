@@ -1,15 +1,18 @@
+import uuid
+
 import numpy as np
 import pandas as pd
 import pytest
 from pyspark.sql import functions as F
 
-from plantpulse.models import histogram
+from plantpulse.models import histogram, samme
 from plantpulse.models.boosting import (
     Head, HistogramRegressor, Rules, SoftmaxClassifier, boost, gradients, grid_errors, root_cells,
 )
 from plantpulse.models.catalog import assemble
 from plantpulse.models.forest import BINS, BalancedForest, MeanForest, bootstrap, counted_out
 from plantpulse.models.histogram import TreeModel, bin_edges, binned, fixed_point_bits, row_draw, uniform
+from plantpulse.models.samme import fit_samme
 
 DRIVERS = ["a", "b", "c"]
 
@@ -279,3 +282,79 @@ def test_rows_of_the_same_bins_become_one_cell(rows):
     held.drop()
     assert len(cells) == 9
     assert [sum(r["n"][i] for r in cells) for i in (0, 1)] == [bootstrap(draws, i).sum() for i in (0, 1)]
+
+
+def test_a_round_is_one_short_job_a_level(spark, rows):
+    """Further rounds of softmax boosting and SAMME: no second job, checkpoint or extra pass for a level."""
+    _, df = rows
+
+    def jobs(fit):
+        group = f"fit-{uuid.uuid4()}"
+        spark.sparkContext.setJobGroup(group, group)
+        fit()
+        spark.sparkContext._jsc.clearJobGroup()
+        return len(spark.sparkContext.statusTracker().getJobIdsForGroup(group))
+
+    softmax = lambda n: SoftmaxClassifier("label", "weight", 3, ["seq"], maxIter=n, maxDepth=2, stepSize=0.1).fit(df)
+    adaptive = lambda n: fit_samme(df, 3, rounds=n)
+    for fit, first, last in ((softmax, 1, 3), (adaptive, 1, 3)):
+        assert jobs(lambda: fit(last)) - jobs(lambda: fit(first)) == 2 * (last - first)
+
+
+def test_sums_of_many_parts_are_shuffled_to_the_same_trees(rows, monkeypatch):
+    """Equal rows counted out, in one part or many, added up by the driver or in a shuffle."""
+    _, df = rows
+    few = assemble(df.select("seq", "label", "weight", F.round("a", 1).alias("a"), "b"), ["a", "b"])
+    many = few.union(few).union(few)
+    for fit in (
+        lambda d: SoftmaxClassifier("label", "weight", 3, ["seq"], maxIter=2, maxDepth=2, stepSize=0.3).fit(d),
+        lambda d: fit_samme(d, 3, rounds=2),
+    ):
+        one = fit(many).to_json()
+        with monkeypatch.context() as m:
+            m.setattr(histogram, "PACKED_ROWS", 50)
+            assert one == fit(many.repartition(7)).to_json()
+            m.setattr(histogram, "DIRECT_BYTES", 0)
+            assert one == fit(many.repartition(7)).to_json()
+    held = histogram.training_rows(many, bin_edges(many, 256), {"y": F.col("label")}, ["seq"], 1, "t")
+    cells = histogram.counted(held.rows.drop("draw"))
+    assert cells.agg(F.sum("n")).first()[0] == 3 * df.count() and cells.count() < df.count()
+    held.drop()
+
+
+def test_samme_equals_plain_weighted_gini_trees(rows, monkeypatch):
+    """Trees, votes and weights against loops over all cuts; the loop goes on past the kept rounds."""
+    pdf, df = rows
+    monkeypatch.setattr(samme, "KEEP_EVERY", 1)
+    rounds = 4
+    model = fit_samme(df, 3, rounds=rounds)
+    bins, y, w = binned(pdf[DRIVERS].to_numpy(), bin_edges(df, 256)), pdf.label.to_numpy().astype(int), pdf.weight.to_numpy()
+    w = w * len(w) / w.sum()
+
+    def mass(use):
+        return np.bincount(y[use], w[use], 3)
+
+    def purity(use):
+        return (mass(use) ** 2).sum() / max(mass(use).sum(), 1e-300)
+
+    assert len(model.rounds) == rounds
+    for (tree,) in model.rounds:
+        at = {1: np.ones(len(y), bool)}
+        for node in (1, 2, 3):
+            f, cut = int(tree.feature[node]), int(tree.cut[node])
+            if node not in at or f < 0:
+                continue
+            use = at.pop(node)
+            best = max(purity(use & (bins[:, j] <= b)) + purity(use & (bins[:, j] > b)) for j in range(3) for b in range(256))
+            at[2 * node], at[2 * node + 1] = use & (bins[:, f] <= cut), use & (bins[:, f] > cut)
+            assert purity(at[2 * node]) + purity(at[2 * node + 1]) == pytest.approx(best, rel=1e-6)
+        called = np.select([at[n] for n in at], [mass(at[n]).argmax() for n in at])
+        error = w[called != y].sum() / w.sum()
+        alpha = 0.8 * (np.log((1 - error) / error) + np.log(2))
+        assert np.allclose(tree.values(bins)[np.arange(len(y)), called], alpha, rtol=1e-5)
+        assert np.count_nonzero(tree.values(bins)) == len(y)
+        w = w * np.where(called != y, np.exp(alpha), 1.0)
+        w = w * len(w) / w.sum()
+    votes = model.margins(pdf[DRIVERS].to_numpy())
+    got = model.transform(df).orderBy("seq").toPandas().prediction
+    assert np.array_equal(got, votes.argmax(axis=1)) and (got == y).mean() > 0.8

@@ -166,6 +166,7 @@ def _cutter(path: str, capacity: int, end_id: int, keep_ids: bool):
 
 def _placer(places):
     def place(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        word_ids.cache_clear()  # this worker may have cut pieces before
         table = pickle.loads(places.value)
         firsts = {length: found[:, 0].tolist() for length, found in table.items()}
         for batch in batches:

@@ -12,8 +12,11 @@ import json
 import struct
 from functools import lru_cache
 
-# Words kept per Python worker in each of two generations: about 200 MB when both are full.
-CACHE_WORDS = 400_000
+# Words, and parts of words, kept per Python worker in each of two generations: about 100 MB
+# when all are full.  A part serves its word in capitals and with marks, so parts are more.
+CACHE_WORDS, CACHE_PARTS = 50_000, 150_000
+# Characters of what is kept at most: a number of entries alone would not bound their bytes.
+LONGEST = 32
 
 
 # The rules for which texts are cut into words here.
@@ -57,18 +60,20 @@ def _byte_letters() -> dict[int, str]:
 class WordIds:
     """``encode(text)``: ids of a text as little-endian unsigned 32-bit bytes."""
 
-    def __init__(self, path: str, cache_words: int = CACHE_WORDS):
+    def __init__(self, path: str, cache_words: int = CACHE_WORDS, cache_parts: int = CACHE_PARTS):
         import regex
         from tokenizers import Tokenizer
 
         self.tokenizer = Tokenizer.from_file(path)
         self.model = self.tokenizer.model
         self.by_word = cuts_words(json.loads(self.tokenizer.to_str()))
-        self.limit = cache_words
+        self.limit, self.part_limit = cache_words, cache_parts
         self.words: dict[str, bytes] = {}
         self.older: dict[str, bytes] = {}
         self.parts: dict[str, bytes] = {}
+        self.older_parts: dict[str, bytes] = {}
         self.letters = _byte_letters()
+        self.packed = [i.to_bytes(4, "little") for i in range(max(self.tokenizer.get_vocab().values(), default=-1) + 1)]
         self.split = regex.compile(SPLIT).findall
 
     def encode(self, text: str) -> bytes:
@@ -76,7 +81,7 @@ class WordIds:
             return self._bytes(self.tokenizer.encode(text, add_special_tokens=False).ids)
         words = text.replace("\n", " ").split(" ")
         known = self.words
-        missing = set(words).difference(known)
+        missing, passing = set(words).difference(known), []
         if missing:
             if len(known) + len(missing) > self.limit:
                 # The full generation answers until the next one is full as well.
@@ -86,16 +91,21 @@ class WordIds:
             for word in missing:
                 ids = older.get(word)
                 known[word] = self._word(word) if ids is None else ids
+            passing = [word for word in missing if len(word) > LONGEST]
         ids = b"".join(map(known.__getitem__, words))
+        for word in passing:
+            del known[word]
         if len(known) > self.limit:
             # One text alone overflows the cache: it leaves nothing there.
             self.words, self.older = {}, {}
         return ids
 
     def _word(self, word: str) -> bytes:
+        if word.isascii() and word.isalpha():
+            return self._part(word.lower())
         # Below U+0300 every character is its own composed form and lower-cases alone, and
         # "<|" starts the only strings that are ids of their own.
-        if word and not (max(word) < "\u0300" and "<|" not in word and word.isprintable()):
+        if word and not ((word.isascii() or max(word) < "\u0300") and "<|" not in word and word.isprintable()):
             return self._bytes(self.tokenizer.encode(word, add_special_tokens=False).ids)
         low = word.lower()
         if low.isalpha():
@@ -107,11 +117,15 @@ class WordIds:
     def _part(self, part: str) -> bytes:
         ids = self.parts.get(part)
         if ids is None:
-            spelt = part if part.isascii() else "".join(map(self.letters.__getitem__, part.encode()))
-            ids = self._bytes([t.id for t in self.model.tokenize(spelt)])
-            if len(self.parts) >= self.limit:
-                self.parts.clear()
-            self.parts[part] = ids
+            ids = self.older_parts.get(part)
+            if ids is None:
+                spelt = part if part.isascii() else "".join(map(self.letters.__getitem__, part.encode()))
+                packed = self.packed
+                ids = b"".join([packed[t.id] for t in self.model.tokenize(spelt)])
+            if len(part) <= LONGEST:
+                if len(self.parts) >= self.part_limit:
+                    self.older_parts, self.parts = self.parts, {}
+                self.parts[part] = ids
         return ids
 
     def _bytes(self, ids: list[int]) -> bytes:
@@ -120,5 +134,8 @@ class WordIds:
 
 @lru_cache(maxsize=1)
 def word_ids(path: str) -> WordIds:
-    """The encoder of this Python worker: its cache serves all tasks the worker runs."""
+    """The encoder of this Python worker: its cache serves all tasks the worker runs.
+
+    ``word_ids.cache_clear()`` gives its memory back.
+    """
     return WordIds(path)

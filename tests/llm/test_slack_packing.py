@@ -1,4 +1,5 @@
 import random
+import sys
 import zlib
 from collections import Counter
 
@@ -39,6 +40,21 @@ def test_cache_is_bounded(tokenizer):
         assert len(encoder.words) <= 20
 
 
+def test_caches_are_bounded_in_bytes(tokenizer):
+    rng = random.Random(7)
+    encoder = WordIds(word_bpe_path())
+    letters = "abcdefghijklmnopqrstuvwxyz"
+    for n in range(300):
+        short = ["".join(rng.choices(letters, k=9)) for _ in range(2000)]
+        text = " ".join([*short, "".join(rng.choices(letters, k=20_000)), f"{n}-" * 500])
+        ids = encoder.encode(text)
+        if n % 100 == 0:
+            assert ids == np.array(tokenizer.encode(text, add_special_tokens=False).ids, "<u4").tobytes()
+    held = [d for name, d in vars(encoder).items() if isinstance(d, dict) and name != "letters"]
+    size = sum(sys.getsizeof(d) + sum(sys.getsizeof(k) + sys.getsizeof(v) for k, v in d.items()) for d in held)
+    assert size < 70 << 20 and max(len(k) for d in held for k in d) <= 32
+
+
 def test_fullest_equals_brute_force():
     rng = random.Random(3)
     for _ in range(200):

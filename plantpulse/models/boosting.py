@@ -7,21 +7,22 @@ for each cell of a grid search, whose cells all grow in the same passes over the
 from __future__ import annotations
 
 import math
+import pickle
 from collections.abc import Iterator
 from dataclasses import dataclass, field
 
 import numpy as np
 import pyarrow as pa
-from pyspark import StorageLevel
+from pyspark import RDD, StorageLevel
 from pyspark.sql import Column, DataFrame, functions as F
 
 from plantpulse.models.histogram import (
-    FEATURES, Held, Settable, Tree, TreeModel, best_cut, bin_edges, counted, fixed_point_bits, listed, matrix, node_sums,
-    packed, settled, training_rows, uniform,
+    FEATURES, MOST_ROWS, PACKED_ROWS, Held, Settable, Tree, TreeModel, best_cut, bin_edges, counted, fixed_point_bits,
+    joined, listed, matrix, node_sums, packed, settled, training_rows, uniform,
 )
 
 # Rounds whose trees are added to the kept margins at once.
-KEEP_EVERY = 12
+KEEP_EVERY = 4
 SUMS = ["g", "h", "n"]
 
 
@@ -72,37 +73,67 @@ def _add_trees(bins: np.ndarray, margins: np.ndarray, rounds: list[list[Tree]])
     return margins
 
 
-def _round(rules: Rules, scale: float, base: np.ndarray, pending: list[list[Tree]]):
-    """A block with its margins after the pending trees, and their derivatives in fixed point."""
+def _moved(base: np.ndarray, pending: list[list[Tree]]):
+    """A block with its margins after the pending trees."""
     def run(block: dict) -> dict:
         margins = block.get("margins")
-        margins = np.tile(base, (len(block["y"]), 1)) if margins is None else margins
-        margins = _add_trees(block["bins"], margins, pending)
+        margins = np.tile(base, (len(block["bins"]), 1)) if margins is None else margins
+        return block | {"margins": _add_trees(block["bins"], margins, pending)}
+
+    return run
+
+
+def _round(rules: Rules, scale: float, base: np.ndarray, pending: list[list[Tree]], blocks: list[int], columns: list[int]):
+    """The sums of one round in fixed point: gradients a head, curvatures, and rows up to each of ``blocks``.
+
+    ``columns`` tells which of the blocks a head learns from.
+    """
+    def run(block: dict) -> dict:
+        margins = _moved(base, pending)(block)["margins"]
+        n = np.where(block["block"][:, None] <= np.array(blocks), block["n"][:, None], 0)
         g, h = gradients(margins, block["y"], block["weight"], rules)
-        h = h if rules.softmax else h[:, :1]  # the same for all heads
-        g, h = (np.rint(of * scale).astype(np.int32) for of in (g, h))
-        return block | {"margins": margins, "g": g, "h": h}
+        g, h = (np.rint(of * scale).astype(np.int32) for of in (g, h if rules.softmax else h[:, :1]))
+        # The curvature of a value is the same for all heads.
+        return {"bins": block["bins"], "n": n, "g": g * n[:, columns], "h": h * (n[:, columns] if rules.softmax else n)}
+
+    return run
+
+
+def _drawn_round(
+    rules: Rules, scale: float, base: np.ndarray, pending: list[list[Tree]], at: int, low: float, columns: list[int]
+):
+    """The same sums from cells, where each round draws rows.
+
+    Rows of a cell have one margin: a round counts its drawn rows and adds up their targets,
+    and the gradients follow for all heads without going back to the rows.
+    """
+    def run(block: dict) -> dict:
+        margins, weight = _moved(base, pending)(block)["margins"], block["weight"]
+        drawn, shape = uniform(block["draw"], at) < rules.row_share, (len(weight), block["blocks"])
+        place = block["place"][drawn]
+        n = np.bincount(place, minlength=shape[0] * shape[1]).reshape(shape).cumsum(axis=1)
+        target = np.bincount(place, block["target"][drawn], shape[0] * shape[1]).astype(np.int64).reshape(shape).cumsum(axis=1)
+        own = np.rint((margins - low) * weight[:, None] * scale).astype(np.int64)
+        h = n * np.rint(weight * scale).astype(np.int64)[:, None]
+        return {"bins": block["bins"], "n": n, "g": own * n[:, columns] - target[:, columns], "h": h}
 
     return run
 
 
-def _level(heads: list[Head], rules: Rules, growing: list[Tree], level: int, at: int, features: list[int], width: int):
+def _level(heads: list[Head], rules: Rules, growing: list[Tree], level: int, columns: list[int], features: list[int], width: int):
     """Partial sums of one level: gradients, curvatures (fixed point) and rows of every cell."""
     first = nodes = 1 << level
 
     def run(blocks: Iterator[dict]) -> Iterator[tuple]:
         total: dict[int, np.ndarray] = {}
         for block in blocks:
-            bins, n = block["bins"], block["n"]
-            drawn = uniform(block["draw"], at) < rules.row_share if rules.row_share < 1 else None
+            bins = block["bins"]
             for k in _active(heads, level):
-                node = growing[k].nodes(bins, level)
+                node, n = growing[k].nodes(bins, level), block["n"][:, columns[k]]
                 # Nodes that stayed leaves on the way down are above this level.
-                use = (block["block"] <= heads[k].last_block) & (node >= first)
-                use = use if drawn is None else use & drawn
-                counts = n[use].astype(np.float64)
-                values = [block["g"][use, k] * counts, block["h"][use, min(k, block["h"].shape[1] - 1)] * counts, counts]
-                found = node_sums(bins[use], node[use], first, nodes, features, width, values)
+                use = np.flatnonzero((node >= first) & (n > 0))
+                values = [block["g"][:, k], block["h"][:, k if rules.softmax else columns[k]], n]
+                found = node_sums(bins[use], node[use], first, nodes, features, width, [v[use] for v in values])
                 total[k] = total[k] + found if k in total else found
         for k, sums in total.items():
             for i in np.flatnonzero(sums[-1, :, 0].any(axis=1)):
@@ -156,7 +187,8 @@ def boost(
 
     The caller gives ``rows`` back.  A round of depth d is d short jobs, whatever the number
     of heads.  Without draws, rows of the same bins, target and weight have the same
-    derivatives in all rounds: they are counted out once.
+    derivatives in all rounds: they are counted out once.  With draws of a value's rows, each
+    round counts them out into the cells of equal bins, and only these go through the levels.
     """
     edges = bin_edges(df, rules.bins)
     weight, block = F.lit(1.0) if weight is None else weight, F.lit(0) if block is None else block
@@ -179,18 +211,28 @@ def boost(
         reach = 4 * max(facts["high"] - facts["low"], 1.0) * facts["w"]
     # A power of two, so scaling loses nothing.
     scale = 2.0 ** (_exact_bits(facts["n"]) - math.ceil(math.log2(reach)))
-    rows = held.rows.withColumn("n", F.lit(1)) if rules.row_share < 1 else counted(held.rows.drop("draw"))
-    kept = packed(rows, facts["n"])
+    columns = [blocks.index(head.last_block) for head in heads]
+    if rules.row_share < 1:
+        kept = _cells(held.rows, facts["n"], blocks, facts["low"], scale)
+    else:
+        kept = packed(counted(held.rows.drop("draw")), facts["n"])
     most = max(head.depth for head in heads)
     span = max((len(e) for e in edges), default=0) + 1
-    done, pending, gains = [], [], np.zeros(len(edges))
+    done, pending, before, gains = [], [], None, np.zeros(len(edges))
     for at in range(rules.rounds):
         growing = [Tree.empty(head.depth) for head in heads]
         features = _drawn_features(len(edges), rules, at)
         choose = _choice(features, rules, scale)
-        now = kept.map(_round(rules, scale, base, pending)).persist(StorageLevel.MEMORY_AND_DISK)
+        if len(pending) >= KEEP_EVERY:
+            before, kept = kept, kept.map(_moved(base, pending)).persist(StorageLevel.MEMORY_AND_DISK)
+            pending = []
+        sums = (
+            _drawn_round(rules, scale, base, pending, at, facts["low"], columns) if rules.row_share < 1
+            else _round(rules, scale, base, pending, blocks, columns)
+        )
+        now = kept.map(sums).persist(StorageLevel.MEMORY_AND_DISK)
         for level in range(most):
-            add_up = _level(heads, rules, growing, level, at, features, span)
+            add_up = _level(heads, rules, growing, level, columns, features, span)
             found = settled(now, add_up, choose, len(SUMS) * len(features) * span, len(_active(heads, level)) << level)
             split = [
                 _grow(growing[k], heads[k], node, *chosen, rules, scale, gains)
@@ -200,28 +242,78 @@ def boost(
                 break
         done.append(growing)
         pending.append(growing)
-        if len(pending) > KEEP_EVERY:  # this round's blocks have the trees of all before it
-            kept.unpersist()
-            kept, pending = now, [growing]
-        else:
-            now.unpersist()
+        now.unpersist()
+        if before:  # the kept margins were made in this round's first pass
+            before.unpersist()
+            before = None
     kept.unpersist()
     held.rows.unpersist()
-    held.rows = _scored(held.rows, base, done)  # computed only where it is read
+    held.rows = _scored(held.rows, facts["n"], base, done)  # computed only where it is read
     return Boosted(edges, base, done, gains, held)
 
 
-def _scored(rows: DataFrame, base: np.ndarray, rounds: list[list[Tree]]) -> DataFrame:
-    """The rows with the margins of all trees, one a head."""
+def _by_bins(rows: DataFrame, count: int) -> DataFrame:
+    """Rows of equal bins side by side, in parts of even size: a crowded cell is cut by its rows' draws."""
+    cores = rows.sparkSession.sparkContext.defaultParallelism
+    parts = max(1, min(cores, -(-count // PACKED_ROWS)), count // MOST_ROWS)
+    if parts == 1:
+        return rows.coalesce(1).sortWithinPartitions("bins", "weight")
+    return rows.repartitionByRange(parts, "bins", "weight", "draw").sortWithinPartitions("bins", "weight")
+
+
+def _runs(*columns: np.ndarray) -> np.ndarray:
+    """Number of the run of equal neighbours that each row is in."""
+    new = np.zeros(len(columns[0]), bool)
+    for c in columns:
+        unlike = c[1:] != c[:-1]
+        new[1:] |= unlike.any(axis=1) if unlike.ndim > 1 else unlike
+    return np.cumsum(new)
+
+
+def _cells(rows: DataFrame, count: int, blocks: list[int], low: float, scale: float) -> RDD:
+    """Blocks of cells (equal bins and weight) with the draws, targets and places of their rows.
+
+    A row's place is its cell and the first of ``blocks`` that has it; rows that no head learns
+    from are left out.  Targets are whole numbers above the lowest one.
+    """
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in joined(batches):
+            bins = matrix(batch.column("bins"), np.int16)
+            draw, y, weight, block = (
+                batch.column(c).to_numpy(zero_copy_only=False) for c in ("draw", "y", "weight", "block")
+            )
+            of = np.searchsorted(blocks, block)
+            use = of < len(blocks)
+            bins, draw, y, weight, of = (c[use] for c in (bins, draw, y, weight, of))
+            if not len(y):
+                continue
+            cell = _runs(bins, weight)
+            first = np.flatnonzero(np.append(True, cell[1:] != cell[:-1]))
+            found = {
+                "bins": bins[first], "weight": weight[first], "blocks": len(blocks), "draw": draw,
+                "place": (cell * len(blocks) + of).astype(np.int32), "target": np.rint((y - low) * weight * scale),
+            }
+            yield pa.RecordBatch.from_arrays([pa.array([pickle.dumps(found)], pa.binary())], names=["block"])
+
+    packed_rows = _by_bins(rows, count).mapInArrow(run, "block binary").rdd.map(lambda r: pickle.loads(r[0]))
+    return packed_rows.persist(StorageLevel.MEMORY_AND_DISK)
+
+
+def _scored(rows: DataFrame, count: int, base: np.ndarray, rounds: list[list[Tree]]) -> DataFrame:
+    """The rows with the margins of all trees, one a head; rows of equal bins go through the trees once."""
     names, kinds = rows.columns, ", ".join(f"{n} {kind}" for n, kind in rows.dtypes)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             bins = matrix(batch.column("bins"), np.int16)
-            margins = _add_trees(bins, np.tile(base, (len(bins), 1)), rounds)
+            if not len(bins):
+                continue
+            cell = _runs(bins)
+            first = np.flatnonzero(np.append(True, cell[1:] != cell[:-1]))
+            margins = _add_trees(bins[first], np.tile(base, (len(first), 1)), rounds)[cell]
             yield pa.RecordBatch.from_arrays([*batch.columns, listed(margins, pa.float64())], names=[*names, "margins"])
 
-    return rows.mapInArrow(run, f"{kinds}, margins array<double>")
+    return _by_bins(rows, count).mapInArrow(run, f"{kinds}, margins array<double>")
 
 
 def _choice(features: list[int], rules: Rules, scale: float):
@@ -261,8 +353,8 @@ def root_cells(df: DataFrame, target: str, key: list[str], rules: Rules) -> Data
     scale = 2.0 ** (_exact_bits(n) - math.ceil(math.log2(4 * max(high - low, 1.0))))
     kept = packed(counted(held.rows.drop("draw")), n)
     span = max(map(len, edges)) + 1
-    add_up = _level([Head(1, 1.0)], rules, [Tree.empty(1)], 0, 0, list(range(len(edges))), span)
-    now = kept.map(_round(rules, scale, np.array([mean]), []))
+    add_up = _level([Head(1, 1.0)], rules, [Tree.empty(1)], 0, [0], list(range(len(edges))), span)
+    now = kept.map(_round(rules, scale, np.array([mean]), [], [0], [0]))
     ((_, sums),) = settled(now, add_up, lambda s: s, len(SUMS) * len(edges) * span, 1)
     kept.unpersist()
     held.drop()

@@ -5,7 +5,7 @@ import pandas as pd
 import pytest
 from pyspark.sql import functions as F
 
-from plantpulse.models import histogram, samme
+from plantpulse.models import boosting, histogram, samme
 from plantpulse.models.boosting import (
     Head, HistogramRegressor, Rules, SoftmaxClassifier, boost, gradients, grid_errors, root_cells,
 )
@@ -191,6 +191,35 @@ def test_grid_cells_equal_separate_fits(rows):
         assert row["mae_cv"] == pytest.approx((error + first) / 2, rel=1e-6)
 
 
+def test_levels_of_drawn_rounds_run_over_cells(rows, monkeypatch):
+    """Rows of equal bins go through the levels as one, whose sums are those of the drawn rows; in any parts the same trees."""
+    pdf, df = rows
+    few = assemble(df.select("seq", "y", "b"), ["b"])
+    seen, first, plain = [], [], boosting.settled
+
+    def watched(blocks, *rest):
+        seen.append(blocks.map(lambda b: len(b["bins"])).sum())
+        found = plain(blocks, *rest)
+        first.extend(sums for (_, node), (sums, _) in found if node == 1)
+        return found
+
+    make = lambda: HistogramRegressor("y", ["seq"], maxIter=6, maxDepth=2)
+    with monkeypatch.context() as m:
+        m.setattr(boosting, "settled", watched)
+        model = make().fit(few)
+    assert set(seen) == {9}
+    draws = draws_of(df, 42)
+    assert [s[2] for s in first] == [(uniform(draws, at) < 0.85).sum() for at in range(6)]
+    y, use = pdf.y.to_numpy(), uniform(draws, 0) < 0.85
+    assert first[0][0] / first[0][1] == pytest.approx((y.mean() - y[use]).mean(), abs=1e-6)
+    with monkeypatch.context() as m:
+        m.setattr(boosting, "PACKED_ROWS", 50)
+        m.setattr(histogram, "FEW_ROWS", 0)
+        assert model.to_json() == make().fit(few.repartition(7)).to_json()
+        m.setattr(histogram, "DIRECT_BYTES", 0)
+        assert model.to_json() == make().fit(few.repartition(3)).to_json()
+
+
 def test_cells_add_up_and_bits_leave_room(rows):
     pdf, df = rows
     cells = root_cells(df, "y", ["seq"], Rules(1)).toPandas()

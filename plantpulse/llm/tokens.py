@@ -12,9 +12,9 @@ import json
 import struct
 from functools import lru_cache
 
-# Words, and parts of words, kept per Python worker in each of two generations: about 100 MB
+# Words, and parts of words, kept per Python worker in each of two generations: about 140 MB
 # when all are full.  A part serves its word in capitals and with marks, so parts are more.
-CACHE_WORDS, CACHE_PARTS = 50_000, 150_000
+CACHE_WORDS, CACHE_PARTS = 100_000, 200_000
 # Characters of what is kept at most: a number of entries alone would not bound their bytes.
 LONGEST = 32
 
